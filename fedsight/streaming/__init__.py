@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference has no stream source, watermark, streaming window or late-data
+handling, so there is no streaming operator to rebuild. Every operator in this
+package is a pure DataFrame -> DataFrame function, so those that are stateless
+(cleaning, scoring, clipping, noise) can be applied unchanged to a
+``readStream`` DataFrame; the aggregating ones are batch analytics over rounds.
+"""
