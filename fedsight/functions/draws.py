@@ -57,3 +57,10 @@ def sql_uniform(keys: list[str], seed: int | str = 42) -> str:
 
 def sql_laplace(u: str, scale: str) -> str:
     return f"(-({scale}) * sign(({u}) - 0.5) * ln(1.0 - 2.0 * abs(({u}) - 0.5)))"
+
+
+def py_uniform(keys: list, seed: int | str = 42) -> float:
+    """The same draw computed in Python (for parameters such as client shares)."""
+    import hashlib
+    text = "|".join([str(k) for k in keys] + [str(seed)])
+    return (int(hashlib.md5(text.encode()).hexdigest()[:8], 16) + 0.5) / TWO_32

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fedsight.functions.exprs import broadcast_if_small
 from fedsight.operators import clean
+from fedsight.session import cut_lineage
 
 # C1 / C2 / C3 / C6 ---------------------------------------------------------------
 
@@ -197,7 +198,8 @@ def feature_table(admissions: DataFrame, patients: DataFrame, measurements: Data
                   top_n: int = 10, measurement_order: Sequence[str] = ("charttime", "tie1", "tie2"),
                   discharge_from_measurements: bool = True, exact_medians: bool = True,
                   prescriptions: DataFrame | None = None,
-                  drug_classes: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+                  drug_classes: Mapping[str, Sequence[str]] | None = None,
+                  materialize: bool = True) -> DataFrame:
     """One row per admission: age, length of stay, first lab/vital values,
     diagnosis count, top-``top_n`` code-category counts, comorbidity counts,
     optional drug-class flags, label ``mortality``.
@@ -234,6 +236,13 @@ def feature_table(admissions: DataFrame, patients: DataFrame, measurements: Data
         flag_cols = ["medication_count", *drug_classes.keys()]
 
     out = out.withColumn("los", clean.duration_days("admittime", "dischtime"))
+    if materialize:
+        # The medians below need a pass over the joined table; cut it to the shared
+        # checkpoint folder so the source aggregates run once (and survive executor loss).
+        out = cut_lineage(out.select("hadm_id", "expire_flag", "age", "los",
+                                     *lab_items.values(), *vital_items.values(),
+                                     "diagnosis_count", *[f"proc_{v}" for v in top],
+                                     *[f"has_{k}" for k in code_prefixes], *flag_cols))
     numeric = ["age", "los", *lab_items.values(), *vital_items.values()]
     counts = ["diagnosis_count", *[f"proc_{v}" for v in top], *[f"has_{k}" for k in code_prefixes], *flag_cols]
     out = clean.median_impute(out, numeric, exact=exact_medians)

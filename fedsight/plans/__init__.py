@@ -2,11 +2,13 @@
 
 from fedsight.plans.registry import ORACLES, QUERIES
 
+MODULES = ["features_q", "clean_q"]
+
 
 def load_all() -> None:
     """Import every query module (registration happens at import)."""
     import importlib
-    for m in ["features_q"]:
+    for m in MODULES:
         importlib.import_module(f"fedsight.plans.{m}")
 
 
