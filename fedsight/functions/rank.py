@@ -59,3 +59,31 @@ def ranked(df: DataFrame, order_col: str, group_cols: Sequence[str] = (),
     d = d.withColumn("_rn", F.row_number().over(within))
     out = d.join(offsets, [*g, "_bk"], "inner")
     return out.withColumn(rank_col, (F.col("_off") + F.col("_rn")).cast("long")).drop("_bk", "_off", "_rn")
+
+
+def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str],
+                   group_cols: Sequence[str] = (), buckets: int = 1024,
+                   bounds: tuple[float, float] | None = (0.0, 1.0),
+                   prefix: str = "before_") -> DataFrame:
+    """For each row add ``before_<v>`` = Σ v over rows of the same group whose
+    ``order_col`` is strictly smaller. Rows must be unique per (group, order).
+
+    Bucket totals (a small table) give the sums of all earlier buckets; inside
+    a bucket a partitioned window adds the earlier rows of that bucket.
+    """
+    g = list(group_cols)
+    if bounds is None:
+        r = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
+        bounds = (float(r["lo"] if r["lo"] is not None else 0.0),
+                  float(r["hi"] if r["hi"] is not None else 1.0) + 1e-9)
+    lo, hi = bounds
+    d = df.withColumn("_bk", bucket_of(F.col(order_col), lo, hi, buckets))
+    tot = d.groupBy(*g, "_bk").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
+    earlier = Window.partitionBy(*g).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select(*g, "_bk", *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_o_{v}")
+                                  for v in value_cols])
+    inside = Window.partitionBy(*g, "_bk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_i_{v}") for v in value_cols])
+    out = d.join(tot, [*g, "_bk"], "inner")
+    return out.select(*df.columns, *[(F.col(f"_o_{v}") + F.col(f"_i_{v}")).alias(f"{prefix}{v}")
+                                     for v in value_cols])

@@ -158,7 +158,10 @@ SQL_ATTRIBUTION = """attribution AS (
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)"""
 
 
-# scored <- lineitem: label = returned, a fixed logistic score rounded to 3
+SCORED_KEYS = ["row_id_a", "row_id_b", "row_id_c", "row_id_d", "row_id_e"]
+
+
+# scored <- lineitem (row key: order, line, part, supplier, ship day): label = returned, a fixed logistic score rounded to 3
 # places (ties on purpose), client = supplier mod 10, round = ship year.
 def scored(spark: SparkSession, d: str) -> DataFrame:
     li = load(spark, d, "lineitem")
@@ -166,6 +169,8 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     score = F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), 3)
     return li.select(
         F.col("l_orderkey").alias("row_id_a"), F.col("l_linenumber").alias("row_id_b"),
+        F.col("l_partkey").alias("row_id_c"), F.col("l_suppkey").alias("row_id_d"),
+        F.unix_date(F.to_date("l_shipdate")).alias("row_id_e"),
         F.concat(F.lit("client_"), (F.col("l_suppkey") % 10).cast("string")).alias("client_id"),
         (F.year("l_shipdate") - 1994).alias("round"),
         (F.col("l_returnflag") == "R").cast("int").alias("label"),
@@ -173,7 +178,8 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL_SCORED = """scored AS (
-  SELECT l_orderkey AS row_id_a, l_linenumber AS row_id_b,
+  SELECT l_orderkey AS row_id_a, l_linenumber AS row_id_b, l_partkey AS row_id_c, l_suppkey AS row_id_d,
+         CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS INTEGER) AS row_id_e,
          'client_' || CAST(l_suppkey % 10 AS VARCHAR) AS client_id,
          CAST(year(l_shipdate) - 1994 AS INTEGER) AS round,
          CAST(l_returnflag = 'R' AS INTEGER) AS label,
