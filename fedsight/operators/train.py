@@ -28,8 +28,13 @@ from fedsight.session import cut_lineage
 
 # F4 ------------------------------------------------------------------------------
 def margin_expr(features: Sequence[str], w: Column, b: Column) -> Column:
-    x = F.array(*[F.col(f).cast("double") for f in features])
-    return F.aggregate(F.zip_with(x, w, lambda a, c: a * c), F.lit(0.0), lambda acc, v: acc + v) + b
+    """Σ x_j·w[j] + b as plain arithmetic (codegen-friendly; ``w`` may be an
+    array column or a scalar subquery)."""
+    out = None
+    for i, f in enumerate(features):
+        t = F.col(f).cast("double") * w[i]
+        out = t if out is None else out + t
+    return out + b
 
 
 def score_linear(df: DataFrame, features: Sequence[str], weights: Sequence[float], bias: float = 0.0,
