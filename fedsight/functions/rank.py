@@ -1,52 +1,98 @@
-"""Exact ranks without a single-partition window.
+"""Exact ranks and running sums without a single-partition window.
 
-``Window.orderBy`` without ``partitionBy`` moves every row into one task. Here the
-order key is cut into ``buckets`` ranges; rows are counted per (group, bucket)
-— a small table — whose running sums give each bucket's offset; inside a
-(group, bucket) the rank is a partitioned ``row_number``. A group holding a third
-of all rows is spread over all of its buckets, so no task sees a whole group.
+``Window.orderBy`` without ``partitionBy`` moves every row into one task, and a
+window partitioned by a hot group moves that whole group into one task. Here
+the order key is cut into buckets; rows are counted per (group, bucket) — a
+small table — whose running sums give each bucket's offset; inside a
+(group, bucket) the rank is a partitioned ``row_number``. A group holding a
+third of all rows is spread over all of its buckets, so no task sees a whole
+group.
+
+Bucketing modes:
+* ``uniform`` — the key is a hash draw in (0, 1): bucket = floor(u·B); the
+  bucket count B grows with the largest group (about ``rows_per_bucket`` rows
+  per bucket), so buckets stay small at any scale.
+* ``quantile`` — any numeric key: B-1 approximate quantiles (one
+  ``percentile_approx`` pass, B-1 numbers on the driver) become bucket bounds,
+  found per row by a balanced binary search of CASE expressions (log2 B
+  comparisons), so clustered values still spread evenly.
+
+Small top-k per group (k a literal) does not need any of this: a filter
+``row_number() <= k`` lets Catalyst insert a partial WindowGroupLimit before
+the shuffle (see :func:`top_k_per_group`).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+ROWS_PER_BUCKET = 200_000
+MIN_BUCKETS = 64
+MAX_UNIFORM_BUCKETS = 1 << 22
+QUANTILE_BUCKETS = 256
+
 
 def _cols(cs):
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 
 
+def auto_buckets(df: DataFrame, group_cols: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Bucket count for uniform keys from the largest group's size (one count job)."""
+    g = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n")) if group_cols else df.agg(F.count(F.lit(1)).alias("n"))
+    mx = g.agg(F.max("n")).first()[0] or 0
+    b = max(MIN_BUCKETS, math.ceil(mx / rows_per_bucket))
+    return min(MAX_UNIFORM_BUCKETS, 1 << (b - 1).bit_length())
+
+
+def uniform_bucket(col: Column, buckets: int) -> Column:
+    return F.least(F.floor(col * F.lit(float(buckets))).cast("int"), F.lit(buckets - 1))
+
+
+def quantile_bounds(df: DataFrame, col: str, buckets: int = QUANTILE_BUCKETS, accuracy: int = 100_000) -> list[float]:
+    probs = [i / buckets for i in range(1, buckets)]
+    b = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, accuracy).alias("b")).first()["b"] or []
+    return sorted(set(float(x) for x in b if x is not None))
+
+
+def search_bucket(x: Column, bounds: Sequence[float]) -> Column:
+    """Index i with bounds[i-1] < x <= bounds[i] (0..len(bounds)) by a balanced
+    CASE tree: monotone in x, log2(len) comparisons per row."""
+    def node(lo: int, hi: int) -> Column:  # result in [lo, hi]
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x <= F.lit(bounds[mid]), node(lo, mid)).otherwise(node(mid + 1, hi))
+    return node(0, len(bounds)) if bounds else F.lit(0)
+
+
 def bucket_of(col: Column, lo: float, hi: float, buckets: int) -> Column:
     width = (hi - lo) / buckets if hi > lo else 1.0
     b = F.floor((col - F.lit(lo)) / F.lit(width)).cast("int")
     return F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1))
 
 
-def ranked(df: DataFrame, order_col: str, group_cols: Sequence[str] = (),
-           tiebreak: Sequence[str] = (), buckets: int = 1024,
-           bounds: tuple[float, float] | None = (0.0, 1.0),
-           rank_col: str = "rank", size_col: str | None = None,
-           descending: bool = False) -> DataFrame:
-    """Add an exact 1-based ``rank_col`` (row_number semantics) of every row
-    within ``group_cols`` ordered by ``order_col`` then ``tiebreak``.
+def _bucket(df: DataFrame, order_col: str, group_cols: Sequence[str], mode: str, buckets: int | None) -> tuple[Column, int]:
+    if mode == "uniform":
+        b = buckets or auto_buckets(df, group_cols)
+        return uniform_bucket(F.col(order_col), b), b
+    if mode == "quantile":
+        bounds = quantile_bounds(df, order_col, buckets or QUANTILE_BUCKETS)
+        return search_bucket(F.col(order_col).cast("double"), bounds), len(bounds) + 1
+    raise ValueError(f"unknown bucket mode {mode}")
 
-    ``bounds`` is the value range of ``order_col`` (``(0,1)`` for hash draws);
-    ``None`` computes min/max with one small aggregate. ``size_col`` also adds
-    the group size. ``order_col`` must be non-null numeric.
-    """
+
+def ranked(df: DataFrame, order_col: str, group_cols: Sequence[str] = (), tiebreak: Sequence[str] = (),
+           mode: str = "uniform", buckets: int | None = None, rank_col: str = "rank",
+           size_col: str | None = None) -> DataFrame:
+    """Add an exact 1-based ``rank_col`` (row_number semantics) of every row
+    within ``group_cols`` ordered by ascending ``order_col`` then ``tiebreak``;
+    optionally the group size as ``size_col``. ``order_col`` must be non-null."""
     g = list(group_cols)
-    if bounds is None:
-        r = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-        bounds = (float(r["lo"] if r["lo"] is not None else 0.0),
-                  float(r["hi"] if r["hi"] is not None else 1.0) + 1e-9)
-    lo, hi = bounds
-    key = F.col(order_col)
-    b = bucket_of(key, lo, hi, buckets)
-    if descending:
-        b = F.lit(buckets - 1) - b
+    b, _ = _bucket(df, order_col, g, mode, buckets)
     d = df.withColumn("_bk", b)
     counts = d.groupBy(*g, "_bk").agg(F.count(F.lit(1)).alias("_bn"))
     running = Window.partitionBy(*g).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
@@ -54,16 +100,27 @@ def ranked(df: DataFrame, order_col: str, group_cols: Sequence[str] = (),
     if size_col:
         offsets = offsets.withColumn(size_col, F.sum("_bn").over(Window.partitionBy(*g)))
     offsets = offsets.drop("_bn")
-    okey = key.desc() if descending else key.asc()
-    within = Window.partitionBy(*g, "_bk").orderBy(okey, *[F.col(c).asc() for c in tiebreak])
+    within = Window.partitionBy(*g, "_bk").orderBy(F.col(order_col).asc(), *[F.col(c).asc() for c in tiebreak])
     d = d.withColumn("_rn", F.row_number().over(within))
     out = d.join(offsets, [*g, "_bk"], "inner")
     return out.withColumn(rank_col, (F.col("_off") + F.col("_rn")).cast("long")).drop("_bk", "_off", "_rn")
 
 
+def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column | str], k: int,
+                    quota: Column | None = None, rank_col: str = "_r") -> DataFrame:
+    """Rows with row_number() <= k (literal) within each group, optionally also
+    <= a per-group ``quota`` column. The literal bound makes Catalyst insert a
+    partial WindowGroupLimit before the shuffle, so each map task sends at most
+    k rows per group."""
+    w = Window.partitionBy(*group_cols).orderBy(*_cols(order))
+    cond = F.col(rank_col) <= F.lit(int(k))
+    if quota is not None:
+        cond = cond & (F.col(rank_col) <= quota)
+    return df.withColumn(rank_col, F.row_number().over(w)).where(cond)
+
+
 def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str],
-                   group_cols: Sequence[str] = (), buckets: int = 1024,
-                   bounds: tuple[float, float] | None = (0.0, 1.0),
+                   group_cols: Sequence[str] = (), mode: str = "quantile", buckets: int | None = None,
                    prefix: str = "before_") -> DataFrame:
     """For each row add ``before_<v>`` = Σ v over rows of the same group whose
     ``order_col`` is strictly smaller. Rows must be unique per (group, order).
@@ -72,12 +129,8 @@ def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str],
     a bucket a partitioned window adds the earlier rows of that bucket.
     """
     g = list(group_cols)
-    if bounds is None:
-        r = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-        bounds = (float(r["lo"] if r["lo"] is not None else 0.0),
-                  float(r["hi"] if r["hi"] is not None else 1.0) + 1e-9)
-    lo, hi = bounds
-    d = df.withColumn("_bk", bucket_of(F.col(order_col), lo, hi, buckets))
+    b, _ = _bucket(df, order_col, g, mode, buckets)
+    d = df.withColumn("_bk", b)
     tot = d.groupBy(*g, "_bk").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
     earlier = Window.partitionBy(*g).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(*g, "_bk", *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_o_{v}")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fedsight.functions.constants import CONTRIBUTION_DECAY, CONTRIBUTION_MISSING_AUC
 from fedsight.functions.draws import uniform
-from fedsight.functions.rank import ranked, running_totals
+from fedsight.functions.rank import running_totals, top_k_per_group
 
 
 # G1 -----------------------------------------------------------------------------
@@ -28,7 +28,7 @@ def accuracy(df: DataFrame, label: str = "label", pred: str = "pred", by: Sequen
 
 # G2 -----------------------------------------------------------------------------
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (),
-            buckets: int = 1024, bounds: tuple[float, float] | None = (0.0, 1.0)) -> DataFrame:
+            buckets: int | None = None) -> DataFrame:
     """Exact ROC-AUC with ties (Mann-Whitney): rows collapse to distinct
     (group, score) with positive/negative counts; the negatives below each
     score come from bucketed running totals; AUC = Σ pos·(neg_below + neg_tied/2)
@@ -36,7 +36,7 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by: Seque
     g = list(by)
     c = df.groupBy(*g, F.col(score).alias("_s")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
-    c = running_totals(c, "_s", ["_neg"], g, buckets=buckets, bounds=bounds)
+    c = running_totals(c, "_s", ["_neg"], g, mode="quantile", buckets=buckets)
     agg = c.groupBy(*g).agg(
         F.sum(F.col("_pos") * (F.col("before__neg") + F.col("_neg") / 2.0)).alias("_u"),
         F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
@@ -164,12 +164,11 @@ def privacy_impact(results: DataFrame, level: str, metric: str) -> DataFrame:
 
 # G12 -------------------------------------------------------------------------------
 def misclassified_sample(df: DataFrame, keys: Sequence[str], k: int, client: str = "client_id",
-                         label: str = "label", pred: str = "pred", seed: int = 42,
-                         buckets: int = 64) -> DataFrame:
+                         label: str = "label", pred: str = "pred", seed: int = 42) -> DataFrame:
     """Per client min(k, n_wrong) misclassified rows, chosen by hash draw."""
     wrong = df.where(F.col(pred) != F.col(label)).withColumn("_u", uniform(client, *keys, seed=seed))
-    r = ranked(wrong, "_u", [client], tiebreak=list(keys), buckets=buckets, rank_col="_r")
-    return r.where(F.col("_r") <= k).select(*df.columns, F.col(label).alias("true_label"),
+    r = top_k_per_group(wrong, [client], ["_u", *keys], k)
+    return r.select(*df.columns, F.col(label).alias("true_label"),
                                             F.col(pred).alias("predicted_label")).drop(label, pred)
 
 

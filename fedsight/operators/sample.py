@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fedsight.functions.draws import exponential, py_uniform, uniform
-from fedsight.functions.rank import ranked
+from fedsight.functions.rank import ranked, top_k_per_group
 
 
 def _draw(df: DataFrame, keys: Sequence[str], seed, name: str = "_u") -> DataFrame:
@@ -30,7 +30,7 @@ def class_counts(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame
 
 # E1 ---------------------------------------------------------------------------
 def stratified_subsample(df: DataFrame, label: str, fraction: float, keys: Sequence[str],
-                         seed: int = 42, buckets: int = 1024) -> DataFrame:
+                         seed: int = 42, buckets: int | None = None) -> DataFrame:
     """Exactly round(fraction * n_c) rows of every class c (half-up rounding)."""
     d = _draw(df, keys, seed)
     r = ranked(d, "_u", [label], tiebreak=list(keys), buckets=buckets, rank_col="_r", size_col="_n")
@@ -39,7 +39,7 @@ def stratified_subsample(df: DataFrame, label: str, fraction: float, keys: Seque
 
 # E2 ---------------------------------------------------------------------------
 def stratified_split(df: DataFrame, label: str, keys: Sequence[str], test_fraction: float = 0.2,
-                     seed: int = 42, buckets: int = 1024, split_col: str = "split") -> DataFrame:
+                     seed: int = 42, buckets: int | None = None, split_col: str = "split") -> DataFrame:
     """Add ``split`` in {'train','test'}: test size ceil(test_fraction * n),
     allocated to classes by largest remainder (ties: smaller label first)."""
     counts = class_counts(df, label)
@@ -61,7 +61,7 @@ def stratified_split(df: DataFrame, label: str, keys: Sequence[str], test_fracti
 # E3 / I3 -------------------------------------------------------------------------
 def explanation_sample(df: DataFrame, client: str, label: str, keys: Sequence[str],
                        per_client: int = 10, min_samples: int | None = None,
-                       privacy: bool = False, seed: int = 42, buckets: int = 64) -> DataFrame:
+                       privacy: bool = False, seed: int = 42) -> DataFrame:
     """Per client: k = min(per_client, n); pos = int(k * n_pos / n), neg = k - pos,
     each capped by availability; nothing when privacy is on and k < min_samples."""
     counts = df.groupBy(client).agg(F.count(F.lit(1)).alias("_n"),
@@ -73,22 +73,20 @@ def explanation_sample(df: DataFrame, client: str, label: str, keys: Sequence[st
                       F.least(k - pos, F.col("_n") - F.col("_np")).alias("_qneg"))
     if privacy and min_samples is not None:
         q = q.where(F.col("_k") >= F.lit(min_samples))
-    d = _draw(df, [client, *keys], seed)
-    r = ranked(d, "_u", [client, label], tiebreak=list(keys), buckets=buckets, rank_col="_r")
-    r = r.join(q, client, "inner")
+    d = _draw(df, [client, *keys], seed).join(q, client, "inner")  # one row per client
     quota = F.when(F.col(label) == 1, F.col("_qpos")).otherwise(F.col("_qneg"))
-    return r.where(F.col("_r") <= quota).drop("_u", "_r", "_k", "_qpos", "_qneg")
+    r = top_k_per_group(d, [client, label], ["_u", *keys], per_client, quota)
+    return r.drop("_u", "_r", "_k", "_qpos", "_qneg")
 
 
 # E4 ---------------------------------------------------------------------------
 def balanced_sample(df: DataFrame, label: str, keys: Sequence[str], n_samples: int,
-                    seed: int = 42, buckets: int = 256) -> DataFrame:
+                    seed: int = 42) -> DataFrame:
     """min(n_samples // 2, n_pos, n_neg) rows from each class."""
     counts = df.agg(F.count_if(F.col(label) == 1).alias("np"), F.count_if(F.col(label) == 0).alias("nn"))
     m = counts.select(F.least(F.lit(n_samples // 2), F.col("np"), F.col("nn")).alias("m")).scalar()
     d = _draw(df, keys, seed).where(F.col(label).isin(0, 1))
-    r = ranked(d, "_u", [label], tiebreak=list(keys), buckets=buckets, rank_col="_r")
-    return r.where(F.col("_r") <= m).drop("_u", "_r")
+    return top_k_per_group(d, [label], ["_u", *keys], n_samples // 2, m).drop("_u", "_r")
 
 
 # E5 ---------------------------------------------------------------------------
@@ -103,14 +101,13 @@ def client_shares(num_clients: int, seed: int = 42, uniform_shares: bool = False
 
 def partition_clients(df: DataFrame, order_cols: Sequence[str], num_clients: int = 3,
                       shares: Sequence[float] | None = None, seed: int = 42,
-                      client_col: str = "client_id", prefix: str = "client_",
-                      buckets: int = 1024) -> DataFrame:
+                      client_col: str = "client_id", prefix: str = "client_") -> DataFrame:
     """Contiguous slices of the rows in ``order_cols`` order: client i takes
     ranks (start_i, start_i + int(n * p_i)]; the last client takes the rest."""
     p = list(shares) if shares is not None else client_shares(num_clients, seed)
     n = df.select(F.count(F.lit(1)).alias("n")).scalar()
     first, rest = order_cols[0], list(order_cols[1:])
-    r = ranked(df, first, [], tiebreak=rest, buckets=buckets, bounds=None, rank_col="_r")
+    r = ranked(df, first, [], tiebreak=rest, mode="quantile", rank_col="_r")
     end = F.lit(0).cast("long")
     expr = None
     for i, share in enumerate(p[:-1]):
@@ -136,14 +133,16 @@ def select_clients(client_rounds: DataFrame, client: str = "client_id", round_co
 
 # E7 ---------------------------------------------------------------------------
 def overlapping_clients(df: DataFrame, keys: Sequence[str], num_clients: int, per_client: int,
-                        seed: int = 42, prefix: str = "client_", buckets: int = 1024) -> DataFrame:
+                        seed: int = 42, prefix: str = "client_", small_k: int = 100_000) -> DataFrame:
     """Each client draws ``per_client`` rows without replacement; a row may go to
     several clients. The row x client draws are spread over buckets, so a client
     never sits in one task."""
     clients = F.array(*[F.lit(f"{prefix}{i + 1}") for i in range(num_clients)])
     d = df.withColumn("client_id", F.explode(clients))
     d = d.withColumn("_u", uniform("client_id", *keys, seed=seed))
-    r = ranked(d, "_u", ["client_id"], tiebreak=list(keys), buckets=buckets, rank_col="_r")
+    if per_client <= small_k:
+        return top_k_per_group(d, ["client_id"], ["_u", *keys], per_client).drop("_u", "_r")
+    r = ranked(d, "_u", ["client_id"], tiebreak=list(keys), rank_col="_r")
     return r.where(F.col("_r") <= per_client).drop("_u", "_r")
 
 
@@ -156,12 +155,12 @@ def background_sample(df: DataFrame, keys: Sequence[str], k: int, seed: int = 42
 
 # E9 ---------------------------------------------------------------------------
 def validation_holdout(df: DataFrame, order_cols: Sequence[str], fraction: float = 0.2,
-                       col: str = "is_validation", buckets: int = 1024) -> DataFrame:
+                       col: str = "is_validation") -> DataFrame:
     """The last ``fraction`` of rows (in ``order_cols`` order) are validation:
     rank > int(n * (1 - fraction))."""
     n = df.select(F.count(F.lit(1)).alias("n")).scalar()
     first, rest = order_cols[0], list(order_cols[1:])
-    r = ranked(df, first, [], tiebreak=rest, buckets=buckets, bounds=None, rank_col="_r")
+    r = ranked(df, first, [], tiebreak=rest, mode="quantile", rank_col="_r")
     split_at = F.floor(n * F.lit(1.0 - float(fraction)))
     return r.withColumn(col, F.col("_r") > split_at).drop("_r")
 
