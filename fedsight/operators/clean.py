@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fedsight.functions.constants import AGE_RANGE, IQR_FACTOR, NA_TOKENS
+from fedsight.functions.quantiles import quantile_values
 
 _DOUBLE = "double"
 
@@ -106,17 +107,18 @@ def finite_or_null(c) -> Column:
 
 # B5 / B8 ---------------------------------------------------------------------
 def median_impute(df: DataFrame, cols: Sequence[str], zero_if_undefined: bool = False,
-                  fit_on: DataFrame | None = None, exact: bool = True) -> DataFrame:
-    """Fill nulls (and NaN/±inf) of ``cols`` with the column median, all medians
-    computed in one aggregate over ``fit_on`` (default: ``df`` itself)."""
+                  fit_on: DataFrame | None = None, method: str = "auto") -> DataFrame:
+    """Fill nulls (and NaN/±inf) of ``cols`` with the column's exact median over
+    ``fit_on`` (default: ``df`` itself); all medians come from the same passes
+    (functions/quantiles.py) and enter the rewrite as literals."""
     if not cols:
         return df
     src = fit_on if fit_on is not None else df
-    med = scalars(src, [percentile_expr(finite_or_null(c), 0.5, exact).alias(f"_med_{i}")
-                        for i, c in enumerate(cols)])
+    qv = quantile_values(src, list(cols), [0.5], method)
     fills = {}
     for i, c in enumerate(cols):
-        fill = med[f"_med_{i}"]
+        m = qv[(c, 0.5)]
+        fill = F.lit(m).cast("double") if m is not None else F.lit(None).cast("double")
         if zero_if_undefined:
             fill = F.coalesce(fill, F.lit(0.0))
         fills[c] = F.coalesce(finite_or_null(c), fill)
@@ -147,23 +149,23 @@ def clip_binary(c) -> Column:
 
 # B10 ------------------------------------------------------------------------
 def iqr_clip(df: DataFrame, cols: Sequence[str], factor: float = IQR_FACTOR,
-             fit_on: DataFrame | None = None, exact: bool = True) -> DataFrame:
+             fit_on: DataFrame | None = None, method: str = "auto") -> DataFrame:
     """Outlier clip at [q1 - f*IQR, q3 + f*IQR] of the finite values; IQR 0 or
     undefined -> [min, max]; still undefined -> [0, 1]. NaN/±inf are first
     replaced by the median (0 when undefined), then the clip applies."""
     if not cols:
         return df
     src = fit_on if fit_on is not None else df
+    qv = quantile_values(src, list(cols), [0.25, 0.5, 0.75], method)
     aggs = []
     for i, c in enumerate(cols):
         x = finite_or_null(c)
-        aggs += [percentile_expr(x, [0.25, 0.5, 0.75], exact).alias(f"_q_{i}"),
-                 F.min(x).alias(f"_mn_{i}"), F.max(x).alias(f"_mx_{i}")]
+        aggs += [F.min(x).alias(f"_mn_{i}"), F.max(x).alias(f"_mx_{i}")]
     st = scalars(src, aggs)
+    lit = lambda v: F.lit(v).cast("double")
     new = {}
     for i, c in enumerate(cols):
-        q = st[f"_q_{i}"]
-        q1, med, q3 = q[0], q[1], q[2]
+        q1, med, q3 = lit(qv[(c, 0.25)]), lit(qv[(c, 0.5)]), lit(qv[(c, 0.75)])
         iqr = q3 - q1
         bad = iqr.isNull() | (iqr == 0)
         lo = F.when(bad, st[f"_mn_{i}"]).otherwise(q1 - F.lit(factor) * iqr)

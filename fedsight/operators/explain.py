@@ -32,13 +32,13 @@ MAX_EXACT_FEATURES = 12
 
 
 # H1 ------------------------------------------------------------------------------
-def quartile_cuts(train: DataFrame, features: Sequence[str], exact: bool = True) -> DataFrame:
-    """(feature, q1, q2, q3) from ONE aggregate over the training rows."""
-    aggs = [clean.percentile_expr(F.col(f).cast("double"), [0.25, 0.5, 0.75], exact).alias(f) for f in features]
-    wide = train.agg(*aggs)
-    stack = ", ".join(f"'{f}', `{f}`" for f in features)
-    q = wide.selectExpr(f"stack({len(features)}, {stack}) AS (feature, q)")
-    return q.select("feature", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"))
+def quartile_cuts(train: DataFrame, features: Sequence[str], method: str = "auto") -> DataFrame:
+    """(feature, q1, q2, q3): exact training quartiles (functions/quantiles.py),
+    returned as a d-row table."""
+    from fedsight.functions.quantiles import quantile_values
+    qv = quantile_values(train, list(features), [0.25, 0.5, 0.75], method)
+    rows = [(f, qv[(f, 0.25)], qv[(f, 0.5)], qv[(f, 0.75)]) for f in features]
+    return train.sparkSession.createDataFrame(rows, "feature string, q1 double, q2 double, q3 double")
 
 
 def bin_index(x: Column, q1: Column, q2: Column, q3: Column) -> Column:

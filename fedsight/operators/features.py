@@ -143,13 +143,16 @@ def missing_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             .where("n_missing > 0"))
 
 
-def describe_columns(df: DataFrame, cols: Sequence[str], digits: int = 6, exact: bool = True) -> DataFrame:
+def describe_columns(df: DataFrame, cols: Sequence[str], digits: int = 6, method: str = "auto") -> DataFrame:
     """count, mean, sample std, min, quartiles, max of each column (long form)."""
+    from fedsight.functions.quantiles import quantile_values
+    qv = quantile_values(df, list(cols), [0.25, 0.5, 0.75], method)
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), clean.percentile_expr(x, [0.25, 0.5, 0.75], exact).alias(f"q{i}"),
+                 F.min(x).alias(f"lo{i}"),
+                 F.array(*[F.lit(qv[(c, p)]).cast("double") for p in (0.25, 0.5, 0.75)]).alias(f"q{i}"),
                  F.max(x).alias(f"hi{i}")]
     wide = df.agg(*aggs)
     r = lambda e: F.round(e, digits)
@@ -196,10 +199,10 @@ def feature_table(admissions: DataFrame, patients: DataFrame, measurements: Data
                   diagnoses: DataFrame, *, lab_items: Mapping[str, str],
                   vital_items: Mapping[str, str], code_prefixes: Mapping[str, Sequence[str]],
                   top_n: int = 10, measurement_order: Sequence[str] = ("charttime", "tie1", "tie2"),
-                  discharge_from_measurements: bool = True, exact_medians: bool = True,
+                  discharge_from_measurements: bool = True,
                   prescriptions: DataFrame | None = None,
                   drug_classes: Mapping[str, Sequence[str]] | None = None,
-                  materialize: bool = True) -> DataFrame:
+                  materialize: bool = True, quantile_method: str = "auto") -> DataFrame:
     """One row per admission: age, length of stay, first lab/vital values,
     diagnosis count, top-``top_n`` code-category counts, comorbidity counts,
     optional drug-class flags, label ``mortality``.
@@ -245,7 +248,7 @@ def feature_table(admissions: DataFrame, patients: DataFrame, measurements: Data
                                      *[f"has_{k}" for k in code_prefixes], *flag_cols))
     numeric = ["age", "los", *lab_items.values(), *vital_items.values()]
     counts = ["diagnosis_count", *[f"proc_{v}" for v in top], *[f"has_{k}" for k in code_prefixes], *flag_cols]
-    out = clean.median_impute(out, numeric, exact=exact_medians)
+    out = clean.median_impute(out, numeric, method=quantile_method)
     out = out.fillna(0, subset=counts)
     return out.select("hadm_id", *numeric, *counts,
                       F.coalesce(F.col("expire_flag").cast("int"), F.lit(0)).alias("mortality"))

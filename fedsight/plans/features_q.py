@@ -66,11 +66,11 @@ FROM base LEFT JOIN pv ON base.hadm_id = pv.hadm_id
 """
 
 
-def build_feature_table(spark, d, exact_medians: bool = True):
+def build_feature_table(spark, d, quantile_method: str = "auto"):
     return ft.feature_table(
         tb.admissions(spark, d), tb.patients(spark, d), tb.measurements(spark, d), tb.diagnoses(spark, d),
         lab_items=tb.LAB_ITEMS, vital_items=tb.VITAL_ITEMS, code_prefixes=tb.CODE_PREFIXES, top_n=10,
-        exact_medians=exact_medians)
+        quantile_method=quantile_method)
 
 
 @query("feature_pipeline", FEATURE_TABLE_SQL)
