@@ -13,7 +13,6 @@ checked before use.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 
@@ -199,31 +198,50 @@ def lime_batch(instances: DataFrame, train: DataFrame, features: Sequence[str],
 
 
 # H3 ------------------------------------------------------------------------------
-def shapley_kernel_masks(d: int) -> tuple[list[list[int]], list[float]]:
-    """All coalitions except empty/full with Kernel SHAP weights
-    (d-1)/(C(d,s)·s·(d-s)) (exact for d <= MAX_EXACT_FEATURES)."""
-    if d > MAX_EXACT_FEATURES:
-        raise ValueError(f"exact coalition enumeration limited to {MAX_EXACT_FEATURES} features")
-    masks, ws = [], []
-    for s in range(1, d):
-        w = (d - 1) / (math.comb(d, s) * s * (d - s))
-        for c in itertools.combinations(range(d), s):
-            m = [0] * d
-            for j in c:
-                m[j] = 1
-            masks.append(m)
-            ws.append(w)
-    return masks, ws
+def kernel_size_weights(d: int) -> list[float]:
+    """Kernel SHAP weight of ONE coalition of each size s = 0..d (0 for the
+    empty and full coalitions, which enter through the constraint)."""
+    return [0.0] + [(d - 1) / (math.comb(d, s) * s * (d - s)) for s in range(1, d)] + [0.0]
+
+
+def coalition_column(d: int, nsamples: int | None, seed: int) -> Column:
+    """Array of struct(m array<double>, w double): every coalition (bitmask
+    1 .. 2^d - 2, weight by size) when d <= MAX_EXACT_FEATURES, else
+    ``nsamples`` coalitions drawn with hash draws shared by all instances:
+    size s from the kernel's size distribution, then the s features with the
+    smallest draws; each sampled coalition has weight 1."""
+    idx = F.sequence(F.lit(0), F.lit(d - 1))
+    if d <= MAX_EXACT_FEATURES and nsamples is None:
+        sw = F.array(*[F.lit(float(w)) for w in kernel_size_weights(d)])
+        masks = F.sequence(F.lit(1).cast("long"), F.lit((1 << d) - 2).cast("long"))
+        return F.transform(masks, lambda mk: F.struct(
+            F.transform(idx, lambda j: F.getbit(mk, j).cast("double")).alias("m"),
+            F.get(sw, F.bit_count(mk)).alias("w")))
+    n = nsamples or (2 * d + 2048)
+    per_size = [math.comb(d, s) * w for s, w in enumerate(kernel_size_weights(d))][1:d]
+    tot = sum(per_size)
+    cum = F.array(*[F.lit(float(sum(per_size[:k + 1]) / tot)) for k in range(d - 1)])
+
+    def one(i):
+        size = F.lit(1) + F.size(F.filter(cum, lambda c: c < uniform(F.lit("size"), i, seed=seed)))
+        u = F.transform(idx, lambda j: uniform(F.lit("member"), i, j, seed=seed))
+        thr = F.element_at(F.array_sort(u), size)
+        return F.struct(F.transform(u, lambda v: (v <= thr).cast("double")).alias("m"), F.lit(1.0).alias("w"))
+
+    return F.transform(F.sequence(F.lit(1), F.lit(n)), one)
 
 
 def kernel_shap_batch(instances: DataFrame, background: DataFrame, features: Sequence[str], key: str,
-                      weights: Sequence[float], bias: float) -> DataFrame:
+                      weights: Sequence[float], bias: float, nsamples: int | None = None,
+                      seed: int = 42) -> DataFrame:
     """Kernel SHAP (Lundberg & Lee 2017) of the model probability for a batch.
 
     Per (instance, coalition): v(S) = mean over the background rows of
     f(x on S, background elsewhere), evaluated as one array aggregate over the
     (bounded) background; the constrained weighted regression (Σφ = f(x) - E f)
     is reduced per instance to aggregated sums and solved in ``mapInPandas``.
+    Coalitions: all of them (exact Shapley values) up to MAX_EXACT_FEATURES
+    features, else ``nsamples`` sampled ones.
     """
     d = len(features)
     bg = background.select(*[F.col(f).cast("double") for f in features]).limit(MAX_LITERAL_BACKGROUND + 1).collect()
@@ -232,9 +250,7 @@ def kernel_shap_batch(instances: DataFrame, background: DataFrame, features: Seq
     wl = [float(v) for v in weights]
     bg_lit = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in bg])
     ef = float(np.mean([1.0 / (1.0 + math.exp(-(sum(w * v for w, v in zip(wl, r)) + bias))) for r in bg]))
-    masks, kw = shapley_kernel_masks(d)
-    coal = F.array(*[F.struct(F.array(*[F.lit(float(v)) for v in m]).alias("m"), F.lit(w).alias("w"))
-                     for m, w in zip(masks, kw)])
+    coal = coalition_column(d, nsamples, seed)
     x = F.array(*[F.col(f).cast("double") for f in features])
     wcol = F.array(*[F.lit(v) for v in wl])
     inst = instances.select(key, x.alias("_x"))

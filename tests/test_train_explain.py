@@ -104,3 +104,17 @@ def test_local_step_matches_numpy(spark):
         cw = np.array([n / (k * (y == v).sum()) for v in y])
         g = (cw * (0.5 - y)) @ X / n
         assert np.allclose(out[c]["_w"], -0.5 * g, atol=1e-12)
+
+
+def test_sampled_kernel_shap_additivity(spark):
+    rows = _rows(spark)
+    inst = rows.limit(2)
+    bg = rows.orderBy("id").limit(10)
+    phi = ex.kernel_shap_batch(inst, bg, FEATS, "id", W, B, nsamples=300)
+    for r in phi.groupBy("id").agg(F.sum("phi").alias("s"), F.first("base_value").alias("b"),
+                                   F.first("prediction").alias("p")).collect():
+        assert abs(r["s"] - (r["p"] - r["b"])) < 1e-9
+    # sampled values are close to the exact ones
+    exact = {(r["id"], r["feature"]): r["phi"] for r in ex.kernel_shap_batch(inst, bg, FEATS, "id", W, B).collect()}
+    for r in phi.collect():
+        assert abs(r["phi"] - exact[(r["id"], r["feature"])]) < 0.05
