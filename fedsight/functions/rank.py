@@ -140,3 +140,26 @@ def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str],
     out = d.join(tot, [*g, "_bk"], "inner")
     return out.select(*df.columns, *[(F.col(f"_o_{v}") + F.col(f"_i_{v}")).alias(f"{prefix}{v}")
                                      for v in value_cols])
+
+
+def ordered_index(df: DataFrame, order_cols: Sequence[str], index_col: str = "index",
+                  partitions: int | None = None) -> DataFrame:
+    """0-based position of every row in ascending ``order_cols`` order (rows
+    must be unique on ``order_cols``), for inputs too large for one task.
+
+    Range partitioning (sampled bounds) spreads the rows; after sorting within
+    partitions each row's position is its partition's offset (from per-partition
+    counts, a table with one row per partition) plus its place in the partition.
+    The partitioned, sorted data is checkpointed first so that partition ids and
+    positions are fixed for both uses (and survive executor loss).
+    """
+    from fedsight.session import cut_lineage
+    n = partitions or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    p = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    p = cut_lineage(p.withColumn("_pid", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id()))
+    counts = p.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_p0"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    out = p.join(F.broadcast(offs), "_pid")
+    return out.withColumn(index_col, (F.col("_off") + F.col("_pos") - F.col("_p0")).cast("long")).drop(
+        "_pid", "_pos", "_off", "_p0")

@@ -204,16 +204,23 @@ def select_features(df: DataFrame, exclude: Sequence[str] = (), drop_prefixes: S
 
 
 # B13 ------------------------------------------------------------------------
-def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def label_encode(df: DataFrame, cols: Sequence[str], max_in_one_task: int = 1_000_000) -> DataFrame:
     """Replace each string column by the 0-based position of its value among the
     column's sorted distinct values; null is the category 'nan'. The code table
-    has one row per distinct value; it is joined (broadcast when small)."""
+    has one row per distinct value; it is joined (broadcast when small). Up to
+    ``max_in_one_task`` distinct values (approximate count) are ranked by one
+    window; beyond that by a range-partitioned global index."""
     from fedsight.functions.exprs import broadcast_if_small
+    from fedsight.functions.rank import ordered_index
     out = df
     for c in cols:
         v = F.coalesce(F.col(c), F.lit("nan"))
-        codes = (df.select(v.alias("_v")).distinct()
-                 .withColumn("_code", (F.dense_rank().over(Window.orderBy("_v")) - 1).cast("int")))
+        values = df.select(v.alias("_v")).distinct()
+        n = values.agg(F.approx_count_distinct("_v")).first()[0]
+        if n <= max_in_one_task:
+            codes = values.withColumn("_code", (F.dense_rank().over(Window.orderBy("_v")) - 1).cast("int"))
+        else:
+            codes = ordered_index(values, ["_v"], "_code").withColumn("_code", F.col("_code").cast("int"))
         out = (out.withColumn("_v", v).join(broadcast_if_small(codes), "_v", "left")
                .drop("_v", c).withColumnRenamed("_code", c))
     return out

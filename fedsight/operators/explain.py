@@ -168,7 +168,8 @@ def lime_batch(instances: DataFrame, train: DataFrame, features: Sequence[str],
     dist2 = F.aggregate("_z", F.lit(0.0), lambda acc, v: acc + (F.lit(1.0) - v))
     pi = F.sqrt(F.exp(-dist2 / F.lit(sigma * sigma)))
     s = s.select(key, "_xb", "_z", prob.alias("_p"), pi.alias("_pi"))
-    sums = s.groupBy(key).agg(*_design_sums(F.col("_z"), F.col("_p"), F.col("_pi"), d), F.first("_xb").alias("_xb"))
+    sums = s.groupBy(key).agg(*_design_sums(F.col("_z"), F.col("_p"), F.col("_pi"), d)).join(
+        inst.select(key, "_xb"), key)  # instance bins joined back (hash aggregate, no array buffer)
 
     feats = list(features)
     conds = [[None] * 4 for _ in range(d)]

@@ -68,3 +68,10 @@ def test_label_encode_sorted_with_nan(spark):
 def test_base_feature_name(spark):
     df = spark.createDataFrame([("age > 1.00",), ("0.50 < los <= 1.00",), ("lab_1 <= -2.00",)], "c string")
     assert [r[0] for r in df.select(clean.base_feature_name("c")).collect()] == ["age", "los", "lab_1"]
+
+
+def test_label_encode_large_path_matches(spark):
+    df = spark.range(3000).select((F.col("id") % 997).cast("string").alias("s"), "id")
+    a = {r["id"]: r["s"] for r in clean.label_encode(df, ["s"]).collect()}
+    b = {r["id"]: r["s"] for r in clean.label_encode(df, ["s"], max_in_one_task=10).collect()}
+    assert a == b and sorted(set(a.values())) == list(range(997))
