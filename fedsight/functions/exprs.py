@@ -39,8 +39,9 @@ def rnd(c, digits: int = 6) -> Column:
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df`` (no job is run)."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # pragma: no cover - estimate unavailable
+        v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(v) if isinstance(v, int) else int(str(v.toString()))
+    except Exception:  # pragma: no cover - estimate unavailable: assume large
         return 1 << 62
 
 

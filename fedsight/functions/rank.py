@@ -9,6 +9,9 @@ third of all rows is spread over all of its buckets, so no task sees a whole
 group.
 
 Bucketing modes:
+Inputs whose estimated size is small use a single bucket (a plain window per
+group) and skip the extra statistics pass; explicit ``buckets`` force bucketing.
+
 * ``uniform`` — the key is a hash draw in (0, 1): bucket = floor(u·B); the
   bucket count B grows with the largest group (about ``rows_per_bucket`` rows
   per bucket), so buckets stay small at any scale.
@@ -30,6 +33,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SMALL_INPUT_BYTES = 256 << 20   # below this (Catalyst estimate) one bucket per group is fine
 ROWS_PER_BUCKET = 200_000
 MIN_BUCKETS = 64
 MAX_UNIFORM_BUCKETS = 1 << 22
@@ -76,6 +80,10 @@ def bucket_of(col: Column, lo: float, hi: float, buckets: int) -> Column:
 
 
 def _bucket(df: DataFrame, order_col: str, group_cols: Sequence[str], mode: str, buckets: int | None) -> tuple[Column, int]:
+    if buckets is None:
+        from fedsight.functions.exprs import estimated_bytes
+        if estimated_bytes(df) <= SMALL_INPUT_BYTES:
+            return F.lit(0), 1  # small input: a plain partitioned window, no extra pass
     if mode == "uniform":
         b = buckets or auto_buckets(df, group_cols)
         return uniform_bucket(F.col(order_col), b), b

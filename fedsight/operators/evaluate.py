@@ -27,29 +27,41 @@ def accuracy(df: DataFrame, label: str = "label", pred: str = "pred", by: Sequen
 
 
 # G2 -----------------------------------------------------------------------------
+def _collapsed(df: DataFrame, g: list, label: str, score: str, pred: str | None) -> DataFrame:
+    aggs = [F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")]
+    if pred is not None:
+        aggs += [F.count_if(F.col(pred) == F.col(label)).alias("_ok"), F.count(F.lit(1)).alias("_rows")]
+    return df.groupBy(*g, F.col(score).alias("_s")).agg(*aggs)
+
+
+def _auc_from_collapsed(c: DataFrame, g: list, buckets: int | None, with_accuracy: bool) -> DataFrame:
+    c = running_totals(c, "_s", ["_neg"], g, mode="quantile", buckets=buckets)
+    aggs = [F.sum(F.col("_pos") * (F.col("before__neg") + F.col("_neg") / 2.0)).alias("_u"),
+            F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N")]
+    if with_accuracy:
+        aggs += [(F.sum("_ok") / F.sum("_rows")).alias("accuracy")]
+    agg = c.groupBy(*g).agg(*aggs)
+    auc = F.when((F.col("_P") > 0) & (F.col("_N") > 0), F.col("_u") / (F.col("_P") * F.col("_N")))
+    return agg.select(*g, *(["accuracy"] if with_accuracy else []), auc.alias("auc"))
+
+
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (),
             buckets: int | None = None) -> DataFrame:
     """Exact ROC-AUC with ties (Mann-Whitney): rows collapse to distinct
-    (group, score) with positive/negative counts; the negatives below each
-    score come from bucketed running totals; AUC = Σ pos·(neg_below + neg_tied/2)
+    (group, score) with positive/negative counts (partial aggregation, so a hot
+    group is merged from per-task partials); the negatives below each score
+    come from bucketed running totals; AUC = Σ pos·(neg_below + neg_tied/2)
     / (P·N); null when a group has only one class."""
     g = list(by)
-    c = df.groupBy(*g, F.col(score).alias("_s")).agg(
-        F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
-    c = running_totals(c, "_s", ["_neg"], g, mode="quantile", buckets=buckets)
-    agg = c.groupBy(*g).agg(
-        F.sum(F.col("_pos") * (F.col("before__neg") + F.col("_neg") / 2.0)).alias("_u"),
-        F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
-    auc = F.when((F.col("_P") > 0) & (F.col("_N") > 0), F.col("_u") / (F.col("_P") * F.col("_N")))
-    return agg.select(*g, auc.alias("auc"))
+    return _auc_from_collapsed(_collapsed(df, g, label, score, None), g, buckets, False)
 
 
 def metrics(df: DataFrame, by: Sequence[str], label: str = "label", score: str = "score",
             pred: str = "pred", digits: int | None = 6) -> DataFrame:
-    """Accuracy and AUC per group."""
-    a = accuracy(df, label, pred, by)
-    u = roc_auc(df, label, score, by)
-    out = a.join(u, list(by), "left") if by else a.crossJoin(u)
+    """Accuracy and AUC per group from ONE pass over the rows (the
+    correct-prediction counts ride along in the score collapse)."""
+    g = list(by)
+    out = _auc_from_collapsed(_collapsed(df, g, label, score, pred), g, None, True)
     if digits is not None:
         out = out.withColumns({"accuracy": F.round("accuracy", digits), "auc": F.round("auc", digits)})
     return out

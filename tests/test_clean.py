@@ -75,3 +75,9 @@ def test_label_encode_large_path_matches(spark):
     a = {r["id"]: r["s"] for r in clean.label_encode(df, ["s"]).collect()}
     b = {r["id"]: r["s"] for r in clean.label_encode(df, ["s"], max_in_one_task=10).collect()}
     assert a == b and sorted(set(a.values())) == list(range(997))
+
+
+def test_size_estimate_available(spark):
+    from fedsight.functions.exprs import estimated_bytes
+    df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    assert 0 < estimated_bytes(df) < (1 << 40)

@@ -92,3 +92,16 @@ def test_contribution_closed_form(spark):
     df = spark.createDataFrame([("c", r, a) for r, a in aucs], "client_id string, round int, auc double")
     r = ev.contribution_scores(df).first()
     assert abs(r["contribution_score"] - s) < 1e-12 and r["last_update"] == 4
+
+
+def test_quantile_bucket_rank_and_auc_paths(spark):
+    from pyspark.sql import Window
+    df = spark.range(3000).withColumn("k", (F.col("id") * F.col("id")) % 7919).withColumn("g", (F.col("id") % 2).cast("int"))
+    a = ranked(df, "k", ["g"], ["id"], mode="quantile", buckets=8).select("id", "rank")
+    b = df.select("id", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")).alias("rank"))
+    assert a.exceptAll(b).count() == 0
+    rnd = random.Random(5)
+    rows = [(rnd.randint(0, 1), rnd.random() ** 4) for _ in range(500)]
+    s = spark.createDataFrame(rows, "label int, score double")
+    assert abs(ev.roc_auc(s, buckets=16).first()["auc"] - _brute_auc(rows)) < 1e-12
+    assert abs(ev.roc_auc(s).first()["auc"] - _brute_auc(rows)) < 1e-12
