@@ -31,16 +31,6 @@ def scalars(df: DataFrame, exprs: list[Column]) -> dict[str, Column]:
     return {name: stats.select(name).scalar() for name in stats.columns}
 
 
-def percentile_expr(x: Column, probs, exact: bool = True, accuracy: int = 10000) -> Column:
-    """Exact percentile (value-count map; memory grows with distinct values) or
-    the bounded-memory GK sketch when ``exact`` is False (for very large inputs)."""
-    if isinstance(probs, (list, tuple)):
-        p = F.array(*[F.lit(float(v)) for v in probs])
-    else:
-        p = F.lit(float(probs))
-    return F.percentile(x, p) if exact else F.percentile_approx(x, p, accuracy)
-
-
 # B1 -------------------------------------------------------------------------
 def parse_timestamps(df: DataFrame, cols: Iterable[str], fmt: str | None = None) -> DataFrame:
     """Parse text to timestamp; unparseable -> null; timestamp columns pass."""

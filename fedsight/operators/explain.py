@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 
 from fedsight.functions.draws import uniform
 from fedsight.functions.exprs import sigmoid
-from fedsight.operators import clean
-from fedsight.operators.train import margin_expr
 
 MAX_LITERAL_BACKGROUND = 1000
 MAX_EXACT_FEATURES = 12

@@ -13,10 +13,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fedsight.functions.draws import exponential, py_uniform, uniform
+from fedsight.functions.draws import py_uniform, uniform
 from fedsight.functions.rank import ranked, top_k_per_group
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from fedsight.operators import features as ft
 from fedsight.plans.registry import query
