@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from fedsight.functions.exprs import estimated_bytes
 
 SMALL_INPUT_BYTES = 1 << 30
-ACCURACY = 100_000
+SMALL_INPUT_ROWS = 20_000_000
+ACCURACY = 10_000
 
 
 def _finite(c: str) -> Column:
@@ -42,7 +43,12 @@ def quantile_values(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     """Exact percentile (``percentile`` semantics) of the finite values of each
     column, for each probability: {(col, p): value or None}."""
     if method == "auto":
-        method = "aggregate" if estimated_bytes(df) <= SMALL_INPUT_BYTES else "windowed"
+        est = estimated_bytes(df)
+        if est >= 1 << 60:  # no estimate (e.g. a checkpointed plan): count the rows
+            small = df.count() <= SMALL_INPUT_ROWS
+        else:
+            small = est <= SMALL_INPUT_BYTES
+        method = "aggregate" if small else "windowed"
     if method == "aggregate":
         aggs = [F.percentile(_finite(c), F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{i}")
                 for i, c in enumerate(cols)]

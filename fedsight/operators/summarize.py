@@ -63,13 +63,15 @@ def importance_per_hit(attr: DataFrame) -> DataFrame:
 
 def explanation_metadata(attr: DataFrame, labels: DataFrame, instance: str = "instance_id") -> DataFrame:
     """Per (client, round): sample size, positive ratio, explanation counts
-    (all / per method) and feature count."""
-    inst = attr.select("client_id", "round", instance).distinct().join(labels.select(instance, "label"), instance, "left")
-    a = inst.groupBy("client_id", "round").agg(F.count(F.lit(1)).alias("sample_size"),
-                                              F.avg(F.col("label").cast("double")).alias("positive_ratio"))
-    e = attr.groupBy("client_id", "round").agg(
-        F.count_distinct(instance, "method").alias("explanation_count"),
-        F.count_distinct(F.when(F.col("method") == "lime", F.col(instance))).alias("lime_count"),
-        F.count_distinct(F.when(F.col("method") == "shap", F.col(instance))).alias("shap_count"),
-        F.count_distinct("feature").alias("feature_count"))
-    return a.join(e, ["client_id", "round"])
+    (all / per method) and feature count. Each distinct count is a dedupe
+    aggregate followed by a plain count (no row-multiplying Expand)."""
+    cr = ["client_id", "round"]
+    expl = attr.select(*cr, instance, "method").distinct()
+    e = expl.groupBy(*cr).agg(F.count(F.lit(1)).alias("explanation_count"),
+                              F.count_if(F.col("method") == "lime").alias("lime_count"),
+                              F.count_if(F.col("method") == "shap").alias("shap_count"))
+    inst = expl.select(*cr, instance).distinct().join(labels.select(instance, "label"), instance, "left")
+    a = inst.groupBy(*cr).agg(F.count(F.lit(1)).alias("sample_size"),
+                              F.avg(F.col("label").cast("double")).alias("positive_ratio"))
+    f = attr.select(*cr, "feature").distinct().groupBy(*cr).agg(F.count(F.lit(1)).alias("feature_count"))
+    return a.join(e, cr).join(f, cr)
