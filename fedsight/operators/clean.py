@@ -225,3 +225,16 @@ def base_feature_name(c) -> Column:
     """Identifier inside a bin condition: 'x > 1' -> x, '0.5 < x <= 1' -> x."""
     x = F.col(c) if isinstance(c, str) else c
     return F.regexp_extract(x, r"([A-Za-z_][A-Za-z0-9_.#]*)", 1)
+
+
+def standardize(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
+    """z-score with mean / population std of ``fit_on`` (one aggregate; constant
+    columns are only centred)."""
+    src = fit_on if fit_on is not None else df
+    st = src.agg(*[F.avg(F.col(c).cast(_DOUBLE)).alias(f"m{i}") for i, c in enumerate(cols)],
+                 *[F.stddev_pop(F.col(c).cast(_DOUBLE)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    new = {}
+    for i, c in enumerate(cols):
+        m, s = st[f"m{i}"] or 0.0, st[f"s{i}"] or 0.0
+        new[c] = (F.col(c).cast(_DOUBLE) - F.lit(m)) / F.lit(s if s > 0 else 1.0)
+    return df.withColumns(new)

@@ -66,9 +66,10 @@ def quartile_bins(rows: DataFrame, features: Sequence[str], key: str, cuts: Data
 def linear_shap(rows: DataFrame, features: Sequence[str], key: str, weights: Sequence[float], bias: float,
                 background: DataFrame) -> DataFrame:
     """Exact SHAP of the linear margin: φ_j = w_j (x_j - E_bg[x_j]); base value =
-    E_bg[margin]; Σφ = margin(x) - base. Means are scalar subqueries."""
-    means = background.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in features])
-    mu = {f: means.select(f).scalar() for f in features}
+    E_bg[margin]; Σφ = margin(x) - base. The d background means come from one
+    aggregate and enter as literals."""
+    means = background.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in features]).first()  # d numbers
+    mu = {f: F.lit(means[f]).cast("double") for f in features}
     base = F.lit(float(bias))
     for w, f in zip(weights, features):
         base = base + F.lit(float(w)) * mu[f]

@@ -105,9 +105,9 @@ def partition_clients(df: DataFrame, order_cols: Sequence[str], num_clients: int
     """Contiguous slices of the rows in ``order_cols`` order: client i takes
     ranks (start_i, start_i + int(n * p_i)]; the last client takes the rest."""
     p = list(shares) if shares is not None else client_shares(num_clients, seed)
-    n = df.select(F.count(F.lit(1)).alias("n")).scalar()
     first, rest = order_cols[0], list(order_cols[1:])
-    r = ranked(df, first, [], tiebreak=rest, mode="quantile", rank_col="_r")
+    r = ranked(df, first, [], tiebreak=rest, mode="quantile", rank_col="_r", size_col="_n")
+    n = F.col("_n")
     end = F.lit(0).cast("long")
     expr = None
     for i, share in enumerate(p[:-1]):
@@ -116,7 +116,7 @@ def partition_clients(df: DataFrame, order_cols: Sequence[str], num_clients: int
         expr = F.when(cond, F.lit(f"{prefix}{i + 1}")) if expr is None else expr.when(cond, F.lit(f"{prefix}{i + 1}"))
     last = F.lit(f"{prefix}{len(p)}")
     expr = last if expr is None else expr.otherwise(last)
-    return r.withColumn(client_col, expr).drop("_r")
+    return r.withColumn(client_col, expr).drop("_r", "_n")
 
 
 # E6 ---------------------------------------------------------------------------
@@ -158,11 +158,10 @@ def validation_holdout(df: DataFrame, order_cols: Sequence[str], fraction: float
                        col: str = "is_validation") -> DataFrame:
     """The last ``fraction`` of rows (in ``order_cols`` order) are validation:
     rank > int(n * (1 - fraction))."""
-    n = df.select(F.count(F.lit(1)).alias("n")).scalar()
     first, rest = order_cols[0], list(order_cols[1:])
-    r = ranked(df, first, [], tiebreak=rest, mode="quantile", rank_col="_r")
-    split_at = F.floor(n * F.lit(1.0 - float(fraction)))
-    return r.withColumn(col, F.col("_r") > split_at).drop("_r")
+    r = ranked(df, first, [], tiebreak=rest, mode="quantile", rank_col="_r", size_col="_n")
+    split_at = F.floor(F.col("_n") * F.lit(1.0 - float(fraction)))
+    return r.withColumn(col, F.col("_r") > split_at).drop("_r", "_n")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -46,11 +46,12 @@ def score_linear(df: DataFrame, features: Sequence[str], weights: Sequence[float
         "pred", (F.col("prob_1") > threshold).cast("int"))
 
 
-def score_with(df: DataFrame, features: Sequence[str], model: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def score_with(df: DataFrame, features: Sequence[str], model: DataFrame, by: Sequence[str] = (),
+               broadcast_weights: bool | None = None) -> DataFrame:
     """Score rows with a weights table: per-client (``by``) or one global row
     (applied as scalar subqueries, no join)."""
     if by:
-        j = df.join(broadcast_if_small(model.select(*by, "_w", "_b")), list(by))
+        j = df.join(_maybe_broadcast(model.select(*by, "_w", "_b"), broadcast_weights), list(by))
         return j.withColumn("score", sigmoid(margin_expr(features, F.col("_w"), F.col("_b")))).drop("_w", "_b")
     w, b = model.select("_w").scalar(), model.select("_b").scalar()
     return df.withColumn("score", sigmoid(margin_expr(features, w, b)))
@@ -69,20 +70,39 @@ def zero_model(d: int) -> Column:
 
 
 # F5 ------------------------------------------------------------------------------
+MAX_BROADCAST_BYTES = 64 << 20
+
+
+def weights_fit_broadcast(n_clients: int, d: int) -> bool:
+    """Proven size bound of a weights table: clients x (d + 1) doubles (+ key)."""
+    return n_clients * (d + 2) * 8 * 2 <= MAX_BROADCAST_BYTES
+
+
+def _maybe_broadcast(df: DataFrame, decision: bool | None) -> DataFrame:
+    if decision is None:
+        return broadcast_if_small(df, MAX_BROADCAST_BYTES)
+    return F.broadcast(df) if decision else df
+
+
 def local_step(rows: DataFrame, features: Sequence[str], client_w: DataFrame, cw: DataFrame | None,
-               lr: float, l2: float = 0.0, client: str = "client_id", label: str = "label") -> DataFrame:
-    """One full-batch gradient step per client: w <- w - lr·(Σ c_y (p-y) x / n + l2·w)."""
+               lr: float, l2: float = 0.0, client: str = "client_id", label: str = "label",
+               broadcast_weights: bool | None = None) -> DataFrame:
+    """One full-batch gradient step per client: w <- w - lr·(Σ c_y (p-y) x / n + l2·w).
+    ``broadcast_weights``: decided by the caller from the client count (a proven
+    bound), else from Catalyst's estimate."""
     d = len(features)
-    j = rows.join(broadcast_if_small(client_w), client)
+    j = rows.join(_maybe_broadcast(client_w, broadcast_weights), client)
     if cw is not None:
-        j = j.join(broadcast_if_small(cw), [client, label], "left")
+        j = j.join(_maybe_broadcast(cw, broadcast_weights), [client, label], "left")
         c = F.coalesce(F.col("_cw"), F.lit(1.0))
     else:
         c = F.lit(1.0)
     r = c * (sigmoid(margin_expr(features, F.col("_w"), F.col("_b"))) - F.col(label).cast("double"))
+    # the residual is projected once per row; the d + 1 sums then only multiply
+    j = j.select(client, r.alias("_r"), *features)
     g = j.groupBy(client).agg(F.count(F.lit(1)).alias("_n"),
-                              *[F.sum(r * F.col(f).cast("double")).alias(f"_g{i}") for i, f in enumerate(features)],
-                              F.sum(r).alias("_gb"))
+                              *[F.sum(F.col("_r") * F.col(f).cast("double")).alias(f"_g{i}") for i, f in enumerate(features)],
+                              F.sum("_r").alias("_gb"))
     m = g.join(client_w, client)
     neww = F.array(*[F.col("_w")[i] - F.lit(lr) * (F.col(f"_g{i}") / F.col("_n") + F.lit(l2) * F.col("_w")[i])
                      for i in range(d)])
@@ -92,12 +112,12 @@ def local_step(rows: DataFrame, features: Sequence[str], client_w: DataFrame, cw
 
 def local_train(rows: DataFrame, features: Sequence[str], start: DataFrame, local_epochs: int = 1, lr: float = 0.1,
                 l2: float = 0.0, class_weighted: bool = True, client: str = "client_id", label: str = "label",
-                checkpoint_each: bool = False) -> DataFrame:
+                checkpoint_each: bool = False, broadcast_weights: bool | None = None) -> DataFrame:
     cw = local_class_weights(rows, client, label) if class_weighted else None
     w = start.select(client, "_w", "_b")
     out = None
     for _ in range(local_epochs):
-        out = local_step(rows, features, w, cw, lr, l2, client, label)
+        out = local_step(rows, features, w, cw, lr, l2, client, label, broadcast_weights)
         if checkpoint_each:
             out = cut_lineage(out)
         w = out.select(client, "_w", "_b")
@@ -139,21 +159,28 @@ def fedavg_train(rows: DataFrame, features: Sequence[str], rounds: int = 2, frac
     every round's work is Spark aggregates and the round's (tiny) results are
     checkpointed."""
     d = len(features)
+    # every round reads the rows again: materialise the (column-pruned) inputs once
+    rows = cut_lineage(rows.select(client, label, *features))
+    if test is not None:
+        test = cut_lineage(test.select(label, *features))
     clients = rows.select(client).distinct()
     n_clients = clients.count()
     if n_clients < min_clients:
         raise ValueError(f"{n_clients} clients < min_clients {min_clients}")
+    bcast = weights_fit_broadcast(n_clients, d)  # client lists / weight tables: n_clients rows
     spark = rows.sparkSession
     glob = cut_lineage(spark.range(1).select(zero_model(d).alias("_w"), F.lit(0.0).alias("_b")))
     per_round_w, per_round_m, per_client_m = [], [], []
     for r in range(1, rounds + 1):
         sel = sp.select_clients(clients.withColumn("round", F.lit(r)), client, "round", fraction, seed)
         start = sel.select(client, glob.select("_w").scalar().alias("_w"), glob.select("_b").scalar().alias("_b"))
-        local = cut_lineage(local_train(rows.join(sel.select(client), client, "left_semi"), features, start,
-                                        local_epochs, lr, l2, class_weighted, client, label))
+        local = cut_lineage(local_train(rows.join(F.broadcast(sel.select(client)), client, "left_semi"), features,
+                                        start, local_epochs, lr, l2, class_weighted, client, label,
+                                        broadcast_weights=bcast))
         glob = cut_lineage(fedavg(local, d, weighted).select("_w", "_b"))
         per_round_w.append(to_long(glob).withColumn("round", F.lit(r)))
-        scored_local = score_with(rows.join(sel.select(client), client, "left_semi"), features, local, [client])
+        scored_local = score_with(rows.join(F.broadcast(sel.select(client)), client, "left_semi"), features, local,
+                                  [client], broadcast_weights=bcast)
         scored_local = scored_local.withColumn("pred", (F.col("score") > 0.5).cast("int"))
         per_client_m.append(ev.metrics(scored_local, [client], label=label, digits=None).withColumn("round", F.lit(r)))
         if test is not None:

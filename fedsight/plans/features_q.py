@@ -72,6 +72,6 @@ def build_feature_table(spark, d, quantile_method: str = "auto"):
         quantile_method=quantile_method)
 
 
-@query("feature_pipeline", FEATURE_TABLE_SQL)
-def q_feature_pipeline(spark, d):
+@query("feature_table", FEATURE_TABLE_SQL)
+def q_feature_table(spark, d):
     return build_feature_table(spark, d)
