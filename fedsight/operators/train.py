@@ -112,8 +112,13 @@ def local_step(rows: DataFrame, features: Sequence[str], client_w: DataFrame, cw
 
 def local_train(rows: DataFrame, features: Sequence[str], start: DataFrame, local_epochs: int = 1, lr: float = 0.1,
                 l2: float = 0.0, class_weighted: bool = True, client: str = "client_id", label: str = "label",
-                checkpoint_each: bool = False, broadcast_weights: bool | None = None) -> DataFrame:
-    cw = local_class_weights(rows, client, label) if class_weighted else None
+                checkpoint_each: bool = False, broadcast_weights: bool | None = None,
+                class_weights: DataFrame | None = None) -> DataFrame:
+    """``local_epochs`` full-batch steps per client from ``start``; balanced class
+    weights of each client's rows unless given (per client, so a loop can
+    compute them once)."""
+    cw = (class_weights if class_weights is not None else local_class_weights(rows, client, label)) \
+        if class_weighted else None
     w = start.select(client, "_w", "_b")
     out = None
     for _ in range(local_epochs):
@@ -168,6 +173,8 @@ def fedavg_train(rows: DataFrame, features: Sequence[str], rounds: int = 2, frac
     if n_clients < min_clients:
         raise ValueError(f"{n_clients} clients < min_clients {min_clients}")
     bcast = weights_fit_broadcast(n_clients, d)  # client lists / weight tables: n_clients rows
+    # a client's class weights depend only on its own rows: compute them once (clients x 2 rows)
+    cw = cut_lineage(local_class_weights(rows, client, label)) if class_weighted else None
     spark = rows.sparkSession
     glob = cut_lineage(spark.range(1).select(zero_model(d).alias("_w"), F.lit(0.0).alias("_b")))
     per_round_w, per_round_m, per_client_m = [], [], []
@@ -176,7 +183,7 @@ def fedavg_train(rows: DataFrame, features: Sequence[str], rounds: int = 2, frac
         start = sel.select(client, glob.select("_w").scalar().alias("_w"), glob.select("_b").scalar().alias("_b"))
         local = cut_lineage(local_train(rows.join(F.broadcast(sel.select(client)), client, "left_semi"), features,
                                         start, local_epochs, lr, l2, class_weighted, client, label,
-                                        broadcast_weights=bcast))
+                                        broadcast_weights=bcast, class_weights=cw))
         glob = cut_lineage(fedavg(local, d, weighted).select("_w", "_b"))
         per_round_w.append(to_long(glob).withColumn("round", F.lit(r)))
         scored_local = score_with(rows.join(F.broadcast(sel.select(client)), client, "left_semi"), features, local,
