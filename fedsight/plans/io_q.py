@@ -58,7 +58,10 @@ def q_results_table(spark, d):
 @query("feature_cache_key", features_q.FEATURE_TABLE_SQL.replace(
     "SELECT base.hadm_id,", "SELECT md5('mortality_0.4') AS cache_key, base.hadm_id,", 1))
 def q_cache(spark, d):
-    root = io.shared_path(spark, "feature-cache", hashlib.md5(d.encode()).hexdigest())
+    # the cache root names the data folder and the table definition, so a changed
+    # definition never reads a table built by an older one
+    fingerprint = hashlib.md5((d + features_q.FEATURE_TABLE_SQL).encode()).hexdigest()
+    root = io.shared_path(spark, "feature-cache", fingerprint)
     t = io.cached_table(spark, "mortality", 0.4, lambda: features_q.build_feature_table(spark, d), root=root)
     return t.withColumn("cache_key", F.lit(io.cache_key("mortality", 0.4)))
 
