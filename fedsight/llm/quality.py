@@ -124,8 +124,8 @@ def judged(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]], id
         "size(array_distinct(flatten(transform(rep, e -> array(e.i, e.i + 1, e.i + 2)))))").cast("long"), F.lit(0).cast("long")))
     rows = rows.withColumn("n_repeat_words", F.when(F.col("s").isNull(), 0).otherwise(F.col("n_repeat_words")).cast("long"))
     rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    rows = rows.withColumns({"p": F.expr("transform(k, x -> x / n_plain)"), "shares": F.expr("transform(cc, x -> x / n_chars)"),
-                             "p_rest": F.expr("(n_plain - size(hits)) / n_plain")})
+    rows = rows.withColumns({"p": F.expr("transform(k, x -> x / n_plain)"), "shares": F.expr("transform(cc, x -> x / greatest(n_chars, 1))"),
+                             "p_rest": F.expr("(n_plain - size(hits)) / greatest(n_plain, 1)")})
     rows = rows.withColumn("plnp", F.expr("aggregate(p, 0D, (a, x) -> a + x * ln(x))"))
     scale = 2 * math.log(2)
     for lang, (cq, wq) in refs.items():
