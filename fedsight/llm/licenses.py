@@ -94,7 +94,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     sized = words.select("doc_id", "u", F.when(F.size("w") - 1 >= low, pairs).alias("grams"))
     near = F.when(F.size("grams").between(F.lit(low), F.lit(high)), F.col("grams"))
     n, m = F.col("n"), F.col("m")
-    hits = (sized.select("doc_id", "u", F.size("grams").alias("n"), F.explode_outer(near).alias("gram"))
+    # n is never null: a null test inferred for the join would be pushed below and copy the word split there.
+    hits = (sized.select("doc_id", "u", F.coalesce(F.size("grams"), F.lit(0)).alias("n"), F.explode_outer(near).alias("gram"))
             .join(F.broadcast(known), "gram").where((n >= m * (t / (2 - t))) & (n <= m * ((2 - t) / t))).distinct())
     dice = F.round(2 * F.count(F.lit(1)) / (n + m), 9)
     return (hits.groupBy("doc_id", "u", "n", "license", "m").agg(dice.alias("dice")).where(F.col("dice") >= t)
