@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fedsight.llm.common import broadcast_checked, letter_words
+from fedsight.llm.common import broadcast_checked, cut_lineage, letter_words
 
 #: Sketch rows up to which the lookup table is broadcast (16 bytes a row).
 MAX_BROADCAST_ROWS = 2_000_000
@@ -74,8 +74,10 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float
     found = (hashed.join(broadcast_checked(lookup, rows, MAX_BROADCAST_ROWS), "h").where("x >= least")
              .select("doc_id", "x", F.explode("of").alias("o")).where("x >= o.need")
              .select("doc_id", F.col("o.item_id").alias("item_id")).distinct())
+    found = cut_lineage(found)
     # Verification on the words of candidate documents only, each shingle as text.
-    again = words.join(found.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("row", F.xxhash64("w"))
+    cand = broadcast_checked(found.select("doc_id").distinct(), found.count(), MAX_BROADCAST_ROWS)
+    again = words.join(cand, "doc_id", "left_semi").withColumn("row", F.xxhash64("w"))
     shared = (_grams(again, k, "doc_id", "row").select("doc_id", "row", _text(k).alias("gram"))
               .join(broadcast_checked(grams.select("gram", "item_id", "q"), rows, MAX_BROADCAST_ROWS // 10), "gram").distinct()
               .groupBy("doc_id", "row", "item_id", "q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need))
@@ -88,5 +90,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, k: int = 5, threshold: floa
                   text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose document holds no test item (rows without an id
     stay: nothing is looked up for them)."""
-    bad = contaminated(docs, items, k, threshold, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti").select(docs.columns)
+    bad = cut_lineage(contaminated(docs, items, k, threshold, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct())
+    return docs.join(broadcast_checked(bad, bad.count(), MAX_BROADCAST_ROWS), id_col, "left_anti").select(docs.columns)

@@ -265,7 +265,8 @@ def _facts(batches):
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", gamma: float = 0.9) -> DataFrame:
-    """host, path, m (pages) and importance (0 to 1) of each element of each host's tree.
+    """host, path, m (pages), importance (0 to 1) and most (the largest importance
+    of it and its descendants) of each element of each host's tree.
 
     Presentation importance is the entropy of an element's styles over its m
     pages, to base m; content importance is 1 minus the mean entropy of its
@@ -298,28 +299,28 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", g
         if below is not None:
             level = level.join(below, here, "left")
         else:
-            level = level.withColumns({"sum": F.lit(None).cast("double"), "n": F.lit(None).cast("double")})
+            level = level.withColumns({c: F.lit(None).cast("double") for c in ("sum", "n", "under")})
         weight = F.coalesce("n", F.lit(0.0)) + F.when(F.col("content").isNotNull(), F.col("n_text")).otherwise(0)
         inner = (F.coalesce("sum", F.lit(0.0)) + F.coalesce(F.col("content") * F.col("n_text"), F.lit(0.0))) / weight
         factor = F.pow(F.lit(gamma), F.col("l"))
         leaf = F.col("n").isNull()
         value = (F.when((weight > 0) & leaf, F.col("content")).when(weight > 0, (1 - factor) * F.col("own") + factor * inner)
                  .otherwise(F.col("own")))
-        level = cut_lineage(level.select(*here, "parent", "m", value.alias("importance")))
+        level = cut_lineage(level.select(*here, "parent", "m", value.alias("importance"), F.greatest(value, "under").alias("most")))
         below = (level.groupBy("host", F.col("parent").alias("path"))
-                 .agg(F.sum(F.col("importance") * F.col("m")).alias("sum"), F.sum("m").cast("double").alias("n")))
+                 .agg(F.sum(F.col("importance") * F.col("m")).alias("sum"), F.sum("m").cast("double").alias("n"), F.max("most").alias("under")))
         done = level if done is None else done.unionByName(level)
     if done is None:
-        return nodes.select(*here, "m", F.lit(1.0).alias("importance"))
-    return done.select(*here, "m", "importance")
+        return nodes.select(*here, "m", F.lit(1.0).alias("importance"), F.lit(1.0).alias("most"))
+    return done.select(*here, "m", "importance", "most")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.2,
             min_pages: int = 3, max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """page_id, url and text of every row.
 
-    Branches whose path has an importance under ``threshold`` on ``min_pages``
-    pages or more of the host are removed, and so are template roles; text in
+    Branches in which no element has an importance of ``threshold`` or more, on
+    ``min_pages`` pages or more of the host, are removed, and so are template roles; text in
     article or main elements is main text in any case, but for such branches
     inside. Character references are decoded, white space in a block is one
     space, blocks are joined by two line ends. Null and empty html give an empty
@@ -327,7 +328,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     empty table gives an empty result. Other columns are not read.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    low = (style_tree(rows).where((F.col("importance") < threshold) & (F.col("m") >= min_pages))
+    low = (style_tree(rows).where((F.col("most") < threshold) & (F.col("m") >= min_pages))
            .groupBy("host").agg(F.collect_set("path").alias("removed")))
     low = cut_lineage(low)
     few = low.agg(F.sum(F.size("removed"))).first()[0] or 0

@@ -52,20 +52,23 @@ def profile(text: str | None, dim: int = DIM) -> np.ndarray | None:
     is_letter = _letters()
     t = (text or "").lower()
     counts, any_letter = np.zeros(dim), False
-    for at in range(0, len(t), BLOCK):
+    tail = np.array([32], dtype=np.uint64)      # the last codes of what came before; texts begin and end with a gap
+    for at in range(0, len(t) + 1, BLOCK):
         c = np.frombuffer(t[at:at + BLOCK].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         keep = is_letter[c]
-        if not keep.any():
-            continue
-        any_letter = True
+        any_letter = any_letter or bool(keep.any())
         c = np.where(keep, c, 32).astype(np.uint64)
-        c = np.concatenate(([np.uint64(32)], c, [np.uint64(32)]))
+        if at + BLOCK > len(t):
+            c = np.append(c, np.uint64(32))
+        n_old = len(tail)
+        c = np.concatenate((tail, c))
         c = c[np.concatenate(([True], (c[1:] != 32) | (c[:-1] != 32)))]     # one gap between words
         h2 = c[:-1] * np.uint64(0x9E3779B1) + c[1:]
         h3 = h2[:-1] * np.uint64(0x85EBCA77) + c[2:]
-        for n, h in ((1, c), (2, h2), (3, h3)):
+        for n, h in ((1, c[n_old:]), (2, h2[n_old - 1:]), (3, h3[max(0, n_old - 2):])):
             mixed = (h + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
             counts += np.bincount((mixed >> np.uint64(40)).astype(np.int64) % dim, minlength=dim)
+        tail = c[-2:]
     if not any_letter:
         return None
     counts = np.sqrt(counts)
@@ -134,7 +137,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
               .select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
               .join(F.broadcast(ids), "doc_id", "left_semi")      # max_langs * per_lang ids at most
               .select("lang", vector("text").alias("x")).where(F.col("x").isNotNull())
-              .select("lang", array_to_vector("x").alias("x")).cache())
+              .select("lang", array_to_vector("x").alias("x")).coalesce(4).cache())
     try:
         found = sorted(r["lang"] for r in taught.select("lang").distinct().collect())
         families: dict[str, list[str]] = {}
@@ -149,7 +152,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             model.family_w, model.family_b = lr.coefficientMatrix.toArray(), np.array(lr.interceptVector.toArray())
         for langs_ in model.families.values():
             for a, b in combinations(langs_, 2):
-                svc = LinearSVC(featuresCol="x", labelCol="y", regParam=1e-4, maxIter=30).fit(
+                svc = LinearSVC(featuresCol="x", labelCol="y", regParam=1e-3, maxIter=12, tol=1e-3).fit(
                     taught.where(F.col("lang").isin(a, b)).select("x", (F.col("lang") == a).cast("double").alias("y")))
                 model.pairs[a, b] = (svc.coefficients.toArray(), float(svc.intercept))
         return model

@@ -65,7 +65,8 @@ def folded(text: str | None) -> str:
 
 @dataclass
 class Lexicon:
-    """``terms``: weights of word beginnings; ``phrases``: exceptions (whole
+    """``terms``: weights of word beginnings (of whole words, if they end in a
+    space); ``phrases``: exceptions (whole
     words); ``curve``: intercept and factors of the two features."""
     terms: dict[str, float]
     phrases: list[str] = field(default_factory=lambda: list(EXCEPTIONS))
@@ -137,7 +138,7 @@ def score(text: Column, lexicon: Lexicon) -> Column:
 
 
 def _beginnings(shortest: int, longest: int):
-    """Word beginnings (``p``) of a batch of labelled texts, each once a text."""
+    """Word beginnings and whole words (ending in a space) of a batch of labelled texts (``p``), each once a text."""
     def rows(batches):
         for b in batches:
             ps, ys = [], []
@@ -145,6 +146,7 @@ def _beginnings(shortest: int, longest: int):
                 seen = set()
                 for w in set(folded(t).split()):
                     seen.update(w[:k] for k in range(shortest, min(len(w), longest) + 1))
+                    seen.add(w[:longest] + " " * (len(w) <= longest))
                 ps.extend(seen)
                 ys.extend([y] * len(seen))
             yield pd.DataFrame({"p": ps, "toxic": np.asarray(ys, dtype="int64")})
@@ -157,8 +159,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Lexicon and curve from labelled texts.
 
     A bounded sample of labels teaches: about ``max_rows``, by a threshold on
-    the hash of the id, and of equal texts one. A word beginning is a term when
-    it occurs in ``min_share`` of the toxic texts (``min_texts`` at least),
+    the hash of the id, and of equal texts one. A word beginning or whole word
+    is a term when it occurs in ``min_share`` of the toxic texts (``min_texts`` at least),
     ``min_precision`` of the texts that hold it are toxic, and the
     log-likelihood ratio is clear; of beginnings of one word that say the same,
     the longest stays. A term's weight is its log odds. Words with a term that
@@ -205,12 +207,12 @@ def _clear(t: int, c: int, n_tox: int, n_clean: int, least: float = 15.0) -> boo
 
 def _closed(good: dict[str, tuple[int, int]]) -> dict[str, tuple[int, int]]:
     """Of a beginning and its extensions: an extension goes when a shorter one is
-    kept, and a beginning gives way to an extension with nearly its texts."""
+    kept, and a beginning gives way to a longer one with nearly its texts."""
     by_len = sorted(good, key=len)
     longer = {p: p for p in by_len}
     for p in reversed(by_len):      # the longest extension that still has 98 % of the texts
         q = p[:-1]
-        if q in good and good[longer[p]][0] >= 0.98 * good[q][0] and len(longer[p]) > len(longer[q]):
+        if q in good and p[-1] != " " and good[longer[p]][0] >= 0.98 * good[q][0] and len(longer[p]) > len(longer[q]):
             longer[q] = longer[p]
     kept: dict[str, tuple[int, int]] = {}
     for p in by_len:
