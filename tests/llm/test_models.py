@@ -57,6 +57,8 @@ def labelled(n=900, seed=1):
                 w.insert(rng.randrange(len(w)), rng.choice(["grubwort", "zonk" + rng.choice(plain), "frizzle"]))
         elif rng.random() < 0.1:
             w.insert(3, "frizzleberry")
+        elif i % 90 == 0:
+            w.insert(2, "zonkberry")
         rows.append((i, " ".join(w)))
         labels.append((i, int(toxic)))
     return rows, labels
@@ -66,7 +68,7 @@ def test_toxicity_learns_and_holds_out(spark, docs_of):
     rows, labels = labelled()
     lab = spark.createDataFrame(labels, "doc_id long, toxic int")
     lexicon = toxicity.learn(docs_of(rows, "toxic", "key"), lab.where("doc_id % 3 != 1"))
-    assert {"grubwort", "zonk"} <= set(lexicon.terms) and "frizzleberry" in lexicon.phrases
+    assert {"grubwort", "zonk", "frizzle "} == set(lexicon.terms) and "zonkberry" in lexicon.phrases
     extra = [(10_000, "you are gru8w0rt and zоnkban"), (10_001, None), (10_002, ""), (10_003, "12 34 ..."), (10_003, "12 34 ..."), (None, "grubwort " * 30_000)]
     df = docs_of(rows + extra, "score", "n_hits")
     got = {}
@@ -128,7 +130,7 @@ def test_language_degenerate_models(docs_of):
     assert nobody.predict("some text") == ("und", 0.0)
     one = langid.fit(docs_of([(1, "only this", "en"), (2, "and that", "en")]))
     assert one.predict("anything") == ("en", 1.0) and one.predict("1") == ("und", 0.0)
-    pair = langid.fit(docs_of([(1, speech("en", 40, random.Random(1)), "en"), (2, speech("de", 40, random.Random(1)), "de")]))
+    pair = langid.fit(docs_of([(i, speech(g, 40, random.Random(i)), g) for i in range(20) for g in ("en", "de")]))
     assert pair.predict("the which there")[0] == "en" and pair.predict("nicht über zwischen")[0] == "de"
 
 
