@@ -34,18 +34,3 @@ def dot_columns(cols: Sequence[str], weights: Sequence[float]) -> Column:
 
 def rnd(c, digits: int = 6) -> Column:
     return F.round(col(c), digits)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (no job is run)."""
-    try:
-        v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(v) if isinstance(v, int) else int(str(v.toString()))
-    except Exception:  # pragma: no cover - estimate unavailable: assume large
-        return 1 << 62
-
-
-def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
-    """Broadcast-hint ``df`` only when its estimated size is under ``max_bytes``;
-    otherwise leave the join strategy to the planner (shuffle join / AQE)."""
-    return F.broadcast(df) if estimated_bytes(df) <= max_bytes else df

@@ -1,36 +1,28 @@
 """Exact percentiles that scale.
 
-``percentile`` is exact but keeps a value->count map per aggregate buffer and
-merges all of them in ONE task for a global statistic — fine for small inputs,
-an out-of-memory for billions of distinct values. For large inputs the exact
-value is found in three passes whose memory is bounded:
-
-1. one ``percentile_approx`` pass (GK sketch, rank error <= n/accuracy) for all
-   columns and probabilities, also giving values a few error-bounds either side;
-2. one counting pass: rows below the window's lower value and inside it;
-3. one pass over only the rows inside the windows (about 4n/accuracy per
-   quantile), ranked by a window partitioned by quantile id, picking the rows
-   at the exact target ranks.
+``percentile`` keeps a value->count map per aggregate buffer and merges all of
+them in one task for a global statistic. Here the distinct values of all
+columns are counted first, in one grouped aggregate with map-side partial sums,
+so a value that most rows share is one row like any other. The (column, value,
+count) table is range-partitioned and sorted; counts per partition give each
+partition's offset in its column, and a running sum inside the partition gives
+each value's ranks. Only the values at the wanted ranks (two for each quantile)
+come to the driver.
 
 Interpolation follows ``percentile``: pos = p·(n-1), value =
 (ceil(pos)-pos)·v[floor] + (pos-floor(pos))·v[ceil].
-If a window misses its target rank (never, given the sketch's guarantee), that
-quantile falls back to the plain exact aggregate.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fedsight.functions.exprs import estimated_bytes
-
-SMALL_INPUT_BYTES = 1 << 30
-SMALL_INPUT_ROWS = 20_000_000
-ACCURACY = 10_000
+from fedsight.session import cut_lineage
 
 
 def _finite(c: str) -> Column:
@@ -38,68 +30,54 @@ def _finite(c: str) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
 
 
-def quantile_values(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str = "auto",
-                    accuracy: int = ACCURACY) -> dict[tuple[str, float], float | None]:
+def quantile_values(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[tuple[str, float], float | None]:
     """Exact percentile (``percentile`` semantics) of the finite values of each
     column, for each probability: {(col, p): value or None}."""
-    if method == "auto":
-        est = estimated_bytes(df)
-        if est >= 1 << 60:  # no estimate (e.g. a checkpointed plan): count the rows
-            small = df.count() <= SMALL_INPUT_ROWS
-        else:
-            small = est <= SMALL_INPUT_BYTES
-        method = "aggregate" if small else "windowed"
-    if method == "aggregate":
-        aggs = [F.percentile(_finite(c), F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{i}")
-                for i, c in enumerate(cols)]
-        r = df.agg(*aggs).first()
-        return {(c, p): (r[f"q{i}"][k] if r[f"q{i}"] is not None else None)
-                for i, c in enumerate(cols) for k, p in enumerate(probs)}
-    return _windowed(df, cols, probs, accuracy)
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), _finite(c).alias("v")) for i, c in enumerate(cols)])
+    counts = (df.select(F.explode(cells).alias("x")).select("x.c", "x.v").where(F.col("v").isNotNull())
+              .groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    t = cut_lineage(counts.repartitionByRange(parts, "c", "v").withColumn("p", F.spark_partition_id()))
+    total, before = defaultdict(int), {}
+    for c, p, n in sorted(t.groupBy("c", "p").agg(F.sum("n")).collect()):     # columns x partitions rows
+        before[c, p] = total[c]
+        total[c] += n
+    want = {}
+    for i, c in enumerate(cols):
+        for pr in probs:
+            if total[i]:
+                pos = pr * (total[i] - 1)
+                want[c, pr] = (i, math.floor(pos), math.ceil(pos), pos)
+    ranks = defaultdict(set)      # (column, partition) -> ranks (0-based) wanted inside
+    starts = defaultdict(list)
+    for (c, p), b in before.items():
+        starts[c].append((b, p))
+    for i, lo, hi, _ in want.values():
+        for r in (lo, hi):
+            b, p = max(x for x in starts[i] if x[0] <= r)
+            ranks[i, p].add(r - b)
+    if not ranks:
+        return {(c, pr): None for c in cols for pr in probs}
+    upto = F.sum("n").over(Window.partitionBy("c", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    hit = None
+    for (c, p), rs in ranks.items():
+        inside = None
+        for r in sorted(rs):
+            one = (F.col("upto") > r) & (F.col("upto") - F.col("n") <= r)
+            inside = one if inside is None else inside | one
+        cond = (F.col("c") == c) & (F.col("p") == p) & inside
+        hit = cond if hit is None else hit | cond
+    only = F.col("p").isin(sorted({p for _, p in ranks}))
+    found = defaultdict(list)
+    for r in t.where(only).withColumn("upto", upto).where(hit).collect():
+        b = before[r["c"], r["p"]]
+        found[r["c"]].append((b + r["upto"] - r["n"], b + r["upto"], r["v"]))
 
+    def value(i: int, rank: int) -> float:
+        return next(v for lo, hi, v in found[i] if lo <= rank < hi)
 
-def _windowed(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int):
-    eps = 2.0 / accuracy
-    ext = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-2 * eps, 0.0, 2 * eps)})
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.count(_finite(c)).alias(f"n{i}"),
-                 F.percentile_approx(_finite(c), ext, accuracy).alias(f"a{i}")]
-    st = df.agg(*aggs).first()
-    out: dict[tuple[str, float], float | None] = {}
-    windows = []  # (qid, col, lo_v, hi_v, lower_rank, upper_rank)
-    for i, c in enumerate(cols):
-        n = st[f"n{i}"]
-        approx = dict(zip(ext, st[f"a{i}"] or []))
-        for p in probs:
-            if not n:
-                out[(c, p)] = None
-                continue
-            lo_v = approx[min(1.0, max(0.0, p - 2 * eps))]
-            hi_v = approx[min(1.0, max(0.0, p + 2 * eps))]
-            pos = p * (n - 1)
-            windows.append((len(windows), c, p, lo_v, hi_v, math.floor(pos), math.ceil(pos), pos))
-    if not windows:
-        return out
-    # pass 2: rows strictly below each window's lower value
-    below = df.agg(*[F.count_if(_finite(c) < F.lit(lo)).alias(f"b{q}") for q, c, _, lo, _, _, _, _ in windows]).first()
-    # pass 3: only the rows inside the windows, ranked within each window
-    parts = F.array(*[F.when(_finite(c).between(lo, hi), F.struct(F.lit(q).alias("q"), _finite(c).alias("v")))
-                      for q, c, _, lo, hi, _, _, _ in windows])
-    inside = df.select(F.explode(F.filter(parts, lambda s: s.isNotNull())).alias("s")).select("s.q", "s.v")
-    need = []
-    for q, c, p, lo, hi, lower, upper, pos in windows:
-        base = below[f"b{q}"]
-        need.append((q, lower - base + 1, upper - base + 1))
-    rn = F.row_number().over(Window.partitionBy("q").orderBy("v"))
-    wanted = F.lit(False)
-    for q, a, b in need:
-        wanted = wanted | ((F.col("q") == q) & F.col("_r").isin(a, b))
-    picked = {(r["q"], r["_r"]): r["v"] for r in inside.withColumn("_r", rn).where(wanted).collect()}
-    for (q, c, p, lo, hi, lower, upper, pos), (_, a, b) in zip(windows, need):
-        va, vb = picked.get((q, a)), picked.get((q, b))
-        if va is None or vb is None:  # window missed the rank: exact fallback for this one
-            out[(c, p)] = quantile_values(df, [c], [p], method="aggregate")[(c, p)]
-            continue
-        out[(c, p)] = va if (lower == upper or va == vb) else (upper - pos) * va + (pos - lower) * vb
+    out: dict[tuple[str, float], float | None] = {(c, pr): None for c in cols for pr in probs}
+    for k, (i, lo, hi, pos) in want.items():
+        a, b = value(i, lo), value(i, hi)
+        out[k] = a if lo == hi or a == b else (hi - pos) * a + (pos - lo) * b
     return out

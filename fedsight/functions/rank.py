@@ -8,9 +8,7 @@ small table — whose running sums give each bucket's offset; inside a
 third of all rows is spread over all of its buckets, so no task sees a whole
 group.
 
-Bucketing modes:
-Inputs whose estimated size is small use a single bucket (a plain window per
-group) and skip the extra statistics pass; explicit ``buckets`` force bucketing.
+Bucketing modes (there is one path for every input size):
 
 * ``uniform`` — the key is a hash draw in (0, 1): bucket = floor(u·B); the
   bucket count B grows with the largest group (about ``rows_per_bucket`` rows
@@ -20,9 +18,9 @@ group) and skip the extra statistics pass; explicit ``buckets`` force bucketing.
   found per row by a balanced binary search of CASE expressions (log2 B
   comparisons), so clustered values still spread evenly.
 
-Small top-k per group (k a literal) does not need any of this: a filter
-``row_number() <= k`` lets Catalyst insert a partial WindowGroupLimit before
-the shuffle (see :func:`top_k_per_group`).
+Top-k per group by a hash draw does not rank a whole group either: rows whose
+draw is above a threshold, chosen from the group's size so that k rows are
+below it, go before the window (see :func:`top_k_per_group`).
 """
 
 from __future__ import annotations
@@ -33,11 +31,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_INPUT_BYTES = 256 << 20   # below this (Catalyst estimate) one bucket per group is fine
 ROWS_PER_BUCKET = 200_000
 MIN_BUCKETS = 64
-MAX_UNIFORM_BUCKETS = 1 << 22
-QUANTILE_BUCKETS = 256
+MAX_BROADCAST_GROUPS = 1_000_000   # rows of two numbers and the keys
 
 
 def _cols(cs):
@@ -49,16 +45,30 @@ def auto_buckets(df: DataFrame, group_cols: Sequence[str], rows_per_bucket: int
     g = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n")) if group_cols else df.agg(F.count(F.lit(1)).alias("n"))
     mx = g.agg(F.max("n")).first()[0] or 0
     b = max(MIN_BUCKETS, math.ceil(mx / rows_per_bucket))
-    return min(MAX_UNIFORM_BUCKETS, 1 << (b - 1).bit_length())
+    return 1 << (b - 1).bit_length()
 
 
 def uniform_bucket(col: Column, buckets: int) -> Column:
     return F.least(F.floor(col * F.lit(float(buckets))).cast("int"), F.lit(buckets - 1))
 
 
-def quantile_bounds(df: DataFrame, col: str, buckets: int = QUANTILE_BUCKETS, accuracy: int = 100_000) -> list[float]:
+def row_buckets(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Bucket count for quantile bounds from the number of rows (one count job)."""
+    return max(MIN_BUCKETS, math.ceil(df.count() / rows_per_bucket))
+
+
+def order_number(col: str, kind: str) -> Column:
+    """The order key as a double: dates and times as seconds; other keys must be numeric."""
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        return F.unix_micros(F.col(col).cast("timestamp")) / F.lit(1e6)
+    if kind in ("string", "binary", "boolean"):
+        raise ValueError(f"{col}: quantile buckets need a number or a time, not {kind}")
+    return F.col(col).cast("double")
+
+
+def quantile_bounds(df: DataFrame, col: str, buckets: int = MIN_BUCKETS, accuracy: int = 100_000) -> list[float]:
     probs = [i / buckets for i in range(1, buckets)]
-    b = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, accuracy).alias("b")).first()["b"] or []
+    b = df.agg(F.percentile_approx(order_number(col, dict(df.dtypes)[col]), probs, max(accuracy, 4 * buckets)).alias("b")).first()["b"] or []
     return sorted(set(float(x) for x in b if x is not None))
 
 
@@ -80,16 +90,12 @@ def bucket_of(col: Column, lo: float, hi: float, buckets: int) -> Column:
 
 
 def _bucket(df: DataFrame, order_col: str, group_cols: Sequence[str], mode: str, buckets: int | None) -> tuple[Column, int]:
-    if buckets is None:
-        from fedsight.functions.exprs import estimated_bytes
-        if estimated_bytes(df) <= SMALL_INPUT_BYTES:
-            return F.lit(0), 1  # small input: a plain partitioned window, no extra pass
     if mode == "uniform":
         b = buckets or auto_buckets(df, group_cols)
         return uniform_bucket(F.col(order_col), b), b
     if mode == "quantile":
-        bounds = quantile_bounds(df, order_col, buckets or QUANTILE_BUCKETS)
-        return search_bucket(F.col(order_col).cast("double"), bounds), len(bounds) + 1
+        bounds = quantile_bounds(df, order_col, buckets or row_buckets(df))
+        return search_bucket(order_number(order_col, dict(df.dtypes)[order_col]), bounds), len(bounds) + 1
     raise ValueError(f"unknown bucket mode {mode}")
 
 
@@ -114,17 +120,31 @@ def ranked(df: DataFrame, order_col: str, group_cols: Sequence[str] = (), tiebre
     return out.withColumn(rank_col, (F.col("_off") + F.col("_rn")).cast("long")).drop("_bk", "_off", "_rn")
 
 
-def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column | str], k: int,
+def top_k_per_group(df: DataFrame, group_cols: Sequence[str], draw: str, tiebreak: Sequence[str], k: int,
                     quota: Column | None = None, rank_col: str = "_r") -> DataFrame:
-    """Rows with row_number() <= k (literal) within each group, optionally also
-    <= a per-group ``quota`` column. The literal bound makes Catalyst insert a
-    partial WindowGroupLimit before the shuffle, so each map task sends at most
-    k rows per group."""
-    w = Window.partitionBy(*group_cols).orderBy(*_cols(order))
+    """Rows with row_number() <= k in each group, ordered by a uniform hash draw
+    in (0, 1) and ``tiebreak``, optionally also <= a per-group ``quota`` column.
+
+    A group of n rows has about n·u rows with a draw below u, so only rows below
+    u = (k + 8·sqrt(k) + 64) / n can be among the first k; they alone are ranked.
+    That fewer than k rows are below it is a deviation of eight sigma; it is
+    counted, and such a group is ranked whole.
+    """
+    from fedsight.session import cut_lineage
+    keys = list(group_cols)
+    cut = F.lit(float(k + 8 * math.sqrt(k) + 64)) / F.col("_gn")
+    sizes = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gn")).withColumn("_cut", cut))
+    small = sizes.count() <= MAX_BROADCAST_GROUPS
+    rows = cut_lineage(df.join(F.broadcast(sizes) if small else sizes, keys).where(F.col(draw) <= F.col("_cut")).select(*df.columns))
+    have = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gk"))
+    short = sizes.join(have, keys, "left").where(F.coalesce("_gk", F.lit(0)) < F.least(F.lit(k), F.col("_gn"))).select(*keys)
+    if not short.isEmpty():
+        rows = rows.join(short, keys, "left_anti").unionByName(df.join(short, keys, "left_semi"))
+    w = Window.partitionBy(*group_cols).orderBy(draw, *_cols(tiebreak))
     cond = F.col(rank_col) <= F.lit(int(k))
     if quota is not None:
         cond = cond & (F.col(rank_col) <= quota)
-    return df.withColumn(rank_col, F.row_number().over(w)).where(cond)
+    return rows.withColumn(rank_col, F.row_number().over(w)).where(cond)
 
 
 def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str],

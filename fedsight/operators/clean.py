@@ -97,14 +97,14 @@ def finite_or_null(c) -> Column:
 
 # B5 / B8 ---------------------------------------------------------------------
 def median_impute(df: DataFrame, cols: Sequence[str], zero_if_undefined: bool = False,
-                  fit_on: DataFrame | None = None, method: str = "auto") -> DataFrame:
+                  fit_on: DataFrame | None = None) -> DataFrame:
     """Fill nulls (and NaN/±inf) of ``cols`` with the column's exact median over
     ``fit_on`` (default: ``df`` itself); all medians come from the same passes
     (functions/quantiles.py) and enter the rewrite as literals."""
     if not cols:
         return df
     src = fit_on if fit_on is not None else df
-    qv = quantile_values(src, list(cols), [0.5], method)
+    qv = quantile_values(src, list(cols), [0.5])
     fills = {}
     for i, c in enumerate(cols):
         m = qv[(c, 0.5)]
@@ -139,14 +139,14 @@ def clip_binary(c) -> Column:
 
 # B10 ------------------------------------------------------------------------
 def iqr_clip(df: DataFrame, cols: Sequence[str], factor: float = IQR_FACTOR,
-             fit_on: DataFrame | None = None, method: str = "auto") -> DataFrame:
+             fit_on: DataFrame | None = None) -> DataFrame:
     """Outlier clip at [q1 - f*IQR, q3 + f*IQR] of the finite values; IQR 0 or
     undefined -> [min, max]; still undefined -> [0, 1]. NaN/±inf are first
     replaced by the median (0 when undefined), then the clip applies."""
     if not cols:
         return df
     src = fit_on if fit_on is not None else df
-    qv = quantile_values(src, list(cols), [0.25, 0.5, 0.75], method)
+    qv = quantile_values(src, list(cols), [0.25, 0.5, 0.75])
     aggs = []
     for i, c in enumerate(cols):
         x = finite_or_null(c)
@@ -182,7 +182,7 @@ def remaining_invalid(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def verify_clean(df: DataFrame, cols: Sequence[str]) -> None:
-    bad = remaining_invalid(df, cols).where("n_null > 0 OR n_inf > 0").limit(20).collect()
+    bad = remaining_invalid(df, cols).where("n_null > 0 OR n_inf > 0").collect()   # a row a column at most
     if bad:
         raise ValueError(f"unclean feature columns: {[(r[0], r[1], r[2]) for r in bad]}")
 
@@ -194,25 +194,18 @@ def select_features(df: DataFrame, exclude: Sequence[str] = (), drop_prefixes: S
 
 
 # B13 ------------------------------------------------------------------------
-def label_encode(df: DataFrame, cols: Sequence[str], max_in_one_task: int = 1_000_000) -> DataFrame:
+def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Replace each string column by the 0-based position of its value among the
     column's sorted distinct values; null is the category 'nan'. The code table
-    has one row per distinct value; it is joined (broadcast when small). Up to
-    ``max_in_one_task`` distinct values (approximate count) are ranked by one
-    window; beyond that by a range-partitioned global index."""
-    from fedsight.functions.exprs import broadcast_if_small
+    has one row per distinct value and is numbered by a range-partitioned global
+    index; the planner picks its join from the table's real size."""
     from fedsight.functions.rank import ordered_index
     out = df
     for c in cols:
         v = F.coalesce(F.col(c), F.lit("nan"))
-        values = df.select(v.alias("_v")).distinct()
-        n = values.agg(F.approx_count_distinct("_v")).first()[0]
-        if n <= max_in_one_task:
-            codes = values.withColumn("_code", (F.dense_rank().over(Window.orderBy("_v")) - 1).cast("int"))
-        else:
-            codes = ordered_index(values, ["_v"], "_code").withColumn("_code", F.col("_code").cast("int"))
-        out = (out.withColumn("_v", v).join(broadcast_if_small(codes), "_v", "left")
-               .drop("_v", c).withColumnRenamed("_code", c))
+        codes = ordered_index(df.select(v.alias("_v")).distinct(), ["_v"], "_code")
+        codes = codes.withColumn("_code", F.col("_code").cast("int"))
+        out = out.withColumn("_v", v).join(codes, "_v", "left").drop("_v", c).withColumnRenamed("_code", c)
     return out
 
 

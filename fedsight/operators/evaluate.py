@@ -179,7 +179,7 @@ def misclassified_sample(df: DataFrame, keys: Sequence[str], k: int, client: str
                          label: str = "label", pred: str = "pred", seed: int = 42) -> DataFrame:
     """Per client min(k, n_wrong) misclassified rows, chosen by hash draw."""
     wrong = df.where(F.col(pred) != F.col(label)).withColumn("_u", uniform(client, *keys, seed=seed))
-    r = top_k_per_group(wrong, [client], ["_u", *keys], k)
+    r = top_k_per_group(wrong, [client], "_u", keys, k)
     return r.select(*df.columns, F.col(label).alias("true_label"),
                                             F.col(pred).alias("predicted_label")).drop(label, pred)
 

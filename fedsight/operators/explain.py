@@ -1,39 +1,34 @@
 """Batch explanations (H1-H4, H9, K6) as Spark jobs.
 
-The per-row explainer libraries of the reference are re-aimed as batch plans:
-every instance's perturbations / coalitions are generated column-wise
-(``sequence`` + ``transform``), scored with the model expression, and reduced
-to small per-instance normal equations by ONE grouped aggregate; only that
-tiny aggregate reaches Python (``mapInPandas``) for the d x d solves.
-Parameters that enter expressions as literals (bin cuts, bin means, the
-background sample, coalition masks) have sizes bounded by their definition
-(features x 4 bins, ``shap_samples`` rows, 2^d masks with d <= 12) and are
-checked before use.
+The per-row explainer libraries of the reference are re-aimed as batch jobs.
+Bins and linear attributions are plain column expressions. LIME and Kernel
+SHAP run as ``mapInPandas`` over the distributed instances: a task perturbs,
+scores and solves one instance at a time in NumPy, for any model that scores a
+matrix of rows. The closures hold what is bounded by definition (the model,
+4 bin statistics a feature, the background sample, the shared coalitions) and
+no reference to this package, so executors need not have it.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import zlib
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fedsight.functions.draws import uniform
-from fedsight.functions.exprs import sigmoid
-
-MAX_LITERAL_BACKGROUND = 1000
-MAX_EXACT_FEATURES = 12
+MAX_EXACT_FEATURES = 16
 
 
 # H1 ------------------------------------------------------------------------------
-def quartile_cuts(train: DataFrame, features: Sequence[str], method: str = "auto") -> DataFrame:
+def quartile_cuts(train: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature, q1, q2, q3): exact training quartiles (functions/quantiles.py),
     returned as a d-row table."""
     from fedsight.functions.quantiles import quantile_values
-    qv = quantile_values(train, list(features), [0.25, 0.5, 0.75], method)
+    qv = quantile_values(train, list(features), [0.25, 0.5, 0.75])
     rows = [(f, qv[(f, 0.25)], qv[(f, 0.5)], qv[(f, 0.75)]) for f in features]
     return train.sparkSession.createDataFrame(rows, "feature string, q1 double, q2 double, q3 double")
 
@@ -91,111 +86,104 @@ def attribution_ranking(phi: DataFrame, key: str) -> DataFrame:
     return phi.withColumn("rank", F.row_number().over(w))
 
 
-# shared: per-instance weighted least squares from aggregated sums -----------------------
-def _design_sums(z: Column, y: Column, w: Column, d: int) -> list[Column]:
-    out = [F.sum(w).alias("sw"), F.sum(w * y).alias("swy")]
-    out += [F.sum(w * z[j]).alias(f"sz{j}") for j in range(d)]
-    out += [F.sum(w * z[j] * y).alias(f"szy{j}") for j in range(d)]
-    out += [F.sum(w * z[j] * z[k]).alias(f"szz{j}_{k}") for j in range(d) for k in range(j, d)]
-    return out
+# scorers: a model as a function of a matrix -------------------------------------------
+Scorer = Callable[[np.ndarray], np.ndarray]
+
+
+def linear_scorer(weights: Sequence[float], bias: float) -> Scorer:
+    """Probability of a logistic model for the rows of a matrix."""
+    w, b = np.asarray(weights, dtype=float), float(bias)
+    return lambda X: 1.0 / (1.0 + np.exp(-np.clip(X @ w + b, -700, 700)))
+
+
+def fitted_scorer(model) -> Scorer:
+    """Probability of class 1 of a fitted pyspark.ml logistic regression or
+    multilayer perceptron (sigmoid hidden layers, softmax output), from its
+    coefficients alone, so it can be shipped to tasks."""
+    if hasattr(model, "coefficients"):
+        return linear_scorer(model.coefficients.toArray(), model.intercept)
+    sizes, flat, layers, at = list(model.getLayers()), model.weights.toArray(), [], 0
+    for n_in, n_out in zip(sizes[:-1], sizes[1:]):
+        W = flat[at:at + n_in * n_out].reshape((n_out, n_in), order="F").T
+        at += n_in * n_out
+        layers.append((W, flat[at:at + n_out]))
+        at += n_out
+
+    def score(X):
+        for i, (W, b) in enumerate(layers):
+            X = X @ W + b
+            if i < len(layers) - 1:
+                X = 1.0 / (1.0 + np.exp(-np.clip(X, -700, 700)))
+        e = np.exp(X - X.max(axis=1, keepdims=True))
+        return (e / e.sum(axis=1, keepdims=True))[:, 1]
+    return score
+
+
+def _scorer(weights, bias, scorer) -> Scorer:
+    if (scorer is None) == (weights is None):
+        raise ValueError("give either weights and bias or a scorer")
+    return scorer if scorer is not None else linear_scorer(weights, bias)
 
 
-def _gram(pdf: pd.DataFrame, d: int):
-    n = len(pdf)
-    A = np.zeros((n, d, d))
-    for j in range(d):
-        for k in range(j, d):
-            A[:, j, k] = A[:, k, j] = pdf[f"szz{j}_{k}"].to_numpy()
-    sz = np.stack([pdf[f"sz{j}"].to_numpy() for j in range(d)], axis=1)
-    szy = np.stack([pdf[f"szy{j}"].to_numpy() for j in range(d)], axis=1)
-    return A, sz, szy, pdf["sw"].to_numpy(), pdf["swy"].to_numpy()
+def _instances(instances: DataFrame, features: Sequence[str], key: str) -> DataFrame:
+    return instances.select(key, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
 
 
 # H2 ------------------------------------------------------------------------------
 def lime_batch(instances: DataFrame, train: DataFrame, features: Sequence[str], key: str,
-               weights: Sequence[float], bias: float, num_samples: int = 1000, max_features: int = 10,
-               kernel_width: float | None = None, alpha: float = 1.0, seed: int = 42) -> DataFrame:
-    """Local surrogate per instance (Ribeiro et al. 2016) on quartile bins.
+               weights: Sequence[float] | None = None, bias: float = 0.0, num_samples: int = 1000, max_features: int = 10,
+               kernel_width: float | None = None, alpha: float = 1.0, seed: int = 42, scorer: Scorer | None = None) -> DataFrame:
+    """Local surrogate per instance (Ribeiro et al. 2016) on quartile bins, for
+    any model that scores a matrix of rows (``scorer``) or a logistic one.
 
     Per (instance, sample) every feature draws a bin from the training bin
-    frequencies (hash draw); z_j = 1 when it equals the instance's bin; the raw
-    value is x_j then, else the drawn bin's training mean; sample 0 is x itself.
-    Kernel π = sqrt(exp(-D²/σ²)), D² = Σ(1 - z_j), σ = 0.75·sqrt(d) by default.
-    A weighted ridge (α, unpenalised intercept) of the model's probability on z
-    is solved per instance from aggregated sums; top ``max_features`` by |β|.
+    frequencies; z_j = 1 when it equals the instance's bin; the raw value is x_j
+    then, else the drawn bin's training mean; sample 0 is x itself. Draws are
+    seeded by the instance's key, so a retried task repeats them. Kernel
+    π = sqrt(exp(-D²/σ²)), D² = Σ(1 - z_j), σ = 0.75·sqrt(d) by default. A
+    weighted ridge (α, unpenalised intercept) of the model's probability on z is
+    solved per instance; top ``max_features`` by |β|.
+
+    Instances stay distributed: a task perturbs, scores and solves one instance
+    at a time in NumPy (num_samples x d numbers); the closure holds the model
+    and 4 x d bin statistics, which come from one grouped aggregate.
     """
-    d = len(features)
+    f, feats, d = _scorer(weights, bias, scorer), list(features), len(features)
     sigma = kernel_width if kernel_width is not None else 0.75 * math.sqrt(d)
     cuts = quartile_cuts(train, features)
-    cut_rows = {r["feature"]: (r["q1"], r["q2"], r["q3"]) for r in cuts.collect()}  # d rows
-    q = [cut_rows[f] for f in features]
-    # training bin frequencies and bin means: one aggregate with d x 4 x 2 entries
-    tbin = [bin_index(F.col(f).cast("double"), F.lit(q[j][0]), F.lit(q[j][1]), F.lit(q[j][2]))
-            for j, f in enumerate(features)]
-    aggs = []
-    for j, f in enumerate(features):
-        for b in range(4):
-            aggs += [F.count_if(tbin[j] == b).alias(f"n{j}_{b}"),
-                     F.avg(F.when(tbin[j] == b, F.col(f).cast("double"))).alias(f"m{j}_{b}")]
-    st = train.agg(*aggs).first()
-    freq = np.array([[st[f"n{j}_{b}"] for b in range(4)] for j in range(d)], dtype=float)
-    means = np.array([[st[f"m{j}_{b}"] if st[f"m{j}_{b}"] is not None else 0.0 for b in range(4)]
-                      for j in range(d)], dtype=float)
-    cum = np.cumsum(freq / freq.sum(axis=1, keepdims=True), axis=1)
-    cum_lit = F.array(*[F.array(*[F.lit(float(c)) for c in row]) for row in cum])
-    mean_lit = F.array(*[F.array(*[F.lit(float(m)) for m in row]) for row in means])
-    x = F.array(*[F.col(f).cast("double") for f in features])
-    xbin = F.array(*[bin_index(F.col(f).cast("double"), F.lit(q[j][0]), F.lit(q[j][1]), F.lit(q[j][2]))
-                     for j, f in enumerate(features)])
-    inst = instances.select(key, x.alias("_x"), xbin.alias("_xb"))
-    s = inst.select("*", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))).alias("_s"))
-    idx = F.sequence(F.lit(0), F.lit(d - 1))
-
-    def drawn_bin(j):
-        u = uniform(F.col(key), F.col("_s"), j, seed=seed)
-        return F.size(F.filter(F.get(cum_lit, j), lambda c: c < u))
-
-    bins = F.transform(idx, lambda j: F.when(F.col("_s") == 0, F.col("_xb")[j]).otherwise(F.least(drawn_bin(j), F.lit(3))))
-    s = s.withColumn("_b", bins)
-    z = F.transform(idx, lambda j: (F.col("_b")[j] == F.col("_xb")[j]).cast("double"))
-    xr = F.transform(idx, lambda j: F.when(F.col("_b")[j] == F.col("_xb")[j], F.col("_x")[j])
-                     .otherwise(F.get(F.get(mean_lit, j), F.get(F.col("_b"), j))))
-    s = s.withColumn("_z", z).withColumn("_xr", xr)
-    wl = F.array(*[F.lit(float(v)) for v in weights])
-    prob = sigmoid(F.aggregate(F.zip_with("_xr", wl, lambda a, c: a * c), F.lit(0.0), lambda acc, v: acc + v)
-                   + F.lit(float(bias)))
-    dist2 = F.aggregate("_z", F.lit(0.0), lambda acc, v: acc + (F.lit(1.0) - v))
-    pi = F.sqrt(F.exp(-dist2 / F.lit(sigma * sigma)))
-    s = s.select(key, "_xb", "_z", prob.alias("_p"), pi.alias("_pi"))
-    sums = s.groupBy(key).agg(*_design_sums(F.col("_z"), F.col("_p"), F.col("_pi"), d)).join(
-        inst.select(key, "_xb"), key)  # instance bins joined back (hash aggregate, no array buffer)
-
-    feats = list(features)
-    conds = [[None] * 4 for _ in range(d)]
-    for j, f in enumerate(feats):
-        q1, q2, q3 = q[j]
-        conds[j] = [f"{f} <= {q1:.2f}", f"{q1:.2f} < {f} <= {q2:.2f}", f"{q2:.2f} < {f} <= {q3:.2f}", f"{f} > {q3:.2f}"]
-
-    def solve(it):
-        for pdf in it:
-            if pdf.empty:
-                continue
-            A, sz, szy, sw, swy = _gram(pdf, d)
-            mz = sz / sw[:, None]
-            my = swy / sw
-            C = A - sw[:, None, None] * mz[:, :, None] * mz[:, None, :] + alpha * np.eye(d)[None]
-            r = szy - sw[:, None] * mz * my[:, None]
-            beta = np.linalg.solve(C, r[..., None])[..., 0]
-            recs = []
-            for i in range(len(pdf)):
-                order = sorted(range(d), key=lambda j: (-abs(beta[i, j]), feats[j]))[:max_features]
-                xb = pdf["_xb"].iloc[i]
-                for rank, j in enumerate(order, start=1):
-                    recs.append((pdf[key].iloc[i], feats[j], conds[j][int(xb[j])], float(beta[i, j]), rank))
-            yield pd.DataFrame(recs, columns=[key, "feature", "condition", "weight", "rank"])
+    cut = {r["feature"]: (r["q1"], r["q2"], r["q3"]) for r in cuts.collect()}                    # d rows
+    stats = (quartile_bins(train.withColumn("_k", F.lit(0)), features, "_k", cuts).groupBy("feature", "bin")
+             .agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m")).collect())            # 4 d rows
+    q = np.array([cut[x] for x in feats], dtype=float)
+    freq, mean = np.zeros((d, 4)), np.zeros((d, 4))
+    for r in stats:
+        freq[feats.index(r["feature"]), r["bin"]], mean[feats.index(r["feature"]), r["bin"]] = r["n"], r["m"]
+    cum = np.cumsum(freq / np.maximum(freq.sum(axis=1, keepdims=True), 1), axis=1)
+    conds = [[f"{x} <= {a:.2f}", f"{a:.2f} < {x} <= {b:.2f}", f"{b:.2f} < {x} <= {c:.2f}", f"{x} > {c:.2f}"]
+             for x, (a, b, c) in zip(feats, q)]
+
+    def explain(x, rng):
+        xb = (x[:, None] > q).sum(axis=1)
+        u = rng.random((num_samples, d))
+        b = np.minimum((u[:, :, None] > cum[None]).sum(axis=2), 3)
+        b[0] = xb
+        z = (b == xb).astype(float)
+        p = f(np.where(z == 1, x, mean[np.arange(d), b]))
+        pi = np.sqrt(np.exp(-(1 - z).sum(axis=1) / sigma ** 2))
+        zc, pc = z - (pi @ z) / pi.sum(), p - (pi @ p) / pi.sum()
+        return xb, np.linalg.solve((zc * pi[:, None]).T @ zc + alpha * np.eye(d), zc.T @ (pi * pc))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for k, x in zip(pdf[key], pdf["_x"]):
+                xb, beta = explain(np.asarray(x, dtype=float), np.random.default_rng([seed, zlib.crc32(str(k).encode())]))
+                order = sorted(range(d), key=lambda j: (-abs(beta[j]), feats[j]))[:max_features]
+                out += [(k, feats[j], conds[j][int(xb[j])], float(beta[j]), rank) for rank, j in enumerate(order, start=1)]
+            yield pd.DataFrame(out, columns=[key, "feature", "condition", "weight", "rank"])
 
     ktype = dict(instances.dtypes)[key]
-    return sums.mapInPandas(solve, f"{key} {ktype}, feature string, condition string, weight double, rank int")
+    return _instances(instances, features, key).mapInPandas(run, f"{key} {ktype}, feature string, condition string, weight double, rank int")
 
 
 # H3 ------------------------------------------------------------------------------
@@ -205,100 +193,71 @@ def kernel_size_weights(d: int) -> list[float]:
     return [0.0] + [(d - 1) / (math.comb(d, s) * s * (d - s)) for s in range(1, d)] + [0.0]
 
 
-def coalition_column(d: int, nsamples: int | None, seed: int) -> Column:
-    """Array of struct(m array<double>, w double): every coalition (bitmask
-    1 .. 2^d - 2, weight by size) when d <= MAX_EXACT_FEATURES, else
-    ``nsamples`` coalitions drawn with hash draws shared by all instances:
-    size s from the kernel's size distribution, then the s features with the
-    smallest draws; each sampled coalition has weight 1."""
-    idx = F.sequence(F.lit(0), F.lit(d - 1))
-    if d <= MAX_EXACT_FEATURES and nsamples is None:
-        sw = F.array(*[F.lit(float(w)) for w in kernel_size_weights(d)])
-        masks = F.sequence(F.lit(1).cast("long"), F.lit((1 << d) - 2).cast("long"))
-        return F.transform(masks, lambda mk: F.struct(
-            F.transform(idx, lambda j: F.getbit(mk, j).cast("double")).alias("m"),
-            F.get(sw, F.bit_count(mk)).alias("w")))
-    n = nsamples or (2 * d + 2048)
-    per_size = [math.comb(d, s) * w for s, w in enumerate(kernel_size_weights(d))][1:d]
-    tot = sum(per_size)
-    cum = F.array(*[F.lit(float(sum(per_size[:k + 1]) / tot)) for k in range(d - 1)])
-
-    def one(i):
-        size = F.lit(1) + F.size(F.filter(cum, lambda c: c < uniform(F.lit("size"), i, seed=seed)))
-        u = F.transform(idx, lambda j: uniform(F.lit("member"), i, j, seed=seed))
-        thr = F.element_at(F.array_sort(u), size)
-        return F.struct(F.transform(u, lambda v: (v <= thr).cast("double")).alias("m"), F.lit(1.0).alias("w"))
-
-    return F.transform(F.sequence(F.lit(1), F.lit(n)), one)
+def coalitions(d: int, nsamples: int, exact: bool, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Masks (one row a coalition) and weights, shared by all instances: every
+    coalition with its kernel weight, or ``nsamples`` drawn ones, in pairs of a
+    coalition and its complement, sizes by the kernel's distribution; equal draws
+    are one with their number as weight."""
+    if exact:
+        bits = np.arange(1, (1 << d) - 1)
+        masks = (bits[:, None] >> np.arange(d) & 1).astype(float)
+        return masks, np.array(kernel_size_weights(d))[masks.sum(axis=1).astype(int)]
+    rng = np.random.default_rng(seed)
+    per_size = np.array([math.comb(d, s) * w for s, w in enumerate(kernel_size_weights(d))])[1:d]
+    sizes = rng.choice(np.arange(1, d), size=(nsamples + 1) // 2, p=per_size / per_size.sum())
+    masks = (np.argsort(np.argsort(rng.random((len(sizes), d)), axis=1), axis=1) < sizes[:, None]).astype(float)
+    masks, weight = np.unique(np.concatenate([masks, 1 - masks])[:max(nsamples, 1)], axis=0, return_counts=True)
+    return masks, weight.astype(float)
 
 
 def kernel_shap_batch(instances: DataFrame, background: DataFrame, features: Sequence[str], key: str,
-                      weights: Sequence[float], bias: float, nsamples: int | None = None,
-                      seed: int = 42) -> DataFrame:
-    """Kernel SHAP (Lundberg & Lee 2017) of the model probability for a batch.
-
-    Per (instance, coalition): v(S) = mean over the background rows of
-    f(x on S, background elsewhere), evaluated as one array aggregate over the
-    (bounded) background; the constrained weighted regression (Σφ = f(x) - E f)
-    is reduced per instance to aggregated sums and solved in ``mapInPandas``.
-    Coalitions: all of them (exact Shapley values) up to MAX_EXACT_FEATURES
-    features, else ``nsamples`` sampled ones.
+                      weights: Sequence[float] | None = None, bias: float = 0.0, nsamples: int | None = None, seed: int = 42,
+                      exact: bool = False, max_background: int = 10_000, scorer: Scorer | None = None) -> DataFrame:
+    """Kernel SHAP (Lundberg & Lee 2017) of a model's probability for a batch,
+    for any model that scores a matrix of rows (``scorer``) or a logistic one.
+
+    v(S) is the mean over the background rows of f(x on S, background
+    elsewhere); the regression is constrained to Σφ = f(x) - E f and solved by
+    least squares, so too few or repeated coalitions give the smallest solution
+    instead of an error; a single feature takes the whole difference.
+    ``exact``: all 2^d - 2 coalitions (exact Shapley values; at most
+    MAX_EXACT_FEATURES features, else an error); else ``nsamples`` (default
+    2 d + 2048) shared ones are drawn.
+
+    Instances stay distributed; a task handles one at a time in blocks of
+    coalitions, so its memory is the background's size times a constant. The
+    background is a bounded sample by definition (E8); more than
+    ``max_background`` rows are refused.
     """
-    d = len(features)
-    bg = background.select(*[F.col(f).cast("double") for f in features]).limit(MAX_LITERAL_BACKGROUND + 1).collect()
-    if len(bg) > MAX_LITERAL_BACKGROUND:
-        raise ValueError(f"background larger than {MAX_LITERAL_BACKGROUND} rows")
-    wl = [float(v) for v in weights]
-    bg_lit = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in bg])
-    ef = float(np.mean([1.0 / (1.0 + math.exp(-(sum(w * v for w, v in zip(wl, r)) + bias))) for r in bg]))
-    coal = coalition_column(d, nsamples, seed)
-    x = F.array(*[F.col(f).cast("double") for f in features])
-    wcol = F.array(*[F.lit(v) for v in wl])
-    inst = instances.select(key, x.alias("_x"))
-    fx = sigmoid(F.aggregate(F.zip_with("_x", wcol, lambda a, c: a * c), F.lit(0.0), lambda acc, v: acc + v)
-                 + F.lit(float(bias)))
-    inst = inst.withColumn("_fx", fx)
-    c = inst.select("*", F.explode(coal).alias("_c"))
-    nb = float(len(bg))
-
-    def f_mixed(b):
-        mixed = F.zip_with(F.zip_with(F.col("_x"), b, lambda xv, bv: F.struct(xv.alias("x"), bv.alias("b"))),
-                           F.col("_c.m"), lambda xb, m: m * xb["x"] + (F.lit(1.0) - m) * xb["b"])
-        return sigmoid(F.aggregate(F.zip_with(mixed, wcol, lambda a, w: a * w), F.lit(0.0), lambda acc, v: acc + v)
-                       + F.lit(float(bias)))
-
-    v = F.aggregate(bg_lit, F.lit(0.0), lambda acc, b: acc + f_mixed(b)) / F.lit(nb)
-    c = c.withColumn("_v", v)
-    # eliminate φ_last with Σφ = f(x) - E f:  y' = v - E f - z_last·Δ,  z'_j = z_j - z_last
-    last = d - 1
-    delta = F.col("_fx") - F.lit(ef)
-    zl = F.col("_c.m")[last]
-    yp = F.col("_v") - F.lit(ef) - zl * delta
-    zp = F.transform(F.sequence(F.lit(0), F.lit(last - 1)), lambda j: F.col("_c.m")[j] - zl) if d > 1 else F.array()
-    c = c.withColumn("_zp", zp).withColumn("_yp", yp)
-    dd = last
-    sums = c.groupBy(key).agg(*[F.sum(F.col("_c.w") * F.col("_zp")[j] * F.col("_yp")).alias(f"szy{j}") for j in range(dd)],
-                              *[F.sum(F.col("_c.w") * F.col("_zp")[j] * F.col("_zp")[k]).alias(f"szz{j}_{k}")
-                                for j in range(dd) for k in range(j, dd)],
-                              F.first("_fx").alias("_fx"))
-    feats = list(features)
-
-    def solve(it):
-        for pdf in it:
-            if pdf.empty:
-                continue
-            n = len(pdf)
-            A = np.zeros((n, dd, dd))
-            for j in range(dd):
-                for k in range(j, dd):
-                    A[:, j, k] = A[:, k, j] = pdf[f"szz{j}_{k}"].to_numpy()
-            r = np.stack([pdf[f"szy{j}"].to_numpy() for j in range(dd)], axis=1)
-            phi = np.linalg.solve(A, r[..., None])[..., 0]
-            last_phi = (pdf["_fx"].to_numpy() - ef) - phi.sum(axis=1)
-            allphi = np.concatenate([phi, last_phi[:, None]], axis=1)
-            recs = [(pdf[key].iloc[i], feats[j], float(allphi[i, j]), ef, float(pdf["_fx"].iloc[i]))
-                    for i in range(n) for j in range(d)]
-            yield pd.DataFrame(recs, columns=[key, "feature", "phi", "base_value", "prediction"])
+    f, feats, d = _scorer(weights, bias, scorer), list(features), len(features)
+    if exact and d > MAX_EXACT_FEATURES:
+        raise ValueError(f"exact values of {d} features need 2^{d} coalitions; the limit is {MAX_EXACT_FEATURES}: give nsamples")
+    rows = background.select(*[F.col(c).cast("double") for c in features]).limit(max_background + 1).collect()
+    if not 0 < len(rows) <= max_background:
+        raise ValueError(f"the background must have 1 to {max_background} rows")
+    bg = np.array([list(r) for r in rows], dtype=float)
+    ef = float(f(bg).mean())
+    masks, cw = coalitions(d, nsamples or 2 * d + 2048, exact, seed) if d > 1 else (np.zeros((0, 1)), np.zeros(0))
+    block = max(1, 2_000_000 // (len(bg) * d))
+
+    def explain(x):
+        fx = float(f(x[None])[0])
+        if d == 1:
+            return fx, np.array([fx - ef])
+        v = np.concatenate([f((m[:, None, :] * x + (1 - m[:, None, :]) * bg[None]).reshape(-1, d)).reshape(len(m), -1).mean(axis=1)
+                            for m in (masks[i:i + block] for i in range(0, len(masks), block))])
+        last = masks[:, -1:]
+        root = np.sqrt(cw)[:, None]
+        phi = np.linalg.lstsq(root * (masks[:, :-1] - last), root[:, 0] * (v - ef - last[:, 0] * (fx - ef)), rcond=None)[0]
+        return fx, np.append(phi, fx - ef - phi.sum())
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for k, x in zip(pdf[key], pdf["_x"]):
+                fx, phi = explain(np.asarray(x, dtype=float))
+                out += [(k, name, float(v), ef, fx) for name, v in zip(feats, phi)]
+            yield pd.DataFrame(out, columns=[key, "feature", "phi", "base_value", "prediction"])
 
     ktype = dict(instances.dtypes)[key]
-    return sums.mapInPandas(solve, f"{key} {ktype}, feature string, phi double, base_value double, prediction double")
+    return _instances(instances, features, key).mapInPandas(run, f"{key} {ktype}, feature string, phi double, base_value double, prediction double")

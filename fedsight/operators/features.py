@@ -14,18 +14,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fedsight.functions.exprs import broadcast_if_small
 from fedsight.operators import clean
 from fedsight.session import cut_lineage
 
 # C1 / C2 / C3 / C6 ---------------------------------------------------------------
 
-def left_join(fact: DataFrame, dim: DataFrame, keys, max_broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """Left equi-join on one or more keys; the dimension is broadcast only when
-    its estimated size is below ``max_broadcast_bytes`` (else shuffle join).
-    With a non-unique dimension key the fact row fans out (one row per match)."""
+def left_join(fact: DataFrame, dim: DataFrame, keys) -> DataFrame:
+    """Left equi-join on one or more keys; the planner (adaptive execution, from
+    the sizes it measures) broadcasts the dimension or shuffles both sides. With a non-unique dimension key the fact row fans out (one row per match)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    return fact.join(broadcast_if_small(dim, max_broadcast_bytes), keys, "left")
+    return fact.join(dim, keys, "left")
 
 
 def restrict_to_keys(big: DataFrame, keys: DataFrame, on, columns: Sequence[str] | None = None) -> DataFrame:
@@ -72,6 +70,15 @@ def category_count_exprs(cat: Column, values: Sequence[str], prefix: str) -> lis
     return [F.count_if(cat == F.lit(v)).alias(f"{prefix}{v}") for v in values]
 
 
+def ranked_category_exprs(cat: Column, values: Sequence[str], n: int, prefix: str) -> list[Column]:
+    """Counts of the most frequent categories under names that do not depend on
+    the data: ``<prefix>1`` .. ``<prefix>n`` by rank, and each one's category in
+    ``<prefix>i_category`` (fewer than n categories: 0 and null)."""
+    padded = [*values, *[None] * n][:n]
+    return ([(F.count_if(cat == F.lit(v)) if v is not None else F.lit(0).cast("long")).alias(f"{prefix}{i}") for i, v in enumerate(padded, 1)]
+            + [F.lit(v).cast("string").alias(f"{prefix}{i}_category") for i, v in enumerate(padded, 1)])
+
+
 def prefix_count_exprs(code_col: str, prefixes: Mapping[str, Sequence[str]], prefix: str = "HAS_") -> list[Column]:
     out = []
     for name, ps in prefixes.items():
@@ -122,8 +129,12 @@ def top_category_values(df: DataFrame, cat: Column | str, n: int) -> list[str]:
     return [r["category"] for r in top_categories(df, cat, n).collect()]
 
 
-def category_crosstab(df: DataFrame, key: str, cat: Column | str, values: Sequence[str], prefix: str) -> DataFrame:
+def category_crosstab(df: DataFrame, key: str, cat: Column | str, values: Sequence[str], prefix: str, ranks: int | None = None) -> DataFrame:
+    """Counts of the given categories per key, in columns named by category, or
+    with ``ranks`` by rank (a schema that does not depend on the data)."""
     c = F.col(cat) if isinstance(cat, str) else cat
+    if ranks is not None:
+        return df.groupBy(key).agg(*ranked_category_exprs(c, values, ranks, prefix))
     return df.groupBy(key).agg(*category_count_exprs(c, values, prefix))
 
 
@@ -143,10 +154,10 @@ def missing_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             .where("n_missing > 0"))
 
 
-def describe_columns(df: DataFrame, cols: Sequence[str], digits: int = 6, method: str = "auto") -> DataFrame:
+def describe_columns(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
     """count, mean, sample std, min, quartiles, max of each column (long form)."""
     from fedsight.functions.quantiles import quantile_values
-    qv = quantile_values(df, list(cols), [0.25, 0.5, 0.75], method)
+    qv = quantile_values(df, list(cols), [0.25, 0.5, 0.75])
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
@@ -202,10 +213,12 @@ def feature_table(admissions: DataFrame, patients: DataFrame, measurements: Data
                   discharge_from_measurements: bool = True,
                   prescriptions: DataFrame | None = None,
                   drug_classes: Mapping[str, Sequence[str]] | None = None,
-                  materialize: bool = True, quantile_method: str = "auto") -> DataFrame:
+                  materialize: bool = True, rank_names: bool = False) -> DataFrame:
     """One row per admission: age, length of stay, first lab/vital values,
     diagnosis count, top-``top_n`` code-category counts, comorbidity counts,
-    optional drug-class flags, label ``mortality``.
+    optional drug-class flags, label ``mortality``. Category counts are named
+    ``proc_<category>``, or with ``rank_names`` ``proc_top<rank>`` beside the
+    category itself, so that the schema does not depend on the data.
 
     Sources: admissions(hadm_id, subject_id, admittime, expire_flag[, dischtime]),
     patients(subject_id, dob), measurements(hadm_id, lab_item, lab_value,
@@ -225,9 +238,11 @@ def feature_table(admissions: DataFrame, patients: DataFrame, measurements: Data
     # diagnoses: count, top categories crosstab, comorbidity counts in one aggregate
     cat = clean.code_prefix("icd9_code", 2)
     top = top_category_values(diagnoses, cat, top_n)
+    procs = [f"proc_top{i}" for i in range(1, top_n + 1)] if rank_names else [f"proc_{v}" for v in top]
+    names = ranked_category_exprs(cat, top, top_n, "proc_top")[top_n:] if rank_names else []
     d = diagnoses.groupBy("hadm_id").agg(
         count_expr("diagnosis_count"),
-        *category_count_exprs(cat, top, "proc_"),
+        *(ranked_category_exprs(cat, top, top_n, "proc_top")[:top_n] if rank_names else category_count_exprs(cat, top, "proc_")),
         *prefix_count_exprs("icd9_code", code_prefixes, "has_"))
 
     out = base.join(m, "hadm_id", "left").join(d, "hadm_id", "left")
@@ -244,11 +259,11 @@ def feature_table(admissions: DataFrame, patients: DataFrame, measurements: Data
         # checkpoint folder so the source aggregates run once (and survive executor loss).
         out = cut_lineage(out.select("hadm_id", "expire_flag", "age", "los",
                                      *lab_items.values(), *vital_items.values(),
-                                     "diagnosis_count", *[f"proc_{v}" for v in top],
+                                     "diagnosis_count", *procs,
                                      *[f"has_{k}" for k in code_prefixes], *flag_cols))
     numeric = ["age", "los", *lab_items.values(), *vital_items.values()]
-    counts = ["diagnosis_count", *[f"proc_{v}" for v in top], *[f"has_{k}" for k in code_prefixes], *flag_cols]
-    out = clean.median_impute(out, numeric, method=quantile_method)
+    counts = ["diagnosis_count", *procs, *[f"has_{k}" for k in code_prefixes], *flag_cols]
+    out = clean.median_impute(out, numeric)
     out = out.fillna(0, subset=counts)
-    return out.select("hadm_id", *numeric, *counts,
+    return out.select("hadm_id", *numeric, *counts, *names,
                       F.coalesce(F.col("expire_flag").cast("int"), F.lit(0)).alias("mortality"))

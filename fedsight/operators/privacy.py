@@ -25,8 +25,10 @@ def sensitivity(clip_range: tuple[float, float] | None) -> float:
 
 
 def laplace_noise(df: DataFrame, epsilon: float, keys: Sequence[str], clip_range: tuple[float, float] | None = None,
-                  seed: int = 42, deterministic: bool = True, col: str = "value") -> DataFrame:
-    """Optionally clip, then add Laplace(0, sensitivity/ε) noise; no re-clip."""
+                  seed: int = 42, deterministic: bool = False, col: str = "value") -> DataFrame:
+    """Optionally clip, then add Laplace(0, sensitivity/ε) noise; no re-clip. The
+    noise is unpredictable unless ``deterministic``: then anyone who knows keys
+    and seed can take it away again, so that is for tests and simulations only."""
     if epsilon <= 0:
         raise ValueError("epsilon must be positive")
     out = clip_importance(df, *clip_range, col=col) if clip_range else df

@@ -73,10 +73,10 @@ def explanation_sample(df: DataFrame, client: str, label: str, keys: Sequence[st
                       F.least(k - pos, F.col("_n") - F.col("_np")).alias("_qneg"))
     if privacy and min_samples is not None:
         q = q.where(F.col("_k") >= F.lit(min_samples))
-    d = _draw(df, [client, *keys], seed).join(q, client, "inner")  # one row per client
+    # at most per_client rows a class and client are left when the quotas (one row per client) are joined
+    d = top_k_per_group(_draw(df, [client, *keys], seed), [client, label], "_u", keys, per_client)
     quota = F.when(F.col(label) == 1, F.col("_qpos")).otherwise(F.col("_qneg"))
-    r = top_k_per_group(d, [client, label], ["_u", *keys], per_client, quota)
-    return r.drop("_u", "_r", "_k", "_qpos", "_qneg")
+    return d.join(q, client, "inner").where(F.col("_r") <= quota).select(*df.columns)
 
 
 # E4 ---------------------------------------------------------------------------
@@ -86,7 +86,7 @@ def balanced_sample(df: DataFrame, label: str, keys: Sequence[str], n_samples: i
     counts = df.agg(F.count_if(F.col(label) == 1).alias("np"), F.count_if(F.col(label) == 0).alias("nn"))
     m = counts.select(F.least(F.lit(n_samples // 2), F.col("np"), F.col("nn")).alias("m")).scalar()
     d = _draw(df, keys, seed).where(F.col(label).isin(0, 1))
-    return top_k_per_group(d, [label], ["_u", *keys], n_samples // 2, m).drop("_u", "_r")
+    return top_k_per_group(d, [label], "_u", keys, n_samples // 2, m).drop("_u", "_r")
 
 
 # E5 ---------------------------------------------------------------------------
@@ -133,17 +133,14 @@ def select_clients(client_rounds: DataFrame, client: str = "client_id", round_co
 
 # E7 ---------------------------------------------------------------------------
 def overlapping_clients(df: DataFrame, keys: Sequence[str], num_clients: int, per_client: int,
-                        seed: int = 42, prefix: str = "client_", small_k: int = 100_000) -> DataFrame:
+                        seed: int = 42, prefix: str = "client_") -> DataFrame:
     """Each client draws ``per_client`` rows without replacement; a row may go to
-    several clients. The row x client draws are spread over buckets, so a client
-    never sits in one task."""
+    several clients. Only the rows that can be among a client's first are
+    ranked, so a client's draws never sit in one task."""
     clients = F.array(*[F.lit(f"{prefix}{i + 1}") for i in range(num_clients)])
     d = df.withColumn("client_id", F.explode(clients))
     d = d.withColumn("_u", uniform("client_id", *keys, seed=seed))
-    if per_client <= small_k:
-        return top_k_per_group(d, ["client_id"], ["_u", *keys], per_client).drop("_u", "_r")
-    r = ranked(d, "_u", ["client_id"], tiebreak=list(keys), rank_col="_r")
-    return r.where(F.col("_r") <= per_client).drop("_u", "_r")
+    return top_k_per_group(d, ["client_id"], "_u", keys, per_client).drop("_u", "_r")
 
 
 # E8 ---------------------------------------------------------------------------

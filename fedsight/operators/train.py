@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fedsight.functions.exprs import broadcast_if_small, sigmoid
+from fedsight.functions.exprs import sigmoid
 from fedsight.operators import evaluate as ev
 from fedsight.operators import sample as sp
 from fedsight.session import cut_lineage
@@ -79,8 +79,7 @@ def weights_fit_broadcast(n_clients: int, d: int) -> bool:
 
 
 def _maybe_broadcast(df: DataFrame, decision: bool | None) -> DataFrame:
-    if decision is None:
-        return broadcast_if_small(df, MAX_BROADCAST_BYTES)
+    """A hint only where the caller has proven the size; else the planner decides."""
     return F.broadcast(df) if decision else df
 
 
@@ -89,7 +88,7 @@ def local_step(rows: DataFrame, features: Sequence[str], client_w: DataFrame, cw
                broadcast_weights: bool | None = None) -> DataFrame:
     """One full-batch gradient step per client: w <- w - lr·(Σ c_y (p-y) x / n + l2·w).
     ``broadcast_weights``: decided by the caller from the client count (a proven
-    bound), else from Catalyst's estimate."""
+    bound), else left to the planner."""
     d = len(features)
     j = rows.join(_maybe_broadcast(client_w, broadcast_weights), client)
     if cw is not None:
@@ -99,20 +98,20 @@ def local_step(rows: DataFrame, features: Sequence[str], client_w: DataFrame, cw
         c = F.lit(1.0)
     r = c * (sigmoid(margin_expr(features, F.col("_w"), F.col("_b"))) - F.col(label).cast("double"))
     # the residual is projected once per row; the d + 1 sums then only multiply
-    j = j.select(client, r.alias("_r"), *features)
+    j = j.select(client, r.alias("_r"), "_w", "_b", *features)
     g = j.groupBy(client).agg(F.count(F.lit(1)).alias("_n"),
                               *[F.sum(F.col("_r") * F.col(f).cast("double")).alias(f"_g{i}") for i, f in enumerate(features)],
-                              F.sum("_r").alias("_gb"))
-    m = g.join(client_w, client)
+                              F.sum("_r").alias("_gb"), F.first("_w").alias("_w"), F.first("_b").alias("_b"))
     neww = F.array(*[F.col("_w")[i] - F.lit(lr) * (F.col(f"_g{i}") / F.col("_n") + F.lit(l2) * F.col("_w")[i])
                      for i in range(d)])
-    return m.select(client, neww.alias("_w"), (F.col("_b") - F.lit(lr) * F.col("_gb") / F.col("_n")).alias("_b"),
+    # the old weights came through the aggregate: no second use of client_w, so a plan grows by one step an epoch
+    return g.select(client, neww.alias("_w"), (F.col("_b") - F.lit(lr) * F.col("_gb") / F.col("_n")).alias("_b"),
                     F.col("_n").alias("data_size"))
 
 
 def local_train(rows: DataFrame, features: Sequence[str], start: DataFrame, local_epochs: int = 1, lr: float = 0.1,
                 l2: float = 0.0, class_weighted: bool = True, client: str = "client_id", label: str = "label",
-                checkpoint_each: bool = False, broadcast_weights: bool | None = None,
+                broadcast_weights: bool | None = None,
                 class_weights: DataFrame | None = None) -> DataFrame:
     """``local_epochs`` full-batch steps per client from ``start``; balanced class
     weights of each client's rows unless given (per client, so a loop can
@@ -121,10 +120,10 @@ def local_train(rows: DataFrame, features: Sequence[str], start: DataFrame, loca
         if class_weighted else None
     w = start.select(client, "_w", "_b")
     out = None
-    for _ in range(local_epochs):
+    for e in range(local_epochs):
         out = local_step(rows, features, w, cw, lr, l2, client, label, broadcast_weights)
-        if checkpoint_each:
-            out = cut_lineage(out)
+        if e < local_epochs - 1:
+            out = cut_lineage(out)      # a few weight rows; the next epoch's plan starts from them
         w = out.select(client, "_w", "_b")
     return out
 
@@ -181,12 +180,12 @@ def fedavg_train(rows: DataFrame, features: Sequence[str], rounds: int = 2, frac
     for r in range(1, rounds + 1):
         sel = sp.select_clients(clients.withColumn("round", F.lit(r)), client, "round", fraction, seed)
         start = sel.select(client, glob.select("_w").scalar().alias("_w"), glob.select("_b").scalar().alias("_b"))
-        local = cut_lineage(local_train(rows.join(F.broadcast(sel.select(client)), client, "left_semi"), features,
+        local = cut_lineage(local_train(rows.join(_maybe_broadcast(sel.select(client), bcast), client, "left_semi"), features,
                                         start, local_epochs, lr, l2, class_weighted, client, label,
                                         broadcast_weights=bcast, class_weights=cw))
         glob = cut_lineage(fedavg(local, d, weighted).select("_w", "_b"))
         per_round_w.append(to_long(glob).withColumn("round", F.lit(r)))
-        scored_local = score_with(rows.join(F.broadcast(sel.select(client)), client, "left_semi"), features, local,
+        scored_local = score_with(rows.join(_maybe_broadcast(sel.select(client), bcast), client, "left_semi"), features, local,
                                   [client], broadcast_weights=bcast)
         scored_local = scored_local.withColumn("pred", (F.col("score") > 0.5).cast("int"))
         per_client_m.append(ev.metrics(scored_local, [client], label=label, digits=None).withColumn("round", F.lit(r)))

@@ -100,9 +100,36 @@ def q_lime(spark, d):
                          num_samples=500, max_features=5)
 
 
-# H3 (rows / additivity check)
+# H3 (additivity check): sampled coalitions over the whole vector.
 @query("kernel_shap_batch")
 def q_kernel_shap(spark, d):
     rows = _rows(spark, d)
     bg = sp.background_sample(rows, ["vec_id"], 50, seed=42)
     return ex.kernel_shap_batch(_explained(spark, d), bg, FEATS, "vec_id", FIXED_W, FIXED_B)
+
+
+# H3: exact Shapley values of a model that has four inputs, against the Shapley formula over all 16 coalitions in SQL.
+SMALL = FEATS[:4]
+SMALL_W, SMALL_B = [1.5, -2.0, 0.75, 3.0], -0.1
+_EXPLAINED = f"""cl AS (SELECT client_id, count(*) AS n, sum(label) AS np FROM training_rows GROUP BY 1),
+q AS (SELECT client_id, least(floor(least(10, n) * np / n), np) AS qpos,
+        least(least(10, n) - floor(least(10, n) * np / n), n - np) AS qneg FROM cl),
+ranked AS (SELECT t.*, row_number() OVER (PARTITION BY client_id, label ORDER BY {sql_uniform(["client_id", "vec_id"], 42)}, vec_id) AS rn
+  FROM training_rows t),
+inst AS (SELECT ranked.* FROM ranked JOIN q USING (client_id) WHERE rn <= CASE WHEN label = 1 THEN qpos ELSE qneg END)"""
+_MIXED = " + ".join(f"({w!r}) * CASE WHEN (s & {1 << j}) <> 0 THEN i.f{j} ELSE b.f{j} END" for j, w in enumerate(SMALL_W))
+_V = f"""v AS (SELECT i.vec_id, s, avg(1.0 / (1.0 + exp(-({_MIXED} + ({SMALL_B!r}))))) AS v
+  FROM inst i, bg b, range(16) r(s) GROUP BY 1, 2)"""
+_SHAPLEY = " UNION ALL ".join(f"""SELECT a.vec_id, 'f{j}' AS feature, round(sum((c.v - a.v)
+    * CASE bit_count(a.s) WHEN 0 THEN 0.25 WHEN 1 THEN 1.0 / 12 WHEN 2 THEN 1.0 / 12 ELSE 0.25 END), 6) AS phi
+  FROM v a JOIN v c ON a.vec_id = c.vec_id AND c.s = a.s + {1 << j} WHERE (a.s & {1 << j}) = 0 GROUP BY 1""" for j in range(4))
+
+
+@query("kernel_shap_exact", TR.rstrip() + ",\n" + _BG.split(",\nmu AS")[0].replace("LIMIT 100", "LIMIT 50") + ",\n" + _EXPLAINED + ",\n" + _V + f""",
+phi AS ({_SHAPLEY})
+SELECT phi.vec_id, feature, phi, round(e.v, 6) AS base_value, round(f.v, 6) AS prediction
+FROM phi JOIN v e ON e.vec_id = phi.vec_id AND e.s = 0 JOIN v f ON f.vec_id = phi.vec_id AND f.s = 15""")
+def q_kernel_shap_exact(spark, d):
+    bg = sp.background_sample(_rows(spark, d), ["vec_id"], 50, seed=42)
+    phi = ex.kernel_shap_batch(_explained(spark, d), bg, SMALL, "vec_id", SMALL_W, SMALL_B, exact=True)
+    return phi.withColumns({c: F.round(c, 6) for c in ("phi", "base_value", "prediction")})

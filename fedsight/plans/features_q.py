@@ -37,12 +37,12 @@ d AS (
   SELECT hadm_id, count(*) AS diagnosis_count,
     {_prefix_sql('icd9_code', tb.CODE_PREFIXES, 'has_')}
   FROM diagnoses GROUP BY hadm_id),
+top AS (
+  SELECT substr(icd9_code, 1, 2) AS cat, row_number() OVER (ORDER BY count(*) DESC, substr(icd9_code, 1, 2)) AS rk
+  FROM diagnoses GROUP BY 1 ORDER BY 2 LIMIT 10),
 pv AS (
-  SELECT * FROM (PIVOT (
-      SELECT l_orderkey AS hadm_id, 'proc_' || substr(CAST(l_partkey AS VARCHAR), 1, 2) AS c FROM lineitem
-      WHERE substr(CAST(l_partkey AS VARCHAR), 1, 2) IN (
-        SELECT substr(CAST(l_partkey AS VARCHAR), 1, 2) FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10))
-    ON c USING count(*) GROUP BY hadm_id)),
+  SELECT hadm_id, {", ".join(f"count(*) FILTER (WHERE rk = {i}) AS proc_top{i}" for i in range(1, 11))}
+  FROM diagnoses JOIN top ON substr(icd9_code, 1, 2) = top.cat GROUP BY hadm_id),
 base AS (
   SELECT a.hadm_id, a.expire_flag,
     CASE WHEN (year(a.admittime) - year(p.dob)
@@ -59,17 +59,17 @@ base AS (
 SELECT base.hadm_id,
   {", ".join(f"coalesce({c}, (SELECT median({c}) FROM base)) AS {c}" for c in _NUMERIC)},
   diagnosis_count, {", ".join(f"has_{k}" for k in tb.CODE_PREFIXES)},
-  coalesce(COLUMNS('^proc_'), 0),
+  {", ".join(f"coalesce(pv.proc_top{i}, 0) AS proc_top{i}" for i in range(1, 11))},
+  {", ".join(f"(SELECT cat FROM top WHERE rk = {i}) AS proc_top{i}_category" for i in range(1, 11))},
   CAST(expire_flag AS INTEGER) AS mortality
 FROM base LEFT JOIN pv ON base.hadm_id = pv.hadm_id
 """
 
 
-def build_feature_table(spark, d, quantile_method: str = "auto"):
+def build_feature_table(spark, d, admissions=None):
     return ft.feature_table(
-        tb.admissions(spark, d), tb.patients(spark, d), tb.measurements(spark, d), tb.diagnoses(spark, d),
-        lab_items=tb.LAB_ITEMS, vital_items=tb.VITAL_ITEMS, code_prefixes=tb.CODE_PREFIXES, top_n=10,
-        quantile_method=quantile_method)
+        tb.admissions(spark, d) if admissions is None else admissions, tb.patients(spark, d), tb.measurements(spark, d), tb.diagnoses(spark, d),
+        lab_items=tb.LAB_ITEMS, vital_items=tb.VITAL_ITEMS, code_prefixes=tb.CODE_PREFIXES, top_n=10, rank_names=True)
 
 
 @query("feature_table", FEATURE_TABLE_SQL)

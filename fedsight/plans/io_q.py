@@ -6,6 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from fedsight.functions.draws import sql_uniform
 from fedsight.operators import aggregate as ag
 from fedsight.operators import evaluate as ev
 from fedsight.operators import sample as sp
@@ -16,6 +17,7 @@ from fedsight.plans.registry import query
 from fedsight.plans.train_q import FEATS
 from fedsight.sources import io
 from fedsight.sources import testbed as tb
+from fedsight.sources.tables import load
 
 IMP = tb.with_ctes(tb.SQL_IMPORTANCE)
 
@@ -54,16 +56,29 @@ def q_results_table(spark, d):
     return spark.read.parquet(path).select("experiment", "round", "accuracy")
 
 
-# The feature table materialised under md5("mortality_0.4") and read through.
-@query("feature_cache_key", features_q.FEATURE_TABLE_SQL.replace(
-    "SELECT base.hadm_id,", "SELECT md5('mortality_0.4') AS cache_key, base.hadm_id,", 1))
+# The feature table of a stratified 40 % of the admissions, materialised under md5("mortality_0.4") and read through.
+_U_ADM = sql_uniform(["hadm_id"], 42)
+_KEPT = f"""kept AS (
+  SELECT hadm_id FROM (SELECT hadm_id, row_number() OVER (PARTITION BY expire_flag ORDER BY {_U_ADM}, hadm_id) AS rn,
+    count(*) OVER (PARTITION BY expire_flag) AS n FROM admissions) WHERE rn <= round(n * 0.4)),
+base AS ("""
+
+
+@query("feature_cache_key", features_q.FEATURE_TABLE_SQL.replace("base AS (", _KEPT, 1)
+       .replace("FROM admissions a LEFT JOIN patients", "FROM (SELECT * FROM admissions WHERE hadm_id IN (SELECT hadm_id FROM kept)) a LEFT JOIN patients", 1)
+       .replace("SELECT base.hadm_id,", "SELECT md5('mortality_0.4') AS cache_key, base.hadm_id,", 1))
 def q_cache(spark, d):
-    # the cache root names the data folder and the table definition, so a changed
-    # definition never reads a table built by an older one
-    fingerprint = hashlib.md5((d + features_q.FEATURE_TABLE_SQL).encode()).hexdigest()
-    root = io.shared_path(spark, "feature-cache", fingerprint)
-    t = io.cached_table(spark, "mortality", 0.4, lambda: features_q.build_feature_table(spark, d), root=root)
-    return t.withColumn("cache_key", F.lit(io.cache_key("mortality", 0.4)))
+    fraction = 0.4
+
+    def build():
+        part = sp.stratified_subsample(tb.admissions(spark, d), "expire_flag", fraction, ["hadm_id"], seed=42)
+        return features_q.build_feature_table(spark, d, part)
+
+    # the cache root names the input files as they are now and the table's definition
+    state = "".join(io.input_state(load(spark, d, t)) for t in ("orders", "customer", "lineitem"))
+    root = io.shared_path(spark, "feature-cache", hashlib.md5((state + features_q.FEATURE_TABLE_SQL).encode()).hexdigest())
+    t = io.cached_table(spark, "mortality", fraction, build, root=root)
+    return t.withColumn("cache_key", F.lit(io.cache_key("mortality", fraction)))
 
 
 # L2 (rows check): three federated configurations over the same rows; per

@@ -34,7 +34,7 @@ def q_left_join_composite(spark, d):
     a = li.select("l_orderkey", "l_linenumber", "l_partkey")
     b = li.where(F.col("l_returnflag") == "R").select("l_orderkey", "l_linenumber",
                                                        F.col("l_partkey").alias("stay_partkey"))
-    return ft.left_join(a, b, ["l_orderkey", "l_linenumber"], max_broadcast_bytes=0)
+    return ft.left_join(a, b, ["l_orderkey", "l_linenumber"])
 
 
 # Unordered client pairs per (round, method).
@@ -129,23 +129,18 @@ def q_top_categories(spark, d):
     return ft.top_categories(tb.diagnoses(spark, d), clean.code_prefix("icd9_code", 2), 10)
 
 
-# Crosstab of the 20 most frequent categories (entities with codes only).
-_TOP20 = """SELECT substr(CAST(l_partkey AS VARCHAR), 1, 2) FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20"""
-
-
-@query("category_crosstab", f"""
-SELECT e.hadm_id, coalesce(COLUMNS('^PROC_CAT_'), 0)
-FROM (SELECT DISTINCT l_orderkey AS hadm_id FROM lineitem) e
-LEFT JOIN (PIVOT (
-    SELECT l_orderkey AS hadm_id, 'PROC_CAT_' || substr(CAST(l_partkey AS VARCHAR), 1, 2) AS c FROM lineitem
-    WHERE substr(CAST(l_partkey AS VARCHAR), 1, 2) IN ({_TOP20}))
-  ON c USING count(*) GROUP BY hadm_id) pv ON e.hadm_id = pv.hadm_id
-""")
+# Crosstab of the 20 most frequent categories (entities with codes only), named by rank.
+@query("category_crosstab", tb.with_ctes(tb.SQL_DIAGNOSES).rstrip() + f""",
+top AS (SELECT substr(icd9_code, 1, 2) AS cat, row_number() OVER (ORDER BY count(*) DESC, substr(icd9_code, 1, 2)) AS rk
+  FROM diagnoses GROUP BY 1 ORDER BY 2 LIMIT 20)
+SELECT hadm_id, {", ".join(f"count(*) FILTER (WHERE rk = {i}) AS PROC_TOP{i}" for i in range(1, 21))},
+  {", ".join(f"(SELECT cat FROM top WHERE rk = {i}) AS PROC_TOP{i}_category" for i in range(1, 21))}
+FROM diagnoses LEFT JOIN top ON substr(icd9_code, 1, 2) = top.cat GROUP BY hadm_id""")
 def q_crosstab(spark, d):
     dg = tb.diagnoses(spark, d)
     cat = clean.code_prefix("icd9_code", 2)
     top = ft.top_category_values(dg, cat, 20)
-    return ft.category_crosstab(dg, "hadm_id", cat, top, "PROC_CAT_")
+    return ft.category_crosstab(dg, "hadm_id", cat, top, "PROC_TOP", ranks=20)
 
 
 # D5

@@ -31,6 +31,7 @@ def q_central_run(spark, d):
     -> 80/20 split -> class-weighted logistic fit -> test metrics -> Kernel SHAP
     (sampled coalitions) for a balanced handful of test rows."""
     sampled = sp.stratified_subsample(tb.admissions(spark, d), "expire_flag", 0.4, [ID])
+    sampled = cut_lineage(sampled)      # the keys are read three times
     keys = sampled.select(ID)
     table = ft.feature_table(
         sampled, tb.patients(spark, d), ft.restrict_to_keys(tb.measurements(spark, d), keys, ID),
@@ -62,7 +63,7 @@ def q_federated_run(spark, d):
     client importance summaries -> gate, outlier filter, average, agreement."""
     from fedsight.plans.features_q import build_feature_table
     table = build_feature_table(spark, d)
-    feats = [c for c in table.columns if c not in (ID, LABEL)]
+    feats = [c for c in table.columns if c not in (ID, LABEL) and not c.endswith("_category")]
     parted = sp.partition_clients(table, [ID], 3)
     split = sp.stratified_split(parted, LABEL, [ID], 0.2)
     train = split.where("split = 'train'").withColumnRenamed(LABEL, "label")

@@ -1,5 +1,5 @@
 """Queries for training and scoring (F2-F8) on the embedding rows
-(8 features, label = class parity, client = id mod 3)."""
+(64 features, label = class parity, client = id mod 3)."""
 
 from __future__ import annotations
 
@@ -85,6 +85,13 @@ def q_local_step(spark, d):
     return tr.to_long(_local(spark, d), ["client_id"], digits=6)
 
 
+# five local epochs (the plan grows by one aggregate an epoch).
+@query("local_train_epochs", TR + ",\n" + CW + ",\n" + ZERO + ",\n" + ",\n".join(sql_step(f"w{e}_", f"w{e + 1}_") for e in range(5))
+       + "\n" + sql_long("w5_", "client_id"))
+def q_local_epochs(spark, d):
+    return tr.to_long(_local(spark, d, epochs=5), ["client_id"], digits=6)
+
+
 # size-weighted average of those local models.
 @query("fedavg_weights", TR + ",\n" + CW + ",\n" + ZERO + ",\n" + sql_step("w0_", "w1_") + ",\n"
        + sql_step("w1_", "w2_") + ",\n" + sql_avg("w2_", "avg_", weighted=True) + "\n" + sql_long("avg_"))

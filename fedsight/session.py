@@ -49,14 +49,18 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Use the session's checkpoint folder; only when none is configured (tests,
-    local runs) set one under ``fallback`` or the system temp folder."""
+    """Use the session's checkpoint folder. When none is configured, a local
+    master (tests) gets one under ``fallback`` or the system temp folder; a
+    cluster's machines share no such folder, so there it is an error."""
     d = checkpoint_dir(spark)
     if d:
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(d)
         return d
     import tempfile
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     d = fallback or os.path.join(tempfile.gettempdir(), "fedsight-checkpoints")
     spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

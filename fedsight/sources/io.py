@@ -97,7 +97,7 @@ def unnest_summaries(nested: DataFrame) -> DataFrame:
 
 def write_summaries_json(nested: DataFrame, path: str) -> None:
     """One folder per (round, client) — the reference writes one file per pair."""
-    nested.write.mode("overwrite").partitionBy("round", "client_id").json(path)
+    nested.repartition("round", "client_id").write.mode("overwrite").partitionBy("round", "client_id").json(path)
 
 
 def read_summaries_json(spark: SparkSession, path: str) -> DataFrame:
@@ -135,7 +135,7 @@ def read_history_json(spark: SparkSession, path: str, run_id: str | None = None)
 
 # A8 -------------------------------------------------------------------------------
 def save_results(results: DataFrame, path: str) -> None:
-    results.write.mode("overwrite").partitionBy("experiment").parquet(path)
+    results.repartition("experiment").write.mode("overwrite").partitionBy("experiment").parquet(path)
 
 
 # A9 -------------------------------------------------------------------------------
@@ -143,9 +143,19 @@ def cache_key(task: str, fraction: float) -> str:
     return hashlib.md5(f"{task}_{fraction}".encode()).hexdigest()
 
 
+def input_state(df: DataFrame) -> str:
+    """Fingerprint of a file scan's inputs: paths, sizes and modification times
+    (only file metadata is read)."""
+    m = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    h = F.xxhash64("file_path", "file_size", "file_modification_time")
+    return str(tuple(m.agg(F.count(F.lit(1)), F.bit_xor(h)).first()))
+
+
 def cached_table(spark: SparkSession, task: str, fraction: float, build, root: str | None = None) -> DataFrame:
     """Read-through materialisation of a prepared table keyed by
-    md5("{task}_{fraction}"): build and write it when absent, then read it."""
+    md5("{task}_{fraction}"): build and write it when absent, then read it. The
+    caller's ``root`` names whatever else the table depends on (see
+    :func:`input_state`)."""
     root = root or shared_path(spark, "feature-cache")
     path = os.path.join(root, cache_key(task, fraction))
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -189,7 +189,7 @@ SQL_SCORED = """scored AS (
 
 
 # training rows <- embeddings: label = parity of the class, client = id mod 3.
-N_EMB_FEATURES = 8
+N_EMB_FEATURES = 64   # the whole vector
 
 
 def training_rows(spark: SparkSession, d: str, n_features: int = N_EMB_FEATURES) -> DataFrame:

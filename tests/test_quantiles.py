@@ -1,25 +1,30 @@
 import random
 
+import numpy as np
+
 from fedsight.functions.quantiles import quantile_values
 
 
-def test_windowed_equals_aggregate(spark):
+def test_equals_linear_interpolation(spark):
     rnd = random.Random(11)
     rows = []
     for i in range(30000):
         a = rnd.gauss(0, 1)
         b = float(rnd.randint(0, 50))            # many duplicates
         c = rnd.choice([float("nan"), float("inf"), None, rnd.random()])
-        rows.append((a, b, c))
-    rows.append((1e12, 0.0, 0.5))                # extreme outlier
-    df = spark.createDataFrame(rows, "a double, b double, c double")
-    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    exact = quantile_values(df, ["a", "b", "c"], probs, method="aggregate")
-    win = quantile_values(df, ["a", "b", "c"], probs, method="windowed", accuracy=1000)
-    assert exact == win
+        hot = 7.5 if rnd.random() < 0.9 else rnd.random() * 100   # one value in 90 % of the rows
+        rows.append((a, b, c, hot))
+    rows.append((1e12, 0.0, 0.5, -3.0))          # extreme outlier
+    df = spark.createDataFrame(rows, "a double, b double, c double, hot double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.95, 0.999, 1.0]
+    got = quantile_values(df, ["a", "b", "c", "hot"], probs)
+    for j, col in enumerate(["a", "b", "c", "hot"]):
+        x = np.array([r[j] for r in rows if r[j] is not None and np.isfinite(r[j])])
+        for p in probs:
+            assert abs(got[(col, p)] - np.quantile(x, p)) <= 1e-9 * max(1, abs(got[(col, p)])), (col, p)
 
 
-def test_empty_column(spark):
-    df = spark.createDataFrame([(None,), (float("nan"),)], "x double")
-    assert quantile_values(df, ["x"], [0.5], method="windowed") == {("x", 0.5): None}
-    assert quantile_values(df, ["x"], [0.5], method="aggregate") == {("x", 0.5): None}
+def test_empty_columns(spark):
+    df = spark.createDataFrame([(None, 1.0), (float("nan"), 3.0)], "x double, y double")
+    assert quantile_values(df, ["x", "y"], [0.5]) == {("x", 0.5): None, ("y", 0.5): 2.0}
+    assert quantile_values(df.limit(0), ["x"], [0.5]) == {("x", 0.5): None}

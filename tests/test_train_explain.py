@@ -28,7 +28,7 @@ def test_kernel_shap_equals_exact_shapley(spark):
     rows = _rows(spark)
     inst = rows.limit(3)
     bg = rows.orderBy("id").limit(20)
-    phi = ex.kernel_shap_batch(inst, bg, FEATS, "id", W, B)
+    phi = ex.kernel_shap_batch(inst, bg, FEATS, "id", W, B, exact=True)
     got = {}
     for r in phi.collect():
         got.setdefault(r["id"], {})[r["feature"]] = (r["phi"], r["base_value"], r["prediction"])
@@ -52,12 +52,43 @@ def test_kernel_shap_equals_exact_shapley(spark):
 
 
 def test_kernel_weight_golden():
-    M = 32
-    w = [(M - 1) / (s * (M - s)) for s in range(1, M)]
-    left = 1 - (w[0] + w[-1]) / sum(w)
+    per_size = [math.comb(32, n) * w for n, w in enumerate(ex.kernel_size_weights(32))][1:32]
+    left = 1 - (per_size[0] + per_size[-1]) / sum(per_size)
     assert abs(left - 0.74368134682094) < 1e-12
 
 
+def test_kernel_shap_edges(spark):
+    rows = _rows(spark)
+    inst, bg = rows.limit(2), rows.orderBy("id").limit(10)
+    one = ex.kernel_shap_batch(inst, bg, ["a"], "id", [2.0], 0.1).collect()
+    assert len(one) == 2 and all(abs(r["phi"] - (r["prediction"] - r["base_value"])) < 1e-12 for r in one)
+    few = ex.kernel_shap_batch(inst, bg, FEATS, "id", W, B, nsamples=2).groupBy("id").agg(
+        F.sum("phi").alias("s"), F.first("prediction").alias("p"), F.first("base_value").alias("b")).collect()
+    assert len(few) == 2 and all(abs(r["s"] - (r["p"] - r["b"])) < 1e-9 for r in few)
+    for bad in (dict(features=[f"x{i}" for i in range(20)], weights=[1.0] * 20, exact=True), dict(features=FEATS, weights=None),
+                dict(features=FEATS, weights=W, max_background=5)):
+        try:
+            wide = [F.lit(1.0).alias(f"x{i}") for i in range(20)]
+            ex.kernel_shap_batch(inst.select("*", *wide), bg.select("*", *wide), key="id", bias=B, **bad)
+            raise AssertionError("no error")
+        except ValueError:
+            pass
+
+
+def test_fitted_models_can_be_explained(spark):
+    rows = _rows(spark, 300)
+    for hidden in (None, [3]):
+        model = tr.fit_classifier(rows, FEATS, hidden=hidden, max_iter=30)
+        f = ex.fitted_scorer(model)
+        got = tr.predict(model, rows, FEATS).orderBy("id").select("score", *FEATS).collect()
+        X = np.array([[r[c] for c in FEATS] for r in got])
+        assert np.allclose(f(X), [r["score"] for r in got], atol=1e-9)
+        phi = ex.kernel_shap_batch(rows.limit(2), rows.limit(10), FEATS, "id", scorer=f, exact=True).groupBy("id").agg(
+            F.sum("phi").alias("s"), F.first("prediction").alias("p"), F.first("base_value").alias("b")).collect()
+        assert all(abs(r["s"] - (r["p"] - r["b"])) < 1e-9 for r in phi)
+        assert ex.lime_batch(rows.limit(2), rows, FEATS, "id", scorer=f, num_samples=200, max_features=2).count() == 4
+
+
 def test_linear_shap_additivity(spark):
     rows = _rows(spark)
     phi = ex.linear_shap(rows, FEATS, "id", W, B, rows)
@@ -70,13 +101,46 @@ def test_linear_shap_additivity(spark):
 
 def test_lime_recovers_signs(spark):
     rows = _rows(spark, 400)
-    inst = rows.limit(5)
-    out = ex.lime_batch(inst, rows, FEATS, "id", W, B, num_samples=800, max_features=4)
-    for r in out.where(F.col("feature").isin("a", "b")).collect():
-        # z=1 means "in the instance's bin"; the sign of the weight follows the
-        # model direction times the side of the instance's bin
-        assert r["weight"] != 0.0
-    assert out.count() == 5 * 4
+    cuts = {r["feature"]: (r["q1"], r["q3"]) for r in ex.quartile_cuts(rows, FEATS).collect()}
+    inst = rows.limit(30)
+    xs = {r["id"]: r for r in inst.collect()}
+    out = ex.lime_batch(inst, rows, FEATS, "id", W, B, num_samples=800, max_features=4).collect()
+    assert len(out) == 30 * 4
+    checked = 0
+    for r in out:
+        # z = 1 means "in the instance's bin": in the top bin the weight has the model's sign, in the lowest the other
+        x, (q1, q3) = xs[r["id"]][r["feature"]], cuts[r["feature"]]
+        if r["feature"] in ("a", "b") and (x <= q1 or x > q3):
+            side = 1 if x > q3 else -1
+            assert r["weight"] * side * W[FEATS.index(r["feature"])] > 0
+            checked += 1
+    assert checked > 10
+
+
+def test_lime_equals_weighted_ridge_on_its_own_draws(spark):
+    """One feature: the surrogate is the weighted difference of two means, shrunk."""
+    rows = _rows(spark, 100)
+    out = ex.lime_batch(rows.limit(3), rows, ["a"], "id", [2.0], 0.0, num_samples=4000, max_features=1, alpha=0.0).collect()
+    stats = {r["bin"]: r["m"] for r in ex.quartile_bins(rows, ["a"], "id", ex.quartile_cuts(rows, ["a"])).groupBy("bin").agg(
+        F.avg("value").alias("m")).collect()}
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    cut = ex.quartile_cuts(rows, ["a"]).first()
+    xs = {r["id"]: r["a"] for r in rows.collect()}
+    for r in out:
+        x = xs[r["id"]]
+        b = sum(x > cut[q] for q in ("q1", "q2", "q3"))
+        others = np.mean([sig(2 * stats[k]) for k in range(4) if k != b])
+        assert abs(r["weight"] - (sig(2 * x) - others)) < 0.03
+
+
+def test_local_epochs_grow_linearly(spark):
+    rows = _rows(spark, 60)
+    start = rows.select("client_id").distinct().select("client_id", tr.zero_model(4).alias("_w"), F.lit(0.0).alias("_b"))
+    size = [str(tr.local_train(rows, FEATS, start, e, lr=0.5)._jdf.queryExecution().optimizedPlan()).count("Aggregate") for e in (2, 5)]
+    assert size[0] == size[1]      # each epoch starts from checkpointed weights
+    one = tr.local_train(rows, FEATS, start, 1, lr=0.5)
+    two = tr.local_train(rows, FEATS, one, 1, lr=0.5).orderBy("client_id").collect()
+    assert np.allclose([r["_w"] for r in two], [r["_w"] for r in tr.local_train(rows, FEATS, start, 2, lr=0.5).orderBy("client_id").collect()])
 
 
 def test_fedavg_identical_clients_equals_central(spark):
@@ -115,6 +179,6 @@ def test_sampled_kernel_shap_additivity(spark):
                                    F.first("prediction").alias("p")).collect():
         assert abs(r["s"] - (r["p"] - r["b"])) < 1e-9
     # sampled values are close to the exact ones
-    exact = {(r["id"], r["feature"]): r["phi"] for r in ex.kernel_shap_batch(inst, bg, FEATS, "id", W, B).collect()}
+    exact = {(r["id"], r["feature"]): r["phi"] for r in ex.kernel_shap_batch(inst, bg, FEATS, "id", W, B, exact=True).collect()}
     for r in phi.collect():
         assert abs(r["phi"] - exact[(r["id"], r["feature"])]) < 0.05
