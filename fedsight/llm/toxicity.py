@@ -5,7 +5,7 @@ digits and signs inside words to the letters they stand for. The lexicon holds
 word beginnings (a whole word or the stem of a family of words) with weights;
 one automaton finds all of them and all exception phrases in one pass over a
 text; a hit inside an exception phrase does not count. The weights of the hits,
-in all and per length of the text, give the score by a fitted logistic curve.
+normalised by the text's length, give the score by a fitted logistic curve.
 
 The lexicon is learned from labelled texts: Spark counts, over distinct texts,
 in how many toxic and clean ones each word beginning occurs.
@@ -40,6 +40,9 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 #: Phrases in which a listed word is harmless.
 EXCEPTIONS = ["trash can", "trash bin", "trash bag", "clown fish", "pond scum", "soap scum", "sore loser"]
 
+#: Log-likelihood ratio from which a word's share in toxic texts is no accident.
+LEAST_RATIO = 30.0
+
 _GLYPHS = str.maketrans({**HOMOGLYPHS, **dict.fromkeys("\u200b\u200c\u200d\u2060\ufeff\u00ad", None)})
 _LEET = str.maketrans(SUBSTITUTES)
 _MIXED = re.compile(r"\S*[0-9@$!]\S*")
@@ -111,9 +114,9 @@ def match(automaton: ahocorasick.Automaton | None, text: str) -> list[tuple[int,
 
 
 def features(hits: list[tuple[int, int, float]], n_words: int) -> tuple[float, float]:
-    """Weight of the hits in all, and per square root of the length; both damped."""
-    total = sum(w for _, _, w in hits)
-    return math.log1p(total), math.log1p(10 * total / math.sqrt(n_words + 1))
+    """Log of the hits' added odds (so that many weak hits do not outweigh a
+    strong one), and log of the length that normalises it."""
+    return math.log1p(sum(math.expm1(min(w, 20.0)) for _, _, w in hits)), math.log1p(n_words)
 
 
 def _score_series(lexicon: Lexicon):
@@ -155,7 +158,7 @@ def _beginnings(shortest: int, longest: int):
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           max_rows: int = 20_000, shortest: int = 3, longest: int = 14, min_share: float = 0.01, min_texts: int = 4,
-          min_precision: float = 0.9) -> Lexicon:
+          min_lift: float = 4.0) -> Lexicon:
     """Lexicon and curve from labelled texts.
 
     A bounded sample of labels teaches: about ``max_rows``, by a threshold on
@@ -184,12 +187,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         least = max(min_texts, math.ceil(min_share * n_tox))
         counts = (rows.mapInPandas(_beginnings(shortest, longest), "p string, toxic long").groupBy("p")
                   .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
-        # At most a share of 1 / min_share of a text's beginnings can pass, so the list is bounded.
+        # Then, of those, what stands in many places, and not in copies of one: a word's places are the two words before it.
+        # What passes is bounded by the number of beginnings that min_share of the toxic texts of the sample can hold.
         good = {r["p"]: (r["t"], r["c"]) for r in counts.where(
-            (F.col("t") >= least) & (F.col("t") / n_tox >= min_precision / (1 - min_precision + 1e-9) * F.col("c") / max(1, n_clean))
-            & (F.col("t") >= min_precision * (F.col("t") + F.col("c")))).collect()}
-        good = {p: tc for p, tc in good.items() if _clear(*tc, n_tox, n_clean)}
-        terms = _closed(good)
+            (F.col("t") >= least) & (F.col("t") / n_tox >= min_lift * F.col("c") / max(1, n_clean))).collect()}
+        rated = {p: (tc, r) for p, tc in good.items() if (r := _ratio(*tc, n_tox, n_clean)) >= LEAST_RATIO}
+        places = _places(rows, rated)
+        terms = _best({p: x for p, x in rated.items() if places.get(p, 0) >= max(min_texts, 0.2 * x[0][0])})
         weights = {p: round(math.log((t + 0.5) / (n_tox + 1)) - math.log((c + 0.5) / (n_clean + 1)), 6) for p, (t, c) in terms.items()}
         lexicon = Lexicon(weights, EXCEPTIONS + _harmless(rows, weights))
         lexicon.curve = _fit(rows, lexicon)
@@ -198,32 +202,50 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         rows.unpersist()
 
 
-def _clear(t: int, c: int, n_tox: int, n_clean: int, least: float = 15.0) -> bool:
-    """Whether Dunning's log-likelihood ratio of the two counts is clear."""
+def _ratio(t: int, c: int, n_tox: int, n_clean: int) -> float:
+    """Dunning's log-likelihood ratio of a word's counts in toxic and clean texts."""
+    def part(k, n, share):
+        return (k * math.log(k / (n * share)) if k else 0.0) + ((n - k) * math.log((n - k) / (n * (1 - share))) if k < n and share < 1 else 0.0)
     share = (t + c) / (n_tox + n_clean)
-    g = t * math.log(t / (n_tox * share)) + (c * math.log(c / (n_clean * share)) if c else 0.0)
-    return 2 * g >= least
-
-
-def _closed(good: dict[str, tuple[int, int]]) -> dict[str, tuple[int, int]]:
-    """Of a beginning and its extensions: an extension goes when a shorter one is
-    kept, and a beginning gives way to a longer one with nearly its texts."""
-    by_len = sorted(good, key=len)
-    longer = {p: p for p in by_len}
-    for p in reversed(by_len):      # the longest extension that still has 98 % of the texts
-        q = p[:-1]
-        if q in good and p[-1] != " " and good[longer[p]][0] >= 0.98 * good[q][0] and len(longer[p]) > len(longer[q]):
-            longer[q] = longer[p]
+    return 2 * (part(t, n_tox, share) + part(c, n_clean, share))
+
+
+def _places(rows: DataFrame, words: dict) -> dict[str, int]:
+    """In how many different places (the two folded words before) each word beginning stands in toxic texts."""
+    wanted = frozenset(words)
+    longest = max(map(len, wanted), default=0)
+
+    def found(batches):
+        for b in batches:
+            out = set()
+            for t in b["text"][b["toxic"] == 1]:
+                w = ["", "", *folded(t).split()]
+                for i in range(2, len(w)):
+                    for k in range(1, min(len(w[i]) + 1, longest) + 1):
+                        p = (w[i] + " ")[:k]
+                        if p in wanted:
+                            out.add((p, f"{w[i - 2]} {w[i - 1]}"))
+            yield pd.DataFrame(sorted(out), columns=["p", "place"])
+    if not wanted:
+        return {}
+    return dict(rows.mapInPandas(found, "p string, place string").distinct().groupBy("p").count().collect())
+
+
+def _best(good: dict[str, tuple[tuple[int, int], float]]) -> dict[str, tuple[int, int]]:
+    """Terms by their ratio, largest first (of equal ones the longer, but a
+    beginning before its whole word), without beginnings or extensions of a kept one."""
     kept: dict[str, tuple[int, int]] = {}
-    for p in by_len:
-        if not any(p[:k] in kept or longer.get(p[:k]) in kept and p.startswith(longer[p[:k]]) for k in range(1, len(p))):
-            kept[longer[p]] = good[longer[p]]
+    heads: set[str] = set()     # every beginning of a kept term
+    for p in sorted(good, key=lambda p: (-round(good[p][1], 6), p[-1] == " ", -len(p), p)):
+        if p not in heads and not any(p[:k] in kept for k in range(1, len(p))):
+            kept[p] = good[p][0]
+            heads.update(p[:k] for k in range(1, len(p)))
     return kept
 
 
 def _harmless(rows: DataFrame, weights: dict[str, float], at_least: int = 2) -> list[str]:
     """Words that hold a term but occur in clean texts only."""
-    heads = sorted(weights, key=len)
+    heads = sorted((w for w in weights if not w.endswith(" ")), key=len)
     if not heads:
         return []
     pattern = re.compile(" ((?:" + "|".join(map(re.escape, heads)) + ")[^ ]*)")
@@ -251,19 +273,25 @@ def _fit(rows: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:
             yield pd.DataFrame(out, columns=["x", "y", "label"]).astype({"x": "float64", "y": "float64", "label": "int64"})
     data = rows.mapInPandas(feats, "x double, y double, label long").toPandas()   # three numbers for each sampled row
     X = np.column_stack([np.ones(len(data)), data["x"], data["y"]])
-    y, w = data["label"].to_numpy(float), np.zeros(3)
+    y = data["label"].to_numpy(float)
     if not len(y):
         return -4.0, 0.0, 0.0
-    pull = np.diag([0.01, 0.1, 0.1])
-    start = np.array([-2.0, 1.0, 1.0])      # shrinks towards a rising curve
+    start, pull = np.array([-4.0, 1.0, 0.0]), 0.1       # shrinks towards a curve that rises with the hits
+
+    def loss(w):
+        z = X @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + pull * ((w - start) ** 2).sum() / 2)
     w = start.copy()
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(X @ w, -50, 50)))
-        step = np.linalg.solve((X * (p * (1 - p))[:, None]).T @ X + pull, X.T @ (y - p) - pull @ (w - start))
-        w += step
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((X * (p * (1 - p))[:, None]).T @ X + pull * np.eye(3), X.T @ (y - p) - pull * (w - start))
+        size, at = 1.0, loss(w)
+        while size > 1e-6 and loss(w + size * step) > at:
+            size /= 2
+        w = w + size * step
+        if size * np.abs(step).max() < 1e-6:
             break
-    return float(w[0]), float(max(0.0, w[1])), float(max(0.0, w[2]))
+    return float(w[0]), float(max(0.0, w[1])), float(min(0.0, w[2]))
 
 
 def clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
