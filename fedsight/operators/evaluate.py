@@ -104,13 +104,9 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
             ("macro avg", (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, tot),
             ("weighted avg", safe(p0 * s0 + p1 * s1, tot), safe(r0 * s0 + r1 * s1, tot),
              safe(f0 * s0 + f1 * s1, tot), tot)]
-    parts = [w.select(*g, F.lit(n).alias("class"), F.round(p, digits).alias("precision"),
-                      F.round(r, digits).alias("recall"), F.round(f, digits).alias("f1"),
-                      s.cast("long").alias("support")) for n, p, r, f, s in rows]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    cells = [F.struct(F.lit(n).alias("class"), F.round(p, digits).alias("precision"), F.round(r, digits).alias("recall"),
+                      F.round(f, digits).alias("f1"), s.cast("long").alias("support")) for n, p, r, f, s in rows]
+    return w.select(*g, F.explode(F.array(*cells)).alias("_x")).select(*g, "_x.*")
 
 
 # G7 -----------------------------------------------------------------------------
@@ -184,6 +180,14 @@ def misclassified_sample(df: DataFrame, keys: Sequence[str], k: int, client: str
                                             F.col(pred).alias("predicted_label")).drop(label, pred)
 
 
+def explain_misclassified(sample: DataFrame, phi: DataFrame, keys: Sequence[str], top: int = 5) -> DataFrame:
+    """The sampled misclassified rows with their ``top`` attributions by |phi|
+    (rows without an attribution stay, with nulls)."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(F.abs("phi")), F.asc("feature"))     # the features of one instance
+    ranked = phi.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return sample.join(ranked.select(*keys, "feature", "phi", "rank"), list(keys), "left")
+
+
 # G13 -------------------------------------------------------------------------------
 def final_metrics(history: DataFrame, group: str = "experiment", round_col: str = "round",
                   cols: Sequence[str] = ("accuracy", "auc")) -> DataFrame:

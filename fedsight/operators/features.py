@@ -167,15 +167,11 @@ def describe_columns(df: DataFrame, cols: Sequence[str], digits: int = 6) -> Dat
                  F.max(x).alias(f"hi{i}")]
     wide = df.agg(*aggs)
     r = lambda e: F.round(e, digits)
-    parts = [wide.select(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("count"),
-                         r(F.col(f"m{i}")).alias("mean"), r(F.col(f"s{i}")).alias("std"),
-                         r(F.col(f"lo{i}")).alias("min"), r(F.col(f"q{i}")[0]).alias("q25"),
-                         r(F.col(f"q{i}")[1]).alias("q50"), r(F.col(f"q{i}")[2]).alias("q75"),
-                         r(F.col(f"hi{i}")).alias("max")) for i, c in enumerate(cols)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    cells = [F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("count"), r(F.col(f"m{i}")).alias("mean"),
+                      r(F.col(f"s{i}")).alias("std"), r(F.col(f"lo{i}")).alias("min"), r(F.col(f"q{i}")[0]).alias("q25"),
+                      r(F.col(f"q{i}")[1]).alias("q50"), r(F.col(f"q{i}")[2]).alias("q75"), r(F.col(f"hi{i}")).alias("max"))
+             for i, c in enumerate(cols)]
+    return wide.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:

@@ -220,10 +220,14 @@ def _vectorised(df: DataFrame, features: Sequence[str], out: str = "features") -
 def fit_classifier(train: DataFrame, features: Sequence[str], label: str = "label", hidden: Sequence[int] | None = None,
                    max_iter: int = 100, reg: float = 0.0, class_weighted: bool = True, seed: int = 42):
     """Central fit: LogisticRegression with balanced class weights, or an MLP
-    (``hidden`` layer sizes) — both distributed pyspark.ml estimators."""
+    (``hidden`` layer sizes) — both distributed pyspark.ml estimators. The MLP
+    takes no weights; balanced classes are an error there, not ignored, so ask
+    for ``class_weighted=False``."""
     from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
     data = _vectorised(train, features)
     if hidden:
+        if class_weighted:
+            raise ValueError("the multilayer perceptron takes no class weights: pass class_weighted=False")
         est = MultilayerPerceptronClassifier(featuresCol="features", labelCol=label, maxIter=max_iter, seed=seed,
                                              layers=[len(features), *hidden, 2])
         return est.fit(data.withColumn(label, F.col(label).cast("double")))
@@ -241,19 +245,23 @@ def predict(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
         "pred", (F.col("score") > 0.5).cast("int")).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def param_search(train: DataFrame, features: Sequence[str], label: str = "label",
+def param_search(train: DataFrame, features: Sequence[str], keys: Sequence[str], label: str = "label",
                  reg_params: Sequence[float] = (0.0, 0.01, 0.1), max_iters: Sequence[int] = (20, 100),
-                 train_ratio: float = 0.8, parallelism: int = 2, seed: int = 42):
-    """Fit every setting on a train part, keep the best validation AUC."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-    data = _vectorised(train, features).withColumn(label, F.col(label).cast("double"))
-    lr = LogisticRegression(featuresCol="features", labelCol=label)
-    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).addGrid(lr.maxIter, list(max_iters)).build()
-    tvs = TrainValidationSplit(estimator=lr, estimatorParamMaps=grid, trainRatio=train_ratio, seed=seed,
-                               evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC"),
-                               parallelism=parallelism)
-    model = tvs.fit(data)
-    rows = [(float(pm[lr.regParam]), int(pm[lr.maxIter]), float(m)) for pm, m in zip(grid, model.validationMetrics)]
-    return model, rows
+                 hidden_sizes: Sequence[Sequence[int]] = (), validation: float = 0.2, class_weighted: bool = True, seed: int = 42):
+    """Fit every setting on the train part of a stratified split by ``keys`` (a
+    hash draw, so it does not depend on partitioning) and keep the best
+    validation AUC: logistic models for each pair of ``reg_params`` and
+    ``max_iters`` (with balanced class weights), perceptrons for each of
+    ``hidden_sizes`` and ``max_iters``. Returns the best model and the rows
+    (hidden, reg_param, max_iter, val_auc)."""
+    split = cut_lineage(sp.stratified_split(train.select(*keys, label, *features), label, list(keys), validation, seed))
+    part, held = split.where("split = 'train'"), split.where("split = 'test'")
+    grid = [(None, r, m) for r in reg_params for m in max_iters] + [(tuple(h), 0.0, m) for h in hidden_sizes for m in max_iters]
+    rows, best = [], None
+    for hidden, reg, max_iter in grid:
+        model = fit_classifier(part, features, label, hidden, max_iter, reg, class_weighted and not hidden, seed)
+        auc = ev.roc_auc(predict(model, held, features), label).first()["auc"]
+        rows.append(("-".join(map(str, hidden or ())), float(reg), int(max_iter), auc))
+        if best is None or (auc or 0.0) > best[0]:
+            best = (auc or 0.0, model)
+    return best[1], rows

@@ -117,18 +117,19 @@ def q_contribution(spark, d):
         "contribution_score", F.round("contribution_score", 6))
 
 
-# G8
+# Explanations were collected from the clients with a row of high score.
 @query("training_summary", S + "," + _SEL_SQL + """,
 w AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY round) AS i,
              count(*) OVER (PARTITION BY client_id) AS n FROM cra),
 sc AS (SELECT client_id, pow(0.7, max(n)) * 1.0 + sum(0.3 * coalesce(auc, 0.5) * pow(0.7, n - i)) AS score,
               max(round) AS last_update, max(n) AS n_rounds FROM w GROUP BY client_id),
-reg AS (SELECT client_id, count(*) AS data_size FROM scored GROUP BY 1)
+reg AS (SELECT client_id, count(*) AS data_size, bool_or(coalesce(score > 0.99, false)) AS has_explanations FROM scored GROUP BY 1)
 SELECT reg.client_id, data_size, round(coalesce(score, 1.0), 6) AS contribution_score,
-       coalesce(last_update, 0) AS last_update, CAST(coalesce(n_rounds, 0) AS BIGINT) AS n_rounds
+       coalesce(last_update, 0) AS last_update, CAST(coalesce(n_rounds, 0) AS BIGINT) AS n_rounds, has_explanations
 FROM reg LEFT JOIN sc ON reg.client_id = sc.client_id""")
 def q_training_summary(spark, d):
-    return ev.training_summary(tb.scored(spark, d), _client_round_auc(spark, d)).withColumn(
+    s = tb.scored(spark, d)
+    return ev.training_summary(s, _client_round_auc(spark, d), explanations=s.where("score > 0.99")).withColumn(
         "contribution_score", F.round("contribution_score", 6))
 
 
@@ -171,14 +172,16 @@ def q_misclassified(spark, d):
 
 # Two experiments (thresholds 0.5 / 0.4), metrics by round; final = last round.
 @query("final_metrics", S + """,
+auc AS """ + _auc_sql(["round"]) + """,
 h AS (SELECT 'threshold_0.5' AS experiment, round, avg(CAST(pred = label AS DOUBLE)) AS accuracy FROM scored GROUP BY round
       UNION ALL
       SELECT 'threshold_0.4', round, avg(CAST(CAST(score > 0.4 AS INTEGER) = label AS DOUBLE)) FROM scored GROUP BY round)
-SELECT experiment, round(arg_max(accuracy, round), 6) AS final_accuracy, max(round) AS rounds FROM h GROUP BY 1""")
+SELECT experiment, round(arg_max(accuracy, round), 6) AS final_accuracy, round(arg_max(auc, round), 6) AS final_auc, max(round) AS rounds
+FROM h JOIN auc USING (round) GROUP BY 1""")
 def q_final_metrics(spark, d):
     s = tb.scored(spark, d)
-    a = s.groupBy("round").agg(ev.accuracy_expr().alias("accuracy")).withColumn("experiment", F.lit("threshold_0.5"))
-    b = (s.withColumn("pred", (F.col("score") > 0.4).cast("int")).groupBy("round")
-         .agg(ev.accuracy_expr().alias("accuracy")).withColumn("experiment", F.lit("threshold_0.4")))
-    return ev.final_metrics(a.unionByName(b), cols=["accuracy"]).withColumn(
-        "final_accuracy", F.round("final_accuracy", 6))
+    a = ev.metrics(s, ["round"], digits=None).withColumn("experiment", F.lit("threshold_0.5"))
+    b = (ev.metrics(s.withColumn("pred", (F.col("score") > 0.4).cast("int")), ["round"], digits=None)
+         .withColumn("experiment", F.lit("threshold_0.4")))
+    return ev.final_metrics(a.unionByName(b), cols=["accuracy", "auc"]).withColumns(
+        {c: F.round(c, 6) for c in ("final_accuracy", "final_auc")})

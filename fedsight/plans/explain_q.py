@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from fedsight.functions.draws import sql_uniform
 from fedsight.operators import clean
+from fedsight.operators import evaluate as ev
 from fedsight.operators import explain as ex
 from fedsight.operators import sample as sp
+from fedsight.operators import train as tr
 from fedsight.plans.registry import query
 from fedsight.plans.train_q import D, FEATS, FIXED_B, FIXED_W, TR
 from fedsight.sources import testbed as tb
@@ -88,6 +90,21 @@ def q_ranking(spark, d):
         {"phi": F.round("phi", 9), "base_value": F.round("base_value", 9)})
 
 
+# G12 + H4: five misclassified rows a client with their three largest attributions.
+@query("misclassified_explained", TR.rstrip() + ",\n" + _BG.rstrip() + f""",
+sc AS (SELECT t.vec_id, client_id, label, CAST(1.0 / (1.0 + exp(-({' + '.join(f'({FIXED_W[i]!r}) * t.f{i}' for i in range(D))} + ({FIXED_B!r})))) > 0.5 AS INTEGER) AS pred
+  FROM training_rows t),
+ms AS (SELECT vec_id, client_id, label AS true_label, pred AS predicted_label,
+  row_number() OVER (PARTITION BY client_id ORDER BY {sql_uniform(['client_id', 'vec_id'], 42)}, vec_id) AS rn FROM sc WHERE label <> pred),
+rk AS (SELECT vec_id, feature, round(phi, 9) AS phi, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY abs(phi) DESC, feature) AS INTEGER) AS rank FROM phi)
+SELECT ms.vec_id, client_id, true_label, predicted_label, feature, phi, rank FROM ms LEFT JOIN rk ON ms.vec_id = rk.vec_id AND rank <= 3 WHERE rn <= 5""")
+def q_misclassified_explained(spark, d):
+    rows = _rows(spark, d)
+    wrong = ev.misclassified_sample(tr.score_linear(rows, FEATS, FIXED_W, FIXED_B).select("vec_id", "client_id", "label", "pred"), ["vec_id"], 5)
+    out = ev.explain_misclassified(wrong, _phi(spark, d), ["vec_id"], 3)
+    return out.select("vec_id", "client_id", "true_label", "predicted_label", "feature", F.round("phi", 9).alias("phi"), "rank")
+
+
 def _explained(spark, d):
     rows = _rows(spark, d)
     return sp.explanation_sample(rows, "client_id", "label", ["vec_id"], per_client=10, seed=42)

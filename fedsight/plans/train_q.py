@@ -135,5 +135,5 @@ def q_fit(spark, d):
 # F3 (rows check): grid of settings with validation AUC.
 @query("param_search")
 def q_param_search(spark, d):
-    _, rows = tr.param_search(_rows(spark, d), FEATS, "label", reg_params=(0.0, 0.1), max_iters=(10, 50))
-    return spark.createDataFrame(rows, "reg_param double, max_iter int, val_auc double")
+    _, rows = tr.param_search(_rows(spark, d), FEATS, ["vec_id"], "label", reg_params=(0.0, 0.1), max_iters=(10, 50), hidden_sizes=[(8,)])
+    return spark.createDataFrame(rows, "hidden string, reg_param double, max_iter int, val_auc double")

@@ -50,19 +50,28 @@ def validate_table(df: DataFrame, required: Sequence[str]) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("_rows")] + [F.count_if(F.col(c).isNull()).alias(f"_null_{i}")
                                                  for i, c in enumerate(present)]
     wide = df.agg(*aggs)
-    parts = []
-    for c in required:
-        if c in present:
-            i = present.index(c)
-            parts.append(wide.select(F.lit(c).alias("column_name"), F.lit(True).alias("present"),
-                                     F.col("_rows").alias("n_rows"), F.col(f"_null_{i}").alias("n_null")))
-        else:
-            parts.append(wide.select(F.lit(c).alias("column_name"), F.lit(False).alias("present"),
-                                     F.col("_rows").alias("n_rows"), F.lit(None).cast("long").alias("n_null")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    cells = [F.struct(F.lit(c).alias("column_name"), F.lit(c in present).alias("present"), F.col("_rows").alias("n_rows"),
+                      (F.col(f"_null_{present.index(c)}") if c in present else F.lit(None).cast("long")).alias("n_null")) for c in required]
+    return wide.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+
+
+def check_features(df: DataFrame, features: Sequence[str], label: str) -> None:
+    """The contract of a training table: feature names are unique and present,
+    the label is none of them, every feature is numeric, and the label is never
+    null and 0 or 1 (one aggregate)."""
+    twice = sorted({c for c in features if list(features).count(c) > 1})
+    if twice:
+        raise ValueError(f"features named twice: {twice}")
+    if label in features:
+        raise ValueError(f"the label {label} is among the features")
+    require(df, [*features, label])
+    types = {f.name: f.dataType for f in df.schema.fields}
+    other = [c for c in features if not isinstance(types[c], T.NumericType)]
+    if other:
+        raise ValueError(f"features that are not numbers: {other}")
+    n, good = df.agg(F.count(F.lit(1)), F.count_if(F.col(label).isin(0, 1))).first()
+    if n != good:
+        raise ValueError(f"{n - good} of {n} rows have a label other than 0 and 1")
 
 
 def require(df: DataFrame, required: Sequence[str], name: str = "table") -> None:

@@ -78,7 +78,7 @@ def test_kernel_shap_edges(spark):
 def test_fitted_models_can_be_explained(spark):
     rows = _rows(spark, 300)
     for hidden in (None, [3]):
-        model = tr.fit_classifier(rows, FEATS, hidden=hidden, max_iter=30)
+        model = tr.fit_classifier(rows, FEATS, hidden=hidden, max_iter=30, class_weighted=not hidden)
         f = ex.fitted_scorer(model)
         got = tr.predict(model, rows, FEATS).orderBy("id").select("score", *FEATS).collect()
         X = np.array([[r[c] for c in FEATS] for r in got])
