@@ -26,7 +26,6 @@ from fedsight.llm.common import cut_lineage
 
 PROBES = 64
 GROUPS_PER_BUCKET = 50_000
-ROWS_PER_SALT = 10_000
 
 
 def _digest(text: Column) -> Column:
@@ -105,7 +104,7 @@ def shard(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col:
     if not n_groups:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     bits = min(24, max(6, math.ceil(math.log2(n_groups / GROUPS_PER_BUCKET + 1))))
-    salts = 1 << max(0, math.ceil(math.log2(most / ROWS_PER_SALT)))
+    salts = 1 << math.ceil(math.log2(most) / 2)     # as many parts of the largest group as rows in a part
     sizes = sizes.withColumn("bucket", F.shiftright(_prefix(F.col("key")), 32 - bits))
     tops = sorted(sizes.groupBy("bucket").agg(F.sum("bytes"), F.sum("n")).collect())  # one row a bucket
     starts, ends, b0, r0 = [], [], 0, 0

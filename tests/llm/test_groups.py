@@ -150,7 +150,6 @@ def check_shards(rows, got, n):
 
 
 def test_shards_have_the_smallest_largest_size(docs_of, monkeypatch):
-    monkeypatch.setattr(sharding, "ROWS_PER_SALT", 20)
     monkeypatch.setattr(sharding, "PROBES", 5)
     rng = random.Random(4)
     rows = [(i, "é" * rng.randint(0, 40)) for i in range(300)] + [(i, "hot") for i in range(1000, 1200)] + [
