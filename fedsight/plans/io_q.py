@@ -14,9 +14,11 @@ from fedsight.operators import sweep as sw
 from fedsight.operators import train as tr
 from fedsight.plans import features_q
 from fedsight.plans.registry import query
-from fedsight.plans.train_q import FEATS
+from fedsight.plans.eval_q import _auc_sql
+from fedsight.plans.train_q import CW, D, FEATS, L2, sql_avg, sql_step
 from fedsight.sources import io
 from fedsight.sources import testbed as tb
+from fedsight.session import cut_lineage
 from fedsight.sources.tables import load
 
 IMP = tb.with_ctes(tb.SQL_IMPORTANCE)
@@ -81,7 +83,7 @@ def q_cache(spark, d):
     return t.withColumn("cache_key", F.lit(io.cache_key("mortality", fraction)))
 
 
-# L2 (rows check): three federated configurations over the same rows; per
+# L2: three federated configurations over the same rows; per
 # experiment and round the global accuracy / AUC on a stratified 20 % test part.
 SWEEP_CONFIGS = [
     {"name": "lr_0.5_e1", "lr": 0.5, "local_epochs": 1, "fraction": 1.0},
@@ -90,14 +92,50 @@ SWEEP_CONFIGS = [
 ]
 
 
-@query("experiment_sweep")
+def _sweep_sql() -> str:
+    """The sweep with its rounds and epochs unrolled."""
+    rows = tb.with_ctes(tb.sql_training_rows()).rstrip().replace("training_rows AS", "all_rows AS", 1)
+    split = """,
+sp_cc AS (SELECT label, count(*) AS n_class FROM all_rows GROUP BY 1),
+sp_e AS (SELECT label, n_class * ceil(0.2 * sum(n_class) OVER ()) / sum(n_class) OVER () AS ex, ceil(0.2 * sum(n_class) OVER ()) AS nt FROM sp_cc),
+sp_p AS (SELECT label, floor(ex) AS fl, nt - sum(floor(ex)) OVER () AS left_, row_number() OVER (ORDER BY ex - floor(ex) DESC, label) AS pos FROM sp_e),
+sp_q AS (SELECT label, fl + CASE WHEN pos <= left_ THEN 1 ELSE 0 END AS quota FROM sp_p),
+sp_r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY """ + sql_uniform(["vec_id"], 42) + """, vec_id) AS rn FROM all_rows),
+test_rows AS (SELECT sp_r.* FROM sp_r JOIN sp_q USING (label) WHERE rn <= quota),
+training_rows AS (SELECT sp_r.* FROM sp_r JOIN sp_q USING (label) WHERE rn > quota),
+""" + CW
+    out, finals = rows + split, []
+    for k, cfg in enumerate(SWEEP_CONFIGS):
+        glob = None
+        for r in (1, 2):
+            n = f"x{k}_{r}"
+            draw = sql_uniform(["client_id", f"CAST({r} AS INTEGER)"], 42)
+            start = (", ".join(f"0.0 AS w{i}" for i in range(D)) + ", 0.0 AS b") if glob is None else (
+                ", ".join(f"(SELECT w{i} FROM {glob}) AS w{i}" for i in range(D)) + f", (SELECT b FROM {glob}) AS b")
+            out += f""",
+{n}_c AS (SELECT client_id, row_number() OVER (ORDER BY {draw}, client_id) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT client_id FROM training_rows)),
+{n}_e0 AS (SELECT client_id, {start} FROM {n}_c WHERE rn <= greatest(1, floor(n * {cfg["fraction"]})))"""
+            for e in range(cfg["local_epochs"]):
+                out += ",\n" + sql_step(f"{n}_e{e}", f"{n}_e{e + 1}", lr=cfg["lr"])
+            glob = f"{n}_g"
+            out += ",\n" + sql_avg(f"{n}_e{cfg['local_epochs']}", glob)
+            margin = " + ".join(f"t.f{i} * g.w{i}" for i in range(D)) + " + g.b"
+            out += f""",
+{n}_t AS (SELECT t.label, 1.0 / (1.0 + exp(-({margin}))) AS score FROM test_rows t, {glob} g)"""
+            finals.append(f"""SELECT '{cfg["name"]}' AS experiment, {r} AS round,
+  (SELECT round(avg(CAST(CAST(score > 0.5 AS INTEGER) = label AS DOUBLE)), 6) FROM {n}_t) AS accuracy,
+  (SELECT round(auc, 6) FROM {_auc_sql([], f"{n}_t")}) AS auc""")
+    return out + "\n" + "\nUNION ALL\n".join(finals)
+
+
+@query("experiment_sweep", _sweep_sql())
 def q_sweep(spark, d):
-    rows = sp.stratified_split(tb.training_rows(spark, d), "label", ["vec_id"], 0.2, seed=42).cache()
+    rows = cut_lineage(sp.stratified_split(tb.training_rows(spark, d), "label", ["vec_id"], 0.2, seed=42))
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
 
     def run(cfg):
         r = tr.fedavg_train(train, FEATS, rounds=2, fraction=float(cfg["fraction"]),
-                            local_epochs=int(cfg["local_epochs"]), lr=float(cfg["lr"]), l2=0.01, test=test)
+                            local_epochs=int(cfg["local_epochs"]), lr=float(cfg["lr"]), l2=L2, test=test)
         return r.global_metrics
 
-    return sw.run_sweep(SWEEP_CONFIGS, run)
+    return sw.run_sweep(SWEEP_CONFIGS, run).select("experiment", "round", F.round("accuracy", 6).alias("accuracy"), F.round("auc", 6).alias("auc"))

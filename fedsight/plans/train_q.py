@@ -25,16 +25,16 @@ def _margin(prefix: str = "W.") -> str:
     return " + ".join(f"{prefix}w{i} * t.f{i}" for i in range(D)) + f" + {prefix}b"
 
 
-def sql_step(w_in: str, out: str) -> str:
+def sql_step(w_in: str, out: str, lr: float = LR) -> str:
     """CTE ``out`` = one local full-batch step from the weights CTE ``w_in``
     (client_id, w0..w{d-1}, b)."""
     gsum = ", ".join(f"sum(cw.c * (s.p - s.label) * s.f{i}) AS g{i}" for i in range(D))
-    upd = ", ".join(f"W.w{i} - {LR} * (g.g{i} / g.n + {L2} * W.w{i}) AS w{i}" for i in range(D))
+    upd = ", ".join(f"W.w{i} - {lr} * (g.g{i} / g.n + {L2} * W.w{i}) AS w{i}" for i in range(D))
     return f"""{out}_s AS (SELECT t.*, 1.0 / (1.0 + exp(-({_margin()}))) AS p
             FROM training_rows t JOIN {w_in} W ON t.client_id = W.client_id),
 {out}_g AS (SELECT s.client_id, count(*) AS n, {gsum}, sum(cw.c * (s.p - s.label)) AS gb
             FROM {out}_s s JOIN cw ON s.client_id = cw.client_id AND s.label = cw.label GROUP BY s.client_id),
-{out} AS (SELECT g.client_id, {upd}, W.b - {LR} * (g.gb / g.n) AS b, g.n AS data_size
+{out} AS (SELECT g.client_id, {upd}, W.b - {lr} * (g.gb / g.n) AS b, g.n AS data_size
           FROM {out}_g g JOIN {w_in} W ON g.client_id = W.client_id)"""
 
 

@@ -6,7 +6,6 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-SKIP_SLOW = {"experiment_sweep"}
 
 
 def test_entry(spark):
@@ -18,11 +17,11 @@ def test_entry(spark):
 def test_every_query_has_sql_or_is_declared_rows_only(spark):
     qs, ors = E.queries(), E.oracle_sql()
     rows_only = set(qs) - set(ors) - set(E.EXTRA_QUERIES)
-    assert rows_only == {"fit_classifier", "param_search", "lime_batch", "kernel_shap_batch", "experiment_sweep",
+    assert rows_only == {"fit_classifier", "param_search", "lime_batch", "kernel_shap_batch",
                          "central_run", "federated_run"}
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SKIP_SLOW - set(E.EXTRA_QUERIES)))
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.EXTRA_QUERIES)))
 def test_query_runs(spark, name):
     df = E.queries()[name](spark, SF)
     df.write.format("noop").mode("overwrite").save()
