@@ -16,13 +16,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fedsight.functions.constants import RBO_P, TEMPORAL_DECAY, TRIM_FRACTION, ZSCORE_THRESHOLD
+from fedsight.session import cut_lineage
 
 KEYS = ["round", "method", "feature"]
 
 
 # C5 -------------------------------------------------------------------------------
-def client_pairs(imp: DataFrame, by: Sequence[str] = ("round", "method"), client: str = "client_id") -> DataFrame:
-    c = imp.select(*by, client).distinct()
+def client_pairs(imp: DataFrame, by: Sequence[str] = ("round", "method"), client: str = "client_id",
+                 max_clients: int = 5_000) -> DataFrame:
+    """Unordered pairs of the clients of each group. Their number is clients² by
+    definition, so more than ``max_clients`` clients in a group are refused."""
+    c = cut_lineage(imp.select(*by, client).distinct())
+    most = c.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > max_clients:
+        raise ValueError(f"{most} clients in a group make {most * (most - 1) // 2} pairs; max_clients is {max_clients}")
     a = c.withColumnRenamed(client, "client_a")
     b = c.withColumnRenamed(client, "client_b")
     return a.join(b, list(by)).where(F.col("client_a") < F.col("client_b"))
@@ -132,7 +139,7 @@ def agreement_spearman(imp: DataFrame, by: Sequence[str] = ("round", "method"),
     """max(0, (ρ+1)/2) of the ranks of the common features, re-ranked within the
     pair; 1 common feature -> 1; none -> 0 (pairs come from ``client_pairs``)."""
     by = list(by)
-    r = ranked_lists(imp, by, client)
+    r = cut_lineage(ranked_lists(imp, by, client))      # ranked once; pairs and both sides of the join read it
     common = _pairs_on_features(r, by, client)
     pk = [*by, "client_a", "client_b"]
     common = common.select(*pk, F.row_number().over(Window.partitionBy(*pk).orderBy("rank_a")).alias("ra"),
@@ -142,7 +149,7 @@ def agreement_spearman(imp: DataFrame, by: Sequence[str] = ("round", "method"),
     n = F.col("n").cast("double")
     rho = F.lit(1.0) - F.lit(6.0) * F.col("d2") / (n * (n * n - 1))
     sim = F.when(F.col("n") == 1, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), (rho + 1) / 2))
-    pairs = client_pairs(imp, by, client)
+    pairs = client_pairs(r, by, client)
     return pairs.join(s.select(*pk, sim.alias("agreement")), pk, "left").select(
         *pk, F.coalesce("agreement", F.lit(0.0)).alias("agreement"))
 
@@ -153,7 +160,7 @@ def agreement_rbo(imp: DataFrame, p: float = RBO_P, by: Sequence[str] = ("round"
     Σ_d w_d·|A_d ∩ B_d|/d ÷ Σ_d w_d with w_d = (1-p)p^(d-1). A common feature
     counts at every depth d >= max(rank_a, rank_b). D = 0 -> 0."""
     by = list(by)
-    r = ranked_lists(imp, by, client)
+    r = cut_lineage(ranked_lists(imp, by, client))      # ranked once; pairs and both sides of the join read it
     common = _pairs_on_features(r, by, client)
     pk = [*by, "client_a", "client_b"]
     depth = F.least("len_a", "len_b")
@@ -163,7 +170,7 @@ def agreement_rbo(imp: DataFrame, p: float = RBO_P, by: Sequence[str] = ("round"
     contrib = F.aggregate(F.sequence(F.col("m"), F.col("D")), F.lit(0.0),
                           lambda acc, dd: acc + F.lit(1 - p) * F.pow(F.lit(p), dd - 1) / dd)
     num = c.groupBy(*pk).agg(F.sum(contrib).alias("num"))
-    pairs = client_pairs(imp, by, client)
+    pairs = client_pairs(r, by, client)
     lens = r.select(*by, client, "list_len").distinct()
     pl = (pairs.join(lens.withColumnRenamed(client, "client_a").withColumnRenamed("list_len", "len_a"), [*by, "client_a"])
           .join(lens.withColumnRenamed(client, "client_b").withColumnRenamed("list_len", "len_b"), [*by, "client_b"]))

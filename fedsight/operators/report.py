@@ -28,15 +28,17 @@ def importance_report(glob: DataFrame, n: int = 10, part: Sequence[str] = ("roun
 
 
 # K2 -------------------------------------------------------------------------------
-def client_comparison(imp: DataFrame, n: int = 10, max_clients: int = 5, seed: int = 42,
+def client_comparison(imp: DataFrame, n: int = 10, max_clients: int | None = None, seed: int = 42,
                       part: Sequence[str] = ("round", "method"), client: str = "client_id") -> DataFrame:
-    """≤ max_clients clients (hash-chosen per round/method); each client's top-n;
+    """All clients, or ``max_clients`` hash-chosen ones per round/method; each client's top-n;
     the union of those features, or — when larger than n — the n features in
     most clients' lists (ties: name); grid zero-filled."""
     part = list(part)
-    cl = imp.select(*part, client).distinct().withColumn("_u", uniform(client, *part, seed=seed))
-    cl = cl.withColumn("_r", F.row_number().over(Window.partitionBy(*part).orderBy("_u", client))).where(
-        F.col("_r") <= max_clients).select(*part, client)
+    cl = imp.select(*part, client).distinct()
+    if max_clients is not None:
+        cl = cl.withColumn("_u", uniform(client, *part, seed=seed))
+        cl = cl.withColumn("_r", F.row_number().over(Window.partitionBy(*part).orderBy("_u", client))).where(
+            F.col("_r") <= max_clients).select(*part, client)
     top = _top(imp.join(cl, [*part, client], "left_semi"), [*part, client], n)
     freq = top.groupBy(*part, "feature").agg(F.count(F.lit(1)).alias("_c"))
     keep = freq.withColumn("_k", F.row_number().over(Window.partitionBy(*part).orderBy(F.desc("_c"), "feature"))).where(
@@ -74,11 +76,3 @@ def round_statistics(glob: DataFrame, part: Sequence[str] = ("round", "method"),
 def dashboard_summary(glob: DataFrame) -> DataFrame:
     return glob.agg(F.count_distinct("round").alias("n_rounds"), F.max("round").alias("latest_round"),
                     F.array_sort(F.collect_set("method")).alias("methods"))
-
-
-# K6 -------------------------------------------------------------------------------
-def attribution_ranking(attr: DataFrame, instance: str = "instance_id", base: str | None = None) -> DataFrame:
-    """Per instance: features by |φ| descending with rank (and base value)."""
-    w = Window.partitionBy(instance).orderBy(F.desc(F.abs("phi")), F.asc("feature"))
-    out = attr.withColumn("rank", F.row_number().over(w))
-    return out

@@ -56,7 +56,7 @@ def importance_per_hit(attr: DataFrame) -> DataFrame:
     nfeat = attr.groupBy("method").agg(F.count_distinct("feature").alias("_nf"))
     hits = attr.groupBy(*G).agg(F.count(F.lit(1)).alias("_h"))
     s = attr.groupBy(*G, "feature").agg(F.sum(F.abs("value")).alias("_s"))
-    j = s.join(hits, G).join(F.broadcast(nfeat), "method")
+    j = s.join(hits, G).join(nfeat, "method")
     den = F.when(F.col("method") == "shap", F.col("_h") / F.col("_nf")).otherwise(F.col("_h"))
     return j.select(*G, "feature", (F.col("_s") / den).alias("value"))
 
