@@ -37,6 +37,15 @@ def fold(id_col: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.encode(id_col.cast("string"), "UTF-8")) % modulus, F.lit(0))
 
 
+def small_batches(rows: int = 1000) -> None:
+    """Send texts to Python in batches of ``rows`` at most, so that a worker's
+    memory does not depend on how long texts are times ten thousand. The
+    session's setting is lowered, never raised."""
+    key, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it back:
     lineage ends there, and a lost executor costs no recomputation."""
@@ -53,4 +62,4 @@ def broadcast_checked(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
 
 
 __all__ = ["WHITE_CLASS", "SparkSession", "broadcast_checked", "by_value", "cut_lineage",
-           "fold", "letter_words", "stage_table", "white_words"]
+           "fold", "letter_words", "small_batches", "stage_table", "white_words"]

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fedsight.llm.common import by_value, cut_lineage
+from fedsight.llm.common import by_value, cut_lineage, small_batches
 
 by_value(__name__)
 
@@ -327,6 +327,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     text; null and malformed URLs share one host. Rows keep their number; an
     empty table gives an empty result. Other columns are not read.
     """
+    small_batches()
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     low = (style_tree(rows).where((F.col("most") < threshold) & (F.col("m") >= min_pages))
            .groupBy("host").agg(F.collect_set("path").alias("removed")))

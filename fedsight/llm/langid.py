@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fedsight.llm.common import by_value
+from fedsight.llm.common import by_value, small_batches
 
 by_value(__name__)
 
@@ -117,6 +117,7 @@ def predict(text: Column, model: Model) -> Column:
     @F.pandas_udf("lang_pred string, score double")
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+    small_batches()
     return run(text)
 
 
@@ -126,6 +127,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     frequent languages (ties by name) and of each the ``per_lang`` rows whose id
     has the smallest hash. Rows with a null language, id or text, and texts
     without a letter, teach nothing. No usable row: a model without languages."""
+    small_batches()
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
     langs = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())
@@ -133,11 +135,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     ids = (rows.where(F.col("lang").isin(langs)).withColumn("n", F.row_number().over(draw)).where(F.col("n") <= per_lang)
            .select("doc_id").distinct())
     vector = F.pandas_udf(lambda s: pd.Series([None if (x := profile(t, dim)) is None else x for t in s]), "array<double>")
-    taught = (labelled.where(F.col(lang_col).isin(langs) & F.col(text_col).isNotNull())
+    sample = (labelled.where(F.col(lang_col).isin(langs) & F.col(text_col).isNotNull())
               .select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-              .join(F.broadcast(ids), "doc_id", "left_semi")      # max_langs * per_lang ids at most
-              .select("lang", vector("text").alias("x")).where(F.col("x").isNotNull())
-              .select("lang", array_to_vector("x").alias("x")).coalesce(4).cache())
+              .join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text").repartition(4)    # max_langs * per_lang rows at most
+              .select("lang", vector("text").alias("x")).cache())
+    # Filtered after the cache only: below it, the filter would be pushed under the join and profile every document.
+    taught = sample.where(F.col("x").isNotNull()).select("lang", array_to_vector("x").alias("x"))
     try:
         found = sorted(r["lang"] for r in taught.select("lang").distinct().collect())
         families: dict[str, list[str]] = {}
@@ -157,7 +160,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 model.pairs[a, b] = (svc.coefficients.toArray(), float(svc.intercept))
         return model
     finally:
-        taught.unpersist()
+        sample.unpersist()
 
 
 def known(docs: DataFrame, model: Model, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -166,4 +169,5 @@ def known(docs: DataFrame, model: Model, min_score: float = 0.5, text_col: str =
     def told(texts: pd.Series) -> pd.Series:
         found = (model.predict(t) for t in texts)
         return pd.Series([lang != "und" and score >= min_score for lang, score in found], dtype="bool")
+    small_batches()
     return docs.where(F.pandas_udf(told, "boolean")(F.col(text_col)))

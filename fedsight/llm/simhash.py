@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fedsight.llm.common import by_value, cut_lineage
+from fedsight.llm.common import by_value, cut_lineage, small_batches
 from fedsight.llm.components import connected_components
 
 BITS = 64
@@ -56,6 +56,7 @@ def fingerprint(text: Column, k: int = 3) -> Column:
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series([simhash(t, k) for t in texts], dtype="int64")
+    small_batches()
     return fp(text)
 
 

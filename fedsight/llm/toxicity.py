@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fedsight.llm.common import by_value
+from fedsight.llm.common import by_value, small_batches
 
 by_value(__name__)
 
@@ -137,6 +137,7 @@ def _score_series(lexicon: Lexicon):
 def score(text: Column, lexicon: Lexicon) -> Column:
     """Struct of score (0 to 1, higher: more toxic) and n_hits of a text. Null,
     empty and word-less texts have no hit and the score of a text without hits."""
+    small_batches()
     return F.pandas_udf(_score_series(lexicon), "score double, n_hits int")(text)
 
 
@@ -171,6 +172,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     text are left out; a text with two labels counts as toxic. Without toxic
     texts the lexicon is empty.
     """
+    small_batches()
     named = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id"))
              .agg(F.max(F.col(label_col).cast("int")).alias("toxic")))
     share = min(1.0, max_rows / max(1, named.count()))
