@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fedsight.llm.common import by_value
+from fedsight.llm.common import by_value, small_batches
 
 by_value(__name__)
 
@@ -150,7 +150,7 @@ class _Engine:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
 
 
-def _engine(text: str, threads: int, most_words: int = 500_000) -> _Engine:
+def _engine(text: str, threads: int, most_words: int = 250_000) -> _Engine:
     """The engine of this worker process (made once for a model)."""
     if text not in _READY:
         _READY.clear()
@@ -167,7 +167,7 @@ def normal_form(text: str) -> str:
 class Codec:
     """Encoder and decoder of one SentencePiece model for use in Spark."""
 
-    def __init__(self, spark, path: str = DEFAULT_MODEL, threads: int = 2, parity_every: int = 50, batch_chars: int = 4_000_000):
+    def __init__(self, spark, path: str = DEFAULT_MODEL, threads: int = 2, parity_every: int = 50, batch_chars: int = 1_000_000):
         model = read_bytes(spark, path)
         self.json, self.model = spark.sparkContext.broadcast(rebuild(model)), spark.sparkContext.broadcast(model)   # as large as the vocabulary
         self.threads, self.parity_every, self.batch_chars = threads, parity_every, batch_chars
@@ -182,16 +182,13 @@ class Codec:
             t = _engine(table.value, threads)
             sp, seen = sentencepiece.SentencePieceProcessor(model_proto=model.value), 0
             for texts in batches:
-                ids, same = [], []
-                for part in _parts(texts.fillna(""), most):
+                for part in _parts(texts.fillna(""), most):     # small results: a batch's ids are never held together
                     got, kept = t.encode(part)
                     for x, i in zip(part, got):
                         if seen % every == 0 and (sp.encode(x) != i.tolist() or sp.decode(i.tolist()) != t.decode([i.tolist()])[0]):
                             raise ValueError(f"pieces differ from the reference library's for the text {x[:200]!r}")
                         seen += 1
-                    ids.extend(got)
-                    same.extend(kept)
-                yield pd.DataFrame({"ids": ids, "same": same})
+                    yield pd.DataFrame({"ids": got, "same": kept})
 
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
         return F.pandas_udf(run, "ids array<int>, same boolean")(text)
@@ -226,5 +223,6 @@ def _parts(texts: pd.Series, most: int):
 def encode_documents(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids, n_pieces and same of every row (repeated rows and null ids
     included; null and empty texts have no pieces). Other columns are not read."""
+    small_batches()
     return docs.select(F.col(id_col).alias("doc_id"), codec.encode(F.col(text_col)).alias("e")).select(
         "doc_id", F.col("e.ids").alias("ids"), F.size("e.ids").cast("long").alias("n_pieces"), F.col("e.same").alias("same"))
