@@ -159,7 +159,7 @@ def test_pieces_equal_the_reference_library(spark, docs_of):
     back = {r.doc_id: r.text for r in got.where("doc_id > 0").select("doc_id", codec.decode(got.ids).alias("text")).collect()}
     assert all(back[i] == pieces.normal_form(t) == sp.decode(sp.encode(t)) for i, t in enumerate(texts) if i)
     none = spark.createDataFrame([(None,), ([],)], "ids array<int>")
-    assert sorted(none.select(codec.decode(none.ids).alias("t")).collect(), key=repr) == [("",), (None,)] or True
+    assert {r.t for r in none.select(codec.decode(none.ids).alias("t")).collect()} == {None, ""}
     assert pieces.encode_documents(docs_of([]), codec).count() == 0
 
 
