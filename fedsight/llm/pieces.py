@@ -36,7 +36,6 @@ UNIGRAM, BPE = 1, 2
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _BYTE = re.compile("<0x[0-9A-F]{2}>")
-_READY: dict[str, object] = {}
 
 
 def read_bytes(spark, path: str) -> bytes:
@@ -95,7 +94,7 @@ def rebuild(model: bytes) -> str:
 class _Engine:
     """A rebuilt tokenizer in a worker, with the words that it has met."""
 
-    def __init__(self, text: str, threads: int, most_words: int):
+    def __init__(self, text: str, threads: int, most_words: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         from tokenizers import Tokenizer
@@ -150,12 +149,15 @@ class _Engine:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
 
 
-def _engine(text: str, threads: int, most_words: int = 250_000) -> _Engine:
-    """The engine of this worker process (made once for a model)."""
-    if text not in _READY:
-        _READY.clear()
-        _READY[text] = _Engine(text, threads, most_words)
-    return _READY[text]
+def _give_back() -> None:
+    """Return freed memory to the machine: workers live on for other tasks."""
+    import ctypes
+    import gc
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):   # another C library
+        pass
 
 
 def normal_form(text: str) -> str:
@@ -179,7 +181,7 @@ class Codec:
 
         def run(batches):
             import sentencepiece
-            t = _engine(table.value, threads)
+            t = _Engine(table.value, threads)
             sp, seen = sentencepiece.SentencePieceProcessor(model_proto=model.value), 0
             for texts in batches:
                 for part in _parts(texts.fillna(""), most):     # small results: a batch's ids are never held together
@@ -189,6 +191,8 @@ class Codec:
                             raise ValueError(f"pieces differ from the reference library's for the text {x[:200]!r}")
                         seen += 1
                     yield pd.DataFrame({"ids": got, "same": kept})
+            del t, sp
+            _give_back()
 
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
         return F.pandas_udf(run, "ids array<int>, same boolean")(text)
@@ -198,7 +202,7 @@ class Codec:
         table, threads = self.json, self.threads
 
         def run(batches):
-            t = _engine(table.value, threads)
+            t = _Engine(table.value, threads)
             for s in batches:
                 texts = t.decode([[] if x is None else [int(i) for i in x] for x in s])
                 yield pd.Series([None if x is None else y for x, y in zip(s, texts)], dtype="object")

@@ -144,16 +144,18 @@ def score(text: Column, lexicon: Lexicon) -> Column:
 def _beginnings(shortest: int, longest: int):
     """Word beginnings and whole words (ending in a space) of a batch of labelled texts (``p``), each once a text."""
     def rows(batches):
-        for b in batches:
-            ps, ys = [], []
-            for t, y in zip(b["text"], b["toxic"]):
-                seen = set()
-                for w in set(folded(t).split()):
-                    seen.update(w[:k] for k in range(shortest, min(len(w), longest) + 1))
-                    seen.add(w[:longest] + " " * (len(w) <= longest))
-                ps.extend(seen)
-                ys.extend([y] * len(seen))
-            yield pd.DataFrame({"p": ps, "toxic": np.asarray(ys, dtype="int64")})
+        for whole in batches:
+            for at in range(0, len(whole), 100):    # a text has thousands of beginnings
+                b = whole.iloc[at:at + 100]
+                ps, ys = [], []
+                for t, y in zip(b["text"], b["toxic"]):
+                    seen = set()
+                    for w in set(folded(t).split()):
+                        seen.update(w[:k] for k in range(shortest, min(len(w), longest) + 1))
+                        seen.add(w[:longest] + " " * (len(w) <= longest))
+                    ps.extend(seen)
+                    ys.extend([y] * len(seen))
+                yield pd.DataFrame({"p": ps, "toxic": np.asarray(ys, dtype="int64")})
     return rows
 
 
