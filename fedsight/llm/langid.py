@@ -16,9 +16,10 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fedsight.functions.rank import top_k_per_group
 from fedsight.llm.common import by_value, small_batches
 
 by_value(__name__)
@@ -131,8 +132,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
     langs = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())
-    draw = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (rows.where(F.col("lang").isin(langs)).withColumn("n", F.row_number().over(draw)).where(F.col("n") <= per_lang)
+    draw = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) + F.lit(0.5)) / F.lit(float(1 << 31))
+    ids = (top_k_per_group(rows.where(F.col("lang").isin(langs)).withColumn("draw", draw), ["lang"], "draw", ["doc_id"], per_lang)
            .select("doc_id").distinct())
     vector = F.pandas_udf(lambda s: pd.Series([None if (x := profile(t, dim)) is None else x for t in s]), "array<double>")
     sample = (labelled.where(F.col(lang_col).isin(langs) & F.col(text_col).isNotNull())
