@@ -2,7 +2,8 @@
 
 The pages of a host are merged into one tree: an element node is a path of
 tags (with their classes), a style is the sequence of children that a page has
-there. Two entropies tell content from template: an element whose pages differ
+there. Every block element is one, at any depth; the blocks in inline or custom
+elements are children of the block around. Two entropies tell content from template: an element whose pages differ
 in style has presentation importance, a leaf whose texts differ from page to
 page has content importance, and an element's composite importance weighs its
 own with its children's. A branch of low importance is template and is removed
@@ -53,7 +54,6 @@ TEMPLATE_ROLES = frozenset("navigation banner contentinfo complementary search f
 #: Text blocks, which are main text wherever a main element holds them.
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table tbody thead tfoot tr td th figure figcaption caption center "
                         "hgroup header hr details summary address".split())
-MAX_DEPTH = 12
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -151,22 +151,38 @@ def _inside_main(node: Node | None) -> bool:
     return False
 
 
-def _number_paths(root: Node) -> list[tuple[Node, int]]:
-    """Block elements that the tree knows (with their depth), parents first; a
-    path is the styles from the root, and what lies deeper than MAX_DEPTH
-    belongs to its last known element."""
-    out, stack = [], [(root, 0)]
+def _block_children(node: Node):
+    """(child, wrappers) of an element's block children in page order. Inline and
+    custom elements are no elements of the tree: the blocks in them are children
+    of the block around, and ``wrappers`` are their styles from outside in."""
+    stack = [(iter(node.children), "")]
     while stack:
-        node, depth = stack.pop()
-        if node.parent is None:
-            node.path = 1
-        for c in reversed(node.children):
-            if isinstance(c, Node):
-                known = c.tag in BLOCK and c.role >= 0 and depth < MAX_DEPTH and c.tag not in VOID
-                c.path = (crc32(c.style.encode(), node.path & 0xFFFFFFFF) | (node.path * 0x9E3779B1 & 0x7FFFFFFF) << 32) if known else 0
-                if known:
-                    out.append((c, depth + 1))
-                    stack.append((c, depth + 1))
+        it, wrappers = stack[-1]
+        c = next(it, None)
+        if c is None:
+            stack.pop()
+        elif isinstance(c, Node) and c.role >= 0 and c.tag not in VOID:
+            if c.tag in BLOCK:
+                yield c, wrappers
+            else:
+                stack.append((iter(c.children), f"{wrappers}{c.style}>"))
+
+
+def _number_paths(root: Node) -> list[tuple[Node, int, int, list[str]]]:
+    """Block elements with their parent's path, their depth in the tree and the
+    styles of their block children, parents first; a path is the styles from the
+    root, wrappers included."""
+    root.path = 1
+    out, stack = [], [(root, 1, 0)]
+    while stack:
+        node, parent, depth = stack.pop()
+        children = list(_block_children(node))
+        styles = [wrappers + c.style for c, wrappers in children]
+        if depth:
+            out.append((node, parent, depth, styles))
+        for (c, _), style in zip(children, styles):
+            c.path = crc32(style.encode(), node.path & 0xFFFFFFFF) | (node.path * 0x9E3779B1 & 0x7FFFFFFF) << 32
+        stack.extend((c, node.path, depth + 1) for c, _ in reversed(children))
     return out
 
 
@@ -190,13 +206,13 @@ def page_facts(html: str | None) -> list[tuple[int, int, int, int, int]]:
     page; elements of one path are one: style hashes their child sequences (runs
     of one style count once) and content their own texts."""
     facts: dict[int, list] = {}
-    for node, depth in _number_paths(root := parse(html)):
+    for node, parent, depth, styles in _number_paths(parse(html)):
         style, last = 0, ""
-        for c in node.children:
-            if isinstance(c, Node) and c.path and c.style != last:
-                last = c.style
+        for x in styles:
+            if x != last:
+                last = x
                 style = crc32(last.encode(), style)
-        got = facts.setdefault(node.path, [node.parent.path if node.parent is not root else 1, depth, 0, 0])
+        got = facts.setdefault(node.path, [parent, depth, 0, 0])
         got[2] = crc32(style.to_bytes(4, "big"), got[2])
         text = _own_text(node)
         if text:
@@ -294,7 +310,7 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", g
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
     done = None
     below = None
-    for depth in range(deepest, 0, -1):     # MAX_DEPTH levels at most
+    for depth in range(deepest, 0, -1):     # as many levels as the deepest page has
         level = nodes.where(F.col("depth") == depth)
         if below is not None:
             level = level.join(below, here, "left")
@@ -310,6 +326,8 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", g
         below = (level.groupBy("host", F.col("parent").alias("path"))
                  .agg(F.sum(F.col("importance") * F.col("m")).alias("sum"), F.sum("m").cast("double").alias("n"), F.max("most").alias("under")))
         done = level if done is None else done.unionByName(level)
+        if (deepest - depth) % 16 == 15:    # the plan stays small however deep a page is
+            done = cut_lineage(done)
     if done is None:
         return nodes.select(*here, "m", F.lit(1.0).alias("importance"), F.lit(1.0).alias("most"))
     return done.select(*here, "m", "importance", "most")

@@ -229,3 +229,12 @@ def test_importance_by_hand(spark):
     got = sorted(round(r.importance, 6) for r in html.style_tree(pages).collect())
     # body: one style over two pages, own 0; children 0 (same text) and 1 (other texts): 0.9 * 0.5.
     assert got == [0.0, 0.45, 1.0]
+
+
+def test_style_tree_reaches_deep_and_wrapped_blocks(spark):
+    deep = "<html><body>" + "<div>" * 20 + "<p>Deep story {0} of its own.</p>" + "</div>" * 20 + "<div class='end'>Same end</div>"
+    wrapped = ("<html><body><div class='a'><span><font><div><p>Wrapped story {0} of its own.</p></div></font></span></div>"
+               "<div class='b'><x-card><div>Same card</div></x-card></div></body></html>")
+    rows = [(i, "http://deep.org/x", deep.format(i)) for i in range(3)] + [(10 + i, "http://wrap.org/x", wrapped.format(i)) for i in range(3)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Deep story {i} of its own." for i in range(3)} | {10 + i: f"Wrapped story {i} of its own." for i in range(3)}
