@@ -7,8 +7,10 @@ that its scores imply, each with byte fallback. The tokenizer travels to the
 tasks as JSON (its size is the vocabulary's). If no piece reaches over a gap,
 texts are cut at gaps and each word that a task meets for the first time is
 encoded, in batches and with several threads; other models encode whole texts.
-Parity with the reference library is verified on the way: one row in
-``parity_every`` is encoded by both, whole, and a difference fails the job.
+Parity with the reference library is verified for every row: each newly met
+word is encoded and decoded by both (whole texts for other models, and one text
+in ``parity_every`` in any case), and a difference fails the job. Each text's ids
+are decoded, and the result is compared with the text.
 """
 
 from __future__ import annotations
@@ -94,11 +96,11 @@ def rebuild(model: bytes) -> str:
 class _Engine:
     """A rebuilt tokenizer in a worker, with the words that it has met."""
 
-    def __init__(self, text: str, threads: int, most_words: int = 200_000):
+    def __init__(self, text: str, threads: int, most_words: int = 200_000, reference=None):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         from tokenizers import Tokenizer
-        self.whole, self.most_words, self.words, self.odd = Tokenizer.from_str(text), most_words, {}, set()
+        self.whole, self.most_words, self.words = Tokenizer.from_str(text), most_words, {}
         spec = json.loads(text)
         steps = spec["normalizer"]["normalizers"]
         # Texts are cut at gaps if that can't part a piece, and if all that the normaliser does is to mark the gaps.
@@ -108,7 +110,7 @@ class _Engine:
         self.prefix = MARK if any(n["type"] == "Prepend" for n in steps) else ""
         self.by_word &= MARK in self.whole.get_vocab()
         spec["normalizer"] = None
-        self.threads = threads
+        self.threads, self.reference = threads, reference
         names = sorted(self.whole.get_vocab().items(), key=lambda x: x[1])
         fallback = spec["model"].get("byte_fallback")
         self.bytes = [bytes([int(n[3:5], 16)]) if fallback and _BYTE.fullmatch(n) else n.encode() for n, _ in names]
@@ -119,14 +121,25 @@ class _Engine:
         """Ids of each text, and whether they decode to it."""
         if not self.by_word:
             ids = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-            return [np.array(i, dtype=np.int32) for i in ids], [b == normal_form(x) for b, x in zip(self.decode(ids), texts)]
+            back = self.decode(ids)
+            self.verify(texts, ids, back)
+            return [np.array(i, dtype=np.int32) for i in ids], [b == normal_form(x) for b, x in zip(back, texts)]
         if len(self.words) > self.most_words:
-            self.words, self.odd = {}, set()
+            self.words = {}
         cut = [_WORD.findall(self.prefix + x.replace(" ", MARK)) if x else [] for x in texts]
         self._meet(list(set().union(*cut).difference(self.words)))
         at = self.words.__getitem__
-        return ([np.frombuffer(b"".join(map(at, c)), dtype=np.int32) for c in cut],
-                [self.odd.isdisjoint(c) if self.odd else True for c in cut])
+        ids = [np.frombuffer(b"".join(map(at, c)), dtype=np.int32) for c in cut]
+        return ids, [b == normal_form(x) for b, x in zip(self.decode([i.tolist() for i in ids]), texts)]
+
+    def verify(self, texts: list[str], ids: list[list[int]], back: list[str]) -> None:
+        """Compare with the reference library, if there is one."""
+        if self.reference is None or not texts:
+            return
+        for x, i, b, want, text in zip(texts, ids, back, self.reference.encode(texts, num_threads=self.threads),
+                                       self.reference.decode(ids, num_threads=self.threads)):
+            if want != i or text != b:
+                raise ValueError(f"pieces differ from the reference library's for the text {x[:200]!r}")
 
     def _meet(self, new: list[str]) -> None:
         """Encode words as one batch of pre-cut input, and find each one's ids by the pieces' lengths in bytes."""
@@ -142,8 +155,12 @@ class _Engine:
                 continue
             for word, ids in zip(part, (x.ids for x in self.bare.encode_batch_fast(part, add_special_tokens=False))):
                 self.words[word] = array("i", ids).tobytes()
-                if b"".join(map(self.bytes.__getitem__, ids)) != word.encode():
-                    self.odd.add(word)
+        # A word is what its text without the prefix is cut to; the prefix alone is no text's word but the last gap's, the mark's own piece.
+        bare = [w for w in new if w != self.prefix]
+        ids = [np.frombuffer(self.words[w], dtype=np.int32).tolist() for w in bare]
+        self.verify([w[len(self.prefix):].replace(MARK, " ") for w in bare], ids, self.decode(ids))
+        if self.reference is not None and len(bare) < len(new) and self.words[MARK] != array("i", [self.reference.piece_to_id(MARK)]).tobytes():
+            raise ValueError("pieces differ from the reference library's for a gap")
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
@@ -181,14 +198,14 @@ class Codec:
 
         def run(batches):
             import sentencepiece
-            t = _Engine(table.value, threads)
             sp, seen = sentencepiece.SentencePieceProcessor(model_proto=model.value), 0
+            t = _Engine(table.value, threads, reference=sp)
             for texts in batches:
                 for part in _parts(texts.fillna(""), most):     # small results: a batch's ids are never held together
                     got, kept = t.encode(part)
                     for x, i in zip(part, got):
-                        if seen % every == 0 and (sp.encode(x) != i.tolist() or sp.decode(i.tolist()) != t.decode([i.tolist()])[0]):
-                            raise ValueError(f"pieces differ from the reference library's for the text {x[:200]!r}")
+                        if seen % every == 0:
+                            t.verify([x], [i.tolist()], t.decode([i.tolist()]))
                         seen += 1
                     yield pd.DataFrame({"ids": got, "same": kept})
             del t, sp

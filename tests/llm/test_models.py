@@ -1,5 +1,6 @@
 """Operators with fitted models or parsers: toxicity, language, pieces, pages."""
 
+import json
 import math
 import random
 
@@ -188,6 +189,28 @@ def test_unigram_models(spaces):
     assert engine.decode([i.tolist() for i in ids]) == [sp.decode(i.tolist()) for i in ids]
 
 
+def test_every_row_is_verified_and_decoded(spark, docs_of, monkeypatch):
+    """A word that the reference library encodes in another way fails the job on
+    any row, and ``same`` tells what the ids decode to."""
+    codec = pieces.Codec(spark)
+    rows = [(i, "plain words") for i in range(30)] + [(30, "plain zebra  ")]
+    assert all(r.same for r in pieces.encode_documents(docs_of(rows), codec).coalesce(1).collect())
+    import sentencepiece
+    with open(pieces.DEFAULT_MODEL, "rb") as f:
+        raw = f.read()
+    sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    odd = next(w for w in ("different", "important", "water", "system", "house") if len(sp.encode(w)) == 1)
+    other = json.loads(pieces.rebuild(raw))
+    other["model"]["merges"] = [m for m in other["model"]["merges"] if "".join(m).replace(" ", "") != pieces.MARK + odd]
+    codec.json = spark.sparkContext.broadcast(json.dumps(other))
+    assert pieces.encode_documents(docs_of(rows[:30]), codec).count() == 30
+    with pytest.raises(Exception, match="differ from the reference"):
+        pieces.encode_documents(docs_of([*rows[:30], (30, "plain " + odd)]).coalesce(1), codec).collect()
+    engine = pieces._Engine(pieces.rebuild(raw), 1)
+    monkeypatch.setattr(engine, "decode", lambda ids: ["another text" for _ in ids])
+    assert engine.encode(["plain words"])[1] == [False]
+
+
 # --- pages ----------------------------------------------------------------
 def test_page_text():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a>Menu</a></ul></nav>
