@@ -123,22 +123,23 @@ def predict(text: Column, model: Model) -> Column:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500,
-        max_langs: int = 64, dim: int = DIM) -> Model:
-    """Model from labelled texts. The sample is bounded: the ``max_langs`` most
-    frequent languages (ties by name) and of each the ``per_lang`` rows whose id
-    has the smallest hash. Rows with a null language, id or text, and texts
+        max_rows: int = 32_000, dim: int = DIM) -> Model:
+    """Model from labelled texts. Every language is learned; the sample is
+    bounded by rows: of each language the ``per_lang`` rows whose id has the
+    smallest hash, or fewer (one at least) if all languages together would have
+    more than ``max_rows``. Rows with a null language, id or text, and texts
     without a letter, teach nothing. No usable row: a model without languages."""
     small_batches()
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
-    langs = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())
+    usable = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    rows = usable.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
+    per_lang = max(1, min(per_lang, max_rows // max(1, rows.select("lang").distinct().count())))
     draw = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) + F.lit(0.5)) / F.lit(float(1 << 31))
-    ids = (top_k_per_group(rows.where(F.col("lang").isin(langs)).withColumn("draw", draw), ["lang"], "draw", ["doc_id"], per_lang)
+    ids = (top_k_per_group(rows.withColumn("draw", draw), ["lang"], "draw", ["doc_id"], per_lang)
            .select("doc_id").distinct())
     vector = F.pandas_udf(lambda s: pd.Series([None if (x := profile(t, dim)) is None else x for t in s]), "array<double>")
-    sample = (labelled.where(F.col(lang_col).isin(langs) & F.col(text_col).isNotNull())
+    sample = (labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
               .select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-              .join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text").repartition(4)    # max_langs * per_lang rows at most
+              .join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text").repartition(4)    # max_rows ids, or one a language, at most
               .select("lang", vector("text").alias("x")).cache())
     # Filtered after the cache only: below it, the filter would be pushed under the join and profile every document.
     taught = sample.where(F.col("x").isNotNull()).select("lang", array_to_vector("x").alias("x"))

@@ -135,6 +135,17 @@ def test_language_degenerate_models(docs_of):
     assert pair.predict("the which there")[0] == "en" and pair.predict("nicht über zwischen")[0] == "de"
 
 
+def test_every_language_is_learned(docs_of):
+    """More languages than 64: the rarest is learned, too, and the rows are bounded."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    codes = [f"q{a}{b}" for a in letters[:5] for b in letters[:14]]
+    word = {g: " ".join(c * 3 for c in g[1:]) for g in codes}
+    rows = [(100 * n + j, f"{word[g]} " * (5 + j), g) for n, g in enumerate(codes) for j in range(3 if n < 69 else 2)]
+    model = langid.fit(docs_of(rows), per_lang=3, max_rows=140)
+    assert sorted(model.families) == sorted(codes) and len(codes) == 70
+    assert model.predict(f"{word[codes[-1]]} " * 9)[0] == codes[-1]
+
+
 # --- pieces ---------------------------------------------------------------
 def edge_texts():
     rng = random.Random(9)
