@@ -1,6 +1,7 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates.
 
-Every line, paragraph and whole text of a document is a unit. A unit and a
+Every line, paragraph and whole text of a document is a unit; runs of lines,
+sentences or words in it are windows (see ``_windows``). A unit and a
 template are compared by the Dice coefficient 2 |A n B| / (|A| + |B|) of their
 sets of word bigrams. A coefficient of t needs |A| between t / (2 - t) |B| and
 (2 - t) / t |B|, so units out of all templates' bounds are never expanded and a
@@ -12,9 +13,10 @@ bigrams are counted where they are read and only matches are shuffled.
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fedsight.llm.common import letter_words
@@ -67,13 +69,61 @@ def template_bigrams(templates: dict[str, str]) -> dict[str, list[str]]:
     return out
 
 
+def _windows(rows: DataFrame, templates: dict[str, str], t: float) -> DataFrame:
+    """doc_id, license and dice of the best window of each row of (doc_id, text)
+    and each template that a window reaches.
+
+    A window is a run of bigrams of at most (2 - t) / t times the template's
+    length. It begins and ends with lines or sentences, or else it is as long as
+    the template or longer, so that words which differ are never cut off at its
+    ends. A coefficient of t needs t / (2 - t) of the template's bigrams, so a
+    text is looked through only for templates of which it holds so many.
+    """
+    known = []
+    for name, gs in template_bigrams(templates).items():
+        if gs:
+            total = len(re.findall(r"[^\W_]+", templates[name].lower())) - 1
+            known.append((name, gs, len(gs), total, math.ceil(len(gs) * t / (2 - t) - 1e-9), math.floor(total * (2 - t) / t + 1e-9)))
+    of = F.array(*[F.struct(F.lit(n).alias("license"), F.array(*map(F.lit, gs)).alias("tg"), F.lit(m).alias("m"), F.lit(total).alias("total"),
+                            F.lit(need).alias("need"), F.lit(most).alias("most")) for n, gs, m, total, need, most in known])
+    every = F.array(*map(F.lit, sorted({g for k in known for g in k[1]})))
+    least = min(k[4] for k in known)
+
+    def pairs(w: str) -> Column:
+        return F.expr(f"transform(if(size({w}) > 1, sequence(0, size({w}) - 2), array()), i -> concat({w}[i], ' ', {w}[i + 1]))")
+
+    found = rows.select("doc_id", "text", letter_words(F.col("text")).alias("w")).select(
+        "doc_id", "text", F.array_intersect(pairs("w"), every).alias("held"))
+    fits = F.when(F.size("held") >= least, F.filter(of, lambda x: F.size(F.array_intersect(F.col("held"), x["tg"])) >= x["need"]))
+    near = found.select("doc_id", "text", F.explode_outer(fits).alias("of")).where("of is not null").select("doc_id", "text", "of.*")
+    parts = F.transform(F.split("text", r"\n|(?<=[.!?;:])\s+"), letter_words)
+    near = (near.withColumn("parts", parts).withColumn("w", F.flatten("parts")).withColumn("g", pairs("w"))
+            # Word numbers where lines and sentences begin, and the end.
+            .withColumn("edges", F.array_distinct(F.expr("aggregate(parts, array(0), (a, x) -> array_append(a, element_at(a, -1) + size(x)))")))
+            .withColumns({"g": F.expr("transform(g, x -> xxhash64(x))"), "tg": F.expr("transform(tg, x -> xxhash64(x))")})
+            .withColumn("hits", F.expr("filter(sequence(0, size(g) - 1), i -> array_contains(tg, g[i]))")))
+    enough = "size(filter(hits, p -> p >= s and p < s + most)) >= need"
+    near = near.withColumns({
+        "starts": F.expr(f"filter(array_distinct(concat(hits, transform(hits, p -> p - total + 1))), s -> s >= 0 and {enough})"),
+        "firsts": F.expr(f"filter(edges, s -> {enough})")})
+    free = """flatten(transform(starts, s -> transform(filter(array_distinct(concat(array(s + total - 1), hits)),
+        e -> e >= s + total - 1 and e < s + most and e < size(g)), e -> struct(s as s, e - s + 1 as n))))"""
+    whole = """flatten(transform(firsts, s -> transform(filter(edges, f -> f - s - 1 >= need and f - s - 1 <= most),
+        f -> struct(s as s, f - s - 1 as n))))"""
+    near = near.withColumn("windows", F.expr(f"concat({free}, {whole})"))
+    dice = F.expr("""array_max(transform(windows, v -> round(2 * size(array_intersect(slice(g, v.s + 1, v.n), tg))
+        / (size(array_distinct(slice(g, v.s + 1, v.n))) + m), 9)))""")
+    return near.select("doc_id", "license", dice.alias("dice"))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8, id_col: str = "doc_id",
          text_col: str = "text") -> DataFrame:
     """doc_id, license, dice (largest) and n_units (different units that match)
     of every document and template with a coefficient of ``threshold`` or more.
 
     Texts are lower-cased; words are runs of letters and digits; a unit is a
-    line, a blank-line separated paragraph or the whole text. Units with fewer
+    line, a blank-line separated paragraph or the whole text. A template that no
+    unit reaches but a window does counts as one unit. Units with fewer
     than two words, null and empty texts match nothing. Rows that repeat an id
     are scanned together. All templates that reach the threshold are returned,
     ties included. A null id is a value like any other. An empty table or no
@@ -98,5 +148,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     hits = (sized.select("doc_id", "u", F.coalesce(F.size("grams"), F.lit(0)).alias("n"), F.explode_outer(near).alias("gram"))
             .join(F.broadcast(known), "gram").where((n >= m * (t / (2 - t))) & (n <= m * ((2 - t) / t))).distinct())
     dice = F.round(2 * F.count(F.lit(1)) / (n + m), 9)
-    return (hits.groupBy("doc_id", "u", "n", "license", "m").agg(dice.alias("dice")).where(F.col("dice") >= t)
-            .groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.count(F.lit(1)).alias("n_units")))
+    found = hits.groupBy("doc_id", "u", "n", "license", "m").agg(dice.alias("dice")).where(F.col("dice") >= t).select(
+        "doc_id", "license", "dice", F.lit(1).alias("unit"))
+    if rows:
+        whole = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+        found = found.unionByName(_windows(whole, TEMPLATES if templates is None else templates, t).withColumn("unit", F.lit(0)))
+    return found.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.greatest(F.sum("unit"), F.lit(1)).cast("long").alias("n_units")).where(
+        F.col("dice") >= t)

@@ -40,6 +40,19 @@ def test_licenses_match_brute_force(docs_of):
     assert (1, "MIT notice") in got and (None, "CC-BY-NC-4.0 notice") in got and (7, "MIT") in got and (8, "MIT") in got
 
 
+def test_licenses_inside_long_documents(docs_of):
+    """Licences of several paragraphs, or wrapped, and notices in longer lines."""
+    mit, gpl = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["GPL-3.0 header"]
+    mit = mit.replace("conditions: ", "conditions:\n\n").replace("Software. THE", "Software.\n\nTHE")
+    gpl = gpl.replace("version. This", "version.\n\nThis")
+    wrapped = re.sub(r"(.{60}\S*) ", r"\1\n", mit)
+    around = "\n".join(f"line {i} of a long text about other things number {i}" for i in range(300))
+    rows = [(1, f"{around}\n\n{mit}\n\n{around}"), (2, f"{around}\n\n{gpl}\n\n{around}"), (3, f"{around}\n{wrapped}\n{around}"), (4, around),
+            (5, "This file is released under the MIT License and maintained by the project team."), (6, "Released under the")]
+    got = {(r.doc_id, r.license): (r.dice, r.n_units) for r in licenses.scan(docs_of(rows)).collect()}
+    assert got == {(1, "MIT"): (1.0, 1), (2, "GPL-3.0 header"): (1.0, 1), (3, "MIT"): (1.0, 1), (5, "MIT notice"): (1.0, 1)}
+
+
 def test_licenses_empty(docs_of):
     assert licenses.scan(docs_of([])).count() == 0
     assert licenses.scan(docs_of(LICENSE_DOCS), {"own": "one"}).count() == 0
