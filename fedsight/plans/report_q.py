@@ -181,6 +181,22 @@ def q_comparison(spark, d):
     return rp.client_comparison(tb.importance(spark, d), 10, 5)
 
 
+@query("client_comparison_all", IMP + """,
+cl AS (SELECT DISTINCT round, method, client_id FROM importance),
+top AS (SELECT * FROM (
+         SELECT *, row_number() OVER (PARTITION BY round, method, client_id ORDER BY abs(value) DESC, feature) AS rank
+         FROM importance) y WHERE rank <= 10),
+freq AS (SELECT round, method, feature, count(*) AS c FROM top GROUP BY ALL),
+keep AS (SELECT round, method, feature FROM (
+          SELECT *, row_number() OVER (PARTITION BY round, method ORDER BY c DESC, feature) AS k FROM freq) z WHERE k <= 10)
+SELECT cl.round, cl.method, cl.client_id, keep.feature, coalesce(top.value, 0.0) AS importance
+FROM cl JOIN keep ON cl.round = keep.round AND cl.method = keep.method
+LEFT JOIN top ON top.round = cl.round AND top.method = cl.method AND top.client_id = cl.client_id AND top.feature = keep.feature""")
+def q_comparison_all(spark, d):
+    """Every client; ``client_comparison`` keeps the five clients of the chart."""
+    return rp.client_comparison(tb.importance(spark, d), 10)
+
+
 @query("importance_evolution", _GLOB + """,
 last AS (SELECT method, max(round) AS round FROM gimp GROUP BY 1),
 feats AS (SELECT method, feature FROM (

@@ -25,3 +25,11 @@ def test_every_query_has_sql_or_is_declared_rows_only(spark):
 def test_query_runs(spark, name):
     df = E.queries()[name](spark, SF)
     df.write.format("noop").mode("overwrite").save()
+
+
+def test_comparison_of_all_clients(spark):
+    """Every client of a round and method is compared."""
+    from fedsight.sources import testbed as tb
+    every = {tuple(r) for r in tb.importance(spark, SF).select("round", "method", "client_id").distinct().collect()}
+    got = E.queries()["client_comparison_all"](spark, SF)
+    assert {tuple(r) for r in got.select("round", "method", "client_id").distinct().collect()} == every
