@@ -6,14 +6,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fedsight.llm import decontaminate, html, langid, licenses, pieces, quality, sharding, simhash, toxicity, urls
-from fedsight.llm.common import fold
+from fedsight.llm import decontaminate, html, langid, licenses, periods, pieces, quality, sharding, simhash, toxicity, urls
+from fedsight.llm.common import by_value, fold
 from fedsight.llm.sql import DECONTAMINATION_SQL, LICENSE_SQL, QUALITY_SQL
 from fedsight.sources.tables import load
 
+by_value(__name__)
+
 #: Fixed values of the URL contract: verdict, host, path.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
              ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -82,8 +85,28 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def repeated_from(g: int, n: int) -> np.ndarray:
+    """Fixed rule of the run contract: from word a on, every word is one of the p words there."""
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    at = np.arange(n)
+    return np.where(at < a, at, a + (at - a) % p)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    found = periods.detect(load(spark, sf_dir, "documents"), edit=(F.when(h % 10 == 0, F.floor(h / 10)), repeated_from))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    return found.withColumns({"lines": lines, "top": longest}).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", (-F.col("top.less")).alias("length"), "top.period",
+        F.floor(1000 * -F.col("top.less") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("lines", lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_license_scan, op2_simhash_near_dedup, op3_sentencepiece, op4_html_extraction, op5_toxicity, op6_url_filters, op7_quality_rules,
-    op8_sharding, op9_language_id, op10_benchmark_decontamination)}
+    op8_sharding, op9_language_id, op10_benchmark_decontamination, op13_periodic_runs)}
 ORACLES: dict[str, str] = {"op1_license_scan": LICENSE_SQL, "op7_quality_rules": QUALITY_SQL,
                            "op10_benchmark_decontamination": DECONTAMINATION_SQL}
