@@ -1,11 +1,15 @@
 """How filters of documents act on each other, in every order.
 
-Words are numbered by a dictionary of the whole table; the documents of a shard
-become a sparse document-term matrix (CSR: row pointer, term indices, counts).
-A row's sum is its number of words, its nonzero counts are its distinct words.
-The remaining conditions come from Spark expressions on the text. What is left
-is a table of (part, failing filters, labels) -> documents, whose size does not
-depend on the documents; all orders are read off it.
+Words are numbered by a dictionary of the whole table: a word's term number is
+its 63-bit hash, the dictionary holds every word of the table once, and it is
+checked that no two words have one number; words that clash get negative
+numbers of their own and the texts are read again. So all tasks number alike
+and neither words nor texts have to be shuffled for it. The documents of a
+batch become a shard of the sparse document-term matrix (CSR: row pointer, term
+numbers, counts): a row's sum is its number of words, its nonzero counts are
+its distinct words. What is left is a table of (part, failing filters, labels)
+-> documents, whose size does not depend on the documents; all orders are read
+off it.
 
 Copies are counted, not joined: rows are grouped by the digest of their text,
 and all but those with the least id of the digest repeat an earlier one.
@@ -13,49 +17,112 @@ and all but those with the least id of the digest repeat an earlier one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fedsight.llm.common import WHITE_CLASS, by_value
-from fedsight.llm.shards import WORDS_PER_SHARD, csr, dictionary, encode, translate
+from fedsight.llm.common import WHITE_CLASS, by_value, small_batches, stage_table
 
 by_value(__name__)
 
 FILTERS = "ABCDE"
-
-
-def term_rows(table: pa.Table, columns: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """CSR matrix of a shard: row pointer, global term numbers, counts; terms of
-    a row are in order and stand once."""
-    ends, codes = csr(table.column("codes"))
-    terms, local = np.unique(columns.column("term").to_numpy(), return_inverse=True)
-    row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-    cells, counts = np.unique(row * max(len(terms), 1) + local[codes], return_counts=True) if len(codes) else (np.zeros(0, np.int64),) * 2
-    pointer = np.searchsorted(cells, np.arange(len(ends)) * max(len(terms), 1))
-    return pointer, terms[cells % max(len(terms), 1)] if len(cells) else cells, counts
-
-
-def word_counts(rows: DataFrame, text: str, keep: list[str], words_per_shard: int = WORDS_PER_SHARD) -> DataFrame:
-    """``keep`` columns, n_words (the row's sum in the document-term matrix) and
-    n_distinct (its nonzero counts) of every row."""
-    def sums(table: pa.Table, columns: pa.Table) -> pa.Table:
-        pointer, _, counts = term_rows(table, columns)
-        total = np.concatenate(([0], np.cumsum(counts)))
-        out = table.select(keep)
-        out = out.append_column("n_words", pa.array(total[pointer[1:]] - total[pointer[:-1]], pa.int64()))
-        return out.append_column("n_distinct", pa.array(np.diff(pointer), pa.int64()))
-
-    encoded = encode(rows, text, keep, words_per_shard=words_per_shard)
-    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), "n_words bigint", "n_distinct bigint"])
-    return translate(encoded, dictionary(encoded).select("word", "term"), sums, schema)
+#: A task gives its words to the dictionary when it has met so many different ones.
+WORDS_AT_ONCE = 500_000
+#: Words whose hashes clash; beyond this the hash is too narrow for the table.
+MAX_CLASHES = 100_000
+
+
+def csr(rows: np.ndarray, words: np.ndarray, terms: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row pointer, term numbers and counts of the matrix of word occurrences
+    (``rows``, ``words``), word i being term ``terms[i]``; a row's terms stand once."""
+    names, column = np.unique(terms, return_inverse=True)
+    width = max(len(names), 1)
+    cells, counts = np.unique(rows * width + column[words], return_counts=True)
+    return np.searchsorted(cells, np.arange(n_rows + 1) * width), names[cells % width] if len(cells) else cells, counts
+
+
+def _measured(rows: DataFrame, keep: list[str], symbols: str, recoded: dict[bytes, int], bits: int, words_at_once: int) -> DataFrame:
+    """Staged rows of two kinds: ``keep`` with n_words, n_distinct, n_capitals,
+    n_points and symbols of a text, and a word (null for texts)."""
+    capitals, following, marks = bytes(range(65, 91)), bytes(range(0x80, 0xC0)), symbols.encode()
+    facts = ["n_words", "n_distinct", "n_capitals", "n_points", "n_symbols"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
+        terms: list[int] = []
+        kinds = None
+
+        def number(word: bytes) -> int:
+            terms.append(recoded[word] if word in recoded else xxhash.xxh64_intdigest(word, 42) >> (64 - bits))
+            seen[word] = len(terms) - 1
+            return len(terms) - 1
+
+        def dictionary() -> pa.RecordBatch:
+            n = len(seen)
+            return pa.RecordBatch.from_arrays([*(pa.nulls(n, k) for k in kinds), *(pa.nulls(n, pa.int64()) for _ in facts), pa.array(list(seen), pa.binary())],
+                                              [*keep, *facts, "word"])
+
+        for batch in batches:
+            kinds = [batch.column(c).type for c in keep]
+            texts = [t.as_py() or b"" for t in batch.column("text")]
+            found, sizes = [], []
+            for t in texts:
+                words = t.split()
+                sizes.append(len(words))
+                found.append(np.fromiter((seen[w] if w in seen else number(w) for w in words), dtype=np.int64, count=len(words)))
+            flat, used = np.unique(np.concatenate(found), return_inverse=True) if found else (np.zeros(0, np.int64),) * 2
+            own = np.array([terms[i] for i in flat], dtype=np.int64)
+            pointer, _, counts = csr(np.repeat(np.arange(len(texts)), sizes), used, own, len(texts))
+            total = np.concatenate(([0], np.cumsum(counts)))
+            made = [total[pointer[1:]] - total[pointer[:-1]], np.diff(pointer), *(
+                np.array([len(t) - len(t.translate(None, drop)) for t in texts], dtype=np.int64) for drop in (capitals, following, marks))]
+            made[3] = np.array([len(t) for t in texts], dtype=np.int64) - made[3]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x, pa.int64()) for x in made), pa.nulls(len(texts), pa.binary())],
+                                             [*keep, *facts, "word"])
+            if len(seen) >= words_at_once:
+                yield dictionary()
+                seen.clear()
+                terms.clear()
+        if seen:
+            yield dictionary()
+
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} bigint" for c in facts), "word binary"])
+    return stage_table(rows.mapInArrow(run, schema), "term-counts")
+
+
+def measures(rows: DataFrame, keep: list[str], symbols: str, bits: int = 63, words_at_once: int = WORDS_AT_ONCE) -> tuple[DataFrame, DataFrame]:
+    """Of every row (``text`` as binary): the ``keep`` columns, n_words and
+    n_distinct (row sum and nonzero counts of the document-term matrix),
+    n_capitals (A-Z), n_points (code points) and n_symbols (bytes among
+    ``symbols``, which are ASCII); and the dictionary (word, term)."""
+    small_batches()
+    recoded: dict[bytes, int] = {}
+    while True:
+        staged = _measured(rows, keep, symbols, recoded, bits, words_at_once)
+        code = F.shiftrightunsigned(F.xxhash64("word"), 64 - bits)
+        words = stage_table(staged.where(F.col("word").isNotNull()).select("word").distinct().select("word", code.alias("term")), "dictionary")
+        if recoded:
+            break
+        twice = [r[0] for r in words.groupBy("term").agg(F.count("*").alias("n")).where("n > 1").select("term").limit(MAX_CLASHES + 1).collect()]
+        if not twice:
+            break
+        clashing = [bytes(r[0]) for r in words.where(F.col("term").isin(twice)).select("word").limit(MAX_CLASHES + 1).collect()]
+        if len(clashing) > MAX_CLASHES:
+            raise ValueError(f"over {MAX_CLASHES} words clash in hashes of {bits} bits")
+        recoded = {w: -1 - i for i, w in enumerate(sorted(clashing))}
+    if recoded:
+        own = rows.sparkSession.createDataFrame([(bytearray(w), t) for w, t in recoded.items()], "word binary, own bigint")
+        words = words.join(F.broadcast(own), "word", "left").select("word", F.coalesce("own", "term").alias("term"))     # MAX_CLASHES rows at most
+    return staged.where(F.col("word").isNull()).drop("word"), words
 
 
 def failing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang", min_words: int = 100,
-            min_distinct: int = 80, max_capitals: int = 10, symbols: str = "#$%&*|", words_per_shard: int = WORDS_PER_SHARD) -> DataFrame:
+            min_distinct: int = 80, max_capitals: int = 10, symbols: str = "#$%&*|") -> DataFrame:
     """part, fails (letters of the filters that a document fails), good, toxic
     and docs (their number): one row a combination that occurs.
 
@@ -68,14 +135,13 @@ def failing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     Repeated rows count each; those with one id and text are no copies of each
     other. A label is held by an id if any of its label rows says so.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    body = docs.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.col(part_col), F.lit("")).alias("part"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
-        (100 * F.regexp_count(text, F.lit("[A-Z]")) > max_capitals * F.length(text)).alias("c"),
-        text.rlike("[" + "".join(rf"\x{ord(s):02X}" for s in symbols) + "]").alias("d"), text.alias("text"))
-    counted = word_counts(body, "text", ["doc_id", "part", "digest", "c", "d"], words_per_shard)
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    body = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(part_col), F.lit("")).alias("part"), F.unhex(F.sha2(text, 256)).alias("digest"),
+                       text.alias("text"))
+    counted, _ = measures(body, ["doc_id", "part", "digest"], symbols)
     own = F.concat(*[F.when(cond, x).otherwise("") for x, cond in (
-        ("A", F.col("n_words") < min_words), ("B", 100 * F.col("n_distinct") < min_distinct * F.col("n_words")), ("C", F.col("c")), ("D", F.col("d")))])
+        ("A", F.col("n_words") < min_words), ("B", 100 * F.col("n_distinct") < min_distinct * F.col("n_words")),
+        ("C", 100 * F.col("n_capitals") > max_capitals * F.col("n_points")), ("D", F.col("n_symbols") > 0))])
     known = labels.groupBy(F.col("doc_id")).agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"),
                                                F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
     keys = ["digest", "part", "own", "good", "toxic"]

@@ -4,10 +4,11 @@ import re
 from collections import Counter
 from itertools import permutations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fedsight.llm import interactions, shards
+from fedsight.llm import interactions
 
 
 def fails(i, text, rows):
@@ -45,12 +46,11 @@ ROWS = [(1, LONG, "en"), (2, LONG, "en"), (3, LONG, "de"), (3, LONG, "de"), (0,
         (11, "é" * 8 + "A", "de"), (12, "word " * 10_000, "en"), (13, "a b " * 99, "xx"), (14, "", ""), (2, LONG, "en"), (15, "The end " * 80, "en")]
 
 
-@pytest.mark.parametrize("size", [1, 150, 2_000_000])
-def test_audit_equals_a_direct_count(spark, docs_of, size):
+def test_audit_equals_a_direct_count(spark, docs_of):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (2, 1, None), (7, 1, 1), (9, None, None), (None, 1, 1), (99, 1, 1), (12, 0, 1)],
                                    "doc_id long, quality long, toxic long").withColumn("part", F.lit("clash"))
     docs = docs_of(ROWS, "part", "n", "good", "fails", "shard", "code").repartition(3)
-    got = interactions.audit(interactions.failing(docs, labels, words_per_shard=size))
+    got = interactions.audit(interactions.failing(docs, labels))
     assert got.columns == ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
     assert {tuple(r)[:3]: tuple(r)[3:] for r in got.collect()} == brute(ROWS, {1, 2, 7}, {2, 7, 12})
 
@@ -62,15 +62,22 @@ def test_no_documents_or_labels(spark, docs_of):
     assert got.where("good_lost + toxic_lost > 0").count() == 0 and got.count() == 600 * 5
 
 
-def test_dictionary_numbers_every_word_once(docs_of):
-    enc = shards.encode(docs_of(ROWS).repartition(2), "text", ["doc_id"], counted=F.col("doc_id") < 8, words_per_shard=200)
-    want, all_words = Counter(), set()
+@pytest.mark.parametrize("bits,at_once", [(63, 500_000), (63, 1), (7, 100)])
+def test_matrix_rows_and_dictionary(docs_of, bits, at_once):
+    """Seven bits make nearly all words clash: they get numbers of their own."""
+    docs = docs_of(ROWS).repartition(3).selectExpr("doc_id", "cast(coalesce(text, '') as binary) as text")
+    rows, words = interactions.measures(docs, ["doc_id"], "#|", bits, at_once)
+    want, every = Counter(), set()
     for r in ROWS:
-        w = re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")
-        all_words |= set(w)
-        if r[0] is not None and r[0] < 8:
-            want.update(w)
-    terms = shards.dictionary(enc).collect()
-    assert {bytes(r.word).decode(): r.n for r in terms} == {w: want[w] for w in all_words}
-    assert len({r.term for r in terms}) == len(terms)
-    assert shards.texts(enc).count() == len(ROWS)
+        t = r[1] or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        every |= set(w)
+        want[r[0], len(w), len(set(w)), len(re.findall("[A-Z]", t)), len(t), len(re.findall("[#|]", t))] += 1
+    assert Counter(map(tuple, rows.collect())) == want
+    terms = {bytes(r.word).decode(): r.term for r in words.collect()}
+    assert set(terms) == every and len(set(terms.values())) == len(every) and (bits == 63 or min(terms.values()) < 0)
+
+
+def test_matrix_merges_equal_terms():
+    pointer, terms, counts = interactions.csr(np.array([0, 0, 0, 2, 2]), np.array([0, 1, 1, 2, 0]), np.array([9, 5, 9]), 4)
+    assert pointer.tolist() == [0, 2, 2, 3, 3] and terms.tolist() == [5, 9, 9] and counts.tolist() == [2, 1, 2]
