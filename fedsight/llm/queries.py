@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fedsight.llm import decontaminate, html, interactions, langid, licenses, periods, pieces, quality, sharding, simhash, toxicity, urls
+from fedsight.llm import decontaminate, html, interactions, langid, licenses, maxent, periods, pieces, quality, sharding, simhash, toxicity, urls
 from fedsight.llm.common import by_value, fold
 from fedsight.llm.sql import DECONTAMINATION_SQL, LICENSE_SQL, QUALITY_SQL
 from fedsight.sources.tables import load
@@ -85,6 +85,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(load(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) != 1)
+
+
 def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.audit(interactions.failing(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")))
 
@@ -111,7 +115,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_license_scan, op2_simhash_near_dedup, op3_sentencepiece, op4_html_extraction, op5_toxicity, op6_url_filters, op7_quality_rules,
-    op8_sharding, op9_language_id, op10_benchmark_decontamination, op12_filter_interactions, op13_periodic_runs)}
+    op8_sharding, op9_language_id, op10_benchmark_decontamination, op11_lm_scoring, op12_filter_interactions, op13_periodic_runs)}
 ORACLES: dict[str, str] = {"op1_license_scan": LICENSE_SQL, "op7_quality_rules": QUALITY_SQL,
                            "op10_benchmark_decontamination": DECONTAMINATION_SQL,
                            "op12_filter_interactions": interactions.INTERACTIONS_SQL}

@@ -8,7 +8,7 @@ from fedsight.session import checkpoint_dir  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 KEYS = {"op2_simhash_near_dedup": "doc_id", "op3_sentencepiece": "doc_id", "op4_html_extraction": "page_id", "op5_toxicity": "doc_id",
-        "op6_url_filters": "page_id", "op7_quality_rules": "doc_id", "op8_sharding": "doc_id", "op9_language_id": "doc_id", "op13_periodic_runs": "doc_id"}
+        "op6_url_filters": "page_id", "op7_quality_rules": "doc_id", "op8_sharding": "doc_id", "op9_language_id": "doc_id", "op11_lm_scoring": "doc_id", "op13_periodic_runs": "doc_id"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
