@@ -73,7 +73,7 @@ class Model:
         for r in rows[1:]:
             z += np.take(self.u, r, axis=0)
         z += self.prior
-        p, total = _softmax(z)
+        p, total = _softmax(z, step > 0)
         out = z[at, cls].astype(float) - total
         if step:
             p[at, cls] -= 1
@@ -87,7 +87,7 @@ class Model:
             z = np.take(self.w, rows[0], axis=0)
             z += np.take(self.w, rows[1], axis=0)
             z += self.inner[own]
-            p, total = _softmax(z)
+            p, total = _softmax(z, step > 0)
             at = np.arange(len(head))
             out[head] += z[at, word] - total
             if step:
@@ -97,13 +97,14 @@ class Model:
         return out
 
 
-def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities and log normalisers; ``z`` is held within +-60 in place."""
+def _softmax(z: np.ndarray, shares: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities (if asked for) and log normalisers; ``z`` is held within +-60 in place."""
     np.clip(z, -60, 60, out=z)
     e = np.exp(z)
-    total = e.sum(axis=1, dtype=np.float64)
-    e /= total[:, None].astype(np.float32)
-    return e, np.log(total)
+    total = np.einsum("ij->i", e)
+    if shares:
+        e /= total[:, None]
+    return e, np.log(total.astype(np.float64))
 
 
 def _descend(table: np.ndarray, sums: np.ndarray, rows: np.ndarray, gradient: np.ndarray, step: float) -> None:
@@ -122,25 +123,32 @@ def hashed(features: np.ndarray, n_rows: int) -> np.ndarray:
     return ((x >> np.uint64(40)) % np.uint64(n_rows)).astype(np.uint16 if n_rows <= 1 << 16 else np.int64)
 
 
-def context(ids: np.ndarray, pointer: np.ndarray) -> list[np.ndarray]:
-    """Feature values of each token: the word before, the two before, and the
-    one before the previous; a text begins after two begin marks."""
-    first = np.full(len(ids) + 2, BEGIN, dtype=np.uint64)
+def neighbours(ids: np.ndarray, pointer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before and the one before that of each token; a text begins after begin marks."""
+    first = np.full(len(ids) + 2, BEGIN, dtype=np.int32)
     first[2:] = ids
     p1, p2 = first[1:-1].copy(), first[:-2].copy()
     starts = pointer[:-1][np.diff(pointer) > 0]
     p1[starts], p2[starts] = BEGIN, BEGIN
     second = starts + 1
     p2[second[second < len(ids)]] = BEGIN
+    return p1, p2
+
+
+def features_of(p1: np.ndarray, p2: np.ndarray) -> list[np.ndarray]:
+    """Feature values of contexts: the word before, the two before, and the one before the previous."""
+    p1, p2 = p1.astype(np.uint64), p2.astype(np.uint64)
     out = [p1 * np.uint64(MIX[1]) + np.uint64(1), (p1 * np.uint64(MIX[2]) + p2) * np.uint64(MIX[1]) + np.uint64(2), p2 * np.uint64(MIX[2]) + np.uint64(3)]
     return [x ^ (x >> np.uint64(29)) for x in out]
 
 
-def _log_probs(model: Model, ids: np.ndarray, pointer: np.ndarray, step: float = 0.0) -> np.ndarray:
-    features, out = context(ids, pointer), np.zeros(len(ids))
+def log_probs(model: Model, ids: np.ndarray, pointer: np.ndarray, step: float = 0.0) -> np.ndarray:
+    """Natural log probability of each token of the texts that ``pointer`` cuts ``ids`` into."""
+    p1, p2 = neighbours(ids, pointer)
+    out = np.zeros(len(ids))
     for a in range(0, len(ids), MINIBATCH):
         b = a + MINIBATCH
-        out[a:b] = model.log_probs(ids[a:b], [f[a:b] for f in features], step)
+        out[a:b] = model.log_probs(ids[a:b].astype(np.int64), features_of(p1[a:b], p2[a:b]), step)
     return out
 
 
@@ -180,7 +188,7 @@ def _numbered(docs: DataFrame, keep: list[str], train: Column, rounds: int, roun
     base_total = np.log10(n_tokens + 0.5 * (n_words + 1))
 
     def number(table: pa.Table, columns: pa.Table) -> pa.Table:
-        pointer, codes = shards.csr(table.column("codes"))
+        pointer, codes = shards.unpacked(table.column("codes"))
         n, g = columns.column("n").to_numpy(), columns.column("g").to_numpy()
         of_word = np.zeros(len(g))
         rest = g >= n_head
@@ -190,14 +198,14 @@ def _numbered(docs: DataFrame, keep: list[str], train: Column, rounds: int, roun
         facts = {"n_tokens": pa.array(np.diff(pointer)), "n_known": pa.array(np.add.reduceat((n > 0)[codes].astype(np.int64), at)),
                  "base_score": pa.array(np.add.reduceat((np.log10(n + 0.5) - base_total)[codes], at)),
                  "tail_score": pa.array(np.add.reduceat(of_word[codes], at)),
-                 "ids": pa.ListArray.from_arrays(pa.array(pointer, pa.int32()), pa.array(g[codes], pa.int32()))}
+                 "ids": pa.array([shards.packed(x, "<u2") for x in np.split(g.astype("<u2")[codes], pointer[1:-1])], pa.binary())}
         out = table.select([*keep, "__round"])
         for name, x in facts.items():
             out = out.append_column(name, x)
         return out
 
     schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), "__round int", "n_tokens bigint", "n_known bigint",
-                        "base_score double", "tail_score double", "ids array<int>"])
+                        "base_score double", "tail_score double", "ids binary"])
     numbered = shards.translate(encoded, placed, number, schema)
     path = os.path.join(ensure_checkpoint_dir(docs.sparkSession), f"numbered-{uuid.uuid4().hex}")
     numbered.write.partitionBy("__round").parquet(path)             # a round reads its own texts only
@@ -211,8 +219,8 @@ def _trained(texts: DataFrame, model: Model, step: float) -> Model:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = model.copy(), TaskContext.get().partitionId()
         for batch in batches:
-            pointer, flat = shards.csr(batch.column("ids"))
-            _log_probs(own, flat.astype(np.int64), pointer, step)
+            pointer, flat = shards.unpacked(batch.column("ids"), "<u2")
+            log_probs(own, flat, pointer, step)
         for name, new, old, new_sum, old_sum in (("u", own.u, model.u, own.u_sum, model.u_sum), ("w", own.w, model.w, own.w_sum, model.w_sum)):
             for b in range(0, len(new), BLOCK_ROWS):
                 gain = new_sum[b:b + BLOCK_ROWS] - old_sum[b:b + BLOCK_ROWS]
@@ -257,8 +265,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pointer, flat = shards.csr(batch.column("ids"))
-            total = np.concatenate(([0.0], np.cumsum(_log_probs(model, flat.astype(np.int64), pointer))))
+            pointer, flat = shards.unpacked(batch.column("ids"), "<u2")
+            total = np.concatenate(([0.0], np.cumsum(log_probs(model, flat, pointer))))
             own = (total[pointer[1:]] - total[pointer[:-1]]) / np.log(10) + batch.column("tail_score").to_numpy()
             cols = [*(batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")), pa.array(np.full(len(own), n_tokens)), batch.column("base_score"), pa.array(own)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

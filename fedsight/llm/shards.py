@@ -28,10 +28,28 @@ by_value(__name__)
 WORDS_PER_SHARD = 2_000_000
 
 
+def packed(numbers: np.ndarray, kind: str = "<u4") -> bytes:
+    """Numbers as bytes, all lowest bytes first, then all second ones: the high
+    bytes of small numbers are long runs of zeros, which any codec removes."""
+    x = np.ascontiguousarray(numbers, dtype=kind)
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def unpacked(values: pa.ChunkedArray | pa.Array, kind: str = "<u4") -> tuple[np.ndarray, np.ndarray]:
+    """Row pointer and all numbers of a column of packed numbers."""
+    width, parts = np.dtype(kind).itemsize, []
+    for v in values:
+        x = np.frombuffer(v.as_py() or b"", dtype=np.uint8)
+        parts.append(np.ascontiguousarray(x.reshape(width, -1).T).view(kind).ravel())
+    pointer = np.concatenate(([0], np.cumsum([len(x) for x in parts], dtype=np.int64)))
+    return pointer, np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
+
+
 def encode(rows: DataFrame, text: str, keep: list[str], counted: Column | None = None, lower: bool = False, end: bool = False,
            words_per_shard: int = WORDS_PER_SHARD) -> DataFrame:
     """Staged table of two kinds of rows: a text's (shard, ``keep``, codes) with
-    a null word, and a shard's word (shard, code, word, n) with null codes.
+    a null word, and a shard's word (shard, code, word, n) with null codes (see
+    :func:`packed`).
 
     Words are runs of anything but ASCII white space (``lower``: A-Z in lower
     case); ``end`` adds the empty word after each text. n counts a word in the
@@ -41,7 +59,7 @@ def encode(rows: DataFrame, text: str, keep: list[str], counted: Column | None =
     body = rows.select(*keep, F.col(text).cast("binary").alias("text"), (F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))).alias("counted"))
     kept = T.StructType([T.StructField(c, body.schema[c].dataType) for c in keep])
     out = T.StructType([T.StructField("shard", T.LongType()), T.StructField("code", T.IntegerType()), T.StructField("word", T.BinaryType()),
-                        T.StructField("n", T.LongType()), *kept.fields, T.StructField("codes", T.ArrayType(T.IntegerType()))])
+                        T.StructField("n", T.LongType()), *kept.fields, T.StructField("codes", T.BinaryType())])
     first = [b""] if end else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,22 +71,21 @@ def encode(rows: DataFrame, text: str, keep: list[str], counted: Column | None =
             n = np.zeros(len(seen), dtype=np.int64)
             n[:len(counts)] = counts
             cols = [pa.array(np.full(len(seen), (part << 24) + number)), pa.array(np.arange(len(seen), dtype=np.int32)),
-                    pa.array(list(seen), pa.binary()), pa.array(n), *[pa.nulls(len(seen), k) for k in kinds], pa.nulls(len(seen), pa.list_(pa.int32()))]
+                    pa.array(list(seen), pa.binary()), pa.array(n), *[pa.nulls(len(seen), k) for k in kinds], pa.nulls(len(seen), pa.binary())]
             return pa.RecordBatch.from_arrays(cols, out.names)
 
         for batch in batches:
             kinds = [batch.column(c).type for c in keep]
             at = 0
             while at < batch.num_rows:
-                codes, ends, adds, start = [], [0], [], at
+                codes, adds, start = [], [], at
                 while at < batch.num_rows and (at == start or total < words_per_shard):
                     t = batch.column("text")[at].as_py() or b""
                     ws = (t.lower() if lower else t).split()
                     own = np.fromiter((seen.setdefault(w, len(seen)) for w in ws), dtype=np.int32, count=len(ws))
                     if end:
                         own = np.append(own, np.int32(0))
-                    codes.append(own)
-                    ends.append(ends[-1] + len(own))
+                    codes.append(packed(own))
                     total += len(own)
                     if batch.column("counted")[at].as_py():
                         adds.append(own)
@@ -77,11 +94,10 @@ def encode(rows: DataFrame, text: str, keep: list[str], counted: Column | None =
                     more = np.bincount(np.concatenate(adds), minlength=len(seen))
                     more[:len(counts)] += counts
                     counts = more
-                flat = np.concatenate(codes) if codes else np.zeros(0, dtype=np.int32)
                 m = at - start
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(m, (part << 24) + number)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()),
-                     *[batch.column(c).slice(start, m) for c in keep], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], out.names)
+                     *[batch.column(c).slice(start, m) for c in keep], pa.array(codes, pa.binary())], out.names)
                 if total >= words_per_shard:
                     yield words()
                     number += 1
@@ -119,11 +135,3 @@ def translate(encoded: DataFrame, terms: DataFrame, fn: Callable[[pa.Table, pa.T
 
     return texts(encoded).groupBy("shard").cogroup(columns.groupBy("of")).applyInArrow(run, schema)
 
-
-def csr(codes: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Row pointer and column indices of a column of code lists."""
-    lists = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], codes.type)
-    sizes = np.array(lists.value_lengths().fill_null(0), dtype=np.int64)
-    return np.concatenate(([0], np.cumsum(sizes))), lists.flatten().to_numpy(zero_copy_only=False)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fedsight.llm import maxent, queries
+from fedsight.llm import maxent, queries, shards
 
 
 def tokens(text):
@@ -52,6 +52,10 @@ def test_no_training_rows_and_no_rows(docs_of):
     assert maxent.score(docs.where("false"), F.lit(True)).count() == 0
 
 
+def contexts(ids, pointer):
+    return maxent.features_of(*maxent.neighbours(ids, pointer))
+
+
 def some_model(seed=1, n_head=200):
     rng, n_inner = np.random.default_rng(seed), -(-n_head // maxent.CLASS_WORDS)
     counts = np.zeros(n_inner * maxent.CLASS_WORDS)
@@ -68,24 +72,24 @@ def test_probabilities_sum_to_one():
     m = some_model()
     every = np.array([*range(m.n_head), *(m.n_head + k for k in range(maxent.TAIL_CLASSES))])
     for before in ([], [3], [3, 17], [250, 3]):
-        features = maxent.context(np.array([*before, 0]), np.array([0, len(before) + 1]))
+        features = contexts(np.array([*before, 0]), np.array([0, len(before) + 1]))
         one = [np.repeat(f[-1:], len(every)) for f in features]
         assert np.exp(m.log_probs(every, one)).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_context_does_not_cross_texts():
-    both = maxent.context(np.array([5, 6, 7, 8, 9]), np.array([0, 1, 1, 5]))
-    alone = maxent.context(np.array([6, 7, 8, 9]), np.array([0, 4]))
+    both = contexts(np.array([5, 6, 7, 8, 9]), np.array([0, 1, 1, 5]))
+    alone = contexts(np.array([6, 7, 8, 9]), np.array([0, 4]))
     assert [f[1:].tolist() for f in both] == [f.tolist() for f in alone]
 
 
 def test_steps_follow_the_gradient():
     m, ids = some_model(2), np.array([3, 199, 3, 230, 64, 3])
-    features = maxent.context(ids, np.array([0, 6]))
-    for table, rows_of in (("u", lambda f: [f[0]]), ("w", lambda f: [f[0][0] + np.uint64(1) * np.uint64(maxent.MIX[1])])):
+    features = contexts(ids, np.array([0, 6]))
+    for table, rows_of in (("u", lambda f: [f[0]]), ("w", lambda f: [f[0][:1] + np.uint64(maxent.MIX[1])])):
         new = m.copy()
         new.log_probs(ids, features, step=1.0)
-        row = int(maxent.hashed(np.atleast_1d(rows_of(features)[0])[:1], maxent.TABLE_ROWS)[0])
+        row = int(maxent.hashed(rows_of(features)[0][:1], maxent.TABLE_ROWS)[0])
         moved = getattr(new, table)[row] - getattr(m, table)[row]
         col = int(np.argmax(np.abs(moved)))
         up = m.copy()
@@ -95,3 +99,11 @@ def test_steps_follow_the_gradient():
         slope = (up.log_probs(ids, features).sum() - down.log_probs(ids, features).sum()) / 0.04
         size = np.sqrt(getattr(new, table + "_sum")[row] + 1e-8)
         assert moved[col] * size == pytest.approx(slope, rel=0.05, abs=2e-3)
+
+
+@pytest.mark.parametrize("kind", ["<u2", "<u4"])
+def test_packed_numbers_return(kind):
+    import pyarrow as pa
+    rows = [[], [0, 1, 65535], [7], []]
+    pointer, flat = shards.unpacked(pa.array([shards.packed(np.array(r), kind) for r in rows], pa.binary()), kind)
+    assert pointer.tolist() == [0, 0, 3, 4, 4] and flat.tolist() == [0, 1, 65535, 7]
