@@ -2,7 +2,7 @@
 
 from fedsight.plans.registry import ORACLES, QUERIES
 
-MODULES = ["features_q", "clean_q", "relational_q", "sample_q", "eval_q", "agg_q", "report_q", "train_q", "explain_q", "io_q", "runs_q"]
+MODULES = ["features_q", "clean_q", "relational_q", "sample_q", "eval_q", "agg_q", "report_q", "train_q", "perceptron_q", "explain_q", "io_q", "runs_q"]
 
 
 def load_all() -> None:
