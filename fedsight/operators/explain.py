@@ -212,9 +212,11 @@ def coalitions(d: int, nsamples: int, exact: bool, seed: int) -> tuple[np.ndarra
 
 def kernel_shap_batch(instances: DataFrame, background: DataFrame, features: Sequence[str], key: str,
                       weights: Sequence[float] | None = None, bias: float = 0.0, nsamples: int | None = None, seed: int = 42,
-                      exact: bool = False, max_background: int = 10_000, scorer: Scorer | None = None) -> DataFrame:
+                      exact: bool = False, max_background: int = 10_000, scorer: Scorer | None = None,
+                      by: str | None = None, scorers: dict | None = None) -> DataFrame:
     """Kernel SHAP (Lundberg & Lee 2017) of a model's probability for a batch,
-    for any model that scores a matrix of rows (``scorer``) or a logistic one.
+    for any model that scores a matrix of rows (``scorer``) or a logistic one,
+    or for one model a value of column ``by`` (``scorers``; the column stays).
 
     v(S) is the mean over the background rows of f(x on S, background
     elsewhere); the regression is constrained to Σφ = f(x) - E f and solved by
@@ -229,18 +231,20 @@ def kernel_shap_batch(instances: DataFrame, background: DataFrame, features: Seq
     background is a bounded sample by definition (E8); more than
     ``max_background`` rows are refused.
     """
-    f, feats, d = _scorer(weights, bias, scorer), list(features), len(features)
+    if (by is None) != (scorers is None):
+        raise ValueError("by and scorers go together")
+    models = scorers if by else {None: _scorer(weights, bias, scorer)}
+    feats, d = list(features), len(features)
     if exact and d > MAX_EXACT_FEATURES:
         raise ValueError(f"exact values of {d} features need 2^{d} coalitions; the limit is {MAX_EXACT_FEATURES}: give nsamples")
     rows = background.select(*[F.col(c).cast("double") for c in features]).limit(max_background + 1).collect()
     if not 0 < len(rows) <= max_background:
         raise ValueError(f"the background must have 1 to {max_background} rows")
     bg = np.array([list(r) for r in rows], dtype=float)
-    ef = float(f(bg).mean())
     masks, cw = coalitions(d, nsamples or 2 * d + 2048, exact, seed) if d > 1 else (np.zeros((0, 1)), np.zeros(0))
     block = max(1, 2_000_000 // (len(bg) * d))
 
-    def explain(x):
+    def explain(x, f, ef):
         fx = float(f(x[None])[0])
         if d == 1:
             return fx, np.array([fx - ef])
@@ -251,13 +255,20 @@ def kernel_shap_batch(instances: DataFrame, background: DataFrame, features: Seq
         phi = np.linalg.lstsq(root * (masks[:, :-1] - last), root[:, 0] * (v - ef - last[:, 0] * (fx - ef)), rcond=None)[0]
         return fx, np.append(phi, fx - ef - phi.sum())
 
+    names = [key, *([by] if by else [])]
+
     def run(batches):
+        base = {}
         for pdf in batches:
             out = []
-            for k, x in zip(pdf[key], pdf["_x"]):
-                fx, phi = explain(np.asarray(x, dtype=float))
-                out += [(k, name, float(v), ef, fx) for name, v in zip(feats, phi)]
-            yield pd.DataFrame(out, columns=[key, "feature", "phi", "base_value", "prediction"])
-
-    ktype = dict(instances.dtypes)[key]
-    return _instances(instances, features, key).mapInPandas(run, f"{key} {ktype}, feature string, phi double, base_value double, prediction double")
+            for *of, x in zip(*(pdf[c] for c in names), pdf["_x"]):
+                who = of[1] if by else None
+                if who not in base:
+                    base[who] = float(models[who](bg).mean())
+                fx, phi = explain(np.asarray(x, dtype=float), models[who], base[who])
+                out += [(*of, name, float(v), base[who], fx) for name, v in zip(feats, phi)]
+            yield pd.DataFrame(out, columns=[*names, "feature", "phi", "base_value", "prediction"])
+
+    types = dict(instances.dtypes)
+    rows = instances.select(*names, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
+    return rows.mapInPandas(run, ", ".join([*(f"{c} {types[c]}" for c in names), "feature string, phi double, base_value double, prediction double"]))

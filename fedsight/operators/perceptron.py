@@ -270,31 +270,56 @@ class Local:
         return long_table(spark, self.nets, sizes=self.sizes)
 
 
-def local_train(rows: DataFrame, start: Net | dict, local_epochs: int = 1, lr: float = 0.1, l2: float = 0.0) -> Local:
-    """``local_epochs`` full-batch steps of every client of :func:`prepared` rows
-    from ``start`` (one net, or a net a client): one pass an epoch for all
-    clients together. If the clients' nets exceed MAX_NET_BYTES, clients are
-    trained in blocks of equal hashes, one after another. Held rows are not
-    learned from; a client with held rows only keeps its start."""
+def local_blocks(rows: DataFrame, start: Net | dict, local_epochs: int = 1, lr: float = 0.1, l2: float = 0.0) -> Iterator[tuple[DataFrame, Local]]:
+    """The rows and trained clients of one block after another; a block is
+    as many clients as MAX_NET_BYTES holds nets of, by equal hashes."""
     some = start if isinstance(start, Net) else next(iter(start.values()))
     clients = rows.agg(F.count_distinct("client")).first()[0]
     blocks = max(1, -(-clients * 8 * (some.size + N_SUMS) // MAX_NET_BYTES))
-    nets, sizes = {}, {}
     for b in range(blocks):
         block = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("client"), F.lit(blocks)) == b)
-        own = start
+        own, sizes = start, {}
         for _ in range(local_epochs):
             sums = _sums(block, own)
             names = {k for k, _ in sums}
             before = own if isinstance(own, dict) else dict.fromkeys(names, own)
             own = {k: _stepped(before[k], sums[k, False], lr, l2) if (k, False) in sums else before[k] for k in names}
-            sizes.update({k: int(sums[k, False][some.size]) if (k, False) in sums else 0 for k in names})
+            sizes = {k: int(sums[k, False][some.size]) if (k, False) in sums else 0 for k in names}
             if not own:
                 break
-        nets.update(own if isinstance(own, dict) else {})
+        if isinstance(own, dict) and own:
+            yield block, Local(own, sizes)
+
+
+def local_train(rows: DataFrame, start: Net | dict, local_epochs: int = 1, lr: float = 0.1, l2: float = 0.0) -> Local:
+    """``local_epochs`` full-batch steps of every client of :func:`prepared` rows
+    from ``start`` (one net, or a net a client): one pass an epoch for all
+    clients of a block together. Held rows are not learned from; a client with
+    held rows only keeps its start. All nets come back at once; a caller with
+    more clients than memory takes :func:`local_blocks`."""
+    nets, sizes = {}, {}
+    for _, done in local_blocks(rows, start, local_epochs, lr, l2):
+        nets.update(done.nets)
+        sizes.update(done.sizes)
     return Local(nets, sizes)
 
 
+def score_local(rows: DataFrame, nets: dict) -> DataFrame:
+    """(client, y, score) of :func:`prepared` rows by their clients' nets."""
+    kind = rows.schema["client"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            who, X = batch.column("client").to_pylist(), np.array(batch.column("x").to_pylist(), dtype=float)
+            score = np.zeros(len(who))
+            for k in set(who):
+                at = np.flatnonzero([w == k for w in who])
+                score[at] = nets[k].probability(X[at])
+            yield pa.RecordBatch.from_arrays([batch.column("client"), batch.column("y"), pa.array(score)], ["client", "y", "score"])
+
+    return rows.select("client", "y", "x").mapInArrow(run, f"client {kind}, y double, score double")
+
+
 # F6 / F8 ---------------------------------------------------------------------------
 def long_table(spark: SparkSession, nets: Net | dict, client: str = "client_id", sizes: dict | None = None) -> DataFrame:
     """(layer, row, col, value) of a net, or the same a client (with data_size if given)."""
@@ -342,5 +367,5 @@ def input_importance(long: DataFrame, n_inputs: int, by: Sequence[str] = ()) ->
             .agg(F.avg(F.abs("value")).alias("importance")))
 
 
-__all__ = ["Fit", "Local", "Net", "average_tensors", "fit", "initial", "input_importance", "local_train", "long_table", "net_of",
-           "prepared", "score_batch"]
+__all__ = ["Fit", "Local", "Net", "average_tensors", "fit", "initial", "input_importance", "local_blocks", "local_train", "long_table", "net_of",
+           "prepared", "score_batch", "score_local"]

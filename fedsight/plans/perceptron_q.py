@@ -5,12 +5,16 @@ SQL can write every step out."""
 from __future__ import annotations
 
 import math
+import os
+import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from fedsight.operators import federated as fd
 from fedsight.operators import perceptron as pc
 from fedsight.plans.registry import query
+from fedsight.session import ensure_checkpoint_dir
 from fedsight.sources import testbed as tb
 
 D, H, LR, L2 = tb.N_EMB_FEATURES, 3, 0.5, 0.01
@@ -129,3 +133,28 @@ def q_fit(spark, d):
     rows = tb.training_rows(spark, d, D)
     net = pc.fit(rows, FEATS, ["vec_id"], hidden=(16, 8), epochs=25, patience=5).net
     return ev.metrics(pc.score_batch(rows, FEATS, net).withColumnRenamed("prob_1", "score"), ["client_id"])
+
+
+# the global net after each of two rounds: all clients, one local epoch, plain average.
+_MEAN = "{out} AS (SELECT " + ", ".join(f"avg({n}) AS {n}" for *_, n, _ in CELLS) + " FROM {w})"
+_SPREAD = "{out} AS (SELECT c.client_id, g.* FROM (SELECT DISTINCT client_id FROM training_rows) c, {w} g)"
+
+
+def _folder(spark) -> str:
+    return os.path.join(ensure_checkpoint_dir(spark), f"rounds-{uuid.uuid4().hex}")
+
+
+@query("perceptron_rounds", ROWS + ",\n" + _WEIGHTED + ",\n" + sql_step("rows_", "w0_", "l1_") + ",\n" + _MEAN.format(out="g1_", w="l1_") + ",\n"
+       + _SPREAD.format(out="s1_", w="g1_") + ",\n" + sql_step("rows_", "s1_", "l2_") + ",\n" + _MEAN.format(out="g2_", w="l2_") + "\n"
+       + sql_long("g1_", "1 AS round") + " UNION ALL " + sql_long("g2_", "2 AS round"))
+def q_rounds(spark, d):
+    made = fd.train(tb.training_rows(spark, d, D), FEATS, "vec_id", START, 2, _folder(spark), lr=LR, l2=L2)
+    return _rounded(made.table("weights"))
+
+
+# F7 with explanation rounds: decayed importances after two rounds.
+@query("federated_explained")
+def q_explained(spark, d):
+    e = fd.Explanations(per_client=5, background=20, nsamples=128)
+    made = fd.train(tb.training_rows(spark, d, D), FEATS, "vec_id", START, 2, _folder(spark), lr=LR, l2=L2, explain=e)
+    return made.importances()

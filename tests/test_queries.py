@@ -17,7 +17,7 @@ def test_entry(spark):
 def test_every_query_has_sql_or_is_declared_rows_only(spark):
     qs, ors = E.queries(), E.oracle_sql()
     rows_only = set(qs) - set(ors) - set(E.EXTRA_QUERIES)
-    assert rows_only == {"fit_classifier", "param_search", "perceptron_fit", "lime_batch", "kernel_shap_batch",
+    assert rows_only == {"fit_classifier", "param_search", "perceptron_fit", "federated_explained", "lime_batch", "kernel_shap_batch",
                          "central_run", "federated_run"}
 
 
