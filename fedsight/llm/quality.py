@@ -85,7 +85,7 @@ def _bin(p: str, q: float) -> str:
 
 
 def judged(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]], id_col: str = "doc_id", text_col: str = "text",
-           max_class_distance: float = 0.2, max_word_distance: float = 0.36, min_chars: int = 200, min_words: int = 100) -> DataFrame:
+           lang_col: str = "lang", max_class_distance: float = 0.2, max_word_distance: float = 0.36, min_chars: int = 200, min_words: int = 100) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, nearest (language), class_distance, word_distance and kept of
     every row.
@@ -93,20 +93,23 @@ def judged(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]], id
     kept is false when the base rules fail (under 50 words, or over half of the
     words in 3-word windows that repeat), or when the nearest language's class
     distance (texts of ``min_chars`` or more) or word distance (texts of
-    ``min_words`` words or more) is over its bound. The nearest language has the
+    ``min_words`` words or more) is over its bound. A document whose language is
+    named in ``lang_col`` (if there is such a column) but has no reference is
+    not held against the references of others. The nearest language has the
     least sum of both distances, ties by name. Null texts are empty: no words,
     base_failed. Without references nothing diverges. Rows keep their number;
     an empty table gives an empty result. Other columns are not read. Windows
     are compared by their 64-bit hashes within a text.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
-    rows = with_classes(rows, "doc_id").select("doc_id", "cc", "n_symbols", white_words(F.col("t")).alias("w"),
+    named = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(named.isin(list(refs)), F.lit(True)).alias("known"), text.alias("t"))
+    rows = with_classes(rows, "doc_id", "known").select("doc_id", "known", "cc", "n_symbols", white_words(F.col("t")).alias("w"),
                                                F.split("t", "\n").alias("lines"), plain_words(F.col("t")).alias("pw"))
     listed = ",".join("'" + w.replace("'", "''") + "'" for w in WORDS)
     n_chars = F.aggregate("cc", F.lit(0).cast("long"), lambda a, x: a + x)
     rows = rows.select(
-        "doc_id", "cc", "n_symbols", F.size("w").cast("long").alias("n_words"), F.size("pw").alias("n_plain"), n_chars.alias("n_chars"),
+        "doc_id", "known", "cc", "n_symbols", F.size("w").cast("long").alias("n_words"), F.size("pw").alias("n_plain"), n_chars.alias("n_chars"),
         F.expr(r"filter(lines, x -> x rlike '[^\\x20\\x09-\\x0D]')").alias("lines"),
         F.expr("if(size(w) >= 3, transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])), cast(array() as array<bigint>))").alias("g"),
         F.expr(f"sort_array(filter(pw, x -> x in ({listed})))").alias("hits"))
@@ -147,4 +150,4 @@ def judged(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]], id
            | ((F.col("n_plain") >= min_words) & (F.col("near.w") > max_word_distance)))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                        F.col("near.lang").alias("nearest"), F.col("near.c").alias("class_distance"), F.col("near.w").alias("word_distance"),
-                       (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"))
+                       (~F.col("base_failed") & ~(F.col("known") & F.coalesce(far, F.lit(False)))).alias("kept"))

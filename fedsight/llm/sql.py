@@ -79,5 +79,6 @@ base AS (SELECT p.*, len(p.w) AS n_words, coalesce(x.n, 0) AS n_repeat_words, y.
     FROM parts p LEFT JOIN repeats x ON x.r = p.r LEFT JOIN nearest y ON y.r = p.r)
 SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat_words, base_failed,
     nearest, c AS class_distance, wd AS word_distance,
-    NOT base_failed AND NOT coalesce((n >= 200 AND c > 0.2) OR (len(pw) >= 100 AND wd > 0.36), false) AS kept FROM base
+    NOT base_failed AND NOT ((lang IS NULL OR lang IN (SELECT lang FROM langs))
+        AND coalesce((n >= 200 AND c > 0.2) OR (len(pw) >= 100 AND wd > 0.36), false)) AS kept FROM base
 """

@@ -122,7 +122,7 @@ def test_quality_base_and_distances(docs_of):
             (7, "x# $y %%z <|>"), (8, "é ü ß Ωmega 123, (ok)!"), (8, "é ü ß Ωmega 123, (ok)!"), (None, "same same same same"),
             (9, " ".join(f"u{i} the of" for i in range(30_000))), (10, "der die und in den von zu das mit sich " * 8 + prose, "de")]
     df = docs_of(rows, "t", "w", "cc", "g", "near")
-    refs = quality.references(df)
+    refs = quality.references(df.where("doc_id is null or doc_id <> 9"))    # its 30,000 numbers would be the reference's digits
     assert set(refs) == {"en", "de"}
     got = {}
     for r in quality.judged(df, refs).collect():
@@ -149,6 +149,11 @@ def test_quality_base_and_distances(docs_of):
     odd = docs_of([(1, " ".join(f"zz{i}# qq{i}$" for i in range(100))), (2, " ".join(f"zz{i}" for i in range(60)))])
     assert {r.doc_id: r.kept for r in quality.judged(odd, refs).collect()} == {1: False, 2: False}
     assert {r.doc_id: r.kept for r in quality.judged(odd, refs, min_chars=10**6, min_words=10**6).collect()} == {1: True, 2: True}
+    # A named language without a reference is not held against others; an unnamed one is.
+    polish = " ".join(f"{a}{b}" for a in ("przy", "chod", "wie", "trz", "kon", "brze", "szcz", "gdy", "nie", "roz") for b in ("ek", "anie", "ony", "ach", "ie", "u", "ą", "y", "em", "ami", "ość", "ski", "ne"))
+    far = docs_of([(1, polish, "pl"), (2, polish, None), (3, polish, "en")])
+    assert {r.doc_id: r.kept for r in quality.judged(far, refs).collect()} == {1: True, 2: False, 3: False}
+    assert {r.kept for r in quality.judged(far.drop("lang"), refs).collect()} == {False}
 
 
 def test_quality_without_reference(docs_of):
