@@ -45,7 +45,8 @@ LEAST_RATIO = 30.0
 
 _GLYPHS = str.maketrans({**HOMOGLYPHS, **dict.fromkeys("\u200b\u200c\u200d\u2060\ufeff\u00ad", None)})
 _LEET = str.maketrans(SUBSTITUTES)
-_MIXED = re.compile(r"\S*[0-9@$!]\S*")
+#: A token with a digit or sign; the start is anchored and the prefix possessive, so a long token is read once.
+_MIXED = re.compile(r"(?<!\S)[^\s0-9@$!]*+[0-9@$!]\S*")
 _EDGE = ".,;:!?'\"()[]{}-–—…"
 _GAPS = re.compile(r"[\W_]+")
 _MARKS = re.compile("[\u0300-\u036f]+")
@@ -120,8 +121,12 @@ def features(hits: list[tuple[int, int, float]], n_words: int) -> tuple[float, f
 
 
 def _score_series(lexicon: Lexicon):
+    built: list = []    # the automaton, once a task
+
     def score(texts: pd.Series) -> pd.DataFrame:
-        a = lexicon.automaton()
+        if not built:
+            built.append(lexicon.automaton())
+        a = built[0]
         b, c, d = lexicon.curve
         rows = []
         for t in texts:
