@@ -90,21 +90,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a null component_id). Null and empty texts have fingerprint zero and are
     linked like any other. Other columns of ``docs`` are not read.
     """
+    return _grouped(docs, id_col, text_col, k, max_bits, segments).drop("root")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int, max_bits: int, segments: int = 2) -> DataFrame:
+    """:func:`near_duplicates` with root: one fingerprint of the component, which
+    tells components apart that share a name because ids are repeated."""
     fps = cut_lineage(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), k).alias("fp")))
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     comp = connected_components(hamming_links(least, "fp", max_bits, segments))
     rooted = least.join(comp.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(names, "root").select("fp", "component_id", "root")
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, max_bits: int = 3) -> DataFrame:
-    """Rows of ``docs`` without near copies: of each group the document with the
-    smallest id stays, once (repeated rows of it go). Rows without an id cannot
-    be named by a group and stay as they are."""
-    keep = (near_duplicates(docs, id_col, text_col, k, max_bits).where("doc_id = component_id")
-            .select(F.col("doc_id").alias(id_col)).distinct())
-    named = docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return named.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    """Rows of ``docs`` without near copies: of each group one row of the smallest
+    id stays. An id may be repeated: rows of one id with texts that are no near
+    copies belong to groups of their own, and each group keeps its row; rows of
+    one id in one group are told by fingerprint, the smallest stays, once. Rows
+    without an id cannot be named by a group and stay as they are."""
+    groups = cut_lineage(_grouped(docs, id_col, text_col, k, max_bits).where(F.col("doc_id").isNotNull()))
+    keep = groups.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("x")).select("x.doc_id", "x.fp")
+    twice = cut_lineage(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    once = keep.join(twice, "doc_id", "left_anti").select(F.col("doc_id").alias(id_col))
+    out = docs.join(once, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    if twice.isEmpty():
+        return out
+    # Fingerprints of the rows with a repeated id only.
+    rows = docs.join(twice.select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
+    named = rows.withColumn("__fp", fingerprint(F.col(text_col), k))
+    kept = named.join(keep.select(F.col("doc_id").alias(id_col), F.col("fp").alias("__fp")), [id_col, "__fp"], "left_semi")
+    return out.unionByName(kept.dropDuplicates([id_col, "__fp"]).select(docs.columns))
