@@ -49,6 +49,9 @@ TEMPLATE_WORDS = frozenset(
     "sidebar aside footer masthead cookie cookies consent gdpr notice notices disclaimer popup modal overlay newsletter subscribe subscription "
     "signup login share sharing social related recommended recommendations comment comments disqus respond reply replies widget toolbar "
     "pagination pager copyright skip hidden".split())
+#: Words of place or shape that may stand beside such a word in one class name ("site-footer", "comment-list").
+NEUTRAL_WORDS = frozenset("site page main top bottom left right upper lower side list box block section area wrapper wrap container inner outer item items "
+                          "bar links link icon icons button buttons row col column global primary secondary the form panel group header head".split())
 MAIN_TAGS = frozenset(["article", "main"])
 TEMPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: Text blocks, which are main text wherever a main element holds them.
@@ -62,15 +65,27 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "style", "children", "texts", "parent", "role", "path")
+    __slots__ = ("tag", "style", "children", "texts", "parent", "role", "path", "main")
 
     def __init__(self, tag: str, style: str, parent: "Node | None", role: int):
         self.tag, self.style, self.parent, self.role = tag, style, parent, role
         self.children: list = []    # nodes and strings, in page order
         self.path = 0
+        self.main = role == 1 or parent is not None and parent.main     # it or an element around it is main text
 
 
-def _role(tag: str, attrs: dict[str, str], inside_main: bool) -> int:
+def _named_template(names: str) -> bool:
+    """Whether one of the class or id names says that the element is template: it
+    is made of template words and words of place or shape alone. Names that
+    merely mention one ("has-sidebar", "share-price") leave it to the tree."""
+    for name in names.split():
+        words = set(_NAMES.findall(name))
+        if words & TEMPLATE_WORDS and words <= TEMPLATE_WORDS | NEUTRAL_WORDS:
+            return True
+    return False
+
+
+def _role(tag: str, attrs: dict[str, str], inside_main: bool, by_name: bool = True) -> int:
     """-1 template, 1 main text, 0 for the tree to decide."""
     if tag in MAIN_TAGS:
         names = set(_NAMES.findall(attrs.get("class", "").lower() + " " + attrs.get("id", "").lower()))
@@ -84,11 +99,10 @@ def _role(tag: str, attrs: dict[str, str], inside_main: bool) -> int:
         return 0 if inside_main else -1
     if tag in ("html", "body", "p") or not attrs:
         return 0
-    names = _NAMES.findall(attrs.get("class", "").lower() + " " + attrs.get("id", "").lower())
-    return -1 if TEMPLATE_WORDS.intersection(names) else 0
+    return -1 if by_name and _named_template(attrs.get("class", "").lower() + " " + attrs.get("id", "").lower()) else 0
 
 
-def parse(html: str | None) -> Node:
+def parse(html: str | None, by_name: bool = True) -> Node:
     """Tree of a page. Broken markup is read as browsers do in the common cases:
     open paragraphs, items and cells end where the next begins, end tags without
     a start are left out, and what is still open ends with the page."""
@@ -133,8 +147,7 @@ def parse(html: str | None) -> Node:
             if last is not None:
                 node = last.parent
         style = tag + "".join("." + w for w in sorted(set(_NAMES.findall(attrs.get("class", "").lower()))))
-        inside = _inside_main(node)
-        child = Node(tag, style, node, _role(tag, attrs, inside))
+        child = Node(tag, style, node, _role(tag, attrs, node.main, by_name))
         node.children.append(child)
         if tag in RAW:
             end = _RAW_END[tag].search(html, at)
@@ -143,14 +156,6 @@ def parse(html: str | None) -> Node:
             node = child
 
 
-def _inside_main(node: Node | None) -> bool:
-    while node is not None:
-        if node.role == 1:
-            return True
-        node = node.parent
-    return False
-
-
 def _block_children(node: Node):
     """(child, wrappers) of an element's block children in page order. Inline and
     custom elements are no elements of the tree: the blocks in them are children
@@ -220,11 +225,12 @@ def page_facts(html: str | None) -> list[tuple[int, int, int, int, int]]:
     return [(p, f[0], f[1], f[2], f[3]) for p, f in facts.items()]
 
 
-def main_text(html: str | None, removed: frozenset[int] | set[int] = frozenset()) -> str:
+def main_text(html: str | None, removed: frozenset[int] | set[int] = frozenset(), by_name: bool = True) -> str:
     """Blocks of a page's main text, joined by blank lines. ``removed``: paths
     of low importance. With an article (or main) element, the text is what such
-    elements hold; else it is what remains of the page."""
-    root = parse(html)
+    elements hold; else it is what remains of the page. If nothing remains, the
+    removed paths, then class and id names, do not count."""
+    root = parse(html, by_name)
     _number_paths(root)
     starts, stack = [], [root]
     while stack:    # outermost main elements that are not in a template branch
@@ -266,6 +272,8 @@ def main_text(html: str | None, removed: frozenset[int] | set[int] = frozenset()
         flush()
     if removed and not blocks:      # all of it looks like template: pages of this host are copies
         return main_text(html)
+    if by_name and not blocks:      # a name around all of it
+        return main_text(html, removed, False)
     return "\n\n".join(blocks)
 
 
@@ -307,15 +315,23 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", g
         F.when(F.col("m") > 1, 1 - F.col("lnc") / ln_m).otherwise(F.when(F.col("lnc").isNotNull(), 1.0)).alias("content"),
         F.coalesce("n_text", F.lit(0)).alias("n_text"))
     nodes = cut_lineage(nodes)
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    done = None
+    # Elements of one page, and all that is in them, have importance 1: only shared ones are folded, level by level.
+    single = nodes.where("m = 1")
+    singles = single.groupBy("host", F.col("parent").alias("path")).agg(F.sum("m").cast("double").alias("n1"))
+    shared = nodes.where("m > 1")
+    deepest = shared.agg(F.max("depth")).first()[0] or 0
+    done = single.select(*here, "m", F.lit(1.0).alias("importance"), F.lit(1.0).alias("most"))
     below = None
-    for depth in range(deepest, 0, -1):     # as many levels as the deepest page has
-        level = nodes.where(F.col("depth") == depth)
+    for depth in range(deepest, 0, -1):     # as many levels as the deepest element that pages share
+        level = shared.where(F.col("depth") == depth)
         if below is not None:
             level = level.join(below, here, "left")
         else:
             level = level.withColumns({c: F.lit(None).cast("double") for c in ("sum", "n", "under")})
+        level = level.join(singles, here, "left")
+        level = level.withColumns({"sum": F.when(F.col("n1").isNotNull(), F.coalesce("sum", F.lit(0.0)) + F.col("n1")).otherwise(F.col("sum")),
+                                   "n": F.when(F.col("n1").isNotNull(), F.coalesce("n", F.lit(0.0)) + F.col("n1")).otherwise(F.col("n")),
+                                   "under": F.when(F.col("n1").isNotNull(), 1.0).otherwise(F.col("under"))})
         weight = F.coalesce("n", F.lit(0.0)) + F.when(F.col("content").isNotNull(), F.col("n_text")).otherwise(0)
         inner = (F.coalesce("sum", F.lit(0.0)) + F.coalesce(F.col("content") * F.col("n_text"), F.lit(0.0))) / weight
         factor = F.pow(F.lit(gamma), F.col("l"))
@@ -325,12 +341,10 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", g
         level = cut_lineage(level.select(*here, "parent", "m", value.alias("importance"), F.greatest(value, "under").alias("most")))
         below = (level.groupBy("host", F.col("parent").alias("path"))
                  .agg(F.sum(F.col("importance") * F.col("m")).alias("sum"), F.sum("m").cast("double").alias("n"), F.max("most").alias("under")))
-        done = level if done is None else done.unionByName(level)
+        done = done.unionByName(level.select(*here, "m", "importance", "most"))
         if (deepest - depth) % 16 == 15:    # the plan stays small however deep a page is
             done = cut_lineage(done)
-    if done is None:
-        return nodes.select(*here, "m", F.lit(1.0).alias("importance"), F.lit(1.0).alias("most"))
-    return done.select(*here, "m", "importance", "most")
+    return done
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.2,
@@ -338,7 +352,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url and text of every row.
 
     Branches in which no element has an importance of ``threshold`` or more, on
-    ``min_pages`` pages or more of the host, are removed, and so are template roles; text in
+    ``min_pages`` pages or more of the host, are removed, and so are template roles: tags and
+    ARIA roles that never hold main text, and class or id names made of TEMPLATE_WORDS
+    and NEUTRAL_WORDS alone (names do not count where nothing else is left); text in
     article or main elements is main text in any case, but for such branches
     inside. Character references are decoded, white space in a block is one
     space, blocks are joined by two line ends. Null and empty html give an empty
