@@ -10,7 +10,9 @@ encoded, in batches and with several threads; other models encode whole texts.
 Parity with the reference library is verified for every row: each newly met
 word is encoded and decoded by both (whole texts for other models, and one text
 in ``parity_every`` in any case), and a difference fails the job. Each text's ids
-are decoded, and the result is compared with the text.
+are decoded (where texts are cut at gaps by gathering the bytes of the pieces,
+which the reference library's decoder confirms for each new word), and the
+result is compared with the text.
 """
 
 from __future__ import annotations
@@ -115,6 +117,7 @@ class _Engine:
         fallback = spec["model"].get("byte_fallback")
         self.bytes = [bytes([int(n[3:5], 16)]) if fallback and _BYTE.fullmatch(n) else n.encode() for n, _ in names]
         self.sizes = np.array([len(b) for b in self.bytes])
+        self.table = np.array([*self.bytes, b""], dtype=object)[:-1]     # piece bytes, gathered by id
         self.bare = Tokenizer.from_str(json.dumps(spec))
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
@@ -130,7 +133,7 @@ class _Engine:
         self._meet(list(set().union(*cut).difference(self.words)))
         at = self.words.__getitem__
         ids = [np.frombuffer(b"".join(map(at, c)), dtype=np.int32) for c in cut]
-        return ids, [b == normal_form(x) for b, x in zip(self.decode([i.tolist() for i in ids]), texts)]
+        return ids, [b == normal_form(x) for b, x in zip(self.decode(ids), texts)]
 
     def verify(self, texts: list[str], ids: list[list[int]], back: list[str]) -> None:
         """Compare with the reference library, if there is one."""
@@ -157,12 +160,22 @@ class _Engine:
                 self.words[word] = array("i", ids).tobytes()
         # A word is what its text without the prefix is cut to; the prefix alone is no text's word but the last gap's, the mark's own piece.
         bare = [w for w in new if w != self.prefix]
-        ids = [np.frombuffer(self.words[w], dtype=np.int32).tolist() for w in bare]
-        self.verify([w[len(self.prefix):].replace(MARK, " ") for w in bare], ids, self.decode(ids))
+        ids = [np.frombuffer(self.words[w], dtype=np.int32) for w in bare]
+        self.verify([w[len(self.prefix):].replace(MARK, " ") for w in bare], [i.tolist() for i in ids], self.decode(ids))
         if self.reference is not None and len(bare) < len(new) and self.words[MARK] != array("i", [self.reference.piece_to_id(MARK)]).tobytes():
             raise ValueError("pieces differ from the reference library's for a gap")
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
+    def decode(self, ids: list) -> list[str]:
+        """Texts of ids that this engine made. Where texts are cut at gaps, the
+        pieces' bytes are gathered; the reference library's decoder confirms
+        that for each new word (see :meth:`_meet`)."""
+        if not self.by_word:
+            return self.library_decode(ids)
+        n, table = len(self.prefix), self.table
+        return [b"".join(table[i].tolist()).decode("utf-8", "replace").replace(MARK, " ")[n:] for i in ids]
+
+    def library_decode(self, ids: list[list[int]]) -> list[str]:
+        """Texts of any ids."""
         return self.whole.decode_batch(ids, skip_special_tokens=False)
 
 
@@ -205,7 +218,7 @@ class Codec:
                     got, kept = t.encode(part)
                     for x, i in zip(part, got):
                         if seen % every == 0:
-                            t.verify([x], [i.tolist()], t.decode([i.tolist()]))
+                            t.verify([x], [i.tolist()], t.library_decode([i.tolist()]))
                         seen += 1
                     yield pd.DataFrame({"ids": got, "same": kept})
             del t, sp
@@ -221,7 +234,7 @@ class Codec:
         def run(batches):
             t = _Engine(table.value, threads)
             for s in batches:
-                texts = t.decode([[] if x is None else [int(i) for i in x] for x in s])
+                texts = t.library_decode([[] if x is None else [int(i) for i in x] for x in s])
                 yield pd.Series([None if x is None else y for x, y in zip(s, texts)], dtype="object")
 
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
