@@ -191,3 +191,30 @@ def ordered_index(df: DataFrame, order_cols: Sequence[str], index_col: str = "in
     out = p.join(F.broadcast(offs), "_pid")
     return out.withColumn(index_col, (F.col("_off") + F.col("_pos") - F.col("_p0")).cast("long")).drop(
         "_pid", "_pos", "_off", "_p0")
+
+
+def ordered_totals(df: DataFrame, order_cols: Sequence[str], value: str, group_cols: Sequence[str] = (),
+                   partitions: int | None = None, prefix: str = "before_") -> DataFrame:
+    """For each row add ``before_<value>`` = the sum of ``value`` over the rows of
+    its group that come earlier in ``order_cols`` order (which begins with the
+    group columns; rows must be unique on it, nulls come first).
+
+    One range partitioning spreads the rows, whatever the values are and however
+    large a group is; it is checkpointed, so the source is read once. A row's
+    total is that of its group's rows in earlier partitions, a table of one row
+    for each partition and group in it, plus a running sum in its partition.
+    """
+    from fedsight.session import cut_lineage
+    g = list(group_cols)
+    n = partitions or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    p = cut_lineage(df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id()))
+    sums = p.groupBy(*g, "_pid").agg(F.sum(value).alias("_t"))
+    earlier = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)      # a row a partition
+    offs = sums.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(g)], F.col("_pid").alias("_p"), F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy(*g, "_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    rows = p.withColumn("_i", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    same = F.col("_pid") == F.col("_p")
+    for i, c in enumerate(g):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    out = rows.join(offs, same)
+    return out.select(*df.columns, (F.col("_i") + F.col("_o")).alias(f"{prefix}{value}"))

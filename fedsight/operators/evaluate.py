@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fedsight.functions.constants import CONTRIBUTION_DECAY, CONTRIBUTION_MISSING_AUC
 from fedsight.functions.draws import uniform
-from fedsight.functions.rank import running_totals, top_k_per_group
+from fedsight.functions.rank import ordered_totals, top_k_per_group
 
 
 # G1 -----------------------------------------------------------------------------
@@ -35,7 +35,7 @@ def _collapsed(df: DataFrame, g: list, label: str, score: str, pred: str | None)
 
 
 def _auc_from_collapsed(c: DataFrame, g: list, buckets: int | None, with_accuracy: bool) -> DataFrame:
-    c = running_totals(c, "_s", ["_neg"], g, mode="quantile", buckets=buckets)
+    c = ordered_totals(c, [*g, "_s"], "_neg", g, partitions=buckets)
     aggs = [F.sum(F.col("_pos") * (F.col("before__neg") + F.col("_neg") / 2.0)).alias("_u"),
             F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N")]
     if with_accuracy:

@@ -80,6 +80,34 @@ def global_feature_importance(phi: DataFrame) -> DataFrame:
     return phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("importance"))
 
 
+def importance_by_method(rows: DataFrame, features: Sequence[str], key: str, scorer, background: DataFrame, method: str = "shap",
+                         sizes: Sequence[int] = (100,), nsamples: int | None = None, seed: int = 42, exact: bool = False) -> DataFrame:
+    """(method, n_samples, feature, importance, std_error, n_rows): the mean |value|
+    of each feature over ``n_samples`` explained rows, for each of ``sizes``, and
+    the standard error of that mean (null for one row).
+
+    ``method``: shap (Kernel SHAP against ``background``) or lime (weights on
+    quartile bins of ``background``, whole lists). Samples are nested: the rows
+    with the smallest hash draws, so one explanation pass over the largest
+    serves all sizes. A size above the number of rows takes them all.
+    """
+    from fedsight.functions.draws import uniform
+    if method not in ("shap", "lime"):
+        raise ValueError(f"unknown method {method}")
+    drawn = rows.select(key, *features).withColumn("_u", uniform(key, seed=seed))
+    order = Window.orderBy("_u", key)                   # a sample of the largest size
+    sample = drawn.orderBy("_u", key).limit(max(sizes)).withColumn("_place", F.row_number().over(order))
+    if method == "shap":
+        values = kernel_shap_batch(sample, background, features, key, nsamples=nsamples, seed=seed, exact=exact, scorer=scorer).select(key, "feature", F.col("phi").alias("_v"))
+    else:
+        values = lime_batch(sample, background, features, key, num_samples=nsamples or 1000, max_features=len(features), seed=seed, scorer=scorer).select(
+            key, "feature", F.col("weight").alias("_v"))
+    placed = values.join(sample.select(key, "_place"), key).withColumn("n_samples", F.explode(F.array(*[F.lit(int(n)) for n in sizes])))
+    stats = placed.where(F.col("_place") <= F.col("n_samples")).groupBy("n_samples", "feature").agg(
+        F.avg(F.abs("_v")).alias("importance"), F.stddev_samp(F.abs("_v")).alias("_s"), F.count(F.lit(1)).alias("n_rows"))
+    return stats.select(F.lit(method).alias("method"), "n_samples", "feature", "importance", (F.col("_s") / F.sqrt("n_rows")).alias("std_error"), "n_rows")
+
+
 # K6 ------------------------------------------------------------------------------
 def attribution_ranking(phi: DataFrame, key: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc(F.abs("phi")), F.asc("feature"))

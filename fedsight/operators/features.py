@@ -209,17 +209,19 @@ def feature_table(admissions: DataFrame, patients: DataFrame, measurements: Data
                   discharge_from_measurements: bool = True,
                   prescriptions: DataFrame | None = None,
                   drug_classes: Mapping[str, Sequence[str]] | None = None,
-                  materialize: bool = True, rank_names: bool = False) -> DataFrame:
+                  materialize: bool = True, rank_names: bool = False, procedures: DataFrame | None = None) -> DataFrame:
     """One row per admission: age, length of stay, first lab/vital values,
     diagnosis count, top-``top_n`` code-category counts, comorbidity counts,
-    optional drug-class flags, label ``mortality``. Category counts are named
+    optional drug-class flags, label ``mortality``. Categories are those of
+    ``procedures`` (with their ``procedure_count``), or of the diagnoses if there
+    is no such table; comorbidities always come from the diagnoses. Category counts are named
     ``proc_<category>``, or with ``rank_names`` ``proc_top<rank>`` beside the
     category itself, so that the schema does not depend on the data.
 
     Sources: admissions(hadm_id, subject_id, admittime, expire_flag[, dischtime]),
     patients(subject_id, dob), measurements(hadm_id, lab_item, lab_value,
     vital_item, vital_value, charttime, ...), diagnoses(hadm_id, icd9_code),
-    prescriptions(hadm_id, drug).
+    prescriptions(hadm_id, drug), procedures(hadm_id, icd9_code).
     """
     base = left_join(admissions, patients, "subject_id")
     base = base.withColumn("age", clean.in_range_or_null(clean.age_years("dob", "admittime")))
@@ -231,17 +233,20 @@ def feature_table(admissions: DataFrame, patients: DataFrame, measurements: Data
         m_aggs.append(F.max("charttime").alias("dischtime"))
     m = measurements.groupBy("hadm_id").agg(*m_aggs)
 
-    # diagnoses: count, top categories crosstab, comorbidity counts in one aggregate
+    # diagnoses: count, comorbidity counts and, without procedures, the top categories crosstab in one aggregate
     cat = clean.code_prefix("icd9_code", 2)
-    top = top_category_values(diagnoses, cat, top_n)
+    coded = diagnoses if procedures is None else procedures
+    top = top_category_values(coded, cat, top_n)
     procs = [f"proc_top{i}" for i in range(1, top_n + 1)] if rank_names else [f"proc_{v}" for v in top]
     names = ranked_category_exprs(cat, top, top_n, "proc_top")[top_n:] if rank_names else []
+    crosstab = ranked_category_exprs(cat, top, top_n, "proc_top")[:top_n] if rank_names else category_count_exprs(cat, top, "proc_")
     d = diagnoses.groupBy("hadm_id").agg(
-        count_expr("diagnosis_count"),
-        *(ranked_category_exprs(cat, top, top_n, "proc_top")[:top_n] if rank_names else category_count_exprs(cat, top, "proc_")),
-        *prefix_count_exprs("icd9_code", code_prefixes, "has_"))
+        count_expr("diagnosis_count"), *(crosstab if procedures is None else []), *prefix_count_exprs("icd9_code", code_prefixes, "has_"))
 
     out = base.join(m, "hadm_id", "left").join(d, "hadm_id", "left")
+    if procedures is not None:
+        procs = ["procedure_count", *procs]
+        out = out.join(procedures.groupBy("hadm_id").agg(count_expr("procedure_count"), *crosstab), "hadm_id", "left")
     flag_cols: list[str] = []
     if prescriptions is not None and drug_classes:
         p = prescriptions.groupBy("hadm_id").agg(count_expr("medication_count"),

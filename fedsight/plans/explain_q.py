@@ -150,3 +150,18 @@ def q_kernel_shap_exact(spark, d):
     bg = sp.background_sample(_rows(spark, d), ["vec_id"], 50, seed=42)
     phi = ex.kernel_shap_batch(_explained(spark, d), bg, SMALL, "vec_id", SMALL_W, SMALL_B, exact=True)
     return phi.withColumns({c: F.round(c, 6) for c in ("phi", "base_value", "prediction")})
+
+
+# H9: importance by sample size, exact Shapley values of the four-input model over 5 and 20 drawn rows.
+_DRAWN = f"""inst AS (SELECT * FROM (SELECT t.*, row_number() OVER (ORDER BY {sql_uniform(["vec_id"], 42)}, vec_id) AS place FROM training_rows t) x WHERE place <= 20)"""
+
+
+@query("importance_by_method", TR.rstrip() + ",\n" + _BG.split(",\nmu AS")[0].replace("LIMIT 100", "LIMIT 50") + ",\n" + _DRAWN + ",\n" + _V + f""",
+phi AS ({_SHAPLEY.replace("round(sum(", "(sum(").replace("END), 6) AS phi", "END)) AS phi")})
+SELECT 'shap' AS method, n AS n_samples, feature, round(avg(abs(phi)), 6) AS importance, round(stddev_samp(abs(phi)) / sqrt(count(*)), 6) AS std_error,
+  count(*) AS n_rows FROM phi JOIN inst ON inst.vec_id = phi.vec_id JOIN (SELECT unnest([5, 20]) AS n) s ON place <= n GROUP BY n, feature""")
+def q_importance_by_method(spark, d):
+    rows = _rows(spark, d)
+    bg = sp.background_sample(rows, ["vec_id"], 50, seed=42)
+    out = ex.importance_by_method(rows, SMALL, "vec_id", ex.linear_scorer(SMALL_W, SMALL_B), bg, "shap", [5, 20], exact=True)
+    return out.withColumns({c: F.round(c, 6) for c in ("importance", "std_error")})

@@ -164,11 +164,26 @@ def cached_table(spark: SparkSession, task: str, fraction: float, build, root: s
     """Read-through materialisation of a prepared table keyed by
     md5("{task}_{fraction}"): build and write it when absent, then read it. The
     caller's ``root`` names whatever else the table depends on (see
-    :func:`input_state`)."""
+    :func:`input_state`).
+
+    A builder writes to a folder of its own and commits by creating one small
+    file that names it. The file is created once and never replaced, so of two
+    builders the first wins and the other reads the winner's copy; a builder
+    that dies leaves a folder that nobody reads."""
     root = root or shared_path(spark, "feature-cache")
-    path = os.path.join(root, cache_key(task, fraction))
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    entry = os.path.join(root, cache_key(task, fraction))
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    mark = hadoop.Path(f"{entry}/COMMITTED")
+    fs = mark.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(mark):
+        name = f"build-{uuid.uuid4().hex}"
+        build().write.parquet(f"{entry}/{name}")
+        try:
+            out = fs.create(mark, False)
+        except Exception:
+            if not fs.exists(mark):
+                raise
+        else:
+            out.write(bytearray(name.encode()))
+            out.close()
+    return spark.read.parquet(f"{entry}/{spark.read.text(str(mark), wholetext=True).first()[0]}")

@@ -13,7 +13,7 @@ FILES = {
     "LABEVENTS": "SUBJECT_ID,HADM_ID,ITEMID,CHARTTIME,VALUENUM\n10,100,50912,2100-01-01 05:00:00,1.5\n10,100,50912,2100-01-01 02:00:00,0.5\n"
                  "11,101,50912,2100-02-01 01:00:00,NULL\n11,101,99999,2100-02-01 01:00:00,7\n12,102,50971,2100-01-01 00:00:00, 4.0 \n",
     "CHARTEVENTS": "SUBJECT_ID,HADM_ID,ITEMID,CHARTTIME,VALUENUM\n10,100,220045,2100-01-01 03:00:00,80\n",
-    "PROCEDURES_ICD": "HADM_ID,ICD9_CODE\n100,3891\n",
+    "PROCEDURES_ICD": "HADM_ID,ICD9_CODE\n100,3891\n100,3893\n100,9604\n102,9671\n",
     "DIAGNOSES_ICD": "HADM_ID,ICD9_CODE\n100,41001\n100,4280\n101,25000\n101,25001\n",
     "PRESCRIPTIONS": "HADM_ID,DRUG\n100,Vancomycin 1g\n100,Aspirin\n101,Water\n",
 }
@@ -39,7 +39,12 @@ def test_feature_table(spark, root):
     assert a["CREATININE"] == 0.5 and a["los"] == 2.5 and a["age"] == 39 and a["HEART_RATE"] == 80 and a["has_MI"] == 1 and a["has_CHF"] == 1
     assert a["medication_count"] == 2 and a["ANTIBIOTIC"] == 1 and a["CARDIAC"] == 1 and got[101]["ANTIBIOTIC"] == 0
     assert got[101]["age"] == 39 and got[101]["mortality"] == 1 and got[101]["has_Diabetes"] == 2      # 400 years is no age: the median
-    assert a["proc_top1_category"] == "25" and got[101]["proc_top1"] == 2 and got[102]["diagnosis_count"] == 0
+    assert got[102]["diagnosis_count"] == 0 and a["diagnosis_count"] == 2
+    # Categories are counted over procedures (38 and 96 twice each), never over diagnoses (41, 42, 25).
+    top = {a["proc_top1_category"]: "proc_top1", a["proc_top2_category"]: "proc_top2"}
+    assert set(top) == {"38", "96"} and a["proc_top3_category"] is None
+    assert (a[top["38"]], a[top["96"]], got[101][top["38"]], got[102][top["96"]]) == (2, 1, 0, 1)
+    assert [got[i]["procedure_count"] for i in (100, 101, 102)] == [3, 0, 1]
 
 
 def test_rich_table(spark, root):
@@ -48,6 +53,12 @@ def test_rich_table(spark, root):
     assert dict(t.dtypes)["proc_top1_category"] == "int"
 
 
+def test_stays_join_on_both_keys(spark, root, tmp_path):
+    (tmp_path / "ICUSTAYS.csv").write_text("SUBJECT_ID,HADM_ID,ICUSTAY_ID\n10,100,1\n99,100,2\n11,101,3\n")
+    t = clinical.rich_feature_table(spark, root)
+    assert sorted((r["hadm_id"], r["icustay_id"]) for r in t.select("hadm_id", "icustay_id").collect() if r["icustay_id"]) == [(100, 1), (101, 3)]
+
+
 def test_training_contract(spark):
     df = spark.createDataFrame([(1.0, 2, "x", 0), (2.0, 3, "y", 1)], "a double, b int, s string, label int")
     io.check_features(df, ["a", "b"], "label")

@@ -29,3 +29,31 @@ def test_summaries_roundtrip(spark):
     io.write_summaries_json(io.nest_summaries(imp), path)
     back = io.unnest_summaries(io.read_summaries_json(spark, path))
     assert sorted(map(tuple, back.select(*imp.columns).collect())) == sorted(map(tuple, imp.collect()))
+
+
+def test_cache_commits_one_builder(spark, tmp_path):
+    from fedsight.sources import io
+    root, calls = str(tmp_path / "cache"), []
+
+    def build(n, meanwhile=None):
+        def run():
+            calls.append(n)
+            if meanwhile:
+                meanwhile()
+            return spark.range(n)
+        return run
+
+    def dies():
+        raise RuntimeError("builder lost")
+
+    for _ in range(2):                                  # a builder that dies leaves nothing to read
+        try:
+            io.cached_table(spark, "t", 0.5, dies, root)
+            raise AssertionError("no error")
+        except RuntimeError:
+            pass
+    # Another builder commits while this one builds: both read the winner's copy.
+    other = lambda: io.cached_table(spark, "t", 0.5, build(7), root)
+    assert io.cached_table(spark, "t", 0.5, build(3, other), root).count() == 7
+    assert io.cached_table(spark, "t", 0.5, build(9), root).count() == 7 and calls == [3, 7]
+    assert io.cached_table(spark, "t", 0.4, build(2), root).count() == 2

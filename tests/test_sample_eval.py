@@ -105,3 +105,20 @@ def test_quantile_bucket_rank_and_auc_paths(spark):
     s = spark.createDataFrame(rows, "label int, score double")
     assert abs(ev.roc_auc(s, buckets=16).first()["auc"] - _brute_auc(rows)) < 1e-12
     assert abs(ev.roc_auc(s).first()["auc"] - _brute_auc(rows)) < 1e-12
+
+
+def test_auc_with_one_score_in_most_rows(spark):
+    import random
+    from fedsight.operators import evaluate as ev
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["a", "b", None]), 0.5 if rnd.random() < 0.9 else round(rnd.random(), 2), rnd.randint(0, 1)) for _ in range(3000)]
+    rows.append(("one class", 0.1, 1))
+    df = spark.createDataFrame(rows, "g string, score double, label int")
+    got = {r["g"]: r["auc"] for r in ev.roc_auc(df, by=["g"]).collect()}
+    for g in ("a", "b", None):
+        pos = [s for x, s, y in rows if x == g and y == 1]
+        neg = [s for x, s, y in rows if x == g and y == 0]
+        u = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg)
+        assert abs(got[g] - u / (len(pos) * len(neg))) < 1e-12
+    assert got["one class"] is None
+    assert ev.roc_auc(df.limit(0), by=["g"]).count() == 0

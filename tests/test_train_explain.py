@@ -182,3 +182,17 @@ def test_sampled_kernel_shap_additivity(spark):
     exact = {(r["id"], r["feature"]): r["phi"] for r in ex.kernel_shap_batch(inst, bg, FEATS, "id", W, B, exact=True).collect()}
     for r in phi.collect():
         assert abs(r["phi"] - exact[(r["id"], r["feature"])]) < 0.05
+
+
+def test_importance_by_method_and_size(spark):
+    rows = _rows(spark, 60)
+    for method in ("shap", "lime"):
+        got = ex.importance_by_method(rows, FEATS, "id", ex.linear_scorer(W, B), rows.limit(30), method, [2, 10, 1000], nsamples=60).collect()
+        assert {(r["n_samples"], r["n_rows"]) for r in got} == {(2, 2), (10, 10), (1000, 60)} and len(got) == 12
+        big = {r["feature"]: r["importance"] for r in got if r["n_samples"] == 1000}
+        assert big["b"] > big["c"] > big["d"] and all(r["std_error"] >= 0 for r in got)
+    try:
+        ex.importance_by_method(rows, FEATS, "id", ex.linear_scorer(W, B), rows, "other")
+        raise AssertionError("no error")
+    except ValueError:
+        pass
