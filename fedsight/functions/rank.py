@@ -1,22 +1,19 @@
 """Exact ranks and running sums without a single-partition window.
 
 ``Window.orderBy`` without ``partitionBy`` moves every row into one task, and a
-window partitioned by a hot group moves that whole group into one task. Here
-the order key is cut into buckets; rows are counted per (group, bucket) — a
-small table — whose running sums give each bucket's offset; inside a
-(group, bucket) the rank is a partitioned ``row_number``. A group holding a
-third of all rows is spread over all of its buckets, so no task sees a whole
-group.
-
-Bucketing modes (there is one path for every input size):
-
-* ``uniform`` — the key is a hash draw in (0, 1): bucket = floor(u·B); the
-  bucket count B grows with the largest group (about ``rows_per_bucket`` rows
-  per bucket), so buckets stay small at any scale.
-* ``quantile`` — any numeric key: B-1 approximate quantiles (one
-  ``percentile_approx`` pass, B-1 numbers on the driver) become bucket bounds,
-  found per row by a balanced binary search of CASE expressions (log2 B
-  comparisons), so clustered values still spread evenly.
+window partitioned by a hot group moves that whole group into one task. Two
+ways, each the same for every input size:
+
+* By a hash draw in (0, 1) (:func:`ranked`): bucket = floor(u·B), where B grows
+  with the largest group (about ``rows_per_bucket`` rows per bucket). Rows are
+  counted per (group, bucket) — a small table — whose running sums give each
+  bucket's offset; inside a (group, bucket) the rank is a partitioned
+  ``row_number``. A group holding a third of all rows is spread over all of its
+  buckets, so no task sees a whole group.
+* By any columns (:func:`ordered_index`, :func:`ordered_totals`): one range
+  partitioning on all order columns, checkpointed; a row's position is its
+  partition's offset plus its place in it. A value of the first column that
+  most rows share is spread by the columns after it.
 
 Top-k per group by a hash draw does not rank a whole group either: rows whose
 draw is above a threshold, chosen from the group's size so that k rows are
@@ -52,62 +49,14 @@ def uniform_bucket(col: Column, buckets: int) -> Column:
     return F.least(F.floor(col * F.lit(float(buckets))).cast("int"), F.lit(buckets - 1))
 
 
-def row_buckets(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    """Bucket count for quantile bounds from the number of rows (one count job)."""
-    return max(MIN_BUCKETS, math.ceil(df.count() / rows_per_bucket))
-
-
-def order_number(col: str, kind: str) -> Column:
-    """The order key as a double: dates and times as seconds; other keys must be numeric."""
-    if kind in ("date", "timestamp", "timestamp_ntz"):
-        return F.unix_micros(F.col(col).cast("timestamp")) / F.lit(1e6)
-    if kind in ("string", "binary", "boolean"):
-        raise ValueError(f"{col}: quantile buckets need a number or a time, not {kind}")
-    return F.col(col).cast("double")
-
-
-def quantile_bounds(df: DataFrame, col: str, buckets: int = MIN_BUCKETS, accuracy: int = 100_000) -> list[float]:
-    probs = [i / buckets for i in range(1, buckets)]
-    b = df.agg(F.percentile_approx(order_number(col, dict(df.dtypes)[col]), probs, max(accuracy, 4 * buckets)).alias("b")).first()["b"] or []
-    return sorted(set(float(x) for x in b if x is not None))
-
-
-def search_bucket(x: Column, bounds: Sequence[float]) -> Column:
-    """Index i with bounds[i-1] < x <= bounds[i] (0..len(bounds)) by a balanced
-    CASE tree: monotone in x, log2(len) comparisons per row."""
-    def node(lo: int, hi: int) -> Column:  # result in [lo, hi]
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x <= F.lit(bounds[mid]), node(lo, mid)).otherwise(node(mid + 1, hi))
-    return node(0, len(bounds)) if bounds else F.lit(0)
-
-
-def bucket_of(col: Column, lo: float, hi: float, buckets: int) -> Column:
-    width = (hi - lo) / buckets if hi > lo else 1.0
-    b = F.floor((col - F.lit(lo)) / F.lit(width)).cast("int")
-    return F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1))
-
-
-def _bucket(df: DataFrame, order_col: str, group_cols: Sequence[str], mode: str, buckets: int | None) -> tuple[Column, int]:
-    if mode == "uniform":
-        b = buckets or auto_buckets(df, group_cols)
-        return uniform_bucket(F.col(order_col), b), b
-    if mode == "quantile":
-        bounds = quantile_bounds(df, order_col, buckets or row_buckets(df))
-        return search_bucket(order_number(order_col, dict(df.dtypes)[order_col]), bounds), len(bounds) + 1
-    raise ValueError(f"unknown bucket mode {mode}")
-
-
 def ranked(df: DataFrame, order_col: str, group_cols: Sequence[str] = (), tiebreak: Sequence[str] = (),
-           mode: str = "uniform", buckets: int | None = None, rank_col: str = "rank",
+           buckets: int | None = None, rank_col: str = "rank",
            size_col: str | None = None) -> DataFrame:
     """Add an exact 1-based ``rank_col`` (row_number semantics) of every row
-    within ``group_cols`` ordered by ascending ``order_col`` then ``tiebreak``;
-    optionally the group size as ``size_col``. ``order_col`` must be non-null."""
+    within ``group_cols`` ordered by ascending ``order_col`` — a hash draw in
+    (0, 1) — then ``tiebreak``; optionally the group size as ``size_col``."""
     g = list(group_cols)
-    b, _ = _bucket(df, order_col, g, mode, buckets)
-    d = df.withColumn("_bk", b)
+    d = df.withColumn("_bk", uniform_bucket(F.col(order_col), buckets or auto_buckets(df, g)))
     counts = d.groupBy(*g, "_bk").agg(F.count(F.lit(1)).alias("_bn"))
     running = Window.partitionBy(*g).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_bn").over(running), F.lit(0)))
@@ -147,33 +96,11 @@ def top_k_per_group(df: DataFrame, group_cols: Sequence[str], draw: str, tiebrea
     return rows.withColumn(rank_col, F.row_number().over(w)).where(cond)
 
 
-def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str],
-                   group_cols: Sequence[str] = (), mode: str = "quantile", buckets: int | None = None,
-                   prefix: str = "before_") -> DataFrame:
-    """For each row add ``before_<v>`` = Σ v over rows of the same group whose
-    ``order_col`` is strictly smaller. Rows must be unique per (group, order).
-
-    Bucket totals (a small table) give the sums of all earlier buckets; inside
-    a bucket a partitioned window adds the earlier rows of that bucket.
-    """
-    g = list(group_cols)
-    b, _ = _bucket(df, order_col, g, mode, buckets)
-    d = df.withColumn("_bk", b)
-    tot = d.groupBy(*g, "_bk").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
-    earlier = Window.partitionBy(*g).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(*g, "_bk", *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_o_{v}")
-                                  for v in value_cols])
-    inside = Window.partitionBy(*g, "_bk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_i_{v}") for v in value_cols])
-    out = d.join(tot, [*g, "_bk"], "inner")
-    return out.select(*df.columns, *[(F.col(f"_o_{v}") + F.col(f"_i_{v}")).alias(f"{prefix}{v}")
-                                     for v in value_cols])
-
-
 def ordered_index(df: DataFrame, order_cols: Sequence[str], index_col: str = "index",
-                  partitions: int | None = None) -> DataFrame:
-    """0-based position of every row in ascending ``order_cols`` order (rows
-    must be unique on ``order_cols``), for inputs too large for one task.
+                  partitions: int | None = None, size_col: str | None = None) -> DataFrame:
+    """0-based position of every row in ascending ``order_cols`` order (nulls
+    first; rows should be unique on ``order_cols``, the order of equal ones is
+    fixed but arbitrary); optionally the number of rows as ``size_col``.
 
     Range partitioning (sampled bounds) spreads the rows; after sorting within
     partitions each row's position is its partition's offset (from per-partition
@@ -185,10 +112,12 @@ def ordered_index(df: DataFrame, order_cols: Sequence[str], index_col: str = "in
     n = partitions or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     p = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
     p = cut_lineage(p.withColumn("_pid", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id()))
-    counts = p.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_p0"))
+    counts = p.groupBy("_pid").agg(F.count(F.lit(1)).alias("_rows"), F.min("_pos").alias("_p0"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    out = p.join(F.broadcast(offs), "_pid")
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_rows").over(w), F.lit(0)))
+    if size_col:
+        offs = offs.withColumn(size_col, F.sum("_rows").over(Window.partitionBy()))
+    out = p.join(F.broadcast(offs.drop("_rows")), "_pid")
     return out.withColumn(index_col, (F.col("_off") + F.col("_pos") - F.col("_p0")).cast("long")).drop(
         "_pid", "_pos", "_off", "_p0")
 

@@ -4,7 +4,7 @@ distributed plans.
 Random choices are hash draws (functions/draws.py) so every retry and every
 engine makes the same choice. Quotas are computed from per-group counts (small
 tables); rows are selected by their exact rank within the group, which comes
-from the two-level rank (functions/rank.py) — no single-task window, no collect
+from bucket or range offsets (functions/rank.py) — no single-task window, no collect
 of a group, no row cap.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fedsight.functions.draws import py_uniform, uniform
-from fedsight.functions.rank import ranked, top_k_per_group
+from fedsight.functions.rank import ordered_index, ranked, top_k_per_group
 
 
 def _draw(df: DataFrame, keys: Sequence[str], seed, name: str = "_u") -> DataFrame:
@@ -103,16 +103,16 @@ def partition_clients(df: DataFrame, order_cols: Sequence[str], num_clients: int
                       shares: Sequence[float] | None = None, seed: int = 42,
                       client_col: str = "client_id", prefix: str = "client_") -> DataFrame:
     """Contiguous slices of the rows in ``order_cols`` order: client i takes
-    ranks (start_i, start_i + int(n * p_i)]; the last client takes the rest."""
+    positions [start_i, start_i + int(n * p_i)); the last client takes the rest.
+    Keys of any type, nulls first; the source is read once."""
     p = list(shares) if shares is not None else client_shares(num_clients, seed)
-    first, rest = order_cols[0], list(order_cols[1:])
-    r = ranked(df, first, [], tiebreak=rest, mode="quantile", rank_col="_r", size_col="_n")
+    r = ordered_index(df, order_cols, "_r", size_col="_n")
     n = F.col("_n")
     end = F.lit(0).cast("long")
     expr = None
     for i, share in enumerate(p[:-1]):
         end = end + F.floor(n * F.lit(float(share))).cast("long")
-        cond = F.col("_r") <= end
+        cond = F.col("_r") < end
         expr = F.when(cond, F.lit(f"{prefix}{i + 1}")) if expr is None else expr.when(cond, F.lit(f"{prefix}{i + 1}"))
     last = F.lit(f"{prefix}{len(p)}")
     expr = last if expr is None else expr.otherwise(last)
@@ -153,12 +153,11 @@ def background_sample(df: DataFrame, keys: Sequence[str], k: int, seed: int = 42
 # E9 ---------------------------------------------------------------------------
 def validation_holdout(df: DataFrame, order_cols: Sequence[str], fraction: float = 0.2,
                        col: str = "is_validation") -> DataFrame:
-    """The last ``fraction`` of rows (in ``order_cols`` order) are validation:
-    rank > int(n * (1 - fraction))."""
-    first, rest = order_cols[0], list(order_cols[1:])
-    r = ranked(df, first, [], tiebreak=rest, mode="quantile", rank_col="_r", size_col="_n")
+    """The last ``fraction`` of rows (in ``order_cols`` order, nulls first) are
+    validation: position >= int(n * (1 - fraction)). The source is read once."""
+    r = ordered_index(df, order_cols, "_r", size_col="_n")
     split_at = F.floor(F.col("_n") * F.lit(1.0 - float(fraction)))
-    return r.withColumn(col, F.col("_r") > split_at).drop("_r", "_n")
+    return r.withColumn(col, F.col("_r") >= split_at).drop("_r", "_n")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

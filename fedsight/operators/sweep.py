@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fedsight.functions.parallel import run_settings
+
 
 def experiment_rows(spark: SparkSession, path: str, defaults: Mapping[str, object] | None = None) -> DataFrame:
     """Flatten a grouped config file {experiment_groups: [{group_name,
@@ -44,11 +46,17 @@ def experiment_sets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_sweep(configs: Sequence[Mapping[str, object]], run: Callable[[Mapping[str, object]], DataFrame],
-              name_key: str = "name") -> DataFrame:
-    """Run each configuration (a lazy Spark job over the same prepared, cached
-    inputs) and stack the results tagged by experiment name."""
+              name_key: str = "name", parallel: int = 1) -> DataFrame:
+    """Run the configurations, ``parallel`` at the same time over the same
+    prepared inputs, and stack the results tagged by experiment name, in the
+    order of ``configs``. One that fails is named in the error. With more than
+    one at a time, ``run`` should read its inputs itself: DataFrames that
+    threads share are planned by both at once, which Spark does not promise."""
+    if not configs:
+        raise ValueError("a sweep needs a configuration")
+    results = run_settings(SparkSession.builder.getOrCreate(), configs, run, parallel, lambda cfg: str(cfg[name_key]))
     out = None
-    for cfg in configs:
-        r = run(cfg).withColumn("experiment", F.lit(str(cfg[name_key])))
+    for cfg, r in zip(configs, results):
+        r = r.withColumn("experiment", F.lit(str(cfg[name_key])))
         out = r if out is None else out.unionByName(r)
     return out

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fedsight.functions.exprs import sigmoid
+from fedsight.functions.parallel import run_settings
 from fedsight.operators import evaluate as ev
 from fedsight.operators import sample as sp
 from fedsight.session import cut_lineage
@@ -247,21 +248,32 @@ def predict(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def param_search(train: DataFrame, features: Sequence[str], keys: Sequence[str], label: str = "label",
                  reg_params: Sequence[float] = (0.0, 0.01, 0.1), max_iters: Sequence[int] = (20, 100),
-                 hidden_sizes: Sequence[Sequence[int]] = (), validation: float = 0.2, class_weighted: bool = True, seed: int = 42):
+                 hidden_sizes: Sequence[Sequence[int]] = (), validation: float = 0.2, class_weighted: bool = True, seed: int = 42,
+                 parallel: int = 4):
     """Fit every setting on the train part of a stratified split by ``keys`` (a
     hash draw, so it does not depend on partitioning) and keep the best
     validation AUC: logistic models for each pair of ``reg_params`` and
     ``max_iters`` (with balanced class weights), perceptrons for each of
-    ``hidden_sizes`` and ``max_iters``. Returns the best model and the rows
-    (hidden, reg_param, max_iter, val_auc)."""
-    split = cut_lineage(sp.stratified_split(train.select(*keys, label, *features), label, list(keys), validation, seed))
-    part, held = split.where("split = 'train'"), split.where("split = 'test'")
+    ``hidden_sizes`` and ``max_iters``. ``parallel`` settings are fitted at the
+    same time on one split, written once; one that fails is named in the error.
+    Returns the best model (ties: the first setting) and the rows (hidden,
+    reg_param, max_iter, val_auc) in the order of the settings."""
+    from fedsight.sources.io import fresh_path
+    spark = train.sparkSession
+    path = fresh_path(spark, "search-split")
+    sp.stratified_split(train.select(*keys, label, *features), label, list(keys), validation, seed).write.parquet(path)
     grid = [(None, r, m) for r in reg_params for m in max_iters] + [(tuple(h), 0.0, m) for h in hidden_sizes for m in max_iters]
-    rows, best = [], None
-    for hidden, reg, max_iter in grid:
+
+    def fit(setting):
+        hidden, reg, max_iter = setting
+        split = spark.read.parquet(path)               # a plan of its own: threads share no plan objects
+        part, held = split.where("split = 'train'"), split.where("split = 'test'")
         model = fit_classifier(part, features, label, hidden, max_iter, reg, class_weighted and not hidden, seed)
-        auc = ev.roc_auc(predict(model, held, features), label).first()["auc"]
-        rows.append(("-".join(map(str, hidden or ())), float(reg), int(max_iter), auc))
-        if best is None or (auc or 0.0) > best[0]:
-            best = (auc or 0.0, model)
-    return best[1], rows
+        return model, ev.roc_auc(predict(model, held, features), label).first()["auc"]
+
+    def named(setting):
+        return "(hidden={}, reg_param={}, max_iter={})".format(*setting)
+
+    fitted = run_settings(spark, grid, fit, parallel, named)
+    best = max(fitted, key=lambda f: f[1] or 0.0)[0]
+    return best, [("-".join(map(str, hidden or ())), float(reg), int(max_iter), auc) for (hidden, reg, max_iter), (_, auc) in zip(grid, fitted)]

@@ -9,6 +9,7 @@ from fedsight.operators import clean
 from fedsight.operators import features as ft
 from fedsight.operators import sample as sp
 from fedsight.plans.registry import query
+from fedsight.sources import io
 from fedsight.sources import testbed as tb
 from fedsight.sources.tables import load
 
@@ -27,6 +28,23 @@ def q_scan_na(spark, d):
     return clean.typed(clean.normalise_na(e, ["k", "event_type"]), {"k": "double"})
 
 
+# A1 over files: orders as CSV text (every seventh price missing, every eleventh date odd) read back typed.
+@query("csv_typed_scan", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_totalprice AS DOUBLE) END AS o_totalprice,
+  CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS o_orderdate, o_orderpriority FROM orders""")
+def q_csv_typed(spark, d):
+    k = F.col("o_orderkey")
+    text = load(spark, d, "orders").select(
+        k.cast("string").alias("o_orderkey"),
+        F.when(k % 14 == 0, "NaN").when(k % 7 == 0, " NULL ").otherwise(F.col("o_totalprice").cast("string")).alias("o_totalprice"),
+        F.when(k % 11 == 0, "not a time").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("o_orderdate"),
+        "o_orderpriority", F.lit('a "quoted", text').alias("not_read"))
+    path = io.fresh_path(spark, "orders-csv")
+    text.write.option("header", True).csv(path)
+    return io.read_csv_typed(spark, path, {"o_orderkey": "long", "o_totalprice": "double", "o_orderdate": "timestamp", "o_orderpriority": "string"},
+                             timestamp_cols=["o_orderdate"])
+
+
 # Restricted scan of the big table to the sampled admission keys.
 _SQL_SAMPLE = tb.with_ctes(tb.SQL_ADMISSIONS) + f""",
 d AS (SELECT *, {sql_uniform(['hadm_id'], 42)} AS u FROM admissions),
@@ -248,6 +266,18 @@ def q_verify(spark, d):
     return clean.remaining_invalid(_raw(spark, d), ["tax_ratio", "log_discount", "empty_col"])
 
 
+# The same counts taken while the table is written.
+@query("observed_write", "WITH " + _RAW_SQL + " " + " UNION ALL ".join(f"""
+SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) FILTER (WHERE {c} IS NULL) AS n_null,
+       count(*) FILTER (WHERE isnan({c})) AS n_nan, count(*) FILTER (WHERE abs({c}) = 'inf'::DOUBLE) AS n_inf FROM raw"""
+                                                           for c in ["tax_ratio", "log_discount", "empty_col"]))
+def q_observed_write(spark, d):
+    cols = ["tax_ratio", "log_discount", "empty_col"]
+    n = io.write_observed(_raw(spark, d), io.fresh_path(spark, "observed"), cols)
+    rows = [(c, n["n_rows"], n[f"null_{i}"], n[f"nan_{i}"], n[f"inf_{i}"]) for i, c in enumerate(cols)]
+    return spark.createDataFrame(rows, "column_name string, n_rows long, n_null long, n_nan long, n_inf long")
+
+
 # B12
 @query("select_features", "SELECT * EXCLUDE (o_orderkey, o_custkey) FROM orders")
 def q_select_features(spark, d):

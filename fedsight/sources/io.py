@@ -11,7 +11,7 @@ import os
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,25 +55,79 @@ def validate_table(df: DataFrame, required: Sequence[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
 
-def check_features(df: DataFrame, features: Sequence[str], label: str) -> None:
-    """The contract of a training table: feature names are unique and present,
-    the label is none of them, every feature is numeric, and the label is never
-    null and 0 or 1 (one aggregate)."""
+def _check_columns(df: DataFrame, features: Sequence[str], label: str | None, width: int | None = None) -> None:
+    """The part of the contract that the schema shows (no job)."""
     twice = sorted({c for c in features if list(features).count(c) > 1})
     if twice:
         raise ValueError(f"features named twice: {twice}")
     if label in features:
         raise ValueError(f"the label {label} is among the features")
-    require(df, [*features, label])
+    missing = [c for c in [*features, *([label] if label else [])] if c not in df.columns]
+    if missing:
+        raise ValueError(f"table: missing required columns {missing}")
     types = {f.name: f.dataType for f in df.schema.fields}
     other = [c for c in features if not isinstance(types[c], T.NumericType)]
     if other:
         raise ValueError(f"features that are not numbers: {other}")
+    if width is not None and len(features) != width:
+        raise ValueError(f"the model takes {width} features, the table has {len(features)}")
+
+
+def check_features(df: DataFrame, features: Sequence[str], label: str, width: int | None = None) -> None:
+    """The contract of a training table: feature names are unique and present,
+    the label is none of them, every feature is numeric, there are as many as a
+    model of ``width`` inputs takes, and the label is never null and 0 or 1 (one
+    aggregate)."""
+    _check_columns(df, features, label, width)
+    require(df, [*features, label])
     n, good = df.agg(F.count(F.lit(1)), F.count_if(F.col(label).isin(0, 1))).first()
     if n != good:
         raise ValueError(f"{n - good} of {n} rows have a label other than 0 and 1")
 
 
+def write_observed(df: DataFrame, path: str, cols: Sequence[str], label: str | None = None) -> dict[str, int]:
+    """Write ``df`` as Parquet to the new folder ``path`` and return what was
+    counted on the way: n_rows, for the i-th of ``cols`` null_i, nan_i and inf_i,
+    and bad_label (labels other than 0 and 1; nulls are bad). The counts are
+    metrics of the write itself, so the table is read and computed once. A task
+    that is run again counts once; a partition of an earlier stage cannot be
+    counted twice, because the counting is in the last one."""
+    seen = Observation()
+    metrics = [F.count(F.lit(1)).alias("n_rows")]
+    for i, c in enumerate(cols):
+        x = F.col(f"`{c}`").cast("double")
+        metrics += [F.count_if(x.isNull()).alias(f"null_{i}"), F.count_if(F.isnan(x)).alias(f"nan_{i}"),
+                    F.count_if(F.abs(x) == F.lit(float("inf"))).alias(f"inf_{i}")]
+    if label:
+        metrics.append(F.count_if(~F.coalesce(F.col(f"`{label}`").isin(0, 1), F.lit(False))).alias("bad_label"))
+    df.observe(seen, *metrics).write.parquet(path)
+    return {k: int(v) for k, v in seen.get.items()}
+
+
+def write_training_table(df: DataFrame, path: str, features: Sequence[str], label: str | None = None,
+                         width: int | None = None) -> DataFrame:
+    """Write a training table that keeps its contract, else raise and commit
+    nothing: names, types and ``width`` (a model's number of inputs) are checked
+    before any job; rows, nulls, NaN, infinities and labels while the table is
+    written. It is written to a folder of its own below ``path`` and becomes the
+    table once the check has passed and COMMITTED names it (see
+    :func:`read_committed`); a second writer of the same path is an error."""
+    _check_columns(df, features, label, width)
+    spark, name = df.sparkSession, f"build-{uuid.uuid4().hex}"
+    n = write_observed(df, f"{path}/{name}", features, label)
+    bad = [f"{c}: {n[f'null_{i}']} null, {n[f'nan_{i}']} NaN, {n[f'inf_{i}']} infinite" for i, c in enumerate(features)
+           if n[f"null_{i}"] or n[f"nan_{i}"] or n[f"inf_{i}"]]
+    if n.get("bad_label"):
+        bad.append(f"{n['bad_label']} of {n['n_rows']} rows have a label other than 0 and 1")
+    if not n["n_rows"]:
+        bad.append("no rows")
+    if bad:
+        raise ValueError(f"the table breaks its contract: {'; '.join(bad)}")
+    if not commit(spark, path, name):
+        raise ValueError(f"{path} holds another table")
+    return read_committed(spark, path)
+
+
 def require(df: DataFrame, required: Sequence[str], name: str = "table") -> None:
     missing = [c for c in required if c not in df.columns]
     if missing:
@@ -172,18 +226,34 @@ def cached_table(spark: SparkSession, task: str, fraction: float, build, root: s
     that dies leaves a folder that nobody reads."""
     root = root or shared_path(spark, "feature-cache")
     entry = os.path.join(root, cache_key(task, fraction))
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    mark = hadoop.Path(f"{entry}/COMMITTED")
-    fs = mark.getFileSystem(spark._jsc.hadoopConfiguration())
+    mark, fs = _mark(spark, entry)
     if not fs.exists(mark):
         name = f"build-{uuid.uuid4().hex}"
         build().write.parquet(f"{entry}/{name}")
-        try:
-            out = fs.create(mark, False)
-        except Exception:
-            if not fs.exists(mark):
-                raise
-        else:
-            out.write(bytearray(name.encode()))
-            out.close()
+        commit(spark, entry, name)
+    return read_committed(spark, entry)
+
+
+def _mark(spark: SparkSession, entry: str):
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{entry}/COMMITTED")
+    return mark, mark.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def commit(spark: SparkSession, entry: str, name: str) -> bool:
+    """Make the folder ``name`` below ``entry`` its table by creating the file
+    that names it; false if another one was committed before."""
+    mark, fs = _mark(spark, entry)
+    try:
+        out = fs.create(mark, False)
+    except Exception:
+        if not fs.exists(mark):
+            raise
+        return False
+    out.write(bytearray(name.encode()))
+    out.close()
+    return True
+
+
+def read_committed(spark: SparkSession, entry: str) -> DataFrame:
+    mark, _ = _mark(spark, entry)
     return spark.read.parquet(f"{entry}/{spark.read.text(str(mark), wholetext=True).first()[0]}")

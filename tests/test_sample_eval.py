@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from fedsight.functions.rank import ranked
+from fedsight.functions.rank import ordered_index, ranked
 from fedsight.operators import evaluate as ev
 from fedsight.operators import sample as sp
 
@@ -94,12 +94,25 @@ def test_contribution_closed_form(spark):
     assert abs(r["contribution_score"] - s) < 1e-12 and r["last_update"] == 4
 
 
-def test_quantile_bucket_rank_and_auc_paths(spark):
-    from pyspark.sql import Window
-    df = spark.range(3000).withColumn("k", (F.col("id") * F.col("id")) % 7919).withColumn("g", (F.col("id") % 2).cast("int"))
-    a = ranked(df, "k", ["g"], ["id"], mode="quantile", buckets=8).select("id", "rank")
-    b = df.select("id", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")).alias("rank"))
-    assert a.exceptAll(b).count() == 0
+def test_positions_with_one_value_in_most_rows(spark):
+    rnd = random.Random(3)
+    rows = [(None if rnd.random() < 0.02 else "same" if rnd.random() < 0.9 else f"k{rnd.randint(0, 50):02d}", i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, id long").repartition(5)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    at = {r: i for i, r in enumerate(order)}
+    got = ordered_index(df, ["k", "id"], "at", partitions=16, size_col="n")
+    assert {(r["k"], r["id"]): r["at"] for r in got.collect()} == at and {r["n"] for r in got.select("n").distinct().collect()} == {4000}
+    # The value that most rows share is spread over the partitions.
+    sizes = [r["count"] for r in df.repartitionByRange(16, "k", "id").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 1000
+    held = sp.validation_holdout(df, ["k", "id"], 0.25)
+    assert {(r["k"], r["id"]): r["is_validation"] for r in held.collect()} == {r: i >= 3000 for r, i in at.items()}
+    parts = sp.partition_clients(df, ["k", "id"], 3, shares=[0.5, 0.3, 0.2])
+    assert {(r["k"], r["id"]): r["client_id"] for r in parts.collect()} == {r: f"client_{1 + (i >= 2000) + (i >= 3200)}" for r, i in at.items()}
+    assert sp.validation_holdout(df.limit(0), ["k", "id"]).count() == 0
+
+
+def test_auc_paths(spark):
     rnd = random.Random(5)
     rows = [(rnd.randint(0, 1), rnd.random() ** 4) for _ in range(500)]
     s = spark.createDataFrame(rows, "label int, score double")
