@@ -266,14 +266,14 @@ def q_verify(spark, d):
     return clean.remaining_invalid(_raw(spark, d), ["tax_ratio", "log_discount", "empty_col"])
 
 
-# The same counts taken while the table is written.
-@query("observed_write", "WITH " + _RAW_SQL + " " + " UNION ALL ".join(f"""
+# The same counts of a table on its way to being committed.
+@query("checked_write", "WITH " + _RAW_SQL + " " + " UNION ALL ".join(f"""
 SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) FILTER (WHERE {c} IS NULL) AS n_null,
        count(*) FILTER (WHERE isnan({c})) AS n_nan, count(*) FILTER (WHERE abs({c}) = 'inf'::DOUBLE) AS n_inf FROM raw"""
                                                            for c in ["tax_ratio", "log_discount", "empty_col"]))
-def q_observed_write(spark, d):
+def q_checked_write(spark, d):
     cols = ["tax_ratio", "log_discount", "empty_col"]
-    n = io.write_observed(_raw(spark, d), io.fresh_path(spark, "observed"), cols)
+    n = io.write_counted(_raw(spark, d), io.fresh_path(spark, "checked"), cols)
     rows = [(c, n["n_rows"], n[f"null_{i}"], n[f"nan_{i}"], n[f"inf_{i}"]) for i, c in enumerate(cols)]
     return spark.createDataFrame(rows, "column_name string, n_rows long, n_null long, n_nan long, n_inf long")
 

@@ -11,7 +11,7 @@ import os
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,14 +85,16 @@ def check_features(df: DataFrame, features: Sequence[str], label: str, width: in
         raise ValueError(f"{n - good} of {n} rows have a label other than 0 and 1")
 
 
-def write_observed(df: DataFrame, path: str, cols: Sequence[str], label: str | None = None) -> dict[str, int]:
-    """Write ``df`` as Parquet to the new folder ``path`` and return what was
-    counted on the way: n_rows, for the i-th of ``cols`` null_i, nan_i and inf_i,
-    and bad_label (labels other than 0 and 1; nulls are bad). The counts are
-    metrics of the write itself, so the table is read and computed once. A task
-    that is run again counts once; a partition of an earlier stage cannot be
-    counted twice, because the counting is in the last one."""
-    seen = Observation()
+def write_counted(df: DataFrame, path: str, cols: Sequence[str], label: str | None = None) -> dict[str, int]:
+    """Write ``df`` as Parquet to the new folder ``path`` and return what the
+    written table holds: n_rows, for the i-th of ``cols`` null_i, nan_i and
+    inf_i, and bad_label (labels other than 0 and 1; nulls are bad). ``df`` is
+    computed once; one aggregate then reads these columns of the written files.
+    Metrics of the write itself (``DataFrame.observe``) would save that pass, but
+    in Spark 4.1 a session that has used them can no longer send a fitted
+    binary classifier to its tasks: the model's training summary holds the
+    session, and its observation manager is not serializable."""
+    df.write.parquet(path)
     metrics = [F.count(F.lit(1)).alias("n_rows")]
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`").cast("double")
@@ -100,21 +102,20 @@ def write_observed(df: DataFrame, path: str, cols: Sequence[str], label: str | N
                     F.count_if(F.abs(x) == F.lit(float("inf"))).alias(f"inf_{i}")]
     if label:
         metrics.append(F.count_if(~F.coalesce(F.col(f"`{label}`").isin(0, 1), F.lit(False))).alias("bad_label"))
-    df.observe(seen, *metrics).write.parquet(path)
-    return {k: int(v) for k, v in seen.get.items()}
+    return df.sparkSession.read.schema(df.schema).parquet(path).agg(*metrics).first().asDict()
 
 
 def write_training_table(df: DataFrame, path: str, features: Sequence[str], label: str | None = None,
                          width: int | None = None) -> DataFrame:
     """Write a training table that keeps its contract, else raise and commit
     nothing: names, types and ``width`` (a model's number of inputs) are checked
-    before any job; rows, nulls, NaN, infinities and labels while the table is
-    written. It is written to a folder of its own below ``path`` and becomes the
-    table once the check has passed and COMMITTED names it (see
+    before any job; rows, nulls, NaN, infinities and labels on the files written
+    (``df`` is computed once). They lie in a folder of their own below ``path``,
+    which becomes the table once the check has passed and COMMITTED names it (see
     :func:`read_committed`); a second writer of the same path is an error."""
     _check_columns(df, features, label, width)
     spark, name = df.sparkSession, f"build-{uuid.uuid4().hex}"
-    n = write_observed(df, f"{path}/{name}", features, label)
+    n = write_counted(df, f"{path}/{name}", features, label)
     bad = [f"{c}: {n[f'null_{i}']} null, {n[f'nan_{i}']} NaN, {n[f'inf_{i}']} infinite" for i, c in enumerate(features)
            if n[f"null_{i}"] or n[f"nan_{i}"] or n[f"inf_{i}"]]
     if n.get("bad_label"):

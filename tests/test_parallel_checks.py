@@ -1,4 +1,4 @@
-"""Concurrent settings (F3, L2) and checks that ride along with a write."""
+"""Concurrent settings (F3, L2) and checks of a table before it is committed."""
 
 import threading
 
@@ -58,7 +58,7 @@ def test_sweep_in_parallel(spark):
         sw.run_sweep([], lambda c: spark.range(1))
 
 
-def test_counts_are_taken_by_the_write(spark, tmp_path):
+def test_counts_of_a_write(spark, tmp_path):
     nan, inf = float("nan"), float("inf")
     df = spark.createDataFrame([(1.0, None, 1), (nan, 2.0, 0), (-inf, 3.0, 2), (inf, nan, None)], "a double, b double, y int")
     read = spark.sparkContext.accumulator(0)
@@ -68,11 +68,11 @@ def test_counts_are_taken_by_the_write(spark, tmp_path):
             read.add(b.num_rows)
             yield b
 
-    n = io.write_observed(df.repartition(3).mapInArrow(seen, df.schema).withColumnRenamed("b", "b.c"), str(tmp_path / "t"), ["a", "b.c"], "y")
+    n = io.write_counted(df.repartition(3).mapInArrow(seen, df.schema).withColumnRenamed("b", "b.c"), str(tmp_path / "t"), ["a", "b.c"], "y")
     assert n == {"n_rows": 4, "null_0": 0, "nan_0": 1, "inf_0": 2, "null_1": 1, "nan_1": 1, "inf_1": 0, "bad_label": 2}
-    assert read.value == 4                              # computed once
+    assert read.value == 4                              # the source is computed once
     assert spark.read.parquet(str(tmp_path / "t")).count() == 4
-    assert io.write_observed(df.limit(0), str(tmp_path / "e"), ["a"])["n_rows"] == 0
+    assert io.write_counted(df.limit(0), str(tmp_path / "e"), ["a"])["n_rows"] == 0
 
 
 def test_training_table_is_committed_only_if_it_keeps_its_contract(spark, tmp_path):
