@@ -3,7 +3,9 @@
 A test item is short and a document may be long, so the search is for
 containment, not resemblance. Items are partitioned by their number of
 distinct shingles; an item's sketch is its ``k`` smallest shingle hashes, with
-``k = q - ceil(t q) + 1`` for its size q. A document that holds the share t of
+``k = q - ceil(t q) + 1`` for its size q. Shingles that fewer items hold count
+as smaller, so a passage that very many items share stands for an item only if
+the item has too few others; any order keeps what follows. A document that holds the share t of
 the item's shingles misses ``q - ceil(t q)`` of them at most, so it holds one
 of the sketch at least: the search has no misses. Documents are partitioned by
 size, too: an item is looked up only in documents that have enough shingles for
@@ -48,6 +50,19 @@ def item_shingles(items: DataFrame, id_col: str, text_col: str, k: int) -> DataF
     return grams.join(grams.groupBy("item_id").agg(F.count(F.lit(1)).alias("q")), "item_id")
 
 
+def _need(threshold: float) -> Column:
+    """How many of an item's q shingles a document must hold."""
+    return F.ceil(F.col("q") * F.lit(float(threshold)) - F.lit(1e-9)).cast("int")
+
+
+def item_sketches(grams: DataFrame, threshold: float) -> DataFrame:
+    """item_id, need and h: the hashes that stand for each item of :func:`item_shingles`."""
+    need = _need(threshold)
+    ranked = grams.join(grams.groupBy("h").agg(F.count(F.lit(1)).alias("held_by")), "h")
+    return (ranked.groupBy("item_id", "q").agg(F.sort_array(F.collect_list(F.struct("held_by", "h"))).alias("s"))
+            .select("item_id", need.alias("need"), F.explode(F.slice("s.h", F.lit(1), (F.col("q") - need + 1).cast("int"))).alias("h")))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id",
                  text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, n_item_shingles, n_shared and containment of every
@@ -62,9 +77,8 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float
     columns are not read.
     """
     grams = item_shingles(items.where(F.col(item_id).isNotNull()), item_id, item_text, k)
-    need = F.ceil(F.col("q") * F.lit(float(threshold)) - F.lit(1e-9)).cast("int")
-    sketch = (grams.groupBy("item_id", "q").agg(F.sort_array(F.collect_list("h")).alias("s"))
-              .select("item_id", need.alias("need"), F.explode(F.slice("s", F.lit(1), (F.col("q") - need + 1).cast("int"))).alias("h")))
+    need = _need(threshold)
+    sketch = item_sketches(grams, threshold)
     # One row a hash: the items it stands for and the size that the smallest of them asks of a document.
     lookup = sketch.groupBy("h").agg(F.min("need").alias("least"), F.collect_list(F.struct("need", "item_id")).alias("of"))
     rows = grams.count()

@@ -102,6 +102,20 @@ def test_decontamination_matches_brute_force(spark, docs_of):
     assert sorted(map(str, kept)) == sorted(str(d) for d, _ in docs if d not in bad)
 
 
+def test_decontamination_shared_passages(spark, docs_of):
+    """A passage that many items share stands for none that has enough shingles of its own."""
+    shared = " ".join(f"s{i}" for i in range(14))
+    items = [(i, f"{shared} " + " ".join(f"own{i}x{j}" for j in range(30))) for i in range(60)] + [(99, shared)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    grams = decontaminate.item_shingles(table, "item_id", "text", 5)
+    sketch = decontaminate.item_sketches(grams, 0.8)
+    hot = {r.h for r in grams.where("item_id = 99").collect()}
+    assert {r.item_id for r in sketch.collect() if r.h in hot} == {99}
+    docs = [(1, shared), (2, "a b c " + items[7][1]), (3, items[8][1][:150]), (4, "other words")]
+    got = {(r.doc_id, r.item_id): r.n_shared for r in decontaminate.contaminated(docs_of(docs), table).collect()}
+    assert got == brute_contained(docs, items, 5, 0.8) and {(1, 99), (2, 7)} <= got.keys()
+
+
 def test_decontamination_empty(spark, docs_of):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
