@@ -77,7 +77,8 @@ def _windows(rows: DataFrame, templates: dict[str, str], t: float) -> DataFrame:
     length. It begins and ends with lines or sentences, or else it is as long as
     the template or longer, so that words which differ are never cut off at its
     ends. A coefficient of t needs t / (2 - t) of the template's bigrams, so a
-    text is looked through only for templates of which it holds so many.
+    text is looked through only for templates of which it holds so many. The
+    time is in proportion to the text's length times the template's.
     """
     known = []
     for name, gs in template_bigrams(templates).items():
@@ -89,31 +90,42 @@ def _windows(rows: DataFrame, templates: dict[str, str], t: float) -> DataFrame:
     every = F.array(*map(F.lit, sorted({g for k in known for g in k[1]})))
     least = min(k[4] for k in known)
 
-    def pairs(w: str) -> Column:
-        return F.expr(f"transform(if(size({w}) > 1, sequence(0, size({w}) - 2), array()), i -> concat({w}[i], ' ', {w}[i + 1]))")
+    def pairs(w: str) -> str:
+        return f"transform(if(size({w}) > 1, sequence(0, size({w}) - 2), array()), i -> concat({w}[i], ' ', {w}[i + 1]))"
 
     found = rows.select("doc_id", "text", letter_words(F.col("text")).alias("w")).select(
-        "doc_id", "text", F.array_intersect(pairs("w"), every).alias("held"))
+        "doc_id", "text", F.array_intersect(F.expr(pairs("w")), every).alias("held"))
     fits = F.when(F.size("held") >= least, F.filter(of, lambda x: F.size(F.array_intersect(F.col("held"), x["tg"])) >= x["need"]))
     near = found.select("doc_id", "text", F.explode_outer(fits).alias("of")).where("of is not null").select("doc_id", "text", "of.*")
     parts = F.transform(F.split("text", r"\n|(?<=[.!?;:])\s+"), letter_words)
-    near = (near.withColumn("parts", parts).withColumn("w", F.flatten("parts")).withColumn("g", pairs("w"))
-            # Word numbers where lines and sentences begin, and the end.
-            .withColumn("edges", F.array_distinct(F.expr("aggregate(parts, array(0), (a, x) -> array_append(a, element_at(a, -1) + size(x)))")))
-            .withColumns({"g": F.expr("transform(g, x -> xxhash64(x))"), "tg": F.expr("transform(tg, x -> xxhash64(x))")})
-            .withColumn("hits", F.expr("filter(sequence(0, size(g) - 1), i -> array_contains(tg, g[i]))")))
-    enough = "size(filter(hits, p -> p >= s and p < s + most)) >= need"
+    near = near.withColumn("parts", parts).withColumn("w", F.flatten("parts"))
     near = near.withColumns({
-        "starts": F.expr(f"filter(array_distinct(concat(hits, transform(hits, p -> p - total + 1))), s -> s >= 0 and {enough})"),
-        "firsts": F.expr(f"filter(edges, s -> {enough})")})
-    free = """flatten(transform(starts, s -> transform(filter(array_distinct(concat(array(s + total - 1), hits)),
-        e -> e >= s + total - 1 and e < s + most and e < size(g)), e -> struct(s as s, e - s + 1 as n))))"""
-    whole = """flatten(transform(firsts, s -> transform(filter(edges, f -> f - s - 1 >= need and f - s - 1 <= most),
-        f -> struct(s as s, f - s - 1 as n))))"""
-    near = near.withColumn("windows", F.expr(f"concat({free}, {whole})"))
-    dice = F.expr("""array_max(transform(windows, v -> round(2 * size(array_intersect(slice(g, v.s + 1, v.n), tg))
-        / (size(array_distinct(slice(g, v.s + 1, v.n))) + m), 9)))""")
-    return near.select("doc_id", "license", dice.alias("dice"))
+        "tg": F.expr("transform(tg, x -> xxhash64(x))"),
+        "sorted": F.expr(f"sort_array(transform({pairs('w')}, (x, i) -> struct(xxhash64(x) as x, i as i)))"),
+        # Word numbers where lines and sentences begin, and the end.
+        "edges": F.expr("""array_append(filter(transform(flatten(transform(parts, x -> transform(x, (y, i) -> i = 0))),
+            (first, i) -> if(first, i, null)), i -> i is not null), size(w))""")})
+    # Each bigram with the place where it stood before (-1: nowhere): it is new to a window that begins after that place.
+    near = near.withColumn("rows", F.expr("""sort_array(transform(sorted, (v, k) -> struct(v.i as p,
+        if(k > 0 and get(sorted, k - 1).x = v.x, get(sorted, k - 1).i, -1) as before, array_contains(tg, v.x) as hit)))"""))
+    near = near.withColumn("hits", F.expr("transform(filter(rows, x -> x.hit), x -> x.p)"))
+    enough = "size(filter(slice(rows, s + 1, most), x -> x.hit)) >= need"
+    near = near.withColumns({
+        "starts": F.expr(f"""filter(filter(array_distinct(concat(hits, transform(hits, p -> p - total + 1))),
+            s -> s >= 0 and s + total <= size(rows)), s -> {enough})"""),
+        "firsts": F.expr(f"filter(transform(edges, (s, k) -> struct(s as s, k as k)), v -> {enough.replace('s + 1', 'v.s + 1')})")})
+
+    def dice(d: str, end: str) -> str:
+        """Coefficient of the bigrams before ``end`` of those in ``d`` that are new to their window."""
+        return f"2 * size(filter({d}, x -> x.hit and x.p < {end})) / (size(filter({d}, x -> x.p < {end})) + m)"
+
+    # The j-th new template bigram of a window is its i-th new bigram; windows that end elsewhere are no better, the shortest aside.
+    free = f"""transform(starts, s -> array_max(transform(array(filter(slice(rows, s + 1, most), x -> x.before < s)), d -> greatest(
+        {dice("d", "s + total")}, array_max(transform(filter(transform(d, (x, i) -> struct(x.p as p, x.hit as hit, i + 1 as n)), x -> x.hit),
+        (x, j) -> if(x.p >= s + total - 1, 2 * (j + 1) / (x.n + m), 0.0D)))))))"""
+    whole = f"""transform(firsts, v -> array_max(transform(array(filter(slice(rows, v.s + 1, most), x -> x.before < v.s)), d ->
+        array_max(transform(filter(slice(edges, v.k + 2, most + 1), f -> f - v.s - 1 between need and most), f -> {dice("d", "f - 1")})))))"""
+    return near.select("doc_id", "license", F.expr(f"round(array_max(concat({free}, {whole})), 9)").alias("dice"))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8, id_col: str = "doc_id",

@@ -53,6 +53,58 @@ def test_licenses_inside_long_documents(docs_of):
     assert got == {(1, "MIT"): (1.0, 1), (2, "GPL-3.0 header"): (1.0, 1), (3, "MIT"): (1.0, 1), (5, "MIT notice"): (1.0, 1)}
 
 
+def brute_window(text, template, t):
+    """Largest coefficient of any window: all that are as long as the template or longer, and all between edges."""
+    b, total = bigrams(template), len(words(template)) - 1
+    need, most = math.ceil(len(b) * t / (2 - t) - 1e-9), math.floor(total * (2 - t) / t + 1e-9)
+    parts = [words(x) for x in re.split(r"\n|(?<=[.!?;:])\s+", text)]
+    w, edges = sum(parts, []), {sum(map(len, parts[:i])) for i in range(len(parts) + 1)}
+    g, best = [f"{x} {y}" for x, y in zip(w, w[1:])], 0
+    for s in range(len(g)):
+        seen, hit = set(), set()
+        for e in range(s, min(s + most, len(g))):
+            seen.add(g[e])
+            hit |= b & {g[e]}
+            if e - s + 1 >= total or e - s + 1 >= need and s in edges and e + 2 in edges:
+                best = max(best, 2 * len(hit) / (len(seen) + len(b)))
+    return best
+
+
+def test_license_windows_match_brute_force(docs_of):
+    import random
+    rng, names = random.Random(5), ("MIT notice", "CC0-1.0 notice", "GPL-3.0 header")
+    templates = {n: licenses.TEMPLATES[n] for n in names}
+    rows = []
+    for i in range(24):
+        out = []
+        for k in range(rng.randint(1, 4)):
+            w = templates[rng.choice(names)].split()
+            for _ in range(rng.randint(0, len(w) // 6)):
+                w[rng.randrange(len(w))] = rng.choice(["", f"x{i}y{k}", "the", "\n"])
+            cut = rng.random() < 0.3 and rng.randint(1, len(w) // 4)
+            out += [f"a{i}b{k}c{j}" + rng.choice(["", ".", "\n"]) for j in range(rng.randint(0, 30))] + w[cut or 0:]
+        rows.append((i, rng.choice([" ", "  "]).join(out)))
+    got = {(r.doc_id, r.license): round(r.dice, 6) for r in licenses.scan(docs_of(rows), templates).collect()}
+    want = {}
+    for i, x in rows:
+        units = {*x.split("\n"), *re.split(r"\n[ \t\r]*\n", x), x}
+        for n in names:
+            b = bigrams(templates[n])
+            d = max([brute_window(x, templates[n], 0.8), *(2 * len(b & bigrams(u)) / (len(b) + len(bigrams(u))) for u in units)])
+            if d >= 0.8:
+                want[i, n] = round(d, 6)
+    assert got == want and len(want) > 20
+
+
+def test_licenses_notice_file(docs_of):
+    """Very many licences in one text take time in proportion to it."""
+    import time
+    file = "\n\n".join(f"Copyright {1900 + i} holder{i}\n\n{licenses.TEMPLATES['MIT']}" for i in range(100))
+    started = time.time()
+    got = licenses.scan(docs_of([(1, file)])).collect()
+    assert [(r.license, r.dice) for r in got] == [("MIT", 1.0)] and time.time() - started < 60
+
+
 def test_licenses_empty(docs_of):
     assert licenses.scan(docs_of([])).count() == 0
     assert licenses.scan(docs_of(LICENSE_DOCS), {"own": "one"}).count() == 0
