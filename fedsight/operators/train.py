@@ -100,10 +100,12 @@ def local_step(rows: DataFrame, features: Sequence[str], client_w: DataFrame, cw
     r = c * (sigmoid(margin_expr(features, F.col("_w"), F.col("_b"))) - F.col(label).cast("double"))
     # the residual is projected once per row; the d + 1 sums then only multiply
     j = j.select(client, r.alias("_r"), "_w", "_b", *features)
+    # the old weights are kept as d numbers: an array in the aggregate would sort every row by client
     g = j.groupBy(client).agg(F.count(F.lit(1)).alias("_n"),
                               *[F.sum(F.col("_r") * F.col(f).cast("double")).alias(f"_g{i}") for i, f in enumerate(features)],
-                              F.sum("_r").alias("_gb"), F.first("_w").alias("_w"), F.first("_b").alias("_b"))
-    neww = F.array(*[F.col("_w")[i] - F.lit(lr) * (F.col(f"_g{i}") / F.col("_n") + F.lit(l2) * F.col("_w")[i])
+                              F.sum("_r").alias("_gb"), *[F.first(F.col("_w")[i]).alias(f"_w{i}") for i in range(d)],
+                              F.first("_b").alias("_b"))
+    neww = F.array(*[F.col(f"_w{i}") - F.lit(lr) * (F.col(f"_g{i}") / F.col("_n") + F.lit(l2) * F.col(f"_w{i}"))
                      for i in range(d)])
     # the old weights came through the aggregate: no second use of client_w, so a plan grows by one step an epoch
     return g.select(client, neww.alias("_w"), (F.col("_b") - F.lit(lr) * F.col("_gb") / F.col("_n")).alias("_b"),

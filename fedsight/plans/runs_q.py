@@ -65,11 +65,11 @@ def q_federated_run(spark, d):
     table = build_feature_table(spark, d)
     feats = [c for c in table.columns if c not in (ID, LABEL) and not c.endswith("_category")]
     parted = sp.partition_clients(table, [ID], 3)
-    split = sp.stratified_split(parted, LABEL, [ID], 0.2)
+    split = cut_lineage(sp.stratified_split(parted, LABEL, [ID], 0.2))      # both parts are read many times
     train = split.where("split = 'train'").withColumnRenamed(LABEL, "label")
     test = split.where("split = 'test'").withColumnRenamed(LABEL, "label")
-    train_z = cut_lineage(clean.standardize(train, feats))
-    test_z = cut_lineage(clean.standardize(test, feats, fit_on=train))
+    train_z = clean.standardize(train, feats)       # the loop writes the columns that it reads
+    test_z = clean.standardize(test, feats, fit_on=train)
     run = tr.fedavg_train(train_z, feats, rounds=3, local_epochs=2, lr=0.5, l2=0.01, test=test_z)
     g = run.model.first()
     w, b = list(g["_w"]), float(g["_b"])

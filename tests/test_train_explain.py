@@ -2,6 +2,7 @@ import itertools
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fedsight.operators import explain as ex
@@ -196,3 +197,34 @@ def test_importance_by_method_and_size(spark):
         raise AssertionError("no error")
     except ValueError:
         pass
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_local_step_sorts_no_rows(spark):
+    """The old weights pass through the aggregate as numbers, so it hashes instead of sorting every row by client."""
+    rows = spark.createDataFrame([(f"c{i % 2}", i % 2 if i < 6 else 1, float(i), 1.0 - i) for i in range(9)], "client_id string, label int, a double, b double")
+    start = spark.createDataFrame([("c0", [0.5, -1.0], 0.25), ("c1", [0.0, 2.0], -1.0)], "client_id string, _w array<double>, _b double")
+    step = tr.local_step(rows, ["a", "b"], start, None, 0.3, 0.1, broadcast_weights=True)
+    assert "SortAggregate" not in plan_of(step)
+    got = {r.client_id: r for r in step.collect()}
+    for c, w, b in (("c0", [0.5, -1.0], 0.25), ("c1", [0.0, 2.0], -1.0)):
+        own = [r for r in rows.collect() if r.client_id == c]
+        X, y = np.array([[r.a, r.b] for r in own]), np.array([r.label for r in own])
+        e = 1 / (1 + np.exp(-(X @ np.array(w) + b))) - y
+        assert np.allclose(got[c]._w, np.array(w) - 0.3 * (e @ X / len(own) + 0.1 * np.array(w))) and got[c].data_size == len(own)
+        assert abs(got[c]._b - (b - 0.3 * e.mean())) < 1e-12
+
+
+def test_federated_run_splits_once(spark, monkeypatch):
+    """All passes over the parts read the written split; its ranks aren't computed again for each."""
+    from fedsight.plans import runs_q
+
+    def seen(df, cols, fit_on=None):
+        raise ZeroDivisionError(plan_of(df))
+    monkeypatch.setattr(runs_q.clean, "standardize", seen)
+    with pytest.raises(ZeroDivisionError) as plan:
+        runs_q.q_federated_run(spark, "/root/testdata/sf0.001")
+    assert "ExistingRDD" in str(plan.value) and "Window" not in str(plan.value) and "Join" not in str(plan.value)
