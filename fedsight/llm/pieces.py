@@ -38,6 +38,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: New words encoded at once, and verified as one text; characters of the words that a worker holds at most between batches.
+WORDS_AT_ONCE, WORDS_TOGETHER, MOST_HELD = 5_000, 200, 4_000_000
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _BYTE = re.compile("<0x[0-9A-F]{2}>")
 
@@ -102,35 +104,40 @@ class _Engine:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         from tokenizers import Tokenizer
-        self.whole, self.most_words, self.words = Tokenizer.from_str(text), most_words, {}
-        spec = json.loads(text)
+        self.tokenizer, self.most_words, self.words, self.held = Tokenizer.from_str(text), most_words, {}, 0
+        spec, vocab = json.loads(text), self.tokenizer.get_vocab()
         steps = spec["normalizer"]["normalizers"]
         # Texts are cut at gaps if that can't part a piece, and if all that the normaliser does is to mark the gaps.
-        self.by_word = (not any(MARK in p.lstrip(MARK) for p in self.whole.get_vocab()) and not spec["added_tokens"]
+        self.by_word = (not any(MARK in p.lstrip(MARK) for p in vocab) and not spec["added_tokens"]
                         and all(n["type"] in ("Prepend", "Replace") and MARK in (n.get("prepend"), n.get("content")) for n in steps)
                         and any(n["type"] == "Replace" for n in steps))
         self.prefix = MARK if any(n["type"] == "Prepend" for n in steps) else ""
-        self.by_word &= MARK in self.whole.get_vocab()
-        spec["normalizer"] = None
+        self.by_word &= MARK in vocab
+        if self.by_word:
+            self.tokenizer.normalizer = None        # words come marked
+        # Merges don't reach over a gap, so many words are verified as one text; sums of unigram scores are rounded, so there each is.
+        self.together = WORDS_TOGETHER if spec["model"]["type"] == "BPE" and self.prefix else 1
         self.threads, self.reference = threads, reference
-        names = sorted(self.whole.get_vocab().items(), key=lambda x: x[1])
         fallback = spec["model"].get("byte_fallback")
-        self.bytes = [bytes([int(n[3:5], 16)]) if fallback and _BYTE.fullmatch(n) else n.encode() for n, _ in names]
-        self.sizes = np.array([len(b) for b in self.bytes])
-        self.table = np.array([*self.bytes, b""], dtype=object)[:-1]     # piece bytes, gathered by id
-        self.bare = Tokenizer.from_str(json.dumps(spec))
+        raw = [bytes([int(n[3:5], 16)]) if fallback and _BYTE.fullmatch(n) else n.encode() for n in sorted(vocab, key=vocab.get)]
+        self.sizes = np.array([len(b) for b in raw])
+        self.table = np.array([*raw, b""], dtype=object)[:-1]     # piece bytes, gathered by id
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids of each text, and whether they decode to it."""
         if not self.by_word:
-            ids = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             back = self.decode(ids)
             self.verify(texts, ids, back)
             return [np.array(i, dtype=np.int32) for i in ids], [b == normal_form(x) for b, x in zip(back, texts)]
-        if len(self.words) > self.most_words:
-            self.words = {}
         cut = [_WORD.findall(self.prefix + x.replace(" ", MARK)) if x else [] for x in texts]
-        self._meet(list(set().union(*cut).difference(self.words)))
+        here = set().union(*cut)
+        if len(self.words) > self.most_words or self.held > MOST_HELD:      # words in use stay
+            self.words = {w: self.words[w] for w in here & self.words.keys()}
+            self.held = sum(map(len, self.words))
+        new = list(here.difference(self.words))
+        for i in range(0, len(new), WORDS_AT_ONCE):
+            self._meet(new[i:i + WORDS_AT_ONCE])
         at = self.words.__getitem__
         ids = [np.frombuffer(b"".join(map(at, c)), dtype=np.int32) for c in cut]
         return ids, [b == normal_form(x) for b, x in zip(self.decode(ids), texts)]
@@ -147,36 +154,55 @@ class _Engine:
     def _meet(self, new: list[str]) -> None:
         """Encode words as one batch of pre-cut input, and find each one's ids by the pieces' lengths in bytes."""
         parts = [p for p in (new[i::self.threads] for i in range(self.threads)) if p]
-        for part, e in zip(parts, self.bare.encode_batch_fast(parts, is_pretokenized=True, add_special_tokens=False)):
-            ids, raw = e.ids, [w.encode() for w in part]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(parts, is_pretokenized=True, add_special_tokens=False)):
+            ids, raw = np.array(e.ids, dtype=np.int32), [w.encode() for w in part]
             ends = np.cumsum([len(r) for r in raw])
             reach = np.cumsum(self.sizes[ids])
-            if b"".join(map(self.bytes.__getitem__, ids)) == b"".join(raw) and np.isin(ends, reach).all():
+            if b"".join(self.table[ids].tolist()) == b"".join(raw) and np.isin(ends, reach).all():
                 cuts = (4 * np.searchsorted(reach, ends, side="right")).tolist()
-                flat = np.array(ids, dtype=np.int32).tobytes()
-                self.words.update(zip(part, map(flat.__getitem__, map(slice, [0, *cuts], cuts))))
+                self.words.update(zip(part, map(ids.tobytes().__getitem__, map(slice, [0, *cuts], cuts))))
                 continue
-            for word, ids in zip(part, (x.ids for x in self.bare.encode_batch_fast(part, add_special_tokens=False))):
+            for word, ids in zip(part, (x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))):
                 self.words[word] = array("i", ids).tobytes()
+        self.held += sum(map(len, new))
         # A word is what its text without the prefix is cut to; the prefix alone is no text's word but the last gap's, the mark's own piece.
         bare = [w for w in new if w != self.prefix]
-        ids = [np.frombuffer(self.words[w], dtype=np.int32) for w in bare]
-        self.verify([w[len(self.prefix):].replace(MARK, " ") for w in bare], [i.tolist() for i in ids], self.decode(ids))
+        if self.together > 1:       # words of gaps alone come last in a text, so each is a text of its own
+            gaps, full = [w for w in bare if w.endswith(MARK)], [w for w in bare if not w.endswith(MARK)]
+            self._confirm([full[i:i + self.together] for i in range(0, len(full), self.together)] + [[w] for w in gaps])
+        else:
+            self._confirm([[w] for w in bare])
         if self.reference is not None and len(bare) < len(new) and self.words[MARK] != array("i", [self.reference.piece_to_id(MARK)]).tobytes():
             raise ValueError("pieces differ from the reference library's for a gap")
 
+    def _confirm(self, groups: list[list[str]]) -> None:
+        """Verify met words, each group as the text that is cut to its words."""
+        if self.reference is None:
+            return
+        ids = [np.frombuffer(b"".join(map(self.words.__getitem__, g)), dtype=np.int32) for g in groups]
+        try:
+            self.verify(["".join(g)[len(self.prefix):].replace(MARK, " ") for g in groups], [i.tolist() for i in ids], self.decode(ids))
+        except ValueError:
+            if any(len(g) > 1 for g in groups):
+                self._confirm([[w] for g in groups for w in g])        # names the word
+            raise
+
     def decode(self, ids: list) -> list[str]:
         """Texts of ids that this engine made. Where texts are cut at gaps, the
-        pieces' bytes are gathered; the reference library's decoder confirms
-        that for each new word (see :meth:`_meet`)."""
+        bytes of all texts' pieces are gathered at once; the reference library's
+        decoder confirms that for each new word (see :meth:`_meet`)."""
         if not self.by_word:
             return self.library_decode(ids)
-        n, table = len(self.prefix), self.table
-        return [b"".join(table[i].tolist()).decode("utf-8", "replace").replace(MARK, " ")[n:] for i in ids]
+        if not ids:
+            return []
+        flat, n = np.concatenate([np.asarray(i, dtype=np.int32) for i in ids]), len(self.prefix)
+        raw = b"".join(self.table[flat].tolist())
+        ends = np.append(0, np.cumsum(self.sizes[flat]))[np.cumsum([len(i) for i in ids])].tolist()
+        return [raw[a:b].decode("utf-8", "replace").replace(MARK, " ")[n:] for a, b in zip([0, *ends], ends)]
 
     def library_decode(self, ids: list[list[int]]) -> list[str]:
         """Texts of any ids."""
-        return self.whole.decode_batch(ids, skip_special_tokens=False)
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
 def _give_back() -> None:
@@ -211,6 +237,7 @@ class Codec:
 
         def run(batches):
             import sentencepiece
+            _give_back()                                        # what other tasks left in this worker
             sp, seen = sentencepiece.SentencePieceProcessor(model_proto=model.value), 0
             t = _Engine(table.value, threads, reference=sp)
             for texts in batches:
@@ -221,6 +248,8 @@ class Codec:
                             t.verify([x], [i.tolist()], t.library_decode([i.tolist()]))
                         seen += 1
                     yield pd.DataFrame({"ids": got, "same": kept})
+                    del got, kept
+                    _give_back()
             del t, sp
             _give_back()
 

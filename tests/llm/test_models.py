@@ -200,6 +200,33 @@ def test_unigram_models(spaces):
     assert engine.decode([i.tolist() for i in ids]) == [sp.decode(i.tolist()) for i in ids]
 
 
+def test_new_words_are_verified_together_in_bounded_batches():
+    import sentencepiece
+    with open(pieces.DEFAULT_MODEL, "rb") as f:
+        raw = f.read()
+    sp, given = sentencepiece.SentencePieceProcessor(model_proto=raw), []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(sp, name)
+
+        def encode(self, texts, **more):
+            given.append(len(texts))
+            return sp.encode(texts, **more)
+    engine = pieces._Engine(pieces.rebuild(raw), 2, reference=Counting())
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("aeioustrn ", k=60_000)) + " " * k for k in range(4)] + edge_texts()
+    ids, same = engine.encode(texts)
+    assert [i.tolist() for i in ids] == sp.encode(texts) and all(same)
+    assert sum(given) < len(engine.words) / 20 and max(given) <= pieces.WORDS_AT_ONCE       # words are not checked one by one
+    engine.encode(["x" * (pieces.MOST_HELD + 1)])
+    engine.encode(["a b"])
+    assert engine.held == sum(map(len, engine.words)) < 100         # long words are not held for ever
+    engine.tokenizer.model = type(engine.tokenizer.model)({p: i for p, i in engine.tokenizer.get_vocab().items()}, [], unk_token="<unk>", byte_fallback=True)
+    with pytest.raises(ValueError, match="text 'house'"):
+        engine.encode(["a b house"])
+
+
 def test_every_row_is_verified_and_decoded(spark, docs_of, monkeypatch):
     """A word that the reference library encodes in another way fails the job on
     any row, and ``same`` tells what the ids decode to."""
