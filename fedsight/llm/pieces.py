@@ -6,7 +6,8 @@ metaspace marker, and its pieces: unigram scores, or for a BPE model the merges
 that its scores imply, each with byte fallback. The tokenizer travels to the
 tasks as JSON (its size is the vocabulary's). If no piece reaches over a gap,
 texts are cut at gaps and each word that a task meets for the first time is
-encoded, in batches and with several threads; other models encode whole texts.
+encoded, in batches and with several threads, and a batch of texts gets its ids
+from its distinct words' by one Arrow gather; other models encode whole texts.
 Parity with the reference library is verified for every row: each newly met
 word is encoded and decoded by both (whole texts for other models, and one text
 in ``parity_every`` in any case), and a difference fails the job. Each text's ids
@@ -20,12 +21,13 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import compress
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +40,10 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: New words encoded at once, and verified as one text; characters of the words that a worker holds at most between batches.
+#: New words encoded at once, and encoded and verified as one text; characters of the words that a worker holds at most between batches.
 WORDS_AT_ONCE, WORDS_TOGETHER, MOST_HELD = 5_000, 200, 4_000_000
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_WIDE = re.compile("(?<![^ ]) ")        # a space that begins a text or follows another
 _BYTE = re.compile("<0x[0-9A-F]{2}>")
 
 
@@ -104,7 +107,9 @@ class _Engine:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         from tokenizers import Tokenizer
-        self.tokenizer, self.most_words, self.words, self.held = Tokenizer.from_str(text), most_words, {}, 0
+        self.tokenizer, self.most_words = Tokenizer.from_str(text), most_words
+        # Ids of each word as bytes, by the word without the prefix; the words met again since words last went; characters held.
+        self.words, self.again, self.held = {}, set(), 0
         spec, vocab = json.loads(text), self.tokenizer.get_vocab()
         steps = spec["normalizer"]["normalizers"]
         # Texts are cut at gaps if that can't part a piece, and if all that the normaliser does is to mark the gaps.
@@ -115,64 +120,77 @@ class _Engine:
         self.by_word &= MARK in vocab
         if self.by_word:
             self.tokenizer.normalizer = None        # words come marked
-        # Merges don't reach over a gap, so many words are verified as one text; sums of unigram scores are rounded, so there each is.
+        # Merges don't reach over a gap, so many words are one text; sums of unigram scores are rounded, so there each is a text.
         self.together = WORDS_TOGETHER if spec["model"]["type"] == "BPE" and self.prefix else 1
         self.threads, self.reference = threads, reference
         fallback = spec["model"].get("byte_fallback")
         raw = [bytes([int(n[3:5], 16)]) if fallback and _BYTE.fullmatch(n) else n.encode() for n in sorted(vocab, key=vocab.get)]
         self.sizes = np.array([len(b) for b in raw])
-        self.table = np.array([*raw, b""], dtype=object)[:-1]     # piece bytes, gathered by id
+        self.table = pa.array(raw, pa.large_binary())       # piece bytes, gathered by id
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids of each text, and whether they decode to it."""
         if not self.by_word:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             back = self.decode(ids)
             self.verify(texts, ids, back)
-            return [np.array(i, dtype=np.int32) for i in ids], [b == normal_form(x) for b, x in zip(back, texts)]
-        cut = [_WORD.findall(self.prefix + x.replace(" ", MARK)) if x else [] for x in texts]
-        here = set().union(*cut)
-        if len(self.words) > self.most_words or self.held > MOST_HELD:      # words in use stay
-            self.words = {w: self.words[w] for w in here & self.words.keys()}
+            return ids, [b == normal_form(x) for b, x in zip(back, texts)]
+        cut = pc.split_pattern(pa.array([self.cut(x) or None for x in texts], pa.large_string()), " ")      # no text: no words
+        coded, n_words = cut.flatten().dictionary_encode(), pc.fill_null(pc.list_value_length(cut), 0).to_numpy()
+        here = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.words.get, here))
+        self.again.update(compress(here, found))
+        if len(self.words) > self.most_words or self.held > MOST_HELD:      # words met again stay
+            self.words, self.again = {w: self.words[w] for w in self.again}, set()
             self.held = sum(map(len, self.words))
-        new = list(here.difference(self.words))
+        new = [w for w, i in zip(here, found) if i is None]
         for i in range(0, len(new), WORDS_AT_ONCE):
             self._meet(new[i:i + WORDS_AT_ONCE])
-        at = self.words.__getitem__
-        ids = [np.frombuffer(b"".join(map(at, c)), dtype=np.int32) for c in cut]
+        found = [self.words[w] if i is None else i for w, i in zip(here, found)]
+        reach = np.cumsum([0, *map(len, found)]) // 4
+        flat = pa.LargeListArray.from_arrays(reach, np.frombuffer(b"".join(found), dtype=np.int32)).take(coded.indices).flatten().to_numpy()
+        ends = np.append(0, np.cumsum(np.diff(reach)[coded.indices.to_numpy()]))[np.cumsum(n_words, dtype=int)].tolist()
+        ids = [flat[a:b] for a, b in zip([0, *ends], ends)]
         return ids, [b == normal_form(x) for b, x in zip(self.decode(ids), texts)]
 
-    def verify(self, texts: list[str], ids: list[list[int]], back: list[str]) -> None:
+    def cut(self, text: str) -> str:
+        """The text's words with a space between two, each with the gap before it
+        marked and without the prefix. A last gap is a word."""
+        text = text.replace(MARK, " ")
+        if self.prefix:
+            return _WIDE.sub(MARK, text) if "  " in text or text[:1] == " " else text
+        return " ".join(_WORD.findall(text.replace(" ", MARK)))
+
+    def verify(self, texts: list[str], ids: list[np.ndarray], back: list[str]) -> None:
         """Compare with the reference library, if there is one."""
         if self.reference is None or not texts:
             return
-        for x, i, b, want, text in zip(texts, ids, back, self.reference.encode(texts, num_threads=self.threads),
+        for x, i, b, want, text in zip(texts, ids, back, self.reference.encode(texts, out_type="numpy", num_threads=self.threads),
                                        self.reference.decode(ids, num_threads=self.threads)):
-            if want != i or text != b:
+            if want.tobytes() != i.tobytes() or text != b:
                 raise ValueError(f"pieces differ from the reference library's for the text {x[:200]!r}")
 
     def _meet(self, new: list[str]) -> None:
-        """Encode words as one batch of pre-cut input, and find each one's ids by the pieces' lengths in bytes."""
-        parts = [p for p in (new[i::self.threads] for i in range(self.threads)) if p]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast(parts, is_pretokenized=True, add_special_tokens=False)):
-            ids, raw = np.array(e.ids, dtype=np.int32), [w.encode() for w in part]
-            ends = np.cumsum([len(r) for r in raw])
-            reach = np.cumsum(self.sizes[ids])
-            if b"".join(self.table[ids].tolist()) == b"".join(raw) and np.isin(ends, reach).all():
-                cuts = (4 * np.searchsorted(reach, ends, side="right")).tolist()
-                self.words.update(zip(part, map(ids.tobytes().__getitem__, map(slice, [0, *cuts], cuts))))
-                continue
-            for word, ids in zip(part, (x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))):
-                self.words[word] = array("i", ids).tobytes()
-        self.held += sum(map(len, new))
-        # A word is what its text without the prefix is cut to; the prefix alone is no text's word but the last gap's, the mark's own piece.
-        bare = [w for w in new if w != self.prefix]
-        if self.together > 1:       # words of gaps alone come last in a text, so each is a text of its own
-            gaps, full = [w for w in bare if w.endswith(MARK)], [w for w in bare if not w.endswith(MARK)]
-            self._confirm([full[i:i + self.together] for i in range(0, len(full), self.together)] + [[w] for w in gaps])
+        """Encode new words, as many to a text as may be, find each one's ids by the pieces' lengths in bytes, and verify them."""
+        if self.together > 1:       # words that end in a gap come last in a text, so each is a text of its own
+            full, gaps = [w for w in new if w and not w.endswith(MARK)], [w for w in new if not w or w.endswith(MARK)]
+            groups = [full[i:i + self.together] for i in range(0, len(full), self.together)] + [[w] for w in gaps]
+        else:
+            full, gaps, groups = new, [], [[w] for w in new]
+        marked = [self.prefix + self.prefix.join(g) for g in groups]
+        ids = [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)]
+        flat, words = np.concatenate(ids), full + gaps
+        reach, ends = np.cumsum(self.sizes[flat]), np.cumsum([len(self.prefix.encode()) + len(w.encode()) for w in words])
+        if b"".join(self._bytes(ids)) == "".join(marked).encode() and np.isin(ends, reach).all():
+            cuts, raw = (4 * np.searchsorted(reach, ends, side="right")).tolist(), flat.tobytes()
+            self.words.update(zip(words, map(raw.__getitem__, map(slice, [0, *cuts], cuts))))
         else:
-            self._confirm([[w] for w in bare])
-        if self.reference is not None and len(bare) < len(new) and self.words[MARK] != array("i", [self.reference.piece_to_id(MARK)]).tobytes():
+            for w, e in zip(words, self.tokenizer.encode_batch_fast([self.prefix + w for w in words], add_special_tokens=False)):
+                self.words[w] = np.array(e.ids, dtype=np.int32).tobytes()
+        self.held += sum(map(len, new))
+        # The prefix alone is no text's word but the last gap's, the mark's own piece.
+        self._confirm([g for g in groups if g != [""]])
+        if self.reference is not None and "" in gaps + full and self.words[""] != np.array([self.reference.piece_to_id(MARK)], dtype=np.int32).tobytes():
             raise ValueError("pieces differ from the reference library's for a gap")
 
     def _confirm(self, groups: list[list[str]]) -> None:
@@ -181,24 +199,25 @@ class _Engine:
             return
         ids = [np.frombuffer(b"".join(map(self.words.__getitem__, g)), dtype=np.int32) for g in groups]
         try:
-            self.verify(["".join(g)[len(self.prefix):].replace(MARK, " ") for g in groups], [i.tolist() for i in ids], self.decode(ids))
+            self.verify([self.prefix.join(g).replace(MARK, " ") for g in groups], ids, self.decode(ids))
         except ValueError:
             if any(len(g) > 1 for g in groups):
                 self._confirm([[w] for g in groups for w in g])        # names the word
             raise
 
+    def _bytes(self, ids: list) -> list[bytes]:
+        """The pieces' bytes of each text, gathered for all texts at once."""
+        ends, flat = np.cumsum([0, *map(len, ids)]), np.concatenate([np.empty(0, dtype=np.int32), *(np.asarray(i, dtype=np.int32) for i in ids)])
+        pieces = self.table.take(pa.array(flat))
+        return pc.binary_join(pa.LargeListArray.from_arrays(ends, pieces), pa.scalar(b"", pa.large_binary())).to_pylist()
+
     def decode(self, ids: list) -> list[str]:
         """Texts of ids that this engine made. Where texts are cut at gaps, the
         bytes of all texts' pieces are gathered at once; the reference library's
         decoder confirms that for each new word (see :meth:`_meet`)."""
         if not self.by_word:
-            return self.library_decode(ids)
-        if not ids:
-            return []
-        flat, n = np.concatenate([np.asarray(i, dtype=np.int32) for i in ids]), len(self.prefix)
-        raw = b"".join(self.table[flat].tolist())
-        ends = np.append(0, np.cumsum(self.sizes[flat]))[np.cumsum([len(i) for i in ids])].tolist()
-        return [raw[a:b].decode("utf-8", "replace").replace(MARK, " ")[n:] for a, b in zip([0, *ends], ends)]
+            return self.library_decode([np.asarray(i, dtype=np.int32).tolist() for i in ids])
+        return [b.decode("utf-8", "replace").replace(MARK, " ")[len(self.prefix):] for b in self._bytes(ids)]
 
     def library_decode(self, ids: list[list[int]]) -> list[str]:
         """Texts of any ids."""
@@ -208,8 +227,6 @@ class _Engine:
 def _give_back() -> None:
     """Return freed memory to the machine: workers live on for other tasks."""
     import ctypes
-    import gc
-    gc.collect()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):   # another C library
@@ -236,7 +253,9 @@ class Codec:
         table, model, threads, every, most = self.json, self.model, self.threads, self.parity_every, self.batch_chars
 
         def run(batches):
+            import gc
             import sentencepiece
+            gc.collect()
             _give_back()                                        # what other tasks left in this worker
             sp, seen = sentencepiece.SentencePieceProcessor(model_proto=model.value), 0
             t = _Engine(table.value, threads, reference=sp)
@@ -245,12 +264,13 @@ class Codec:
                     got, kept = t.encode(part)
                     for x, i in zip(part, got):
                         if seen % every == 0:
-                            t.verify([x], [i.tolist()], t.library_decode([i.tolist()]))
+                            t.verify([x], [i], t.library_decode([i.tolist()]))
                         seen += 1
                     yield pd.DataFrame({"ids": got, "same": kept})
                     del got, kept
                     _give_back()
             del t, sp
+            gc.collect()
             _give_back()
 
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}

@@ -227,6 +227,56 @@ def test_new_words_are_verified_together_in_bounded_batches():
         engine.encode(["a b house"])
 
 
+def test_words_are_encoded_together_and_stay_while_they_are_met():
+    """Before, each new word was encoded on its own, and a word that the batch at
+    hand lacked was forgotten, and met again, whenever the words were too many."""
+    import sentencepiece
+    with open(pieces.DEFAULT_MODEL, "rb") as f:
+        raw = f.read()
+    sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    engine, given = pieces._Engine(pieces.rebuild(raw), 2, 3_000, reference=sp), []
+    library = engine.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            given.extend(texts)
+            return library.encode_batch_fast(texts, **more)
+    engine.tokenizer = Counting()
+    words = [f"w{chr(97 + i % 26)}{i}é" for i in range(40_000)]
+    common, rare = words[:1_000], words[1_000:]
+    for i in range(0, 39_000, 1_000):
+        texts = [" ".join(rare[i:i + 1_000]), " ".join(common[i // 1_000 % 2::2])]      # a common word is in every other batch
+        ids, same = engine.encode(texts)
+        assert [x.tolist() for x in ids] == sp.encode(texts) and all(same)
+        assert len(engine.words) < 8_000 and engine.held == sum(map(len, engine.words))
+    assert len(given) < 500 and all(isinstance(x, str) for x in given)
+    assert sum(x.count(pieces.MARK) for x in given) == len(words)       # each is met once
+
+
+@pytest.mark.parametrize("prefix", [False, True])
+def test_gaps_of_any_width(prefix):
+    """Texts that begin or end with gaps, wide gaps and marks, with and without the model's own prefix."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+    with open(pieces.DEFAULT_MODEL, "rb") as f:
+        bpe = f.read()
+    rng = random.Random(3)
+    texts = ["", " ", "  ", "a", " a", "a ", "  a  b   ", "▁", "▁ ▁a▁", "a \n b", "\n", " \t "] + ["".join(rng.choices("  ▁ae\n", k=rng.randint(0, 9))) for _ in range(500)]
+    for raw in (unigram_model(False), bpe):
+        m = pb.ModelProto()
+        m.ParseFromString(raw)
+        m.normalizer_spec.add_dummy_prefix = prefix
+        raw = m.SerializeToString()
+        sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
+        engine = pieces._Engine(pieces.rebuild(raw), 2, 100, reference=sp)
+        assert engine.by_word
+        for i in range(0, len(texts), 50):
+            ids, same = engine.encode(texts[i:i + 50])
+            assert [x.tolist() for x in ids] == sp.encode(texts[i:i + 50])
+            assert all(same)
+    assert engine.encode([]) == ([], []) and [len(x) for x in engine.encode(["", ""])[0]] == [0, 0]
+
+
 def test_every_row_is_verified_and_decoded(spark, docs_of, monkeypatch):
     """A word that the reference library encodes in another way fails the job on
     any row, and ``same`` tells what the ids decode to."""
